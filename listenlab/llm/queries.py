@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from listenlab.session import table
 
-from . import fingerprints, licenses, mixing
+from . import bpe, fingerprints, licenses, mixing, tokenstore
+from .common import shared_dir
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    to = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    tokenstore.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), to)
+    return tokenstore.read(spark, to).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -26,6 +39,8 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
+        "op2_bpe": op2_bpe,
+        "op6_token_store": op6_token_store,
         "op9_mixing": op9_mixing,
         "op10_licenses": op10_licenses,
     }
