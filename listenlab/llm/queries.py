@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from listenlab.session import table
 
-from . import bpe, fingerprints, licenses, mixing, tokenstore
+from . import bpe, fingerprints, langid, licenses, mixing, quality, tokenstore
 from .common import shared_dir
 
 
@@ -22,12 +22,20 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(table(spark, sf_dir, "documents"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     tokenstore.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), to)
     return tokenstore.read(spark, to).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -40,7 +48,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
         "op2_bpe": op2_bpe,
+        "op4_language": op4_language,
         "op6_token_store": op6_token_store,
+        "op7_quality": op7_quality,
         "op9_mixing": op9_mixing,
         "op10_licenses": op10_licenses,
     }
