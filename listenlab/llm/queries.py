@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from listenlab.session import table
 
-from . import bpe, fingerprints, langid, licenses, mixing, quality, tokenstore
+from . import bpe, fingerprints, jaccard, langid, licenses, mixing, quality, tokenstore
 from .common import shared_dir
 
 
@@ -22,6 +22,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
         "op2_bpe": op2_bpe,
+        "op3_jaccard_join": op3_jaccard_join,
         "op4_language": op4_language,
         "op6_token_store": op6_token_store,
         "op7_quality": op7_quality,
