@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from listenlab.session import table
 
-from . import bpe, fingerprints, jaccard, langid, licenses, mixing, quality, tokenstore
+from . import bpe, fingerprints, html, jaccard, langid, licenses, mixing, quality, tokenstore, topk
 from .common import shared_dir
 
 
@@ -30,6 +30,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(table(spark, sf_dir, "documents"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(table(spark, sf_dir, "pages"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     tokenstore.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), to)
@@ -40,6 +44,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -54,12 +62,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bpe": op2_bpe,
         "op3_jaccard_join": op3_jaccard_join,
         "op4_language": op4_language,
+        "op5_html": op5_html,
         "op6_token_store": op6_token_store,
         "op7_quality": op7_quality,
+        "op8_top_k": op8_top_k,
         "op9_mixing": op9_mixing,
         "op10_licenses": op10_licenses,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.ORACLE, "op10_licenses": licenses.ORACLE}
+    return {"op8_top_k": topk.ORACLE, "op9_mixing": mixing.ORACLE, "op10_licenses": licenses.ORACLE}
