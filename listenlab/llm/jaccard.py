@@ -261,7 +261,7 @@ def _verify(table: pa.Table, rule: Rule) -> pa.Table:
 
 
 def joined(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of every document.
+    """(doc_id, n_shingles, component_id, n_links, node) of every document; node is null for an empty set.
 
     n_shingles: size of its set; component_id: the smallest doc_id reachable by links, its own included;
     n_links: linked sets other than its own. Equal sets are linked. A null text, or one without words, has
@@ -298,11 +298,22 @@ def joined(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     final = tied.join(least, "root").join(number, "node", "left").select(F.col("node").alias("of"), "least", "n_links")
     final = written(final, "final")
     return members.join(_hint(final), F.col("node") == F.col("of"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "node"
     )
 
 
 def representatives(docs: DataFrame, rule: Rule) -> DataFrame:
-    """The documents that stay if one of each component does: those whose id is their component's; columns as they are."""
-    keep = joined(docs, rule).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"] == F.col("_keep"), "left_semi")
+    """The documents that stay if one of each component does: the one whose id is its component's; columns as they are.
+
+    Documents with an empty set all stay, as do those of null id in a component without any id. Of
+    repeated rows with equal sets one stays.
+    """
+    kept = written(joined(docs, rule).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("node").alias("_set")), "kept")
+    keys = written(kept.groupBy("_id", "_set").agg(F.count("*").alias("_rows")), "keys")
+    rows = docs.withColumn("_node", _node(shingle_hashes(F.col("text"), rule.shingle)))
+    rows = rows.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_node").eqNullSafe(F.col("_set"))).drop("_id", "_set")
+    again = (F.col("_rows") > 1) & F.col("_node").isNotNull()
+    once = rows.where(~again).drop("_rows", "_node")
+    if keys.where("_rows > 1 AND _set IS NOT NULL").isEmpty():
+        return once
+    return once.unionByName(rows.where(again).dropDuplicates(["doc_id", "_node"]).drop("_rows", "_node"))

@@ -23,7 +23,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.joined(table(spark, sf_dir, "documents"))
+    return jaccard.joined(table(spark, sf_dir, "documents")).drop("node")
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
