@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -22,8 +21,8 @@ from pyspark.sql import DataFrame
 from .chunks import ChunkEncoder
 from .common import small_arrow_batches
 
-#: Pairs whose validity, and pieces whose ids, a worker remembers.
-PAIRS, PIECES = 400_000, 150_000
+#: Pairs whose validity, and first bytes whose table, a worker remembers.
+PAIRS, HEADS = 400_000, 100_000
 #: Bytes of a piece whose table is kept for other pieces that begin with them.
 HEAD = 6
 
@@ -133,23 +132,9 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         import regex
 
-        self.vocabulary, self.split = Vocabulary(path), regex.compile(pattern).findall
-        self._pieces: dict[str, bytes] = {}
+        self.vocabulary = Vocabulary(path)
         self._heads: dict[bytes, list[int]] = {}
-        self.encode = ChunkEncoder(self._whole).encode
-
-    def _whole(self, text: str) -> bytes:
-        out = []
-        for piece in self.split(text):
-            got = self._pieces.get(piece)
-            if got is None:
-                got = array("I", self._ids(piece.encode())).tobytes()
-                if len(piece) <= 64:
-                    if len(self._pieces) >= PIECES:
-                        self._pieces.clear()
-                    self._pieces[piece] = got
-            out.append(got)
-        return b"".join(out)
+        self.encode = ChunkEncoder(regex.compile(pattern).findall, lambda piece: self._ids(piece.encode())).encode
 
     def _ids(self, data: bytes) -> list[int]:
         """Encodes a piece, going on from the stored table of its first HEAD bytes."""
@@ -159,7 +144,7 @@ class Codec:
         head = data[:HEAD]
         known = self._heads.get(head)
         if known is None:
-            if len(self._heads) >= PIECES:
+            if len(self._heads) >= HEADS:
                 self._heads.clear()
             v.fill(head, known := [], len(head))
             self._heads[head] = known

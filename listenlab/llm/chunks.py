@@ -9,6 +9,7 @@ encoded as a whole.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable
 
 #: A space before white space or the end: there the split depends on what comes after the space.
@@ -37,27 +38,18 @@ class _Cache(dict):
 
 
 class ChunkEncoder:
-    """``encode(text)`` gives packed ids, by ``of``, which encodes any string."""
+    """``encode(text)`` gives packed little-endian ids; ``split`` cuts a text into pieces, ``ids`` encodes one."""
 
-    def __init__(self, of: Callable[[str], bytes], size: int = 150_000):
-        self.of = of
-        self.first, self.rest = _Cache(of, "", size // 10), _Cache(of, " ", size)
+    def __init__(self, split: Callable[[str], list[str]], ids: Callable[[str], list[int]], size: int = 300_000):
+        self.split = split
+        self.pieces = _Cache(lambda p: array("I", ids(p)).tobytes(), "", size // 2)
+        self.first, self.rest = _Cache(self._whole, "", size // 10), _Cache(self._whole, " ", size)
+
+    def _whole(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
     def encode(self, text: str) -> bytes:
         if UNEVEN.search(text):
-            return self.of(text)
+            return self._whole(text)
         first, *rest = text.split(" ")
         return (self.first[first] if first else b"") + b"".join(map(self.rest.__getitem__, rest))
-
-    def unknown(self, texts: list[str]) -> list[str]:
-        """Chunks after a space that the cache lacks, each once; for encoders that are faster in batches."""
-        need = {c for t in texts if not UNEVEN.search(t) for c in set(t.split(" ")[1:])}
-        rest, old = self.rest, self.rest.old
-        return [c for c in need if c not in rest and c not in old and len(c) <= LONGEST]
-
-    def learn(self, chunks: list[str], packed: list[bytes]) -> None:
-        for c, b in zip(chunks, packed, strict=True):
-            if len(self.rest) >= self.rest.size:
-                self.rest.old = dict(self.rest)
-                self.rest.clear()
-            self.rest[c] = b

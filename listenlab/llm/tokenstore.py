@@ -10,7 +10,6 @@ between offsets of a block at once.
 
 from __future__ import annotations
 
-import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,25 +32,31 @@ IDS = "part int, seq long, start long, doc_ids array<bigint>, lens array<bigint>
 BLOCKS = "part int, seq long, start long, doc_ids array<bigint>, lens array<bigint>, n long, bits binary, offsets array<bigint>"
 
 
+def _byte_letters() -> dict[int, int]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it can be seen, else one behind the first 256."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: b for b in seen} | {b: 256 + i for i, b in enumerate(rest)}
+
+
 @cache
-def _tokenizer(path: str) -> tuple:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+def _encoder(path: str, pattern: str) -> ChunkEncoder:
+    """Pieces are split here, once each, and encoded by the library's model."""
+    import regex
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-
-    def pack(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
-
-    return ChunkEncoder(lambda s: pack([s])[0]), pack
+    run, letters = t.model.tokenize, _byte_letters()
+    # the model is the tokenizer's own; t keeps it alive
+    ids = lambda p, t=t: [x.id for x in run(p.encode().decode("latin-1").translate(letters))]
+    return ChunkEncoder(regex.compile(pattern).findall, ids)
 
 
-def tokenized(docs: DataFrame, path: str, end: int = END) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, pattern: str, end: int = END) -> DataFrame:
     """Blocks of ids, by range of doc_id, each range's blocks in order; its counts in a row with seq -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, pack = _tokenizer(path)
+        encode = _encoder(path, pattern).encode
         part, schema = TaskContext.get().partitionId(), _schema(IDS)
         counts, total, seq, stop = np.zeros(0, np.int64), 0, 0, np.array([end], "<u4").tobytes()
         docs_, lens, held, n = [], [], [], 0
@@ -69,10 +74,8 @@ def tokenized(docs: DataFrame, path: str, end: int = END) -> DataFrame:
 
         for b in batches:
             texts = ["" if t is None else t for t in b.column(1).to_pylist()]
-            if new := chunks.unknown(texts):
-                chunks.learn(new, pack([" " + c for c in new]))
-            for i, t in zip(b.column(0).to_pylist(), texts, strict=True):
-                packed = chunks.encode(t) + stop
+            for i, packed in zip(b.column(0).to_pylist(), map(encode, texts), strict=True):
+                packed += stop
                 docs_.append(i)
                 lens.append(len(packed) // 4)
                 held.append(packed)
@@ -193,14 +196,14 @@ class Decoder:
         return out.T.reshape(-1)[:n].astype(np.uint32)
 
 
-def write(docs: DataFrame, path: str, to: str, end: int = END) -> None:
+def write(docs: DataFrame, path: str, pattern: str, to: str, end: int = END) -> None:
     """Writes the ids of all whole texts to ``to``: its folder ``codes`` has the lengths, ``blocks`` the ids.
 
     A null or empty text is the end id alone. Null ids come first; repeated rows are kept.
     """
     spark = docs.sparkSession
     first = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
-    tokenized(docs, path, end).write.option("compression", "zstd").parquet(first)
+    tokenized(docs, path, pattern, end).write.option("compression", "zstd").parquet(first)
     rows = spark.read.schema(IDS).parquet(first)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
