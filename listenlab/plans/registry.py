@@ -6,30 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listenlab.session import table
+from .bind import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
-    """Register the decorated (spark, sf_dir) function, and its oracle if any."""
+    """Register the decorated function of ``Tables`` under a name, with its oracle if SQL can express it."""
 
-    def put(fn):
+    def put(fn: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = fn
+        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if sql is not None:
             ORACLE[name] = sql
         return fn
 
     return put
-
-
-@query("ag1_overview", "SELECT count(*) AS plays, count(DISTINCT user_id) AS artists FROM events")
-def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
-    return table(spark, sf_dir, "events").agg(
-        F.count("*").alias("plays"), F.countDistinct("user_id").alias("artists")
-    )
