@@ -1 +1,162 @@
-"""Queries."""
+"""Queries over titles, histories and lyrics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from listenlab.functions import text as tx
+from listenlab.operators import etl
+from listenlab.operators import lyrics as ly
+
+from .bind import sql
+from .registry import query
+
+R = lambda n: F.round(n, 6).alias(n)
+_WRDS = "regexp_extract_all(lower(text), '([a-z'']+)', 1)"
+
+
+@query("title_clean", sql("titles_raw", f"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(title, '(?i)^watched ', ''), '(?i)[(\\[][^)\\]]*\\b({tx.NOISE})\\b[^)\\]]*[)\\]]', ' ', 'g'), '(?i)[(\\[]\\s*(feat|ft|featuring)\\b[^)\\]]*[)\\]]', ' ', 'g'), '\\s+', ' ', 'g'), ' -–|') AS title FROM titles_raw"""))
+def clean(t):
+    return t.titles_raw.select("page_id", tx.clean_title(F.col("title")).alias("title"))
+
+
+@query("plain_keys", sql("tracks", "SELECT id, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS k FROM tracks"))
+def plain(t):
+    return t.tracks.select("id", tx.plain(F.col("title")).alias("k"))
+
+
+@query("artist_split", sql("lyrics", "SELECT track_id, CASE WHEN strpos(s, ' | ') > 1 THEN trim(split_part(s, ' | ', 1)) WHEN strpos(s, ': ') > 1 THEN trim(split_part(s, ': ', 1)) ELSE 'channel' END AS artist FROM (SELECT track_id, replace(replace(split_part(text, chr(10), 1), ' - ', ' '), ' – ', ' ') AS s FROM lyrics)"))
+def artist_split(t):
+    line = F.replace(F.replace(F.substring_index("text", "\n", 1), F.lit(" - "), F.lit(" ")), F.lit(" – "), F.lit(" "))
+    return t.lyrics.select("track_id", tx.split_artist(line, F.lit("channel - Topic"))[0].alias("artist"))
+
+
+@query("video_id", sql("titles_raw", "SELECT page_id, nullif(regexp_extract(url || '?v=abc_' || page_id || 'xyz', '[?&]v=([\\w-]{6,})', 1), '') AS video FROM titles_raw"))
+def video(t):
+    return t.titles_raw.select("page_id", tx.video_id(F.concat("url", F.lit("?v=abc_"), "page_id", F.lit("xyz"))).alias("video"))
+
+
+@query("iso_duration", sql("tracks", "SELECT id, (id % 3) * 3600 + (id % 60) * 60 + id % 59 AS seconds FROM tracks"))
+def iso(t):
+    d = F.concat(F.lit("PT"), F.col("id") % 3, F.lit("H"), F.col("id") % 60, F.lit("M"), F.col("id") % 59, F.lit("S"))
+    return t.tracks.select("id", tx.iso_seconds(d).cast("long").alias("seconds"))
+
+
+@query("cjk_flag", sql("lyrics", "SELECT track_id, regexp_matches(text || CASE WHEN track_id % 7 = 0 THEN '東' ELSE '' END, '[\\x{3040}-\\x{30FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{AC00}-\\x{D7AF}]') AS cjk FROM lyrics"))
+def cjk(t):
+    return t.lyrics.select("track_id", tx.has_cjk(F.concat("text", F.when(F.col("track_id") % 7 == 0, "東").otherwise(""))).alias("cjk"))
+
+
+@query("caps_titles", sql("lyrics", "SELECT track_id, length(l) >= 3 AND upper(l) = l AND lower(l) <> l AS caps FROM (SELECT track_id, regexp_replace(split_part(text, chr(10), 2), '[^\\p{L}]', '', 'g') AS l FROM lyrics)"))
+def caps(t):
+    return t.lyrics.select("track_id", tx.all_caps(F.get(F.split("text", "\n"), 1)).alias("c")).select("track_id", F.coalesce("c", F.lit(False)).alias("caps"))
+
+
+@query("junk_titles", sql("lyrics", "SELECT track_id FROM lyrics WHERE length(regexp_replace(split_part(text, '.', 2), '[^\\p{L}\\p{N}]', '', 'g')) < 2"))
+def junk(t):
+    return t.lyrics.where(tx.is_junk(F.get(F.split("text", "[.]"), 1))).select("track_id")
+
+
+@query("messy_years", sql("tracks", "SELECT id, substr(release_date, 1, 4)::INTEGER AS year FROM tracks"))
+def years(t):
+    return t.tracks.select("id", tx.year_of(F.concat(F.lit("c. "), "release_date")).alias("year"))
+
+
+@query("clock_times", sql("tracks", "SELECT id, lpad((duration_ms // 1000 // 60)::VARCHAR, 2, '0') || ':' || lpad((duration_ms // 1000 % 60)::VARCHAR, 2, '0') AS clock FROM tracks WHERE duration_ms IS NOT NULL"))
+def clocks(t):
+    return t.tracks.where("duration_ms IS NOT NULL").select("id", tx.clock(F.floor(F.col("duration_ms") / 1000)).alias("clock"))
+
+
+@query("unescaped_titles")
+def unescaped(t):
+    return t.titles_raw.select("page_id", tx.nfkc(tx.unescape("title")).alias("title"))
+
+
+@query("normalize_titles")
+def normalized(t):
+    return etl.normalised(t.titles_raw.select("page_id", tx.unescape("title").alias("title"), "artist"))
+
+
+@query("normalize_stats")
+def normal_stats(t):
+    return etl.normal_stats(etl.normalised(t.titles_raw.select("page_id", "title", "artist")))
+
+
+_MUS = "v AS (SELECT doc_id AS id, source AS channel, text AS title, contains(lower(source), 'src1') OR contains(lower(text), 'song') OR contains(lower(text), 'ost ') AS music FROM documents)"
+
+
+def _videos(t):
+    low = F.lower("text")
+    return t.raw("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("channel"), F.col("text").alias("title"), (F.contains(F.lower("source"), F.lit("src1")) | F.contains(low, F.lit("song")) | F.contains(low, F.lit("ost "))).alias("music"))
+
+
+@query("channel_share", f"WITH {_MUS} SELECT lower(channel) AS channel, count(*) AS n, count(*) FILTER (music) AS music FROM v GROUP BY 1 HAVING count(*) >= 2 AND count(*) FILTER (music) / count(*)::DOUBLE >= .5")
+def share(t):
+    return etl.channel_share(_videos(t))
+
+
+@query("propagate_music", f"""WITH {_MUS}, g AS (SELECT lower(channel) AS ch FROM v GROUP BY 1 HAVING count(*) >= 2 AND count(*) FILTER (music) / count(*)::DOUBLE >= .5)
+ SELECT id, CASE WHEN music THEN 'direct' WHEN ch IS NOT NULL AND NOT regexp_matches(title, '(?i)\\b(trailer|interview|making of|behind the scenes|press meet|speech)\\b') THEN 'channel' END AS reason FROM v LEFT JOIN g ON ch = lower(channel)""")
+def propagate(t):
+    return etl.propagate(_videos(t)).select("id", "reason")
+
+
+_HINT = " OR ".join([f"contains(lower(source), '{w}')" for w in etl.MUSIC_CHANNELS] + [f"contains(lower(text), '{w}')" for w in etl.MUSIC_TITLES])
+
+
+@query("music_flag", f"SELECT doc_id AS id, {_HINT} AS music FROM documents")
+def flag(t):
+    return t.raw("documents").select(F.col("doc_id").alias("id"), etl.music_hint(F.col("text"), F.col("source")).alias("music"))
+
+
+@query("non_music_gate", "SELECT doc_id AS id, regexp_matches(text, '(?i)\\b(trailer|teaser|interview|podcast|reaction|review|vlog|news|gameplay|tutorial|highlights|episode)\\b') AS gated FROM documents")
+def gate(t):
+    return t.raw("documents").select(F.col("doc_id").alias("id"), etl.not_music(F.col("text")).alias("gated"))
+
+
+@query("short_gate", sql("titles_raw", "SELECT page_id, regexp_matches(title || ' ' || url, '(?i)#shorts?\\b|\\bytshorts\\b|/shorts/') OR len(regexp_extract_all(title, '#\\w+')) >= 2 AS short FROM titles_raw"))
+def shorts(t):
+    return t.titles_raw.select("page_id", etl.is_short(F.col("title"), F.col("url")).alias("short"))
+
+
+_CNT = "c AS (SELECT track_id, w, len(w) AS n FROM (SELECT track_id, regexp_extract_all(lower(text), '([a-z'']+)', 1) AS w FROM lyrics) WHERE len(w) >= 5)"
+
+
+@query("word_counts", sql("lyrics", "SELECT track_id, n::BIGINT AS word_count, round(len(list_distinct(w)) / n::DOUBLE, 6) AS unique_ratio FROM c", _CNT))
+def word_counts(t):
+    return ly.counted(t.lyrics).select("track_id", "word_count", R("unique_ratio"))
+
+
+@query("lyrics_overview", sql("lyrics", "SELECT count(*) AS texts, round(avg(n), 6) AS words, round(avg(len(list_distinct(w)) / n::DOUBLE), 6) AS richness FROM c", _CNT))
+def lyrics_overview(t):  # AG29
+    return ly.counted(t.lyrics).agg(F.count("*").alias("texts"), F.avg("word_count").alias("words"), F.avg("unique_ratio").alias("richness")).select("texts", R("words"), R("richness"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in ly.STOP)
+_TOPW = f"tw AS (SELECT * FROM (SELECT track_id, word, n, row_number() OVER (PARTITION BY track_id ORDER BY n DESC, word) AS k FROM (SELECT track_id, word, count(*) AS n FROM (SELECT track_id, unnest({_WRDS}) AS word FROM lyrics) WHERE length(word) > 2 AND word NOT IN ({_STOP}) GROUP BY 1, 2)) WHERE k <= 12)"
+
+
+@query("top_words", sql("lyrics", "SELECT track_id, word, n FROM tw", _TOPW))
+def top_words(t):
+    return ly.top_words(t.lyrics)
+
+
+@query("word_cloud", sql("lyrics plays", "SELECT word, sum(n * coalesce(p, 1))::BIGINT AS weight FROM tw LEFT JOIN (SELECT track_id, count(*) AS p FROM plays GROUP BY 1) USING (track_id) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 40", _TOPW))
+def cloud(t):
+    return ly.cloud(ly.top_words(t.lyrics), t.plays)
+
+
+_LEX = lambda lex: "len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{w}'" for w in lex) + ")))"
+_SENT = f"s AS (SELECT track_id, coalesce((g - b) / nullif(g + b, 0)::DOUBLE, 0) AS mood FROM (SELECT track_id, {_LEX(ly.GOOD)} AS g, {_LEX(ly.BAD)} AS b FROM (SELECT track_id, {_WRDS} AS w FROM lyrics)))"
+
+
+@query("lyric_sentiment", sql("lyrics", "SELECT track_id, round(mood, 6) AS mood FROM s", _SENT))
+def sentiment(t):
+    return t.lyrics.select("track_id", F.round(ly.sentiment(F.col("text")), 6).alias("mood"))
+
+
+@query("mood_mismatch", sql("lyrics features", "SELECT track_id, CASE WHEN valence >= .55 AND mood <= -.2 THEN 'happy sound, sad words' ELSE 'sad sound, happy words' END AS kind, round(abs(valence - (mood + 1) / 2), 6) AS gap FROM s JOIN features USING (track_id) WHERE valence >= .55 AND mood <= -.2 OR valence <= .4 AND mood >= .3 ORDER BY abs(valence - (mood + 1) / 2) DESC, track_id LIMIT 10", _SENT))
+def mismatch(t):
+    j = t.features.select("track_id", "valence").join(t.lyrics.select("track_id", ly.sentiment(F.col("text")).alias("mood")), "track_id")
+    kind, gap = ly.mismatch(F.col("valence"), F.col("mood"))
+    return j.select("track_id", kind.alias("kind"), gap.alias("gap")).where("kind IS NOT NULL").orderBy(F.col("gap").desc(), "track_id").limit(10).select("track_id", "kind", R("gap"))
