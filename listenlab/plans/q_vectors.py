@@ -1 +1,211 @@
-"""Queries."""
+"""Queries over vector spaces and retrieval."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from listenlab.functions import arrays as ar
+from listenlab.operators import evaluate as ev
+from listenlab.operators import retrieve as rt
+from listenlab.operators import vectors as vc
+
+from .bind import UNIT, sql
+from .registry import query
+
+R = lambda n: F.round(n, 6).alias(n)
+_U = "u AS (SELECT track_id, artist, album, list_transform(vec, lambda x: x / (sqrt(list_inner_product(vec, vec)) + 1e-9)) AS v FROM vectors)"
+_S = "ps AS (SELECT a.track_id AS a, b.track_id AS b, list_inner_product(a.v, b.v) AS s FROM u a JOIN u b ON a.track_id <> b.track_id)"
+_NN = "nn AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rank FROM ps)"
+
+
+def _u(t):
+    return t.vectors.select("track_id", ar.unit(F.col("vec")).alias("vec"), "artist", "album")
+
+
+@query("cosine_topk", sql("vectors", "SELECT a AS query_id, b AS track_id, rank, round(s, 6) AS sim FROM nn WHERE a IN (17, 42) AND rank <= 10", f"{_U}, {_S}, {_NN}"))
+def topk(t):
+    q = t.vectors.where("track_id IN (17, 42)").select(F.col("track_id").alias("query_id"), F.col("vec").alias("q"))
+    return rt.recall(t.vectors, q, 10).select("query_id", "track_id", "rank", R("sim"))
+
+
+@query("neighbour_lists", sql("vectors", "SELECT a, b, rank FROM nn WHERE rank <= 5", f"{_U}, {_S}, {_NN}"))
+def lists(t):
+    return vc.neighbours(t.vectors, 5).select("a", "b", "rank")
+
+
+_ED = "dd AS (SELECT a.track_id AS a, b.track_id AS b, list_distance(a.vec, b.vec) AS d FROM vectors a JOIN vectors b ON a.track_id <> b.track_id), kn AS (SELECT a, b, d FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS k FROM dd) WHERE k <= 2)"
+
+
+@query("knn_graph", sql("vectors", "SELECT least(a, b) AS a, greatest(a, b) AS b, round(min(d), 6) AS d FROM kn GROUP BY 1, 2", _ED))
+def knn(t):
+    return vc.knn_graph(t.vectors).select("a", "b", R("d"))
+
+
+@query("medoid_outlier", sql("vectors", "SELECT min_by(a, m) AS medoid, max_by(a, m) AS outlier FROM (SELECT a, avg(d) AS m FROM dd GROUP BY 1)", _ED))
+def medoid(t):  # VC6: mean distances by row, from blocks
+    every = vc.neighbours(t.vectors, 1 << 20, cosine=False).groupBy("a").agg(F.avg(-F.col("s")).alias("m"))
+    return every.agg(F.min_by("a", "m").alias("medoid"), F.max_by("a", "m").alias("outlier"))
+
+
+@query("siblings", sql("features", "SELECT b AS track_id, round(1 - d / m, 6) AS sim FROM (SELECT b, d, max(d) OVER () AS m FROM (SELECT b.track_id AS b, sqrt(" + " + ".join(f"(({'a'}.{n} - b.{n}) / ((SELECT stddev_pop({n}) FROM f) + 1e-6)) ^ 2" for n in UNIT) + ") AS d FROM f a, f b WHERE a.track_id = 42 AND b.track_id <> 42)) ORDER BY d, track_id LIMIT 5", "f AS (SELECT * FROM features WHERE error IS NULL)"))
+def siblings(t):  # VC4, VC5
+    z = vc.standardised(t.features, UNIT)
+    one = F.broadcast(z.where("track_id = 42").select(F.col("vec").alias("q")))
+    d = z.where("track_id <> 42").crossJoin(one).select("track_id", ar.norm(F.zip_with("vec", "q", lambda x, y: x - y)).alias("d"))
+    top = d.crossJoin(F.broadcast(d.agg(F.max("d").alias("m"))))
+    return top.orderBy("d", "track_id").limit(5).select("track_id", F.round(1 - F.col("d") / F.col("m"), 6).alias("sim"))
+
+
+@query("csls_radius", sql("vectors", "SELECT a AS track_id, round(avg(s), 6) AS radius FROM nn WHERE rank <= 10 GROUP BY 1", f"{_U}, {_S}, {_NN}"))
+def radius(t):
+    return vc.radius(t.vectors).select("track_id", R("radius"))
+
+
+@query("csls_topk", sql("vectors", "SELECT query_id, track_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, track_id) AS k FROM (SELECT a AS query_id, b AS track_id, 2 * s - rb.r - ra.r AS score FROM ps JOIN rd ra ON ra.id = a JOIN rd rb ON rb.id = b WHERE a IN (17, 42))) WHERE k <= 10",
+ f"{_U}, {_S}, {_NN}, rd AS (SELECT a AS id, avg(s) AS r FROM nn WHERE rank <= 10 GROUP BY 1)"))
+def csls(t):
+    from pyspark.sql import Window
+
+    q = t.vectors.where("track_id IN (17, 42)").select(F.col("track_id").alias("query_id"), F.col("vec").alias("q"))
+    sims = rt.recall(t.vectors, q, 1 << 20).select("query_id", "track_id", "sim")
+    s = rt.csls(sims, vc.radius(t.vectors))
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "track_id")
+    return s.withColumn("k", F.row_number().over(w)).where("k <= 10").select("query_id", "track_id", R("score"))
+
+
+_P = "pc AS (SELECT v.track_id, vec, ln(1 + coalesce(plays, 0)) AS p FROM vectors v LEFT JOIN play_counts USING (track_id)), pz AS (SELECT track_id, vec, (p - avg(p) OVER ()) / (stddev_pop(p) OVER () + 1e-9) AS z FROM pc), ex AS (SELECT z, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM pz), dc AS (SELECT i, avg(x * z) - avg(x) * avg(z) AS c FROM ex GROUP BY 1), dr AS (SELECT list(c / ((SELECT sqrt(sum(c * c)) FROM dc) + 1e-9) ORDER BY i) AS dir FROM dc)"
+
+
+@query("popularity_direction", sql("vectors plays play_counts", "SELECT i::INTEGER AS i, round(x, 6) AS x FROM (SELECT unnest(dir) AS x, generate_subscripts(dir, 1) AS i FROM dr)", _P))
+def direction(t):
+    return vc.popularity_direction(t.vectors, t.play_counts).select(F.posexplode("dir").alias("i", "x")).select((F.col("i") + 1).alias("i"), R("x"))
+
+
+@query("apply_correction", sql("vectors plays play_counts", "SELECT track_id, round(w[1] / (sqrt(list_inner_product(w, w)) + 1e-9), 6) AS x1, round(w[64] / (sqrt(list_inner_product(w, w)) + 1e-9), 6) AS x64 FROM (SELECT track_id, list_transform(range(1, 65), lambda i: c[i] - list_inner_product(c, dir) * dir[i]) AS w FROM (SELECT track_id, list_transform(range(1, 65), lambda i: vec[i] - mean[i]) AS c FROM vectors, mn), dr)",
+ _P + ", mn AS (SELECT list(m ORDER BY i) AS mean FROM (SELECT i, avg(x) AS m FROM ex GROUP BY 1))"))
+def correction(t):
+    v = vc.corrected(t.vectors, vc.popularity_direction(t.vectors, t.play_counts))
+    return v.select("track_id", F.round(F.get("vec", F.lit(0)), 6).alias("x1"), F.round(F.get("vec", F.lit(63)), 6).alias("x64"))
+
+
+@query("blended_recall", sql("vectors", "SELECT query_id, track_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, track_id) AS k FROM (SELECT coalesce(x.a, y.a) AS query_id, coalesce(x.b, y.b) AS track_id, .6 * coalesce(x.s, 0) + .4 * coalesce(y.s, 0) AS score FROM (SELECT * FROM nn WHERE a = 17 AND rank <= 75) x FULL JOIN (SELECT * FROM n2 WHERE a = 17 AND rank <= 75) y ON x.a = y.a AND x.b = y.b)) WHERE k <= 25",
+ f"{_U}, {_S}, {_NN}, u2 AS (SELECT track_id, list_transform(vec[33:64], lambda x: x / (sqrt(list_inner_product(vec[33:64], vec[33:64])) + 1e-9)) AS v FROM vectors), n2 AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rank FROM (SELECT a.track_id AS a, b.track_id AS b, list_inner_product(a.v, b.v) AS s FROM u2 a JOIN u2 b ON a.track_id <> b.track_id))"))
+def blended(t):
+    one, two = t.vectors, t.vectors.withColumn("vec", F.slice("vec", 33, 32))
+    q = lambda v: v.where("track_id = 17").select(F.col("track_id").alias("query_id"), F.col("vec").alias("q"))
+    return rt.blended([(one, q(one), 0.6), (two, q(two), 0.4)], 25).select("query_id", "track_id", R("score"))
+
+
+@query("tag_topk", sql("vectors", "SELECT track_id, tag, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY sim DESC, tag) AS k FROM (SELECT u.track_id, 'tag ' || b.track_id AS tag, list_inner_product(u.v, b.v) AS sim FROM u, u b WHERE b.track_id < 40) WHERE sim > .05) WHERE k <= 8", _U))
+def tag_topk(t):
+    bank = _u(t).where("track_id < 40").select(F.concat(F.lit("tag "), "track_id").alias("tag"), F.col("vec").alias("q"))
+    return rt.tags(_u(t), bank).select("track_id", "tag", R("sim"))
+
+
+@query("centroids", sql("vectors", "SELECT artist, i::INTEGER AS i, round(avg(x), 6) AS x FROM (SELECT artist, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM vectors) GROUP BY 1, 2"))
+def centroids(t):
+    return vc.centroid(t.vectors, ["artist"]).select("artist", F.posexplode("vec").alias("i", "x")).select("artist", (F.col("i") + 1).alias("i"), R("x"))
+
+
+@query("fusion", sql("vectors", "SELECT track_id, round((v[1] + v[33]) / 2 / (sqrt(list_inner_product(w, w)) + 1e-9), 6) AS x FROM (SELECT track_id, v, list_transform(range(1, 33), lambda i: (v[i] + v[i + 32]) / 2) AS w FROM (SELECT track_id, list_concat(list_transform(vec[1:32], lambda x: x / (sqrt(list_inner_product(vec[1:32], vec[1:32])) + 1e-9)), list_transform(vec[33:64], lambda x: x / (sqrt(list_inner_product(vec[33:64], vec[33:64])) + 1e-9))) AS v FROM vectors))"))
+def fusion(t):
+    a, b = (t.vectors.withColumn("vec", F.slice("vec", s, 32)) for s in (1, 33))
+    return vc.fused(a, b).select("track_id", F.round(F.get("vec", F.lit(0)), 6).alias("x"))
+
+
+@query("pooled_frames", sql("vectors", "SELECT track_id, round(list_avg([vec[1], vec[5], vec[9], vec[13]]), 6) AS mean1, round(list_max([vec[1], vec[5], vec[9], vec[13]]), 6) AS max1, round(sqrt((vec[1]^2 + vec[5]^2 + vec[9]^2 + vec[13]^2) / 4), 6) AS rms1 FROM vectors"))
+def pooled(t):  # AR3
+    frames = F.array(*[F.slice("vec", 4 * i + 1, 4) for i in range(4)])
+    p = t.vectors.select("track_id", ar.pooled(frames, 4).alias("p"))
+    return p.select("track_id", *[F.round(F.get("p", F.lit(i)), 6).alias(n) for i, n in ((0, "mean1"), (4, "max1"), (8, "rms1"))])
+
+
+@query("band_similarity", sql("vectors", "SELECT b.track_id, " + ", ".join(f"round(list_inner_product(a.vec[{16 * i + 1}:{16 * i + 16}], b.vec[{16 * i + 1}:{16 * i + 16}]) / (sqrt(list_inner_product(a.vec[{16 * i + 1}:{16 * i + 16}], a.vec[{16 * i + 1}:{16 * i + 16}])) * sqrt(list_inner_product(b.vec[{16 * i + 1}:{16 * i + 16}], b.vec[{16 * i + 1}:{16 * i + 16}])) + 1e-9), 6) AS band{i}" for i in range(4)) + " FROM vectors a, vectors b WHERE a.track_id = 17"))
+def band_similarity(t):  # AR8, VC24
+    one = F.broadcast(t.vectors.where("track_id = 17").select(F.col("vec").alias("q")))
+    b = t.vectors.crossJoin(one).select("track_id", ar.bands(F.col("q"), F.col("vec"), 4, 16).alias("b"))
+    return b.select("track_id", *[F.round(F.get("b", F.lit(i)), 6).alias(f"band{i}") for i in range(4)])
+
+
+@query("pair_explain", sql("features", "SELECT b.track_id, round(b.bpm - a.bpm, 6) AS bpm, round(b.loudness_db - a.loudness_db, 6) AS loudness_db, round(b.brightness / nullif(a.brightness, 0), 6) AS brightness, round(b.energy - a.energy, 6) AS energy FROM features a, features b WHERE a.track_id = 42 AND b.track_id <> 42"))
+def explain(t):  # MT12, VC24
+    a = F.broadcast(t.features.where("track_id = 42").select(*[F.col(n).alias(f"a_{n}") for n in ("bpm", "loudness_db", "brightness", "energy")]))
+    diff = lambda n: F.round(F.col(n) - F.col(f"a_{n}"), 6).alias(n)
+    return t.features.where("track_id <> 42").crossJoin(a).select("track_id", diff("bpm"), diff("loudness_db"), F.round(F.col("brightness") / F.nullif("a_brightness", F.lit(0.0)), 6).alias("brightness"), diff("energy"))
+
+
+@query("artist_capped", sql("vectors", "SELECT query_id, track_id FROM (SELECT a AS query_id, b AS track_id, row_number() OVER (PARTITION BY a, artist ORDER BY s DESC, b) AS k FROM nn JOIN u ON u.track_id = b WHERE a IN (17, 42) AND rank <= 50) WHERE k <= 2", f"{_U}, {_S}, {_NN}"))
+def capped(t):
+    return rt.capped(_pool(t, 50), 2).select("query_id", "track_id")
+
+
+def _pool(t, k):
+    q = t.vectors.where("track_id IN (17, 42)").select(F.col("track_id").alias("query_id"), F.col("vec").alias("q"))
+    return rt.recall(t.vectors, q, k).withColumnRenamed("sim", "score").join(t.vectors, "track_id")
+
+
+@query("mmr_rerank")
+def mmr(t):
+    return rt.diversified(_pool(t, 200), 25)
+
+
+@query("similar_tracks")
+def similar(t):  # VC14: pool of 8 k by CSLS, the seed's artist left out
+    q = t.vectors.where("track_id IN (17, 42)").select(F.col("track_id").alias("query_id"), F.col("vec").alias("q"), F.col("artist").alias("seed_artist"))
+    pool = rt.recall(t.vectors, q.drop("seed_artist"), 96)
+    scored = rt.csls(pool.select("query_id", "track_id", "sim"), vc.radius(t.vectors)).join(F.broadcast(q.select("query_id", "seed_artist")), "query_id").join(t.vectors, "track_id")
+    return rt.diversified(scored, 12, 0.6, 2, library_mode=False, seed_artist=True)
+
+
+@query("explore_tail")
+def explore(t):
+    return rt.explored(_pool(t, 100).join(t.play_counts, "track_id", "left"), 25, 0.12)
+
+
+@query("popularity_leakage")
+def leakage(t):
+    before = vc.leakage(t.vectors, t.play_counts)
+    after = vc.leakage(vc.corrected(t.vectors, vc.popularity_direction(t.vectors, t.play_counts)), t.play_counts)
+    return t.spark.createDataFrame([(before, after)], "before double, after double")
+
+
+@query("top_components")
+def comps(t):
+    axes, share = vc.top_components(t.vectors, 3)
+    return t.spark.createDataFrame([(i, float(s), [float(x) for x in a]) for i, (a, s) in enumerate(zip(axes, share, strict=True))], "i int, share double, axis array<double>")
+
+
+@query("list_diversity", sql("vectors", "SELECT l AS list_id, round(1 - avg(s), 6) AS diversity FROM (SELECT a.album AS l, list_inner_product(a.v, b.v) AS s FROM u a JOIN u b ON a.album = b.album AND a.track_id < b.track_id) GROUP BY 1", _U))
+def diversity(t):
+    return vc.intra_list_diversity(t.vectors.select(F.col("album").alias("list_id"), "track_id"), t.vectors).select("list_id", R("diversity"))
+
+
+@query("sanity_lift", sql("vectors", "SELECT round(rate, 6) AS rate, round(chance, 6) AS chance, round(rate / chance, 6) AS lift FROM (SELECT avg((x.artist = y.artist)::INTEGER) AS rate FROM nn JOIN u x ON x.track_id = a JOIN u y ON y.track_id = b WHERE rank = 1), (SELECT sum(n * n) / sum(n) ^ 2 AS chance FROM (SELECT count(*) AS n FROM u GROUP BY artist))", f"{_U}, {_S}, {_NN}"))
+def sanity(t):
+    return vc.nearest_artist(t.vectors).select(R("rate"), R("chance"), R("lift"))
+
+
+_SP = "sp AS (SELECT event_id, a, track_id AS b FROM (SELECT *, lag(track_id) OVER w AS a, lag(played_at) OVER w AS before FROM plays_ev WINDOW w AS (ORDER BY played_at, event_id)) WHERE epoch(played_at)::BIGINT - epoch(before)::BIGINT <= 1800 AND a <> track_id)"
+
+
+@query("session_pairs", sql("plays_ev", "SELECT count(*) AS n, count(DISTINCT a) AS firsts FROM sp", _SP.replace("epoch(played_at)::BIGINT", "floor(epoch(played_at))").replace("epoch(before)::BIGINT", "floor(epoch(before))")))
+def pairs(t):
+    return ev.session_pairs(t.plays_ev).agg(F.count("*").alias("n"), F.countDistinct("a").alias("firsts"))
+
+
+@query("session_pairs_by_user", sql("plays_ev", "SELECT event_id, a, track_id AS b FROM (SELECT *, lag(track_id) OVER w AS a, lag(played_at) OVER w AS before FROM plays_ev WINDOW w AS (PARTITION BY user_id ORDER BY played_at, event_id)) WHERE floor(epoch(played_at)) - floor(epoch(before)) <= 1800 AND a <> track_id"))
+def user_pairs(t):
+    return ev.session_pairs(t.plays_ev, by=["user_id"])
+
+
+@query("next_item_metrics", sql("vectors plays_ev", "SELECT count(*) AS queries, round(avg((rank <= 10)::INTEGER), 6) AS hit_k, round(avg((rank IS NOT NULL)::INTEGER), 6) AS hit_deep, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM (SELECT p.event_id, min(CASE WHEN nn.rank <= 50 THEN nn.rank END) AS r, coalesce(min(CASE WHEN nn.rank <= 50 THEN nn.rank END), NULL) AS rank FROM pu p LEFT JOIN nn ON nn.a = p.a AND nn.b = p.b WHERE p.a IN (SELECT track_id FROM vectors) GROUP BY 1)".replace("avg((rank <= 10)::INTEGER)", "avg(coalesce((rank <= 10)::INTEGER, 0))"),
+ f"{_U}, {_S}, {_NN}, pu AS (SELECT event_id, a, track_id AS b FROM (SELECT *, lag(track_id) OVER w AS a, lag(played_at) OVER w AS before FROM plays_ev WINDOW w AS (PARTITION BY user_id ORDER BY played_at, event_id)) WHERE floor(epoch(played_at)) - floor(epoch(before)) <= 1800 AND a <> track_id)"))
+def next_item(t):
+    r = ev.next_item(ev.session_pairs(t.plays_ev, by=["user_id"]), t.vectors, t.plays_ev.groupBy("track_id").agg(F.count("*").alias("plays")))
+    return r.select("queries", R("hit_k"), R("hit_deep"), R("mrr"))
+
+
+@query("ablation")
+def ablate(t):
+    two = t.vectors.withColumn("vec", F.slice("vec", 33, 32))
+    return ev.ablation(ev.session_pairs(t.plays_ev, by=["user_id"]), {"whole": t.vectors, "half": two}, t.plays_ev.groupBy("track_id").agg(F.count("*").alias("plays")))
