@@ -75,7 +75,7 @@ def _normalise(title: str | None, artist: str | None) -> tuple:
     film = None
     if m := FILM.search(t):
         film = (m[1] or m[2] or "").strip() or None
-        t = (t[: m.start()] + " " + t[m.end() :]).strip()
+        t = re.sub(r"[(\[]\s*[)\]]", " ", t[: m.start()] + " " + t[m.end() :]).strip()
     t = re.sub(r"(?iu)[(\[][^)\]]*(?:" + tx.NOISE + r"|feat|ft)\b[^)\]]*[)\]]", " ", t)
     t = re.sub(r"(?iu)\b(?:feat|ft)\.?\s.*$", "", t)
     parts = [p.strip() for p in re.split(r"\s*[|]\s*", t) if p.strip()]

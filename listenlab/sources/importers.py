@@ -73,7 +73,7 @@ def daily_plays(rows: DataFrame, most: int = MOST_A_DAY) -> DataFrame:
     day = F.try_to_timestamp(F.col("Date Played").cast("string"), F.lit("yyyyMMdd"))
     at = F.instr("Track Description", " - ")
     rows = rows.select(
-        F.trim(F.substring("Track Description", at + 3, F.length("Track Description"))).alias("title"), F.when(at > 0, F.trim(F.substring_index("Track Description", " - ", 1))).alias("artist"), day.alias("day"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i")
+        F.when(at > 0, F.trim(F.substring("Track Description", at + 3, F.length("Track Description")))).otherwise(F.trim("Track Description")).alias("title"), F.when(at > 0, F.trim(F.substring_index("Track Description", " - ", 1))).alias("artist"), day.alias("day"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i")
     )
     return rows.where("day IS NOT NULL").select("title", "artist", (F.col("day") + F.make_dt_interval(F.lit(0), F.lit(12), F.lit(0), F.col("i").cast("decimal(18,6)"))).alias("played_at"))
 
