@@ -8,48 +8,58 @@ encoded as a whole.
 
 from __future__ import annotations
 
-import re
 from array import array
 from collections.abc import Callable
 
-#: A space before white space or the end: there the split depends on what comes after the space.
-UNEVEN = re.compile(r" (?=\s|\Z)")
 #: Longer chunks aren't kept.
 LONGEST = 64
 
 
+class _Uneven(Exception):
+    """A space before white space or the end: there the split depends on what comes after the space."""
+
+
 class _Cache(dict):
-    """Packed ids by chunk; forgets the oldest half when full."""
+    """Packed ids by text; forgets the older half when full."""
 
-    def __init__(self, of: Callable[[str], bytes], lead: str, size: int):
-        self.of, self.lead, self.size, self.old = of, lead, size, {}
+    def __init__(self, of: Callable[[str], bytes], size: int):
+        self.of, self.size, self.old = of, size, {}
 
-    def __missing__(self, chunk: str) -> bytes:
-        got = self.old.get(chunk)
+    def __missing__(self, text: str) -> bytes:
+        got = self.old.get(text)
         if got is None:
-            got = self.of(self.lead + chunk)
-            if len(chunk) > LONGEST:
+            got = self.of(text)
+            if len(text) > LONGEST:
                 return got
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
-        self[chunk] = got
+        self[text] = got
         return got
 
 
 class ChunkEncoder:
     """``encode(text)`` gives packed little-endian ids; ``split`` cuts a text into pieces, ``ids`` encodes one."""
 
-    def __init__(self, split: Callable[[str], list[str]], ids: Callable[[str], list[int]], size: int = 300_000):
+    def __init__(self, split: Callable[[str], list[str]], ids: Callable[[str], list[int]], size: int = 450_000):
         self.split = split
-        self.pieces = _Cache(lambda p: array("I", ids(p)).tobytes(), "", size // 2)
-        self.first, self.rest = _Cache(self._whole, "", size // 10), _Cache(self._whole, " ", size)
+        self.pieces = _Cache(lambda p: array("I", ids(p)).tobytes(), size // 3)
+        self.first, self.rest = _Cache(self._whole, size // 10), _Cache(self._after_space, size)
 
     def _whole(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
+    def _after_space(self, chunk: str) -> bytes:
+        if chunk.isalpha():  # a space and letters are one piece
+            return self.pieces[" " + chunk]
+        if not chunk or chunk[0].isspace():
+            raise _Uneven
+        return self._whole(" " + chunk)
+
     def encode(self, text: str) -> bytes:
-        if UNEVEN.search(text):
-            return self._whole(text)
         first, *rest = text.split(" ")
-        return (self.first[first] if first else b"") + b"".join(map(self.rest.__getitem__, rest))
+        try:
+            # uneven chunks are never kept, so each of them comes to _after_space
+            return (self.first[first] if first else b"") + b"".join(map(self.rest.__getitem__, rest))
+        except _Uneven:
+            return self._whole(text)
