@@ -196,7 +196,7 @@ def test_models(spark, library):
 
 
 def test_keys_of_chroma(spark):
-    scale = [5 if i in (0, 2, 4, 5, 7, 9, 11) else 0.05 for i in range(12)]
+    scale = [5.0 if i in (0, 2, 4, 5, 7, 9, 11) else 0.05 for i in range(12)]
     scale[0] += 3
     rows = [(t, scale[-t:] + scale[:-t] if t else scale) for t in range(12)]
     got = spark.createDataFrame(rows, "t int, c array<double>").select("t", audio.key(F.col("c")).alias("k"), audio.key_confidence(F.col("c")).alias("conf")).collect()
