@@ -9,8 +9,9 @@ many sets share by chance. A few segments more than needed are made, so that a s
 empty segments and those that very many sets share; only sets that would have to leave out too many
 stay in such a bucket.
 
-Buckets tie nodes into groups, by star edges, never by pairs. Groups are then verified exactly on
-their whole sets, large ones in pairs of slices.
+Buckets tie nodes into groups. Within a bucket, only nodes are tied whose counts of shingles by hash
+class leave room for a link; such counts never rule out a true one. Groups are then verified exactly
+on their whole sets, large ones in pairs of slices.
 """
 
 from __future__ import annotations
@@ -33,9 +34,9 @@ HOT = 64
 #: Nodes of a group that are verified in one step; larger groups are cut into slices of about that many.
 SLICE = 128
 #: Price of a segment with at most one shingle, in rows.
-TINY = 10
+TINY = 3
 #: Rows up to which a table of candidates is broadcast; beyond, an ordinary join.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -155,10 +156,10 @@ def signatures(nodes: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, percent
     return np.concatenate(sig).view(np.int64), nodes[doc[o]], 8 * slack[o] + 2 * w + lower[o]
 
 
-def sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, n, node, tokens); node is a hash of the whole set, null if it is empty."""
-    t = docs.select("doc_id", shingle_hashes(F.col("text"), rule.shingle).alias("tokens"))
-    return t.select("doc_id", F.size("tokens").cast("long").alias("n"), _node(F.col("tokens")).alias("node"), "tokens")
+def sets(docs: DataFrame, rule: Rule, *keep: str) -> DataFrame:
+    """(doc_id, n, node, tokens) and the columns to keep; node is a hash of the whole set, null if it is empty."""
+    t = docs.select("doc_id", *keep, shingle_hashes(F.col("text"), rule.shingle).alias("tokens"))
+    return t.select("doc_id", *keep, F.size("tokens").cast("long").alias("n"), _node(F.col("tokens")).alias("node"), "tokens")
 
 
 def _node(tokens: Column) -> Column:
@@ -166,34 +167,122 @@ def _node(tokens: Column) -> Column:
     return F.when(F.size(tokens) > 0, F.xxhash64(both, F.size(tokens)))
 
 
+def _width(n: np.ndarray) -> np.ndarray:
+    """Hash classes that a set of n shingles is counted by: a power of two from n / 8 on, 8 at least."""
+    return 1 << np.ceil(np.log2(np.maximum(n / 8, 8))).astype(np.int64)
+
+
+def class_counts(sizes: np.ndarray, tokens: np.ndarray) -> list[bytes]:
+    """For each set, how many of its shingles fall into each hash class, one byte a class, 255 at most."""
+    width = _width(sizes)
+    first = np.cumsum(width) - width
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    h = _mix(tokens.view(np.uint64) ^ np.uint64(0xD6E8FEB86659FD93)).astype(np.int64) & (width[owner] - 1)
+    counts = np.minimum(np.bincount(first[owner] + h, minlength=int(width.sum())), 255).astype(np.uint8)
+    data = counts.tobytes()
+    return [data[s : s + w] for s, w in zip(first.tolist(), width.tolist(), strict=True)]
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """At least so many shingles are in one set only. Counts of the longer list are folded to the shorter one's classes."""
+    x, y = np.frombuffer(a, np.uint8).astype(np.int32), np.frombuffer(b, np.uint8).astype(np.int32)
+    w = min(len(x), len(y))
+    if len(x) != len(y) and max(x.max(), y.max()) == 255:
+        return 0  # a folded count would be too low
+    return int(np.abs(x.reshape(-1, w).sum(0) - y.reshape(-1, w).sum(0)).sum())
+
+
+def _members(docs: DataFrame, rule: Rule) -> DataFrame:
+    """(doc_id, n, node, th, counts) of every document; th: a hash of its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(4)
+            sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(class_counts(sizes, lists.flatten().to_numpy()), pa.binary())], ["doc_id", "n", "node", "th", "counts"])
+
+    small_arrow_batches(docs.sparkSession, 256)
+    t = sets(docs.withColumn("th", F.xxhash64("text")), rule, "th").select(F.col("doc_id").cast("long").alias("doc_id"), "n", "node", "th", "tokens")
+    return t.mapInArrow(run, "doc_id long, n long, node long, th long, counts binary")
+
+
 def _buckets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(sig, node, tag, size, center): rows of the buckets that more than one node share."""
+    """(sig, node, tag, size, center): rows of the buckets that more than one node share, bucket by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            nodes, lists = b.column(0).to_numpy(), b.column(1)
-            fresh = [x not in seen and not seen.add(x) for x in nodes.tolist()]  # copies in the same task are sent once
-            index = np.flatnonzero(fresh)
+            lists = b.column(1)
+            sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            nodes = b.column(0).fill_null(0).to_numpy()
+            # copies in the same task are sent once; empty sets not at all
+            index = np.flatnonzero([n > 0 and x not in seen and not seen.add(x) for x, n in zip(nodes.tolist(), sizes.tolist(), strict=True)])
             if not len(index):
                 continue
             lists = lists.take(pa.array(index))
-            sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-            sig, node, tag = signatures(nodes[index], sizes, lists.flatten().to_numpy(), rule.percent)
+            sig, node, tag = signatures(nodes[index], sizes[index], lists.flatten().to_numpy(), rule.percent)
             for s in range(0, len(sig), 200_000):
                 e = s + 200_000
                 yield pa.RecordBatch.from_arrays([pa.array(sig[s:e]), pa.array(node[s:e]), pa.array(tag[s:e])], ["sig", "node", "tag"])
 
     small_arrow_batches(docs.sparkSession, 256)
-    rows = sets(docs, rule).where("node IS NOT NULL").select("node", "tokens").mapInArrow(run, "sig long, node long, tag long")
+    rows = sets(docs, rule).select("node", "tokens").mapInArrow(run, "sig long, node long, tag long")
     by = Window.partitionBy("sig")
     once = rows.withColumn("before", F.lag("node").over(by.orderBy("node"))).where("before IS NULL OR before <> node").drop("before")
     return once.withColumns({"size": F.count("*").over(by), "center": F.min("node").over(by)}).where("size > 1")
 
 
-def _candidates(buckets: DataFrame) -> DataFrame:
-    """Edges (a, b) that tie together the nodes of each bucket that need it."""
-    cool = buckets.where(F.col("size") <= HOT).select(F.col("center").alias("a"), F.col("node").alias("b"))
+def _tied(cool: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """Edges (a, b) within buckets of at most HOT nodes, between nodes whose counts leave room for a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[tuple[int, int]] = set()  # pairs seen lately, so that what two sets share is mostly told once
+        rest: list[tuple] = []
+        for b in batches:
+            rows = rest + list(zip(*(c.to_pylist() for c in b.columns), strict=True))
+            cut = len(rows)
+            while cut and rows[cut - 1][0] == rows[-1][0]:
+                cut -= 1
+            rest, out = rows[cut:], []
+            _ties(rows[:cut], rule, known, out)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+        out = []
+        _ties(rest, rule, known, out)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+    spark = cool.sparkSession
+    small_arrow_batches(spark, 20_000)
+    side = nodes.select(F.col("node").alias("of"), "n", "counts")
+    j = cool.select("sig", "node").join(_hint(side), F.col("node") == F.col("of")).select("sig", "node", "n", "counts")
+    return j.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "a long, b long")
+
+
+def _ties(rows: list[tuple], rule: Rule, known: set, out: list) -> None:
+    """Of rows (sig, node, n, counts), bucket by bucket, the pairs that may link and weren't met before."""
+    start = 0
+    while start < len(rows):
+        end = start + 1
+        while end < len(rows) and rows[end][0] == rows[start][0]:
+            end += 1
+        group = rows[start:end]
+        start = end
+        for i, (_, x, n, c) in enumerate(group):
+            for _, y, k, d in group[:i]:
+                pair = (x, y) if x < y else (y, x)
+                if pair in known:
+                    continue
+                if len(known) > 1_000_000:
+                    known.clear()
+                known.add(pair)
+                if 100 * min(n, k) >= rule.percent * max(n, k) and _apart(c, d) * (100 + rule.percent) <= (n + k) * (100 - rule.percent):
+                    out.append(pair)
+
+
+def _candidates(buckets: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """Edges (a, b) that tie together the nodes of each bucket that need it; in hot buckets by stars, never by pairs."""
+    cool = _tied(buckets.where(F.col("size") <= HOT), nodes, rule)
     hot = buckets.where(F.col("size") > HOT)
     lower, weight, slack = F.pmod("tag", F.lit(2)), F.floor(F.pmod("tag", F.lit(8)) / 2), F.floor(F.col("tag") / 8)
     # sets that can't leave all their hot buckets
@@ -270,18 +359,21 @@ def joined(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    members = written(sets(docs, rule).select("doc_id", "n", "node"), "members")
-    nodes = written(members.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "nodes")
-    edges = written(_candidates(written(_buckets(docs, rule), "buckets")), "candidates")
+    members = written(_members(docs, rule), "members")
+    pick = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("pick")
+    nodes = members.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("counts").alias("counts"), pick)
+    nodes = written(nodes.select("node", "rep", "copies", "n", "counts", "pick.th"), "nodes")
+    edges = written(_candidates(written(_buckets(docs, rule), "buckets"), nodes, rule), "candidates")
     blobs = components(edges)
     roots = edges.select(F.col("a").alias("node")).join(blobs, "node", "left_anti").distinct().withColumn("root", F.col("node"))
     blobs = written(blobs.unionByName(roots).select("node", F.col("root").alias("blob")), "blobs")
     large = written(blobs.groupBy("blob").count().where(F.col("count") > SLICE).select(F.col("blob").alias("large"), F.ceil(F.col("count") / SLICE).cast("int").alias("slices")), "large")
     packs = max(1, blobs.count() // (2 * SLICE))
-    place = blobs.join(_hint(large), F.col("blob") == F.col("large"), "left").join(nodes, "node").drop("large", "copies")
+    place = blobs.join(_hint(large), F.col("blob") == F.col("large"), "left").join(nodes.select("node", "rep", "th"), "node").drop("large")
     place = written(place, "place")
-    chosen = docs.withColumnRenamed("doc_id", "id").join(_hint(place), F.col("id").eqNullSafe(F.col("rep")))
-    full = chosen.select("node", "blob", "slices", shingle_hashes(F.col("text"), rule.shingle).alias("tokens")).where(_node(F.col("tokens")) == F.col("node"))
+    # of each node's documents one, whose whole text gives the set again
+    chosen = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(_hint(place), F.col("id").eqNullSafe(F.col("rep")) & F.xxhash64("text").eqNullSafe(F.col("th")))
+    full = chosen.select("node", "blob", "slices", shingle_hashes(F.col("text"), rule.shingle).alias("tokens"))
     mine = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
     dealt = full.withColumn("slice", F.when(F.col("slices").isNull(), 0).otherwise(mine)).withColumn(
         "other", F.explode(F.when(F.col("slices").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("slices") - 1)))
