@@ -41,7 +41,7 @@ class _Cache(dict):
 class ChunkEncoder:
     """``encode(text)`` gives packed little-endian ids; ``split`` cuts a text into pieces, ``ids`` encodes one."""
 
-    def __init__(self, split: Callable[[str], list[str]], ids: Callable[[str], list[int]], size: int = 450_000):
+    def __init__(self, split: Callable[[str], list[str]], ids: Callable[[str], list[int]], size: int = 250_000):
         self.split = split
         self.pieces = _Cache(lambda p: array("I", ids(p)).tobytes(), size // 3)
         self.first, self.rest = _Cache(self._whole, size // 10), _Cache(self._after_space, size)

@@ -273,7 +273,7 @@ def _ties(rows: list[tuple], rule: Rule, known: set, out: list) -> None:
                 pair = (x, y) if x < y else (y, x)
                 if pair in known:
                     continue
-                if len(known) > 1_000_000:
+                if len(known) > 50_000:
                     known.clear()
                 known.add(pair)
                 if 100 * min(n, k) >= rule.percent * max(n, k) and _apart(c, d) * (100 + rule.percent) <= (n + k) * (100 - rule.percent):
