@@ -135,6 +135,19 @@ def test_copies_of_one_article_stay(spark):
     assert {r.text for r in got} == {"\n".join(f"The same paragraph number {i}." for i in range(6))}
 
 
+def _texts(spark, rows):
+    return {r.page_id: r.text for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_template_text_of_every_host_and_layout(spark):
+    # few pages; a notice on most pages; a rare layout on a host with many pages of another
+    few = [(i, "http://few.example/", f"<body><div><a>Start</a></div><p>Read more at home</p><p>own text of page {'x' * i} is long enough</p></body>") for i in (1, 2)]
+    most = [(i, "http://most.example/", f"<body><p>{'Shop closes early' if i < 19 else 'open'}</p><div id='post-{i}'><p>text {'y' * i} of a page</p></div></body>") for i in range(10, 22)]
+    rare = [(i, "http://most.example/", f"<body><section><h2>Archive of old</h2><pre>old number {'z' * i} and so on</pre></section></body>") for i in (31, 32, 33)]
+    got = _texts(spark, few + most + rare)
+    assert got == {i: f"own text of page {'x' * i} is long enough" for i in (1, 2)} | {i: f"{'' if i < 19 else 'open' + chr(10)}text {'y' * i} of a page" for i in range(10, 22)} | {i: f"old number {'z' * i} and so on" for i in (31, 32, 33)}
+
+
 def test_tree_matching():
     a, b = html.parse("<div><p>x</p><ul><li>1<li>2</ul></div>"), html.parse("<div><h1>t</h1><p>y</p><ul><li>1<li>2<li>3</ul></div>")
     assert html.match(a, b, {}) == 6
