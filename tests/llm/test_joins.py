@@ -148,6 +148,15 @@ def test_template_text_of_every_host_and_layout(spark):
     assert got == {i: f"own text of page {'x' * i} is long enough" for i in (1, 2)} | {i: f"{'' if i < 19 else 'open' + chr(10)}text {'y' * i} of a page" for i in range(10, 22)} | {i: f"old number {'z' * i} and so on" for i in (31, 32, 33)}
 
 
+def test_short_parts_and_slots_stay():
+    page = "<body><main><h1>Title {n}</h1><div><div>" + "long body {n} " * 60 + "</div><div>Short {n}</div></div></main></body>"
+    body = " ".join(["long body 1"] * 60)
+    assert html.extract(page.replace("{n}", "1"), None) == f"Title 1\n{body}\nShort 1"
+    by = [f"<body><article><p>By <b>writer {'w' * i}</b></p><p>{'text ' * i} of it, and more of the same</p></article></body>" for i in range(1, 7)]
+    known = ",".join({str(html._key(path, own)) for n, path, own, _ in html._texts(html.parse(by[0])) if own == "By"})
+    assert html.extract(by[2], known) == "writer www\ntext text text of it, and more of the same"
+
+
 def test_tree_matching():
     a, b = html.parse("<div><p>x</p><ul><li>1<li>2</ul></div>"), html.parse("<div><h1>t</h1><p>y</p><ul><li>1<li>2<li>3</ul></div>")
     assert html.match(a, b, {}) == 6
