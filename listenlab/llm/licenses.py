@@ -1,7 +1,7 @@
 """Licence scans by sentence-rule recognition.
 
-Lines are split into sentences; each is normalised and looked up in a table of known licence
-sentences. The identifiers found, in order of the text, are matched against ordered rules: the
+Texts are normalised, the ends of sentences marked, and the sentences looked up in a table of known
+licence sentences; a sentence can go on over line ends. The identifiers found, in order of the text, are matched against ordered rules: the
 longest rule that matches at a place wins there and its identifiers are used up.
 """
 
@@ -66,25 +66,39 @@ RULES = (
     (("AllRights",), "LicenseRef-proprietary"),
 )
 
-#: A sentence ends at a line's end, or at . ! ? or ; before white space.
-END = r"\n+|(?<=[.!?;:])[ \t\r]+"
-
+#: Further known sentences, as they stand in full licence texts.
+LONGER = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "MITgrant",
+}
 
-def sentences(text: Column) -> Column:
-    """Normal forms of a text's sentences, in order; a null text has none."""
-    parts = F.split(F.coalesce(text, F.lit("")), END)
-    return F.transform(parts, normal)
+#: Where sentences end ("|"), and where they can end or go on ("~"): at a line's end or at ; or :. Comment marks and indents are white space.
+#: Runs are read from their start only, so the time is linear in a text's length.
+BREAKS = (
+    (r"(?<=[a-z0-9])([^a-z0-9\n]*+)\n[^a-z0-9]*+(?=http)", "$1~"),
+    (r"\n[^a-z0-9\n]*+\n[^a-z0-9]*+|(?<=[.!?])[ \t\r]++\n?|(?<=[.!?])\n", "|"),
+    (r"\n|(?<=[;:])[ \t\r]++", "~"),
+    (r"[^a-z0-9|~]++", " "),
+    (r"\|[ ~|]*+", "|"),
+    (r"(?<![ ~])[ ~]++\|", "|"),
+    (r" ?~[ ~]*+", "~"),
+)
 
 
-def normal(s: Column) -> Column:
-    """Lower case; runs of all but ASCII letters and digits become one space."""
-    return F.btrim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
+def marked(text: Column) -> Column:
+    """A text in lower case, runs of all but ASCII letters and digits as one space or one mark of BREAKS."""
+    out = F.translate(F.lower(F.coalesce(text, F.lit(""))), "|~", "__")
+    for pattern, to in BREAKS:
+        out = F.regexp_replace(out, pattern, to)
+    return F.btrim(out)
 
 
 def identifiers(text: Column) -> Column:
-    """Identifiers of the known sentences in a text, in order, with repeats."""
-    table = F.create_map(*[F.lit(x) for kv in SENTENCES.items() for x in kv])
-    return F.filter(F.transform(sentences(text), lambda s: F.try_element_at(table, s)), lambda x: x.isNotNull())
+    """Identifiers of the known sentences in a text, in order, with repeats; of those that start at one place the longest counts."""
+    known = SENTENCES | LONGER
+    table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+    any_ = "|".join(s.replace(" ", "[ ~]") for s in sorted(known, key=len, reverse=True))
+    found = F.regexp_extract_all(marked(text), F.lit(f"(?<![^|~])(?:{any_})(?![^|~])"), F.lit(0))
+    return F.transform(found, lambda s: F.element_at(table, F.translate(s, "~", " ")))
 
 
 def recognise(ids: Column) -> Column:

@@ -103,3 +103,74 @@ def test_licences(docs, none, spark):
     full = "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction. The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
     one = licenses.scan(spark.createDataFrame([(1, full)], "doc_id long, text string")).first()
     assert one.sentence_ids == "MITtitle,MITgrant,MITnotice" and one.licenses == "MIT"
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+BSD = """Copyright (c) 2020, Some One
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+
+
+def test_wrapped_licences(spark):
+    want = {
+        MIT: ("MITtitle,MITgrant,MITnotice", "MIT"), GPL: ("GPL3plus,GPLwarranty,GPLsee", "GPL-3.0-or-later"),
+        BSD: ("AllRights,BSDgrant,BSDsource,BSDbinary,BSDendorse", "BSD-3-Clause,LicenseRef-proprietary"),
+        APACHE: ("Apache2ref,Apache2use,Apache2copy,Apache2warranty,Apache2see", "Apache-2.0"),
+    }
+    marks = ("", " * ", "# ", "// ")
+    rows = [(i, "x = 1\n\n" + "".join(f"{m}{line}".rstrip() + end for line in text.splitlines())) for i, (text, m, end) in enumerate((t, m, e) for t in want for m in marks for e in ("\n", "\r\n"))]
+    got = {r.doc_id: (r.sentence_ids, r.licenses) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in rows] == [w for w in want.values() for _ in range(8)]
+    # a line end need not be passed over, a blank line or a full stop is never
+    some = [(1, "some words\nMIT License\nmore words"), (2, "released under the\n\nMIT License"), (3, "licensed under the. MIT License"), (4, "known as the MIT License")]
+    got = {r.doc_id: r.sentence_ids for r in licenses.scan(spark.createDataFrame(some, "doc_id long, text string")).collect()}
+    assert got == {1: "MITtitle", 2: "MITtitle", 3: "MITtitle", 4: ""}
