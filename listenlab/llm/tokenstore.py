@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -40,8 +41,8 @@ def _byte_letters() -> dict[int, int]:
 
 
 @cache
-def _encoder(path: str, pattern: str) -> ChunkEncoder:
-    """Pieces are split here, once each, and encoded by the library's model."""
+def _encoder(path: str, pattern: str) -> Callable[[str], bytes]:
+    """Packed ids of a text. Pieces are split here, once each, and encoded by the library's model; texts with added tokens by the library as a whole."""
     import regex
     from tokenizers import Tokenizer
 
@@ -49,14 +50,22 @@ def _encoder(path: str, pattern: str) -> ChunkEncoder:
     run, letters = t.model.tokenize, _byte_letters()
     # the model is the tokenizer's own; t keeps it alive
     ids = lambda p, t=t: [x.id for x in run(p.encode().decode("latin-1").translate(letters))]
-    return ChunkEncoder(regex.compile(pattern).findall, ids)
+    chunks = ChunkEncoder(regex.compile(pattern).findall, ids).encode
+    added = [x.content for x in t.get_added_tokens_decoder().values()]
+
+    def encode(text: str) -> bytes:
+        if any(x in text for x in added):
+            return array("I", t.encode(text, add_special_tokens=False).ids).tobytes()
+        return chunks(text)
+
+    return encode
 
 
 def tokenized(docs: DataFrame, path: str, pattern: str, end: int = END) -> DataFrame:
     """Blocks of ids, by range of doc_id, each range's blocks in order; its counts in a row with seq -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path, pattern).encode
+        encode = _encoder(path, pattern)
         part, schema = TaskContext.get().partitionId(), _schema(IDS)
         counts, total, seq, stop = np.zeros(0, np.int64), 0, 0, np.array([end], "<u4").tobytes()
         docs_, lens, held, n = [], [], [], 0

@@ -74,6 +74,15 @@ def test_token_files(spark, docs, none, tmp_path):
     assert tokenstore.read(spark, str(tmp_path / "b")).count() == 0
 
 
+def test_added_tokens(spark, tmp_path):
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", "<|endoftext|>", " x  <|endoftext|> y <|endoftext|><|endoftext|>\n", "<|endoftext |>", "no end"]
+    tokenstore.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), P.path("byte_bpe_50k.json"), P.PATTERN, str(tmp_path / "a"))
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in tokenstore.read(spark, str(tmp_path / "a")).collect()}
+    assert got == {i: [*t.encode(x, add_special_tokens=False).ids, 2] for i, x in enumerate(texts)}
+    assert got[0] == [64, 50256, 65, 2]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 1 << 40), min_size=1, max_size=60), st.integers(6, 12))
 def test_code_lengths(counts, most):
