@@ -32,8 +32,8 @@ def _packed(vectors: DataFrame) -> DataFrame:
     return dealt.groupBy("block").applyInArrow(run, "block int, ids binary, data binary")
 
 
-def neighbours(vectors: DataFrame, k: int, cosine: bool = True) -> DataFrame:
-    """JN13, VC3: (a, b, s) the k most similar (or nearest) other rows of every row, ties to the smaller id.
+def neighbours(vectors: DataFrame, k: int, cosine: bool = True, of: DataFrame | None = None) -> DataFrame:
+    """JN13, VC3: (a, b, s) the k most similar (or nearest) other rows of every row, or of the rows ``of``, ties to the smaller id.
 
     Every block meets every other as one row each, so nothing of quadratic size is made; each pair of
     blocks returns k rows for each of its first block's rows.
@@ -57,7 +57,7 @@ def neighbours(vectors: DataFrame, k: int, cosine: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, top.shape[1])[ok.ravel()]), pa.array(b[top][ok]), pa.array(value[ok])], ["a", "b", "s"])
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
-    left = packed.select(F.col("ids").alias("a_ids"), F.col("data").alias("a_data"))
+    left = (packed if of is None else _packed(of).persist()).select(F.col("ids").alias("a_ids"), F.col("data").alias("a_data"))
     right = packed.select(F.col("ids").alias("b_ids"), F.col("data").alias("b_data"))
     found = left.join(right, F.lit(True)).mapInArrow(run, "a long, b long, s double")
     w = Window.partitionBy("a").orderBy(F.col("s").desc(), "b")

@@ -247,3 +247,27 @@ def test_entry_without_the_optional_package():
 
     code = "import sys; sys.modules['listenlab.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'top_tracks' in q and not any(n.startswith('op') and n[2].isdigit() for n in q); print(len(q))"
     assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=__file__.rsplit("/", 2)[0]).stdout) > 100
+
+
+def test_every_query_is_searched(spark, tmp_path):
+    from listenlab.plans import catalogue
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(260, 64))
+    rows = [(i, [float(v) for v in x[i]], i % 9) for i in range(260)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([(1, "2020-01-01", "N")], "l_partkey long, l_shipdate string, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    u = np.float32(x).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    for name, size in (("mmr_rerank", 18), ("similar_tracks", 12), ("explore_tail", 25)):
+        got = catalogue.QUERIES[name](spark, str(tmp_path)).toPandas().groupby("query_id")["track_id"].agg(set)
+        assert sorted(got.index) == [0, 50, 100, 150, 200, 250]
+        for q, ids in got.items():
+            order = [i for i in np.argsort(-(u @ u[q]), kind="stable").tolist() if i != q]
+            assert len(ids) == size and ids <= set(order[:200 if name == "mmr_rerank" else 96 if name == "similar_tracks" else 100])
+            if name == "mmr_rerank":
+                assert order[0] in ids
+            elif name == "explore_tail":
+                assert set(order[:22]) <= ids
+            else:
+                assert all(i % 9 != q % 9 for i in ids)
