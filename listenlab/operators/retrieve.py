@@ -54,11 +54,11 @@ def passing(rows: DataFrame, c: Constraints, heard: DataFrame | None = None) ->
     return out if heard is None else out.join(heard.select("track_id"), "track_id", "left_anti")
 
 
-def recall(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """JN19, VC3: the k most similar rows of each of a few queries (query_id, q); the query itself excluded."""
+def recall(vectors: DataFrame, queries: DataFrame, k: int | None) -> DataFrame:
+    """JN19, VC3: the k most similar rows of each of a few queries (query_id, q), or all, without a rank; the query itself excluded."""
     w = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "track_id")
     sims = vectors.join(F.broadcast(queries)).where(F.col("track_id") != F.col("query_id")).select("query_id", "track_id", cosine(F.col("vec"), F.col("q")).alias("sim"))
-    return sims.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return sims if k is None else sims.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def blended(spaces: list[tuple[DataFrame, DataFrame, float]], k: int) -> DataFrame:

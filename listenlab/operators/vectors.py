@@ -64,6 +64,26 @@ def neighbours(vectors: DataFrame, k: int, cosine: bool = True, of: DataFrame |
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def mean_distances(vectors: DataFrame) -> DataFrame:
+    """VC6: (a, m) the mean distance of every row to all others; each pair of blocks returns one sum for each of its first block's rows."""
+    packed = _packed(vectors).persist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                a, b = np.frombuffer(r["a_ids"], np.int64), np.frombuffer(r["b_ids"], np.int64)
+                x, y = np.frombuffer(r["a_data"]).reshape(len(a), -1), np.frombuffer(r["b_data"]).reshape(len(b), -1)
+                d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
+                other = a[:, None] != b[None]
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array((d * other).sum(1)), pa.array(other.sum(1), pa.int64())], ["a", "d", "n"])
+
+    vectors.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    left = packed.select(F.col("ids").alias("a_ids"), F.col("data").alias("a_data"))
+    right = packed.select(F.col("ids").alias("b_ids"), F.col("data").alias("b_data"))
+    sums = left.join(right, F.lit(True)).mapInArrow(run, "a long, d double, n long").groupBy("a").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+    return sums.where("n > 0").select("a", (F.col("d") / F.col("n")).alias("m"))
+
+
 def knn_graph(vectors: DataFrame, k: int = 2) -> DataFrame:
     """VC6: edges a < b of the k-nearest graph with their distance."""
     e = neighbours(vectors, k, cosine=False)

@@ -43,8 +43,7 @@ def knn(t):
 
 @query("medoid_outlier", sql("vectors", "SELECT min_by(a, m) AS medoid, max_by(a, m) AS outlier FROM (SELECT a, avg(d) AS m FROM dd GROUP BY 1)", _ED))
 def medoid(t):  # VC6: mean distances by row, from blocks
-    every = vc.neighbours(t.vectors, 1 << 20, cosine=False).groupBy("a").agg(F.avg(-F.col("s")).alias("m"))
-    return every.agg(F.min_by("a", "m").alias("medoid"), F.max_by("a", "m").alias("outlier"))
+    return vc.mean_distances(t.vectors).agg(F.min_by("a", "m").alias("medoid"), F.max_by("a", "m").alias("outlier"))
 
 
 @query("siblings", sql("features", "SELECT b AS track_id, round(1 - d / m, 6) AS sim FROM (SELECT b, d, max(d) OVER () AS m FROM (SELECT b.track_id AS b, sqrt(" + " + ".join(f"(({'a'}.{n} - b.{n}) / ((SELECT stddev_pop({n}) FROM f) + 1e-6)) ^ 2" for n in UNIT) + ") AS d FROM f a, f b WHERE a.track_id = 42 AND b.track_id <> 42)) ORDER BY d, track_id LIMIT 5", "f AS (SELECT * FROM features WHERE error IS NULL)"))
@@ -67,7 +66,7 @@ def csls(t):
     from pyspark.sql import Window
 
     q = t.vectors.where("track_id IN (17, 42)").select(F.col("track_id").alias("query_id"), F.col("vec").alias("q"))
-    sims = rt.recall(t.vectors, q, 1 << 20).select("query_id", "track_id", "sim")
+    sims = rt.recall(t.vectors, q, None).select("query_id", "track_id", "sim")
     s = rt.csls(sims, vc.radius(t.vectors))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "track_id")
     return s.withColumn("k", F.row_number().over(w)).where("k <= 10").select("query_id", "track_id", R("score"))

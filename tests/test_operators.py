@@ -271,3 +271,15 @@ def test_every_query_is_searched(spark, tmp_path):
                 assert set(order[:22]) <= ids
             else:
                 assert all(i % 9 != q % 9 for i in ids)
+
+
+def test_all_rows_count_without_a_rank(spark, monkeypatch):
+    monkeypatch.setattr(vc, "BLOCK", 16)
+    x = np.random.default_rng(6).normal(size=(50, 4))
+    v = spark.createDataFrame([(i, x[i].tolist()) for i in range(50)], "track_id long, vec array<double>")
+    got = {r.a: r.m for r in vc.mean_distances(v).collect()}
+    d = np.linalg.norm(x[:, None] - x[None], axis=2).sum(1) / 49
+    assert [got[i] for i in range(50)] == pytest.approx(d.tolist())
+    q = v.where("track_id = 3").select(F.col("track_id").alias("query_id"), F.col("vec").alias("q"))
+    every = retrieve.recall(v, q, None)
+    assert every.count() == 49 and "rank" not in every.columns
