@@ -10,8 +10,9 @@ empty segments and those that very many sets share; only sets that would have to
 stay in such a bucket.
 
 Buckets tie nodes into groups. Within a bucket, only nodes are tied whose counts of shingles by hash
-class leave room for a link; such counts never rule out a true one. Groups are then verified exactly
-on their whole sets, large ones in pairs of slices.
+class leave room for a link; such counts never rule out a true one. A bucket gives a spanning forest
+of its ties, fewer rows than it has nodes. Groups are then verified exactly on their whole sets, large
+ones in pairs of slices of the same or neighbouring size bands.
 """
 
 from __future__ import annotations
@@ -31,12 +32,16 @@ from .components import components
 
 #: Nodes in a bucket above which sets that can do without it leave it.
 HOT = 64
-#: Nodes of a group that are verified in one step; larger groups are cut into slices of about that many.
-SLICE = 128
+#: Nodes and shingles of a group that are verified in one step; larger groups are cut into slices of about that many.
+SLICE, SLICE_TOKENS = 512, 150_000
 #: Price of a segment with at most one shingle, in rows.
 TINY = 3
-#: Rows up to which a table of candidates is broadcast; beyond, an ordinary join.
-BROADCAST_ROWS = 500_000
+#: Bytes up to which a table of candidates is broadcast; beyond, an ordinary join.
+BROADCAST_BYTES = 32 << 20
+#: Sets that a task remembers so as to send copies once; rows of a sketch cell from which its buckets count as possibly very common.
+SEEN, COMMON = 500_000, 20_000
+#: Cells of the sketch that finds very common buckets.
+CELLS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -207,7 +212,7 @@ def _members(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _buckets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(sig, node, tag, size, center): rows of the buckets that more than one node share, bucket by bucket."""
+    """(sig, node, tag, size): rows of the buckets that more than one node share, bucket by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -215,7 +220,9 @@ def _buckets(docs: DataFrame, rule: Rule) -> DataFrame:
             lists = b.column(1)
             sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
             nodes = b.column(0).fill_null(0).to_numpy()
-            # copies in the same task are sent once; empty sets not at all
+            # copies that a task met lately are sent once; empty sets not at all
+            if len(seen) > SEEN:
+                seen.clear()
             index = np.flatnonzero([n > 0 and x not in seen and not seen.add(x) for x, n in zip(nodes.tolist(), sizes.tolist(), strict=True)])
             if not len(index):
                 continue
@@ -226,31 +233,48 @@ def _buckets(docs: DataFrame, rule: Rule) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(sig[s:e]), pa.array(node[s:e]), pa.array(tag[s:e])], ["sig", "node", "tag"])
 
     small_arrow_batches(docs.sparkSession, 256)
-    rows = sets(docs, rule).select("node", "tokens").mapInArrow(run, "sig long, node long, tag long")
+    rows = written(sets(docs, rule).select("node", "tokens").mapInArrow(run, "sig long, node long, tag long"), "signatures")
+    # a bucket of very many rows is never sorted in one task: cells of a sketch tell which buckets can be that large
+    cell = F.pmod("sig", F.lit(CELLS)).cast("int")
+    sketch = rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("rows"))
+    full = [r["cell"] for r in sketch.where(F.col("rows") > F.greatest(F.lit(COMMON), F.lit(8 * rows.count() // CELLS))).select("cell").collect()]
     by = Window.partitionBy("sig")
-    once = rows.withColumn("before", F.lag("node").over(by.orderBy("node"))).where("before IS NULL OR before <> node").drop("before")
-    return once.withColumns({"size": F.count("*").over(by), "center": F.min("node").over(by)}).where("size > 1")
+
+    def shared(some: DataFrame) -> DataFrame:
+        once = some.withColumn("before", F.lag("node").over(by.orderBy("node"))).where("before IS NULL OR before <> node").drop("before")
+        return once.withColumn("size", F.count("*").over(by)).where("size > 1")
+
+    if not full:
+        return shared(rows)
+    marks = docs.sparkSession.createDataFrame([(c,) for c in full], "full int")
+    common = rows.join(F.broadcast(marks), cell == F.col("full"), "left_semi").groupBy("sig", "node").agg(F.min("tag").alias("tag"))
+    sizes = written(common.groupBy(F.col("sig").alias("of")).agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    hot = common.join(_hint(sizes), F.col("sig") == F.col("of")).select("sig", "node", "tag", "size")
+    return shared(rows.join(F.broadcast(marks), cell == F.col("full"), "left_anti")).unionByName(hot)
 
 
 def _tied(cool: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
-    """Edges (a, b) within buckets of at most HOT nodes, between nodes whose counts leave room for a link."""
+    """Edges (a, b) that span, within buckets of at most HOT nodes, what pairs whose counts leave room for a link tie together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[tuple[int, int]] = set()  # pairs seen lately, so that what two sets share is mostly told once
+        known: dict[tuple[int, int], bool] = {}
+        told: set[tuple[int, int]] = set()
+
+        def edges(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            out: list[tuple[int, int]] = []
+            _ties(rows, rule, known, told, out)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
         rest: list[tuple] = []
         for b in batches:
             rows = rest + list(zip(*(c.to_pylist() for c in b.columns), strict=True))
             cut = len(rows)
             while cut and rows[cut - 1][0] == rows[-1][0]:
                 cut -= 1
-            rest, out = rows[cut:], []
-            _ties(rows[:cut], rule, known, out)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
-        out = []
-        _ties(rest, rule, known, out)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+            rest = rows[cut:]
+            yield from edges(rows[:cut])
+        yield from edges(rest)
 
     spark = cool.sparkSession
     small_arrow_batches(spark, 20_000)
@@ -259,25 +283,40 @@ def _tied(cool: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     return j.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "a long, b long")
 
 
-def _ties(rows: list[tuple], rule: Rule, known: set, out: list) -> None:
-    """Of rows (sig, node, n, counts), bucket by bucket, the pairs that may link and weren't met before."""
+def _ties(rows: list[tuple], rule: Rule, known: dict, told: set, out: list) -> None:
+    """Of rows (sig, node, n, counts), bucket by bucket, a spanning forest of the pairs that may link: at most a row for each node.
+
+    ``known`` has what was found of pairs met lately, ``told`` the edges given lately.
+    """
     start = 0
     while start < len(rows):
         end = start + 1
         while end < len(rows) and rows[end][0] == rows[start][0]:
             end += 1
-        group = rows[start:end]
+        group = sorted(rows[start:end], key=lambda r: r[1])
         start = end
+        root = list(range(len(group)))
         for i, (_, x, n, c) in enumerate(group):
-            for _, y, k, d in group[:i]:
-                pair = (x, y) if x < y else (y, x)
-                if pair in known:
+            for j in range(i):
+                if root[i] == root[j]:
                     continue
-                if len(known) > 50_000:
-                    known.clear()
-                known.add(pair)
-                if 100 * min(n, k) >= rule.percent * max(n, k) and _apart(c, d) * (100 + rule.percent) <= (n + k) * (100 - rule.percent):
-                    out.append(pair)
+                _, y, k, d = group[j]
+                may = known.get((y, x))
+                if may is None:
+                    if len(known) > 50_000:
+                        known.clear()
+                    may = 100 * min(n, k) >= rule.percent * max(n, k) and _apart(c, d) * (100 + rule.percent) <= (n + k) * (100 - rule.percent)
+                    known[y, x] = may
+                if may:  # at most HOT nodes, so roots are kept up for all of them
+                    low, high = sorted((root[i], root[j]))
+                    root = [low if r == high else r for r in root]
+        for i, r in enumerate(root):
+            edge = (group[r][1], group[i][1])
+            if r != i and edge not in told:
+                if len(told) > 50_000:
+                    told.clear()
+                told.add(edge)
+                out.append(edge)
 
 
 def _candidates(buckets: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
@@ -299,7 +338,11 @@ def _candidates(buckets: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _hint(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """A written table, to be broadcast if its values take few bytes."""
+    size = F.lit(16)
+    for name, kind in df.dtypes:
+        size = size + (F.coalesce(F.octet_length(name), F.lit(0)) if kind in ("binary", "string") else F.lit(8))
+    return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def _verify(table: pa.Table, rule: Rule) -> pa.Table:
@@ -367,20 +410,39 @@ def joined(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     blobs = components(edges)
     roots = edges.select(F.col("a").alias("node")).join(blobs, "node", "left_anti").distinct().withColumn("root", F.col("node"))
     blobs = written(blobs.unionByName(roots).select("node", F.col("root").alias("blob")), "blobs")
-    large = written(blobs.groupBy("blob").count().where(F.col("count") > SLICE).select(F.col("blob").alias("large"), F.ceil(F.col("count") / SLICE).cast("int").alias("slices")), "large")
-    packs = max(1, blobs.count() // (2 * SLICE))
-    place = blobs.join(_hint(large), F.col("blob") == F.col("large"), "left").join(nodes.select("node", "rep", "th"), "node").drop("large")
-    place = written(place, "place")
+    place = blobs.join(nodes.select("node", "rep", "th", F.col("n").alias("size")), "node")
+    edge = F.lit(",".join(str(x) for x in bands(rule.percent).tolist()))
+    place = written(place.withColumn("band", F.size(F.filter(F.split(edge, ",").cast("array<bigint>"), lambda x: x <= F.col("size"))).cast("int")), "place")
+    whole = place.groupBy("blob").agg(F.count("*").alias("nodes"), F.sum("size").alias("tokens")).where((F.col("nodes") > SLICE) | (F.col("tokens") > 4 * SLICE_TOKENS))
+    whole = written(whole.where("nodes > 1").select(F.col("blob").alias("large")), "large")
+    packs = max(1, (place.agg(F.sum("size")).first()[0] or 0) // (2 * SLICE_TOKENS))
+    # large groups: slices by size band; a band's sets meet their own band's and the neighbouring ones'
+    band = place.join(_hint(whole), F.col("blob") == F.col("large"), "left_semi").groupBy("blob", "band").agg(F.count("*").alias("nodes"), F.sum("size").alias("tokens"))
+    band = written(band.select("blob", "band", F.ceil(F.greatest(F.col("nodes") / SLICE, F.col("tokens") / SLICE_TOKENS)).cast("int").alias("slices")), "bands")
+    near = lambda step, name: band.select("blob", (F.col("band") - step).alias("band"), F.col("slices").alias(name))
+    band = band.join(near(1, "above"), ["blob", "band"], "left").join(near(-1, "below"), ["blob", "band"], "left").fillna(0, ["above", "below"])
+    band = written(band.select(F.col("blob").alias("large"), F.col("band").alias("at"), "slices", "above", "below"), "slices")
+    place = written(place.join(_hint(band), (F.col("blob") == F.col("large")) & (F.col("band") == F.col("at")), "left").drop("large", "at", "size"), "placed")
     # of each node's documents one, whose whole text gives the set again
     chosen = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(_hint(place), F.col("id").eqNullSafe(F.col("rep")) & F.xxhash64("text").eqNullSafe(F.col("th")))
-    full = chosen.select("node", "blob", "slices", shingle_hashes(F.col("text"), rule.shingle).alias("tokens"))
-    mine = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
-    dealt = full.withColumn("slice", F.when(F.col("slices").isNull(), 0).otherwise(mine)).withColumn(
-        "other", F.explode(F.when(F.col("slices").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("slices") - 1)))
-    )
-    lo, hi = F.least("slice", "other"), F.greatest("slice", "other")
-    key = F.when(F.col("slices").isNull(), F.xxhash64(F.pmod(F.xxhash64("blob"), F.lit(packs)))).otherwise(F.xxhash64("blob", lo, hi))
-    dealt = dealt.select(key.alias("key"), "blob", "slice", (lo < hi).alias("cross"), "node", "tokens")
+    full = chosen.select("node", "blob", "band", "slices", "above", "below", shingle_hashes(F.col("text"), rule.shingle).alias("tokens"))
+    full = full.withColumn("slice", F.pmod(F.xxhash64("node"), F.coalesce("slices", F.lit(1))).cast("int"))
+
+    def meets(count: str, step: int) -> Column:
+        """Pairs of slices, the lower band first, in which a set meets those of its band + step."""
+        mine = lambda: (F.col("band"), F.col("slice"))
+        each = F.when(F.col(count) > 0, F.sequence(F.lit(0), F.col(count) - 1)).otherwise(F.array().cast("array<int>"))
+        if not step:
+            return F.transform(each, lambda o: F.xxhash64("blob", "band", F.least("slice", o), "band", F.greatest("slice", o)))
+        other = F.col("band") + step
+        return F.transform(each, lambda o: F.xxhash64("blob", *((*mine(), other, o) if step > 0 else (other, o, *mine()))))
+
+    alone = F.array(F.xxhash64(F.pmod(F.xxhash64("blob"), F.lit(packs))))
+    keys = F.when(F.col("slices").isNull(), alone).otherwise(F.concat(meets("slices", 0), meets("above", 1), meets("below", -1)))
+    dealt = full.withColumn("key", F.explode(keys))
+    # in a key of two slices only sets of different slices are compared; the key of a slice with itself is its own
+    own = F.xxhash64("blob", "band", "slice", "band", "slice")
+    dealt = dealt.select("key", "blob", F.xxhash64("band", "slice").alias("slice"), (F.col("slices").isNotNull() & (F.col("key") != own)).alias("cross"), "node", "tokens")
     links = written(dealt.groupBy("key").applyInArrow(lambda t: _verify(t, rule), "a long, b long, links long"), "links")
     classes = components(links.select("a", "b"))
     number = links.groupBy(F.col("b").alias("node")).agg(F.sum("links").alias("n_links"))
