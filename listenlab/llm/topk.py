@@ -1,10 +1,14 @@
 """Exact top-k search by inner product with a pivot-distance index.
 
-Vectors get one more coordinate that makes them equally long, so that the largest inner product is the
-smallest distance. Each is keyed by its nearest pivot and its distance to it, in rings of bounded
-blocks. A query first looks into its own ring; the k-th best score found there is a bound. By the
-triangle inequality a ring can only hold better vectors if the query's distance to the ring's pivot
-comes near enough to the ring, so the search expands to just those rings.
+Each vector is keyed by its nearest pivot and its distance to it; a pivot's vectors, in order of
+distance, are cut into annuli of equal counts. For a query q and an annulus of pivot p, distances lo to
+hi, the triangle inequality bounds the inner products with its vectors x:
+
+    q.x = q.p + q.(x - p) <= q.p + |q| hi      and      |q - x| >= gap = max(lo - |q - p|, |q - p| - hi, 0),
+    so that q.x = (|q|^2 + |x|^2 - |q - x|^2) / 2 <= (|q|^2 + max |x|^2 - gap^2) / 2.
+
+A query visits annuli in falling order of the smaller bound, in rounds that grow; after each round its
+k-th best score is higher, and it stops where the bounds fall below that.
 """
 
 from __future__ import annotations
@@ -17,10 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_arrow_batches, written
+from .common import written
 
-#: Vectors from which pivots are chosen; pivots and rings at most; vectors in a block and queries in a pack, about.
-SAMPLE, PIVOTS, RINGS, BLOCK, PACK = 2000, 64, 64, 2048, 256
+#: Vectors from which pivots are chosen; pivots at most, and annuli of a pivot at most.
+SAMPLE, PIVOTS, RINGS = 2000, 256, 256
+#: Vectors of an annulus, about, until all pivots have RINGS; of a block, into which larger ones are cut; queries of a pack.
+ANNULUS, BLOCK, PACK = 256, 4096, 256
+#: After so many annuli of each query a round ends; the last round has no end.
+ROUNDS = (4, 16, 64)
 
 
 def integers(vectors: DataFrame) -> DataFrame:
@@ -38,10 +46,6 @@ def _matrix(rows: list, width: int) -> np.ndarray:
     return out
 
 
-def _longer(x: np.ndarray, most: float) -> np.ndarray:
-    return np.concatenate([x, np.sqrt(np.maximum(most - (x * x).sum(1, keepdims=True), 0))], 1)
-
-
 def _choose(x: np.ndarray, n: int) -> np.ndarray:
     """Pivots far from each other: always the vector farthest from those chosen."""
     chosen = [0]
@@ -56,119 +60,155 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None] - 2 * x @ pivots.T, 0))
 
 
-def search(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5) -> DataFrame:
+def _narrow(most: int) -> str:
+    """The smallest integers that hold all components."""
+    return "<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<i8"
+
+
+def search(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, report: dict | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of all other rows for each row that meets ``queries``.
 
-    Scores are integer inner products; ties go to the smaller vec_id. Fewer rows than k give all. Rows
-    of one vec_id count as one query each, and are never each other's result.
+    Scores are integer inner products; ties go to the smaller vec_id. Fewer rows than k give all. Each row
+    counts by itself, also where a vec_id or a vector is repeated: only a query's own row is left out. What
+    a shorter vector lacks counts as 0. Null ids are left out; other columns are ignored. ``report`` gets the
+    number of annuli, of queries, and the share of all (query, annulus) pairs that was visited.
     """
     spark = vectors.sparkSession
-    small_arrow_batches(spark, 2048)
-    table = written(integers(vectors), "vectors")
-    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    n, width, most = table.agg(F.count("*"), F.max(F.size("v")), F.max(norm)).first()
     schema = "query_id long, rank int, vec_id long, score long"
+    table = written(integers(vectors).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    largest = F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))
+    n, width, longest, most = table.agg(F.count("*"), F.max(F.size("v")), F.max(norm), largest).first()
     if not n:
         return spark.createDataFrame([], schema)
     h = F.xxhash64("vec_id", "v")
     picked = table.where(F.pmod(h, F.lit(1 << 20)) < min(1 << 20, int((1 << 20) * 1.5 * SAMPLE / n) + 1)).orderBy(h).limit(SAMPLE).select("v").collect()
-    pivots = _choose(_longer(_matrix([r[0] for r in picked] or [table.first()["v"]], width), most), min(PIVOTS, max(1, int(math.sqrt(n) / 8))))
-    kind = np.float64 if most < 2**52 else np.int64
+    pivots = _choose(_matrix([r[0] for r in picked] or [table.first()["v"]], width), min(PIVOTS, max(1, int(math.sqrt(n) / 8))))
+    # sums of products below 2 ** 52 are exact as floats
+    kind, packed = np.float64 if longest < 2**52 else np.int64, _narrow(int(most))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for s in range(0, whole.num_rows, 2048):
+                b = whole.slice(s, 2048)
+                x = _matrix(b.column(2).to_pylist(), width)
+                d = _distances(x, pivots)
+                near = d.argmin(1)
+                data = [r.tobytes() for r in x.astype(packed)]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), b.column(1), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near]), pa.array((x * x).sum(1)), pa.array(data, pa.binary())], ["vec_id", "row", "pivot", "dist", "norm", "data"]
+                )
+
+    keys = written(table.select("vec_id", "row", "v").mapInArrow(keyed, "vec_id long, row long, pivot int, dist double, norm double, data binary"), "keys")
+    # cuts of equal counts: at most RINGS - 1 of each pivot
+    at = [i / RINGS for i in range(1, RINGS)]
+    cuts = {}
+    for r in keys.groupBy("pivot").agg(F.count("*").alias("n"), F.percentile_approx("dist", at, 10_000).alias("cuts")).collect():
+        step = max(1, RINGS // max(1, r["n"] // ANNULUS))
+        cuts[r["pivot"]] = np.unique(np.array(r["cuts"][step - 1 :: step]))
+
+    def placed_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _matrix(b.column(1).to_pylist(), width)
-            d = _distances(_longer(x, most), pivots)
-            near = d.argmin(1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near]), pa.array([r.tobytes() for r in x.astype(np.int64)], pa.binary())], ["vec_id", "pivot", "dist", "data"])
-
-    keys = written(table.mapInArrow(keyed, "vec_id long, pivot int, dist double, data binary"), "keys")
-    rings = max(1, min(RINGS, n // (BLOCK * len(pivots))))
-    cuts = {r["pivot"]: sorted(set(r["cuts"])) for r in keys.groupBy("pivot").agg(F.percentile_approx("dist", [(i + 1) / rings for i in range(rings - 1)] or [1.0], 2000).alias("cuts")).collect()}
-    if rings == 1:
-        cuts = {p: [] for p in cuts}
-    # the ring of a distance: the number of its pivot's cuts below it; one small array for each pivot
-    where = F.create_map(*[x for p, c in cuts.items() for x in (F.lit(p), F.split(F.lit(",".join(map(repr, c))), ",").cast("array<double>") if c else F.array().cast("array<double>"))])
-    ring = F.size(F.filter(F.element_at(where, F.col("pivot")), lambda c: c < F.col("dist")))
-    placed = written(keys.withColumn("ring", ring), "placed")
-    cells = [tuple(r) for r in placed.groupBy("pivot", "ring").agg(F.count("*"), F.min("dist"), F.max("dist")).orderBy("pivot", "ring").collect()]
-    name = {(c[0], c[1]): i for i, c in enumerate(cells)}
-    counts = [c[2] for c in cells]
-    cell = F.element_at(F.create_map(*[F.lit(x) for (p, r), i in name.items() for x in (p * RINGS + r, i)]), F.col("pivot") * RINGS + F.col("ring"))
-    parts = F.element_at(F.array(*[F.lit(-(-c // BLOCK)) for c in counts]), F.col("cell") + 1)
-    placed = placed.withColumn("cell", cell)
+            pivot, dist = b.column("pivot").to_numpy(), b.column("dist").to_numpy()
+            ring = np.zeros(len(pivot), np.int32)
+            for p in np.unique(pivot):
+                mine = pivot == p
+                ring[mine] = np.searchsorted(cuts[int(p)], dist[mine], "left")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pivot * RINGS + ring)], [*b.schema.names, "cell"])
+
+    placed = written(keys.mapInArrow(placed_in, "vec_id long, row long, pivot int, dist double, norm double, data binary, cell int"), "placed")
+    cells = placed.groupBy("cell").agg(F.count("*"), F.min("dist"), F.max("dist"), F.max("norm")).orderBy("cell").collect()
+    cell = np.array([c[0] for c in cells])
+    count, low, high, square = (np.array([c[i] for c in cells], float) for i in (1, 2, 3, 4))
+    home = cell // RINGS
+    parts = spark.createDataFrame([(int(c), max(1, int(-(-m // BLOCK)))) for c, m in zip(cell, count)], "cell int, parts int")
 
     def blocked(t: pa.Table) -> pa.Table:
-        return pa.table({"cell": t.column("cell")[:1], "ids": pa.array([np.array(t.column("vec_id")).astype(np.int64).tobytes()], pa.binary()), "data": pa.array([b"".join(t.column("data").to_pylist())], pa.binary())})
-
-    split = placed.withColumn("part", F.pmod(F.xxhash64("vec_id", "data"), parts))
-    blocks = written(split.select("cell", "part", "vec_id", "data").groupBy("cell", "part").applyInArrow(blocked, "cell int, ids binary, data binary"), "blocks")
-
-    asked = placed.where(queries).select(F.col("vec_id").alias("query_id"), "cell", F.col("data").alias("q"))
-    asked = written(asked.withColumn("tau", F.lit(None).cast("long")), "queries")
-
-    def looked(packed: DataFrame) -> DataFrame:
-        """The k best of each block for each query that goes to its cell, none below the query's bound."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for r in b.to_pylist():
-                    ids, x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["data"], np.int64).reshape(-1, width).astype(kind)
-                    q = np.stack([np.frombuffer(p["q"], np.int64) for p in r["pack"]]).astype(kind)
-                    scores = (q @ x.T).round().astype(np.int64) if kind is np.float64 else q @ x.T
-                    out = []
-                    for p, s in zip(r["pack"], scores, strict=True):
-                        ok = ids != p["query_id"]
-                        if p["tau"] is not None:
-                            ok &= s >= p["tau"]
-                        at = np.flatnonzero(ok)
-                        at = at[np.lexsort((ids[at], -s[at]))[:k]]
-                        out += [(p["query_id"], int(ids[i]), int(s[i])) for i in at]
-                    if out:
-                        a, c, d = zip(*out)
-                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.int64())], ["query_id", "vec_id", "score"])
-
-        return packed.join(blocks, "cell").select("pack", "ids", "data").mapInArrow(run, "query_id long, vec_id long, score long")
-
-    def packs(rows: DataFrame) -> DataFrame:
-        """Queries of one cell, about PACK together."""
-        many = max(1, -(-rows.select("query_id").distinct().count() // PACK))
-        return rows.groupBy("cell", F.pmod(F.xxhash64("query_id", "q"), F.lit(many)).alias("no")).agg(F.collect_list(F.struct("query_id", "q", "tau")).alias("pack"))
-
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    top = lambda rows: rows.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    first = written(top(looked(packs(asked))), "first")
-    bound = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
-    lows, highs = np.array([c[3] for c in cells]), np.array([c[4] for c in cells])
-    pivot_of = np.array([c[0] for c in cells])
-
-    def expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        column = lambda name: pa.array([t.column(name).to_numpy().astype(np.int64).tobytes()], pa.binary())
+        return pa.table({"cell": t.column("cell")[:1], "ids": column("vec_id"), "rows": column("row"), "data": pa.array([b"".join(t.column("data").to_pylist())], pa.binary())})
+
+    split = placed.select("cell", "vec_id", "row", "data").join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
+    blocks = written(split.groupBy("cell", "part").applyInArrow(blocked, "cell int, ids binary, rows binary, data binary"), "blocks")
+    asked = placed.where(queries).select("pivot", "row", F.col("vec_id").alias("query_id"), "data")
+    # queries of one pivot go together, PACK of them
+    sizes = [(r["pivot"], -(-r["n"] // PACK)) for r in asked.groupBy("pivot").agg(F.count("*").alias("n")).collect()]
+    if not sizes:
+        return spark.createDataFrame([], schema)
+    many = spark.createDataFrame(sizes, "pivot int, many long")
+    asked = written(asked.join(F.broadcast(many), "pivot").withColumn("no", F.pmod(F.xxhash64("row"), F.col("many"))).drop("many"), "queries")
+
+    def bounds(q: np.ndarray) -> np.ndarray:
+        d = _distances(q, pivots)[:, home]
+        size = (q * q).sum(1)[:, None]
+        slack = 1e-6 * (1 + d)
+        gap = np.maximum(np.maximum(d - high, low - d) - slack, 0)
+        return np.minimum((q @ pivots.T)[:, home] + np.sqrt(size) * high * (1 + 1e-9) + slack, (size + square - gap * gap) / 2) * (1 + 1e-9) + 1
+
+    def goes(first: int, last: int | None):
+        """For a pack, a row for each annulus that some of its queries visit in this round, with these queries."""
+
+        def run(t: pa.Table) -> pa.Table:
+            out = {"cell": [], "q_rows": [], "q_ids": [], "q_data": [], "taus": []}
+            rows, ids, data = t.column("row").to_numpy(), t.column("query_id").to_numpy(), t.column("data").to_pylist()
+            tau = np.array([-np.inf if x is None else x for x in t.column("bound").to_pylist()])
+            go = np.zeros((len(rows), len(cell)), bool)
+            for s in range(0, len(rows), 32):
+                e = min(s + 32, len(rows))
+                bound = bounds(np.stack([np.frombuffer(x, packed) for x in data[s:e]]).astype(np.float64))
+                turn = np.argsort(-bound, axis=1, kind="stable")[:, first:last]
+                np.put_along_axis(go[s:e], turn, np.take_along_axis(bound, turn, 1) >= tau[s:e, None], 1)
+            for c in np.flatnonzero(go.any(0)):
+                who = np.flatnonzero(go[:, c])
+                out["cell"].append(int(cell[c]))
+                out["q_rows"].append(rows[who].astype(np.int64).tobytes())
+                out["q_ids"].append(ids[who].astype(np.int64).tobytes())
+                out["q_data"].append(b"".join(data[i] for i in who))
+                out["taus"].append(tau[who].tobytes())
+            return pa.table(out, schema=pa.schema([("cell", pa.int32()), *((x, pa.binary()) for x in ("q_rows", "q_ids", "q_data", "taus"))]))
+
+        return run
+
+    def looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k best of a block for each query that goes there, none below the query's bound."""
         for b in batches:
-            q = np.stack([np.frombuffer(x, np.int64) for x in b.column("q").to_pylist()]).astype(np.float64)
-            long = np.concatenate([q, np.zeros((len(q), 1))], 1)
-            d = _distances(long, pivots)[:, pivot_of]
-            gap = np.maximum(np.maximum(d - highs, lows - d), 0)
-            reach = ((q * q).sum(1)[:, None] + most - np.maximum(gap - 1e-6 * (1 + d), 0) ** 2) / 2
-            tau = np.array([-np.inf if t is None else t for t in b.column("bound").to_pylist()])
-            home = np.array(b.column("cell"))
-            go = (reach * (1 + 1e-9) + 1 >= tau[:, None]) & (np.arange(len(cells))[None] != home[:, None])
-            i, c = np.nonzero(go)
-            yield pa.RecordBatch.from_arrays([b.column("query_id").take(pa.array(i)), pa.array(c.astype(np.int32)), b.column("q").take(pa.array(i)), b.column("bound").take(pa.array(i))], ["query_id", "cell", "q", "tau"])
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
-    more = written(asked.join(bound, "query_id", "left").select("query_id", "cell", "q", "bound").mapInArrow(expanded, "query_id long, cell int, q binary, tau long"), "more")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    found = written(looked(packs(more)), "found")
-    return top(first.select("query_id", "vec_id", "score").unionByName(found)).select("query_id", "rank", "vec_id", "score")
+            for i in range(b.num_rows):
+                r = {name: b.column(name)[i].as_py() for name in b.schema.names}
+                ids, rows = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["rows"], np.int64)
+                q_ids, q_rows, tau = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_rows"], np.int64), np.frombuffer(r["taus"])
+                x, q = (np.frombuffer(r[c], packed).reshape(-1, width).astype(kind) for c in ("data", "q_data"))
+                scores = (q @ x.T).round().astype(np.int64)
+                out: list[tuple] = []
+                for j, s in enumerate(scores):
+                    fit = np.flatnonzero((rows != q_rows[j]) & (s >= tau[j]))
+                    fit = fit[np.lexsort((rows[fit], ids[fit], -s[fit]))[:k]]
+                    out += zip([int(q_rows[j])] * len(fit), [int(q_ids[j])] * len(fit), ids[fit].tolist(), rows[fit].tolist(), s[fit].tolist())
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["q_row", "query_id", "vec_id", "row", "score"])
+
+    order = Window.partitionBy("q_row").orderBy(F.col("score").desc(), "vec_id", "row")
+    best, visits = None, 0
+    for first, last in zip((0, *ROUNDS), (*ROUNDS, None)):
+        if first >= len(cell):
+            break
+        bound = asked.withColumn("bound", F.lit(None).cast("long")) if best is None else asked.join(best.where(F.col("rank") == k).select(F.col("q_row").alias("row"), F.col("score").alias("bound")), "row", "left")
+        trips = written(bound.groupBy("pivot", "no").applyInArrow(goes(first, last), "cell int, q_rows binary, q_ids binary, q_data binary, taus binary"), "trips")
+        visits += trips.agg(F.sum(F.octet_length("q_rows") / 8)).first()[0] or 0
+        # a row of blocks and queries is small, so Arrow's bound on the bytes of a batch holds
+        found = trips.join(blocks, "cell").mapInArrow(looked, "q_row long, query_id long, vec_id long, row long, score long")
+        both = found if best is None else found.unionByName(best.drop("rank"))
+        best = written(both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "best")
+    if report is not None:
+        pairs = asked.count() * len(cell)
+        report.update(annuli=len(cell), queries=pairs // len(cell), visited=visits / pairs)
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """
-WITH e AS (SELECT vec_id::BIGINT AS vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+WITH e AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id::BIGINT AS vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-      FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
+p AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+      FROM e q JOIN e c ON q.rid <> c.rid WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -85,27 +85,47 @@ def test_plan_covers_every_band():
 
 
 def _brute_top(rows, k):
-    ok = [(i, np.floor(256 * np.array(v, float)).astype(int)) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)]
+    ok = [(n, i, np.floor(256 * np.array(v, float)).astype(int)) for n, (i, v) in enumerate(rows) if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for i, q in ok:
+    for n, i, q in ok:
         if i % 50 == 0:
-            best = sorted((-int(q @ v), j) for j, v in ok if j != i)[:k]
+            best = sorted((-int(q @ v), j) for m, j, v in ok if m != n)[:k]
             out += [(i, r, j, -s) for r, (s, j) in enumerate(best, 1)]
     return sorted(out)
 
 
+def _found(df, **more):
+    return sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.search(df, **more).collect())
+
+
 def test_top_k(spark, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "ANNULUS", 20)
+    monkeypatch.setattr(topk, "BLOCK", 16)
     monkeypatch.setattr(topk, "PACK", 3)
+    monkeypatch.setattr(topk, "ROUNDS", (2, 5))
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in np.float32(rng.normal(0, 0.3, 8))]) for i in range(600)]
-    rows += [(1000 + i, rows[0][1]) for i in range(150)] + [(2000, None), (2050, [1.0, None] * 4), (2100, [float("nan")] * 8), (2150, []), (2200, [float("inf")] * 8), (2250, [0.0] * 8)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.search(df).collect())
-    assert got == _brute_top(rows, 5)
+    rows += [(1000 + i, rows[0][1]) for i in range(150)] + [(2000, None), (2050, [1.0, None] * 4), (2100, [float("nan")] * 8), (2150, []), (2200, [float("inf")] * 8), (2250, [0.0] * 8), (None, [1.0] * 8)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, pivot string, score long")
+    assert _found(df) == _brute_top(rows, 5)
     few = df.where("vec_id IN (0, 1, 2)")
-    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.search(few).collect()) == _brute_top(rows[:3], 5)
-    assert topk.search(df.where("false")).count() == 0
+    assert _found(few) == _brute_top(rows[:3], 5)
+    assert topk.search(df.where("false")).count() == topk.search(df.where("vec_id = 1")).count() == 0
+
+
+def test_top_k_of_repeated_rows(spark):
+    rows = [(50 * (i % 3), [float(i % 2), 1.0]) for i in range(12)] + [(7, [1.0, 1.0])] * 2
+    assert _found(spark.createDataFrame(rows, "vec_id long, embedding array<float>")) == _brute_top(rows, 5)
+
+
+def test_top_k_leaves_annuli_out(spark):
+    """On clustered vectors most annuli are never visited."""
+    rng = np.random.default_rng(2)
+    centers = rng.normal(0, 1, (40, 16))
+    rows = [(i, [float(x) for x in np.float32(centers[i % 40] + rng.normal(0, 0.05, 16))]) for i in range(6000)]
+    report = {}
+    assert _found(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), report=report) == _brute_top(rows, 5)
+    assert report["annuli"] >= 15 and report["visited"] < 0.5
 
 
 PAGE = """<html><head><title>t {n}</title><style>x</style></head><body><header>Site</header><div class="menu"><a>Home</a></div>
