@@ -37,7 +37,7 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     tokenstore.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, to)
-    return tokenstore.read(spark, to).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return tokenstore.read(spark, to, ids=False)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from .chunks import ChunkEncoder
 from .common import shared_dir, small_arrow_batches
 
 #: Bits of the longest code; ids between two offsets; ids after which a block ends with its document.
-LONGEST, STRIDE, BLOCK = 20, 256, 65_536
+LONGEST, STRIDE, BLOCK = 20, 128, 131_072
 END = 2
 
 IDS = "part int, seq long, start long, doc_ids array<bigint>, lens array<bigint>, n long, ids binary, counts binary"
@@ -48,8 +48,14 @@ def _encoder(path: str, pattern: str) -> Callable[[str], bytes]:
 
     t = Tokenizer.from_file(path)
     run, letters = t.model.tokenize, _byte_letters()
+    space = chr(letters[32])
     # the model is the tokenizer's own; t keeps it alive
-    ids = lambda p, t=t: [x.id for x in run(p.encode().decode("latin-1").translate(letters))]
+
+    def ids(piece: str, t: Tokenizer = t) -> list[int]:
+        # ASCII characters that can be seen stand for themselves
+        plain = piece.replace(" ", space) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(letters)
+        return [x.id for x in run(plain)]
+
     chunks = ChunkEncoder(regex.compile(pattern).findall, ids).encode
     added = [x.content for x in t.get_added_tokens_decoder().values()]
 
@@ -100,8 +106,9 @@ def tokenized(docs: DataFrame, path: str, pattern: str, end: int = END) -> DataF
     spark = docs.sparkSession
     small_arrow_batches(spark, 256)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(docs["doc_id"].cast("long"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    return rows.mapInArrow(run, IDS)
+    # rows of one id lie in one range; a hash of the text orders them
+    rows = docs.select(docs["doc_id"].cast("long"), "text", F.xxhash64("text").alias("th")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "th")
+    return rows.select("doc_id", "text").mapInArrow(run, IDS)
 
 
 def _narrow(ids: np.ndarray) -> bytes:
@@ -208,7 +215,8 @@ class Decoder:
 def write(docs: DataFrame, path: str, pattern: str, to: str, end: int = END) -> None:
     """Writes the ids of all whole texts to ``to``: its folder ``codes`` has the lengths, ``blocks`` the ids.
 
-    A null or empty text is the end id alone. Null ids come first; repeated rows are kept.
+    A null or empty text is the end id alone. Null ids come first; repeated rows are kept, rows of one
+    id in order of a hash of their text. More than 2 ** LONGEST distinct ids raise an error.
     """
     spark = docs.sparkSession
     first = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
@@ -243,24 +251,27 @@ def write(docs: DataFrame, path: str, pattern: str, to: str, end: int = END) ->
     rows.where("seq >= 0").drop("counts").mapInArrow(coded, BLOCKS).write.option("compression", "none").parquet(f"{to}/blocks")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) of every document in the files at ``path``, from the files alone."""
+def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids) of every document in the files at ``path``, from the files alone; on demand without the last."""
     codes = spark.read.schema("id long, length int").parquet(f"{path}/codes").toPandas()
     lengths = np.zeros(int(codes["id"].max()) + 1 if len(codes) else 1, np.int64)
     lengths[codes["id"].to_numpy(np.int64)] = codes["length"].to_numpy(np.int64)
 
+    schema = "part int, doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids
+    names = [x.split()[0] for x in schema.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(lengths)
         for b in batches:
             for r in b.to_pylist():
-                ids = decoder.read(r["bits"], np.array(r["offsets"], np.int64), r["n"]).astype("<u4")
+                all_ = memoryview(decoder.read(r["bits"], np.array(r["offsets"], np.int64), r["n"]).astype("<u4")).cast("B")
                 ends = np.cumsum(r["lens"])
                 starts = ends - r["lens"]
-                packed = [ids[s:e].tobytes() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["part"]] * len(ends), pa.int32()), pa.array(r["doc_ids"], pa.int64()), pa.array(starts + r["start"], pa.int64()), pa.array(r["lens"], pa.int64()), pa.array(map(zlib.crc32, packed), pa.int64()), pa.array(packed, pa.binary())],
-                    ["part", "doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                )
+                packed = [all_[4 * s : 4 * e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                out = [pa.array([r["part"]] * len(ends), pa.int32()), pa.array(r["doc_ids"], pa.int64()), pa.array(starts + r["start"], pa.int64()), pa.array(r["lens"], pa.int64()), pa.array(map(zlib.crc32, packed), pa.int64())]
+                if ids:
+                    out.append(pa.array(map(bytes, packed), pa.binary()))
+                yield pa.RecordBatch.from_arrays(out, names)
 
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     # one number for each range: what the ranges before it hold
@@ -271,5 +282,5 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         sum_ += n
     before = spark.createDataFrame(base, "part int, before long")
     small_arrow_batches(spark, 16)
-    docs = blocks.mapInArrow(run, "part int, doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
-    return docs.join(F.broadcast(before), "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    docs = blocks.mapInArrow(run, schema).join(F.broadcast(before), "part")
+    return docs.withColumn("start", F.col("start") + F.col("before")).select(*names[1:])

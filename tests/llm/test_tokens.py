@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -60,7 +61,6 @@ def test_round_trip(docs, none):
 
 def test_token_files(spark, docs, none, tmp_path):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     tokenstore.write(docs, P.path("byte_bpe_50k.json"), P.PATTERN, str(tmp_path / "a"))
     got = sorted(tokenstore.read(spark, str(tmp_path / "a")).collect(), key=lambda r: r.start)
     rows = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id))
@@ -100,3 +100,22 @@ def test_bits(ids):
     lengths = tokenstore.code_lengths(np.bincount(x))
     bits, offsets = tokenstore.pack_bits(x, lengths, tokenstore.canonical(lengths))
     assert (tokenstore.Decoder(lengths).read(bits, offsets, len(x)) == x).all()
+
+
+def test_chunks_are_the_librarys():
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    encode = tokenstore._encoder(P.path("byte_bpe_50k.json"), P.PATTERN)
+    rng = random.Random(1)
+    parts = ["a", "word", " ", "\n", "\t", "\r", "é", "1", "23", ".", ",", "'s", "'", "日本", "\u00a0", "\x0b", "😀", "!?", "-", "X", "ʰ", "²", "\x00"]
+    for _ in range(20_000):
+        text = "".join(rng.choices(parts, weights=[3, 6, 8, 6, *[1] * (len(parts) - 4)], k=rng.randint(0, 14)))
+        assert np.frombuffer(encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_order_of_one_id(spark, tmp_path):
+    rows = [(1, f"text {i % 5}") for i in range(40)] + [(0, "zero"), (2, None)]
+    starts = []
+    for k, df in enumerate((rows, rows[::-1])):
+        tokenstore.write(spark.createDataFrame(df, "doc_id long, text string").repartition(5), P.path("byte_bpe_50k.json"), P.PATTERN, str(tmp_path / str(k)))
+        starts.append(sorted(map(tuple, tokenstore.read(spark, str(tmp_path / str(k)), ids=False).collect())))
+    assert starts[0] == starts[1]
