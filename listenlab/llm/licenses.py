@@ -1,8 +1,9 @@
 """Licence scans by sentence-rule recognition.
 
 Texts are normalised, the ends of sentences marked, and the sentences looked up in a table of known
-licence sentences; a sentence can go on over line ends. The identifiers found, in order of the text, are matched against ordered rules: the
-longest rule that matches at a place wins there and its identifiers are used up.
+licence sentences; a sentence can go on over line ends. The identifiers found, in order of the text, are
+matched against ordered rules: from each place on, the longest rule that matches there wins and its
+identifiers are used up. Licences are named in the order of the rules.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 #: Known licence sentences in normal form (lower case, only letters, digits and single spaces) and their identifiers.
 SENTENCES = {
     "released under the mit license": "MITref",
@@ -42,6 +45,61 @@ SENTENCES = {
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "BSDbinary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BSDendorse",
     "all rights reserved": "AllRights",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "MITwarranty",
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "MITliability",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "BSDwarranty",
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "BSDliability",
+    "licensed under the bsd 2 clause license": "BSD2ref",
+    "licensed under the bsd 3 clause license": "BSD3ref",
+    "bsd 2 clause license": "BSD2title",
+    "bsd 3 clause license": "BSD3title",
+    "isc license": "ISCtitle",
+    "licensed under the isc license": "ISCref",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISCgrant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "ISCwarranty",
+    "licensed under the gnu general public license version 2": "GPL2ref",
+    "this work is licensed under the gnu lesser general public license version 3": "LGPL3ref",
+    "licensed under the gnu lesser general public license version 3": "LGPL3ref",
+    "licensed under the gnu affero general public license version 3": "AGPL3ref",
+    "gnu general public license": "GPLtitle",
+    "gnu lesser general public license": "LGPLtitle",
+    "gnu affero general public license": "AGPLtitle",
+    "version 2 june 1991": "GPL2date",
+    "version 3 29 june 2007": "GPL3date",
+    "version 3 19 november 2007": "AGPL3date",
+    "version 2 1 february 1999": "LGPL21date",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "LGPL21plus",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "LGPL3plus",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "LGPL3plus",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "AGPL3plus",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "GPLwarranty",
+    "see the gnu lesser general public license for more details": "LGPLsee",
+    "see the gnu affero general public license for more details": "AGPLsee",
+    "apache license": "ApacheTitle",
+    "version 2 0 january 2004": "Apache2date",
+    "apache license version 2 0 january 2004": "Apache2title",
+    "mozilla public license version 2 0": "MPL2title",
+    "licensed under the mozilla public license version 2 0": "MPL2ref",
+    "this source code form is subject to the terms of the mozilla public license v": "MPL2grant",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "MPL2copy",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "MPL2copy",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "EPL2grant",
+    "eclipse public license v 2 0": "EPL2title",
+    "this is free and unencumbered software released into the public domain": "Unlicensegrant",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "Unlicenseuse",
+    "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": "CC0grant",
+    "cc0 1 0 universal": "CC0title",
+    "boost software license version 1 0 august 17th 2003": "BSL1title",
+    "distributed under the boost software license version 1 0": "BSL1ref",
+    "this software is provided as is without any express or implied warranty": "Zlibwarranty",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "Zlibgrant",
+    "licensed under cc by nc sa 4 0": "CCBYNCSA4ref",
+    "licensed under cc by nd 4 0": "CCBYND4ref",
+    "licensed under cc by nc nd 4 0": "CCBYNCND4ref",
+    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "CCBYSA4ref",
+    "this work is licensed under a creative commons attribution noderivatives 4 0 international license": "CCBYND4ref",
+    "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license": "CCBYNCSA4ref",
+    "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license": "CCBYNCND4ref",
 }
 
 #: Rules in order of precedence; a rule is a sequence of identifiers and the licence it names.
@@ -63,9 +121,58 @@ RULES = (
     (("CCBYNC4ref",), "CC-BY-NC-4.0"),
     (("CCBYSA4ref",), "CC-BY-SA-4.0"),
     (("CCBY4ref",), "CC-BY-4.0"),
+    (("LGPL21plus", "GPLwarranty", "LGPLsee"), "LGPL-2.1-or-later"),
+    (("LGPL3plus", "GPLwarranty", "LGPLsee"), "LGPL-3.0-or-later"),
+    (("AGPL3plus", "GPLwarranty", "AGPLsee"), "AGPL-3.0-or-later"),
+    (("LGPL21plus",), "LGPL-2.1-or-later"),
+    (("LGPL3plus",), "LGPL-3.0-or-later"),
+    (("AGPL3plus",), "AGPL-3.0-or-later"),
+    (("LGPL3ref",), "LGPL-3.0-only"),
+    (("AGPL3ref",), "AGPL-3.0-only"),
+    (("GPLtitle", "GPL3date"), "GPL-3.0-only"),
+    (("GPLtitle", "GPL2date"), "GPL-2.0-only"),
+    (("LGPLtitle", "LGPL21date"), "LGPL-2.1-only"),
+    (("LGPLtitle", "GPL3date"), "LGPL-3.0-only"),
+    (("AGPLtitle", "AGPL3date"), "AGPL-3.0-only"),
+    (("ApacheTitle", "Apache2date"), "Apache-2.0"),
+    (("Apache2title",), "Apache-2.0"),
+    (("MITtitle", "MITgrant", "MITnotice", "MITwarranty", "MITliability"), "MIT"),
+    (("MITgrant", "MITnotice", "MITwarranty", "MITliability"), "MIT"),
+    (("BSDgrant", "BSDsource", "BSDbinary", "BSDendorse", "BSDwarranty", "BSDliability"), "BSD-3-Clause"),
+    (("BSDgrant", "BSDsource", "BSDbinary", "BSDwarranty", "BSDliability"), "BSD-2-Clause"),
+    (("BSD3title", "AllRights", "BSDgrant", "BSDsource", "BSDbinary", "BSDendorse", "BSDwarranty", "BSDliability"), "BSD-3-Clause"),
+    (("BSD2title", "AllRights", "BSDgrant", "BSDsource", "BSDbinary", "BSDwarranty", "BSDliability"), "BSD-2-Clause"),
+    (("BSD3ref",), "BSD-3-Clause"),
+    (("BSD2ref",), "BSD-2-Clause"),
+    (("ISCtitle", "ISCgrant", "ISCwarranty"), "ISC"),
+    (("ISCgrant", "ISCwarranty"), "ISC"),
+    (("ISCgrant",), "ISC"),
+    (("ISCref",), "ISC"),
+    (("MPL2grant", "MPL2copy"), "MPL-2.0"),
+    (("MPL2grant",), "MPL-2.0"),
+    (("MPL2title",), "MPL-2.0"),
+    (("MPL2ref",), "MPL-2.0"),
+    (("EPL2grant",), "EPL-2.0"),
+    (("EPL2title",), "EPL-2.0"),
+    (("Unlicensegrant", "Unlicenseuse"), "Unlicense"),
+    (("Unlicensegrant",), "Unlicense"),
+    (("CC0grant",), "CC0-1.0"),
+    (("CC0title",), "CC0-1.0"),
+    (("BSL1title",), "BSL-1.0"),
+    (("BSL1ref",), "BSL-1.0"),
+    (("Zlibwarranty", "Zlibgrant"), "Zlib"),
+    (("Zlibgrant",), "Zlib"),
+    (("CCBYNCSA4ref",), "CC-BY-NC-SA-4.0"),
+    (("CCBYND4ref",), "CC-BY-ND-4.0"),
+    (("CCBYNCND4ref",), "CC-BY-NC-ND-4.0"),
     (("AllRights",), "LicenseRef-proprietary"),
 )
 
+#: A tag that names a licence is a sentence of its own: its identifier is the name behind "spdx:".
+SPDX = {f"spdx license identifier {''.join(c if c.isalnum() else ' ' for c in name.lower())}": f"spdx:{name}" for name in dict(reversed(r) for r in RULES) if not name.startswith("LicenseRef")}
+SENTENCES |= SPDX
+RULES = (*RULES, *(((tag,), tag[5:]) for tag in SPDX.values()))
+
 #: Further known sentences, as they stand in full licence texts.
 LONGER = {
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "MITgrant",
@@ -92,32 +199,40 @@ def marked(text: Column) -> Column:
     return F.btrim(out)
 
 
+def _either(sentences: list[str]) -> str:
+    """A pattern for any of some sentences, longer ones first, branched by their first two words."""
+    groups: dict[tuple, list[str]] = {}
+    for x in sorted(sentences, key=lambda x: (-len(x), x)):
+        words = x.split(" ")
+        groups.setdefault(tuple(words[:2]), []).append("[ ~]".join(words[2:]))
+    return "|".join("[ ~]".join(head) + "(?:" + "|".join(f"[ ~]{t}" if t else "" for t in tails) + ")" for head, tails in groups.items())
+
+
 def identifiers(text: Column) -> Column:
     """Identifiers of the known sentences in a text, in order, with repeats; of those that start at one place the longest counts."""
     known = SENTENCES | LONGER
     table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
-    any_ = "|".join(s.replace(" ", "[ ~]") for s in sorted(known, key=len, reverse=True))
-    found = F.regexp_extract_all(marked(text), F.lit(f"(?<![^|~])(?:{any_})(?![^|~])"), F.lit(0))
+    found = F.regexp_extract_all(marked(text), F.lit(f"(?<![^|~])(?:{_either(list(known))})(?![^|~])"), F.lit(0))
     return F.transform(found, lambda s: F.element_at(table, F.translate(s, "~", " ")))
 
 
+def _sequence(ids: tuple[str, ...]) -> str:
+    """Every identifier stands between bars of its own ("|A||B|"), so sequences match whole identifiers."""
+    return "".join(f"|{x}|" for x in ids)
+
+
+#: Rules by their number of identifiers, so that the longest that matches at a place is the first that does.
+_BY_LENGTH = sorted(RULES, key=lambda r: -len(r[0]))
+_PATTERN = "|".join(_sequence(seq).replace("|", "[|]").replace(".", "[.]") for seq, _ in _BY_LENGTH)
+_NAMES = list(dict.fromkeys(name for _, name in RULES))
+
+
 def recognise(ids: Column) -> Column:
     """Licences of an identifier sequence, in order of the rules, each once."""
-    # every identifier stands between bars of its own ("|A||B|"), so sequences match whole identifiers
-    rest = F.array_join(F.transform(ids, lambda x: F.concat(F.lit("|"), x, F.lit("|"))), "")
-
-    def fold(acc: Column, rule: Column) -> Column:
-        hit = F.contains(acc["rest"], rule["pattern"])
-        return F.struct(
-            F.when(hit, F.replace(acc["rest"], rule["pattern"], F.lit("#"))).otherwise(acc["rest"]).alias("rest"),
-            F.when(hit, F.array_union(acc["found"], F.array(rule["name"]))).otherwise(acc["found"]).alias("found"),
-        )
-
-    rules = F.array(
-        *[F.struct(F.lit("".join(f"|{x}|" for x in seq)).alias("pattern"), F.lit(name).alias("name")) for seq, name in RULES]
-    )
-    start = F.struct(rest.alias("rest"), F.array().cast("array<string>").alias("found"))
-    return F.aggregate(rules, start, fold)["found"]
+    table = F.create_map(*[F.lit(x) for seq, name in RULES for x in (_sequence(seq), name)])
+    line = F.array_join(F.transform(ids, lambda x: F.concat(F.lit("|"), x, F.lit("|"))), "")
+    found = F.transform(F.regexp_extract_all(line, F.lit(_PATTERN), F.lit(0)), lambda x: F.element_at(table, x))
+    return let(found, lambda f: F.filter(F.array(*[F.lit(n) for n in _NAMES]), lambda n: F.array_contains(f, n)))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -137,24 +252,19 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def _oracle() -> str:
     table = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
-    steps, last = [], "r0"
-    for k, (seq, name) in enumerate(RULES, 1):
-        p = "".join(f"|{x}|" for x in seq)
-        steps.append(
-            f"r{k} AS (SELECT doc_id, n, ids, replace(rest, '{p}', '#') AS rest, CASE WHEN contains(rest, '{p}') AND NOT list_contains(found, '{name}') "
-            f"THEN list_append(found, '{name}') ELSE found END AS found FROM {last})"
-        )
-        last = f"r{k}"
+    rules = ", ".join(f"('{_sequence(seq)}', '{name}', {_NAMES.index(name)})" for seq, name in RULES)
     return f"""
 WITH k(s, id) AS (VALUES {table}),
+u(seq, name, place) AS (VALUES {rules}),
 d AS MATERIALIZED (SELECT doc_id, text, row_number() OVER () AS rid FROM documents),
 p AS (SELECT rid, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos
       FROM (SELECT rid, string_split_regex(regexp_replace(coalesce(text, ''), '([.!?;:])[ \t\r]+', '\1' || chr(10), 'g'), '\n+') AS parts FROM d)),
 m AS (SELECT rid, pos, k.id FROM p JOIN k ON k.s = trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g'))),
-l AS (SELECT rid, count(*) AS n, string_agg(id, ',' ORDER BY pos) AS ids, string_agg('|' || id || '|', '' ORDER BY pos) AS rest FROM m GROUP BY rid),
-r0 AS (SELECT doc_id, coalesce(n, 0)::BIGINT AS n, coalesce(ids, '') AS ids, coalesce(rest, '') AS rest, []::VARCHAR[] AS found FROM d LEFT JOIN l USING (rid)),
-{', '.join(steps)}
-SELECT doc_id, n AS n_sentences, ids AS sentence_ids, coalesce(array_to_string(found, ','), '') AS licenses FROM {last}
+l AS (SELECT rid, count(*) AS n, string_agg(id, ',' ORDER BY pos) AS ids, string_agg('|' || id || '|', '' ORDER BY pos) AS line FROM m GROUP BY rid),
+h AS (SELECT DISTINCT rid, name, place FROM (SELECT rid, unnest(regexp_extract_all(line, '{_PATTERN}')) AS seq FROM l) JOIN u USING (seq)),
+f AS (SELECT rid, string_agg(name, ',' ORDER BY place) AS licenses FROM h GROUP BY rid)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(ids, '') AS sentence_ids, coalesce(licenses, '') AS licenses
+FROM d LEFT JOIN l USING (rid) LEFT JOIN f USING (rid)
 """
 
 

@@ -1,6 +1,7 @@
 """Fingerprints, mixing and licence scans against brute force."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -174,3 +175,61 @@ def test_wrapped_licences(spark):
     some = [(1, "some words\nMIT License\nmore words"), (2, "released under the\n\nMIT License"), (3, "licensed under the. MIT License"), (4, "known as the MIT License")]
     got = {r.doc_id: r.sentence_ids for r in licenses.scan(spark.createDataFrame(some, "doc_id long, text string")).collect()}
     assert got == {1: "MITtitle", 2: "MITtitle", 3: "MITtitle", 4: ""}
+
+
+def test_more_licences(spark):
+    isc = """ISC License
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE.
+"""
+    lgpl = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+"""
+    mpl = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+"""
+    warranty = MIT + """
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+    rows = [isc, lgpl, mpl, warranty, "// SPDX-License-Identifier: Apache-2.0\nint x;", "# SPDX-License-Identifier: GPL-2.0-only", "This is free and unencumbered software released into the public domain."]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = [r.licenses for r in licenses.scan(df).orderBy("doc_id").collect()]
+    assert got == ["ISC", "LGPL-2.1-or-later", "MPL-2.0", "MIT", "Apache-2.0", "GPL-2.0-only", "Unlicense"]
+
+
+def _longest(ids):
+    found, i = set(), 0
+    while i < len(ids):
+        fit = [(len(seq), name) for seq, name in licenses.RULES if tuple(ids[i : i + len(seq)]) == seq]
+        if fit:
+            found.add(max(fit)[1])
+        i += max(fit)[0] if fit else 1
+    return [n for n in licenses._NAMES if n in found]
+
+
+def test_longest_rule_at_a_place(spark):
+    names = sorted({x for seq, _ in licenses.RULES for x in seq} | {"MPL2copy"})
+    rng = random.Random(5)
+    rows = [([*rng.choice(licenses.RULES)[0], *rng.choices(names, k=rng.randint(0, 3)), *rng.choice(licenses.RULES)[0]],) for _ in range(200)] + [([],)]
+    got = spark.createDataFrame(rows, "ids array<string>").select("ids", licenses.recognise(F.col("ids")).alias("r")).collect()
+    assert all(r.r == _longest(r.ids) for r in got)
+
+
+def test_long_lines(spark):
+    text = "word " * 200_000 + ". MIT License. " + "x" * 300_000
+    assert licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().licenses == ""
