@@ -68,14 +68,14 @@ def cadence(bpm: Column, steps: float, tolerance: float) -> Column:
     return half_double(bpm, F.lit(steps * (1 - tolerance)), F.lit(steps * (1 + tolerance)))
 
 
-#: Weights of the six uses; bpm counts as bpm / 180, a leading minus as 1 - x.
+#: Names and weights of the six uses; bpm counts as bpm / 180, a leading minus as 1 - x.
 USES = {
-    "workout": {"energy": 0.5, "danceability": 0.3, "bpm": 0.2},
-    "party": {"danceability": 0.5, "energy": 0.3, "valence": 0.2},
-    "focus": {"instrumentalness": 0.5, "-energy": 0.3, "-speechiness": 0.2},
-    "chill": {"-energy": 0.4, "acousticness": 0.3, "valence": 0.3},
-    "sleep": {"-energy": 0.5, "acousticness": 0.3, "instrumentalness": 0.2},
-    "sad": {"-valence": 0.5, "acousticness": 0.3, "-energy": 0.2},
+    "Workout / Hype": {"energy": 0.5, "danceability": 0.3, "bpm": 0.2},
+    "Party / Dance": {"danceability": 0.5, "energy": 0.3, "valence": 0.2},
+    "Focus / Study": {"instrumentalness": 0.5, "-energy": 0.3, "-speechiness": 0.2},
+    "Chill / Relax": {"-energy": 0.4, "acousticness": 0.3, "valence": 0.3},
+    "Sleep / Ambient": {"-energy": 0.5, "acousticness": 0.3, "instrumentalness": 0.2},
+    "Sad / Introspective": {"-valence": 0.5, "acousticness": 0.3, "-energy": 0.2},
 }
 
 
@@ -103,21 +103,26 @@ def arc(kind: str, at: Column) -> Column:
     return {"rise": 0.35 + 0.5 * at, "fall": 0.85 - 0.5 * at, "peak": 0.35 + 0.55 * F.sin(at * F.pi()), "flat": F.lit(0.6)}[kind]
 
 
-#: Weights of the synthetic-audio prior and its bias.
-SLOP = {"phase": 1.9, "checkerboard": 1.7, "hf_cliff": 1.5, "hf_flatness": 1.1, "edges": 0.9, "grid": 0.8, "loop": 0.7, "dynamics": 0.5, "stereo": 0.4}
+#: Signals and weights of the synthetic-audio prior, and its bias.
+SLOP = {
+    "phase_incoherence": 1.9, "spectral_checkerboard": 1.7, "hf_cliff_unexplained": 1.5, "hf_noise_flatness": 1.1, "edge_truncation": 0.9,
+    "grid_rigidity": 0.8, "loop_rigidity": 0.7, "static_dynamics": 0.5, "stereo_degenerate": 0.4,
+}
 SLOP_BIAS = -2.4
 
 
-def slop_prior(signals: dict[str, Column]) -> tuple[Column, Column]:
-    """MT14: probability from the signals known, and the share of weight that they carry."""
-    z, seen = F.lit(SLOP_BIAS), F.lit(0.0)
+def slop_prior(signals: dict[str, Column], seconds: Column) -> tuple[Column, Column]:
+    """MT14: probability from the signals, and confidence: the share of signals known, less for a track under a minute."""
+    z, seen = F.lit(SLOP_BIAS), F.lit(0)
     for name, w in SLOP.items():
         if name in signals:
             z = z + w * F.coalesce(signals[name], F.lit(0.0))
-            seen = seen + F.when(signals[name].isNotNull(), w).otherwise(0.0)
-    return 1 / (1 + F.exp(-z)), seen / sum(SLOP.values())
+            seen = seen + signals[name].isNotNull().cast("int")
+    return 1 / (1 + F.exp(-z)), seen / len(SLOP) * (0.6 + 0.4 * F.least(seconds / 60, F.lit(1.0)))
 
 
 def verdict(score: Column, confidence: Column) -> Column:
-    """MT13."""
-    return F.when(confidence < 0.35, "uncertain").when(score >= 0.65, "likely synthetic").when(score <= 0.30, "likely human").otherwise("ambiguous")
+    """MT13. The texts are fixed values."""
+    return (
+        F.when(confidence < 0.35, "unclear").when(score >= 0.65, "likely generated").when(score <= 0.30, "likely human-performed").otherwise("machine-produced, origin unclear")
+    )

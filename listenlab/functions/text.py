@@ -12,8 +12,18 @@ from pyspark.sql.types import StringType
 
 #: Words in brackets that say nothing about a song; our own list.
 NOISE = "official|video|audio|lyric|lyrics|lyrical|hd|4k|full song|visualizer|remastered|teaser|promo"
-TOKEN_NOISE = ["official", "video", "audio", "song", "full", "lyric", "lyrics", "feat", "ft", "from", "the", "and", "hd"]
-SEPARATORS = [" - ", " – ", " | ", ": "]
+#: Words that don't tell titles apart; words cut off at the ends of a search text; what a search text is cut at.
+TOKEN_NOISE = (
+    "song songs official video audio lyric lyrics lyrical full hd 4k 8k 60 fps mv visualizer visualiser feat ft featuring from movie the reprise cover version ost soundtrack theme "
+    "title track presents presenting release records music entertainment ver extended promo teaser tamil telugu hindi with and exclusive new single remix"
+).split()
+END_NOISE = "official music video audio lyric lyrical full hd 4k 8k song songs new presenting presents the from feat ft cover".split()
+CUT = r"(?i)\s*(?:\||[-–—]| video| song| official| lyric| promo| teaser| from | ft\.?| feat\.?| with lyrics| 4k| 8k| hd)\b"
+#: Starts of a text that is a caption already.
+CAPTIONS = ["this is", "a ", "an ", "the sound of"]
+#: What parts artist and song, first come first; and a song's name before the word song.
+SEPARATORS = [" - ", " – ", " — ", " | "]
+SONG_LABEL = r"(?i)^(.+?)\s+(?:full\s+)?(?:video\s+|lyric(?:al)?\s+|audio\s+)?song\b\s*(?:[:|\-–—(]|$)"
 
 
 def clean_title(t: Column) -> Column:
@@ -25,15 +35,20 @@ def clean_title(t: Column) -> Column:
 
 
 def split_artist(title: Column, channel: Column) -> tuple[Column, Column]:
-    """SF2: (artist, song) by the first separator found, else the channel less its topic mark."""
-    artist, song = None, None
+    """SF2: (artist, song): the channel and what stands before the word song, unless that is parted itself; else by the first separator found; else channel and title.
+
+    A channel goes without its topic mark; an empty one is Unknown.
+    """
+    named = F.regexp_extract(title, SONG_LABEL, 1)
+    marked = (named != "") & ~F.contains(named, F.lit(" - "))
+    by = F.trim(F.regexp_replace(F.coalesce(channel, F.lit("")), " - Topic$", ""))
+    by = F.when(by == "", "Unknown").otherwise(by)
+    artist, song = F.when(marked, by), F.when(marked, F.btrim(named, F.lit(" -–|:")))
     for sep in SEPARATORS:
         at = F.instr(title, sep)
-        a, b = F.trim(F.substring_index(title, sep, 1)), F.trim(F.substring(title, at + len(sep), F.length(title)))
-        test = at > 1
-        artist = F.when(test, a) if artist is None else artist.when(test, a)
-        song = F.when(test, b) if song is None else song.when(test, b)
-    return artist.otherwise(F.regexp_replace(channel, " - Topic$", "")), song.otherwise(F.trim(title))
+        artist = artist.when(at > 0, F.trim(F.substring_index(title, sep, 1)))
+        song = song.when(at > 0, F.trim(F.substring(title, at + len(sep), F.length(title))))
+    return artist.otherwise(by), song.otherwise(title)
 
 
 def fold(t: Column) -> Column:
@@ -47,13 +62,20 @@ def plain(t: Column) -> Column:
 
 
 def tokens(t: Column, least: int = 2, noise: list[str] | None = None) -> Column:
-    """SF6, SF7: distinct words outside brackets, of letters of several scripts and digits, long enough and not noise."""
-    low = F.lower(F.regexp_replace(F.coalesce(t, F.lit("")), "[(\\[][^)\\]]*[)\\]]", " "))
-    words = F.split(low, "[^a-z0-9\\x{00DF}-\\x{024F}\\x{0900}-\\x{097F}\\x{3040}-\\x{30FF}\\x{AC00}-\\x{D7AF}]+")
+    """SF6: distinct words outside brackets, of letters of several scripts and digits, long enough and not noise; apostrophes join what they part."""
+    low = F.regexp_replace(F.translate(F.lower(F.coalesce(t, F.lit(""))), "'’", ""), "[(\\[{][^)\\]}]*[)\\]}]", " ")
+    words = F.split(low, "[^a-z0-9\\x{0900}-\\x{097F}\\x{AC00}-\\x{D7A3}\\x{3040}-\\x{30FF}]+")
     kept = F.filter(words, lambda w: F.length(w) >= least)
     return F.array_except(F.array_distinct(kept), F.array(*map(F.lit, TOKEN_NOISE if noise is None else noise)))
 
 
+def long_words(t: Column, least: int = 3, stop: list[str] | None = None) -> Column:
+    """SF7: distinct words of a-z, digits and Hangul of at least so many characters, less a stop list."""
+    words = F.split(F.lower(F.coalesce(t, F.lit(""))), "[^a-z0-9\\x{AC00}-\\x{D7A3}]+")
+    kept = F.array_distinct(F.filter(words, lambda w: F.length(w) >= least))
+    return F.array_except(kept, F.array(*map(F.lit, stop))) if stop else kept
+
+
 def scrub(t: Column) -> Column:
     """SF9: without emoji, hashtags, handles and the word shorts."""
     t = F.regexp_replace(t, "[\\x{1F000}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{FE0F}]", "")
@@ -72,23 +94,48 @@ def has_cjk(t: Column) -> Column:
 
 
 def core(t: Column) -> Column:
-    """SF8: a title up to the first marker, without noise words at its ends; null if little is left."""
-    head = F.get(F.split(F.regexp_replace(t, "[(\\[{].*$", ""), "\\s[-–|:]\\s|,|\\bfeat\\b|\\bft\\b"), 0)
-    ends = "(?iu)^(?:(?:" + NOISE + ")\\s+)+|(?:\\s+(?:" + NOISE + "))+$"
-    out = F.trim(F.regexp_replace(F.trim(head), ends, ""))
-    return F.when(F.length(out) >= 2, out)
+    """SF8: a title outside brackets up to the first marker, without noise words at its ends; empty if under three characters are left."""
+    head = F.get(F.split(F.regexp_replace(F.coalesce(t, F.lit("")), "[(\\[{][^)\\]}]*[)\\]}]", " "), CUT, 2), 0)
+    words = F.filter(F.split(F.btrim(F.regexp_replace(head, "\\s+", " "), F.lit(' -–—|:"')), " "), lambda w: w != "")
+    noise = F.array(*map(F.lit, END_NOISE))
+    good = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: ~F.array_contains(noise, F.lower(F.coalesce(F.get(words, i - 1), F.lit("the")))))
+    out = F.array_join(F.slice(words, F.coalesce(F.array_min(good), F.lit(1)), F.coalesce(F.array_max(good) - F.array_min(good) + 1, F.lit(0))), " ")
+    return F.when(F.length(out) >= 3, out).otherwise("")
+
+
+#: Brackets and phrases that a rescue search leaves out.
+RESCUE_BRACKETS = r"(?i)\((?:from|feat|ft|with|prod|out now|audio|video|lyric\w*|official|4k|hd)[^)]*\)"
+RESCUE_NOISE = (
+    r"(?i)\b(official music video|official video|official audio|music video|lyric\w* video|video song|full video|title track|dance (?:practice|cover|performance)|"
+    r"choreography|live performance|4k|hd|out now)\b"
+)
+
+
+def rescue_clean(t: Column) -> Column:
+    """AX16."""
+    for pattern in (RESCUE_BRACKETS, RESCUE_NOISE, "[#@]\\w+"):
+        t = F.regexp_replace(t, pattern, "")
+    return F.btrim(t, F.lit(" -–—|·•\"'"))
 
 
-def variants(title: Column, artist: Column) -> Column:
-    """SF12: up to three distinct search texts."""
-    forms = F.array(F.concat_ws(" ", core(title), artist), core(title), clean_title(title))
-    return F.slice(F.array_distinct(F.filter(forms, lambda x: x.isNotNull() & (F.length(x) > 0))), 1, 3)
+def variants(title: Column) -> Column:
+    """SF12: up to three distinct search texts: before a pipe, behind the last " - ", and the first 60 characters; whatever their case, of three letters or digits at least."""
+    base = rescue_clean(title)
+    head = F.trim(F.substring_index(base, "|", 1))
+    letters = lambda x, more="": F.length(F.regexp_replace(F.lower(x), f"[^a-z0-9{more}]", ""))
+    tail = F.when(F.contains(base, F.lit(" - ")), rescue_clean(F.substring_index(base, " - ", -1)))
+    forms = F.filter(F.array(F.when(letters(head) >= 3, head), tail, F.trim(F.substring(base, 1, 60))), lambda x: x.isNotNull() & (letters(x, "\\x{AC00}-\\x{D7A3}") >= 3))
+    low = F.transform(forms, lambda x: F.lower(x))
+    return F.filter(forms, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
 
 
 def prompt(t: Column) -> Column:
-    """SF13."""
-    low = F.lower(F.trim(t))
-    return F.when(low.startswith("this is") | low.startswith("a song"), F.trim(t)).otherwise(F.concat(F.lit("This is a song that sounds "), F.trim(t)))
+    """SF13: a caption of a text without its final dots; one that is a caption already stays. The words are fixed values."""
+    bare = F.regexp_replace(F.trim(t), "[.]+$", "")
+    known = F.lit(False)
+    for start in CAPTIONS:
+        known = known | F.startswith(F.lower(bare), F.lit(start))
+    return F.when(known, bare).otherwise(F.concat(F.lit("This is a recording of "), bare, F.lit(".")))
 
 
 def video_id(url: Column) -> Column:

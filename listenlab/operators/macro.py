@@ -118,15 +118,18 @@ def ladder(x: Column, steps: list[tuple[float, str]], last: str, strict: bool =
     return F.when(x.isNull(), None).otherwise(out.otherwise(last))
 
 
-EXPLORER = [(0.8, "explorer"), (0.5, "balanced"), (0.3, "comfort")]
-CONCENTRATED = [(0.6, "devoted"), (0.45, "focused"), (0.3, "mixed")]
+#: Texts of the ladders, and those below the last step.
+EXPLORER = [(0.8, "Explorer — you rarely repeat, always seeking new"), (0.5, "Balanced — mix of new and familiar"), (0.3, "Comfort listener — you replay favourites a lot")]
+LOYALIST = "Loyalist — you loop a tight set of songs"
+CONCENTRATED = [(0.6, "Very concentrated — a few artists dominate"), (0.45, "Concentrated"), (0.3, "Fairly even")]
+DIVERSE = "Very diverse spread"
 
 
 def discovery_ratio(plays: DataFrame) -> DataFrame:
     """AG16: distinct tracks over plays; null without plays."""
     one = counts(plays).agg(F.count("*").alias("tracks"), F.coalesce(F.sum("plays"), F.lit(0)).alias("plays"))
     r = F.col("tracks") / F.nullif("plays", F.lit(0))
-    return one.withColumn("ratio", r).withColumn("kind", ladder(F.col("ratio"), EXPLORER, "loyalist"))
+    return one.withColumn("ratio", r).withColumn("kind", ladder(F.col("ratio"), EXPLORER, LOYALIST))
 
 
 def shares(plays: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -146,7 +149,7 @@ def concentration(groups: DataFrame) -> DataFrame:
     top = lambda k: (F.sum(F.when(F.col("j") <= k, F.col("c"))) / s).alias(f"top{k}")
     gini = 2 * F.sum(F.col("i") * F.col("c")) / (n * s) - (n + 1) / n
     out = t.agg(n.alias("keys"), F.when(n == 1, 0.0).otherwise(gini).alias("gini"), (F.sum(F.col("c") * F.col("c")) / (s * s)).alias("hhi"), top(1), top(5), top(10))
-    return out.withColumn("kind", ladder(F.col("gini"), CONCENTRATED, "diverse"))
+    return out.withColumn("kind", ladder(F.col("gini"), CONCENTRATED, DIVERSE))
 
 
 def running_share(groups: DataFrame) -> DataFrame:

@@ -22,19 +22,19 @@ def clusters(rows: DataFrame, k: int = 4, seed: int = 0) -> DataFrame:
 
 
 def cluster_label(e: Column, v: Column, d: Column, ac: Column, ins: Column, bpm: Column) -> Column:
-    """C4: a name for a cluster's means, by the first rule that holds."""
+    """C4: a name for a cluster's means, by the first rule that holds. The texts are fixed values."""
     fast, slow = bpm >= 130, bpm < 95
     return (
-        F.when((ins > 0.6) & (e < 0.5), "instrumental / ambient").when((ac > 0.55) & (e < 0.55) & slow, "slow & acoustic").when((ac > 0.55) & (e < 0.55), "acoustic / mellow")
-        .when((e >= 0.6) & (v >= 0.55) & fast & (d >= 0.55), "dancefloor").when((e >= 0.6) & (v >= 0.55) & fast, "fast feel-good").when((e >= 0.6) & (v >= 0.55), "upbeat")
-        .when((e >= 0.6) & fast, "fast dark-driving").when(e >= 0.6, "dark-energetic").when(v < 0.45, "moody").when(slow, "slow warm").otherwise("chill")
+        F.when((ins > 0.6) & (e < 0.5), "Instrumental / ambient").when((ac > 0.55) & (e < 0.55) & slow, "Slow & acoustic").when((ac > 0.55) & (e < 0.55), "Acoustic / mellow")
+        .when((e >= 0.6) & (v >= 0.55) & fast & (d >= 0.55), "Dancefloor bangers").when((e >= 0.6) & (v >= 0.55) & fast, "Feel-good & fast").when((e >= 0.6) & (v >= 0.55), "Upbeat & bright")
+        .when((e >= 0.6) & fast, "Dark & driving").when(e >= 0.6, "Dark & energetic").when(v < 0.45, "Moody / introspective").when(slow, "Slow & warm").otherwise("Chill / easy")
     )
 
 
 def distinct_labels(rows: DataFrame) -> DataFrame:
     """WN13: (label, size, tempo): a label met again, in order of size, gets its tempo."""
     w = Window.partitionBy("label").orderBy(F.col("size").desc(), "tempo")
-    return rows.withColumn("name", F.when(F.row_number().over(w) > 1, F.concat("label", F.lit(" ("), F.round("tempo").cast("int"), F.lit(" bpm)"))).otherwise(F.col("label")))
+    return rows.withColumn("name", F.when(F.row_number().over(w) > 1, F.concat("label", F.lit(" · "), F.col("tempo").cast("int"), F.lit(" BPM"))).otherwise(F.col("label")))
 
 
 def probe(rows: DataFrame, reg: float = 0.01):

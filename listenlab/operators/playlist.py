@@ -24,7 +24,7 @@ def dna(items: DataFrame, names: list[str], least: int = 2) -> DataFrame:
     """AG32, C5: means, and cohesion as 1 less the mean deviation, cut to 0 and 1; of playlists with enough analysed tracks."""
     per = items.groupBy("playlist_id").agg(F.count("*").alias("n"), *[F.avg(n).alias(n) for n in names], *[F.stddev_pop(n).alias(f"s_{n}") for n in names]).where(F.col("n") >= least)
     raw = 1 - sum((F.col(f"s_{n}") for n in names), F.lit(0.0)) / len(names)
-    label = F.when(raw > 0.85, "laser-focused").when(raw > 0.7, "cohesive").when(raw > 0.5, "varied").otherwise("eclectic")
+    label = F.when(raw > 0.85, "Very tight / single vibe").when(raw > 0.7, "Cohesive").when(raw > 0.5, "Varied").otherwise("All over the place")  # fixed values
     return per.select("playlist_id", "n", *names, F.greatest(F.least(raw, F.lit(1.0)), F.lit(0.0)).alias("cohesion"), label.alias("kind"))
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from listenlab.functions import text as tx
 
+#: What tells a compilation.
+COMPILATION = r"\b(jukebox|mashup|medley|non ?stop|mega ?mix|all songs|full album|audio songs|video songs|hits|playlist|\bmix\b|dance cover|reaction)\b"
 #: A token in at most RARE titles is rare; a bucket of more rows isn't blocked on; a larger cluster isn't merged.
 RARE, POSTING, CLUSTER, PASSES = 6, 300, 4, 6
 
@@ -32,7 +34,7 @@ def kept(df: DataFrame) -> DataFrame:
 def signed(tracks: DataFrame) -> DataFrame:
     """DD1: all, title and artist tokens, and whether the title names a compilation."""
     title, artist = tx.tokens(F.col("title")), tx.tokens(F.col("artist"))
-    mix = F.regexp_like(F.lower(F.coalesce("title", F.lit(""))), F.lit("jukebox|mashup|nonstop|compilation|all songs"))
+    mix = F.regexp_like(F.lower(F.coalesce("title", F.lit(""))), F.lit(COMPILATION))
     return tracks.select("id", "title", "artist", title.alias("tt"), artist.alias("at"), F.array_union(title, artist).alias("toks"), mix.alias("mix"))
 
 
@@ -90,9 +92,9 @@ def eligible(clusters: DataFrame, signed: DataFrame, df: DataFrame) -> DataFrame
 
 
 def canonical(clusters: DataFrame, tracks: DataFrame) -> DataFrame:
-    """DD8: of each cluster the row with most information: external id, length, no pipe in the title, plays, a shorter title, a smaller id."""
+    """DD8: of each cluster the row with an external id, enriched, with a preview, without a pipe in the title, of most plays, of a shorter title, of a smaller id."""
     j = clusters.join(tracks, "id")
-    rank = F.struct(F.col("external").isNotNull(), F.col("duration_ms").isNotNull(), ~F.contains("title", F.lit("|")), F.col("plays"), -F.length("title"), -F.col("id"))
+    rank = F.struct(F.col("external").isNotNull(), F.coalesce(F.col("enriched") == 1, F.lit(False)), F.col("preview").isNotNull(), ~F.contains(F.coalesce("title", F.lit("")), F.lit("|")), F.col("plays"), -F.length(F.coalesce("title", F.lit(""))), -F.col("id"))
     return j.groupBy("root").agg(F.max_by("id", rank).alias("canonical"), F.count("*").alias("n"))
 
 

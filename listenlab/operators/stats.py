@@ -50,9 +50,9 @@ def mood_over_time(plays: DataFrame, features: DataFrame, names: list[str]) -> D
 
 
 def mood(e: Column, v: Column) -> Column:
-    """C1: quadrant of energy and valence; null if either is missing."""
+    """C1: quadrant of energy and valence; null if either is missing. The texts are fixed values."""
     return (
-        F.when(e.isNull() | v.isNull(), None).when((e >= 0.5) & (v >= 0.5), "hype").when(e >= 0.5, "intense").when(v >= 0.5, "chill").otherwise("melancholic")
+        F.when(e.isNull() | v.isNull(), None).when((e >= 0.5) & (v >= 0.5), "Energetic & Happy (hype)").when(e >= 0.5, "Energetic & Tense (intense)").when(v >= 0.5, "Calm & Happy (chill)").otherwise("Calm & Sad (melancholic)")
     )
 
 

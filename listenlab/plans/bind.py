@@ -12,6 +12,14 @@ KEYS = ["C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B"]
 UNIT = ["energy", "danceability", "valence", "acousticness", "brightness", "instrumentalness", "speechiness", "liveness"]
 
 
+#: Titles and channels of every kind that the title rules tell apart; {n} is a name, {b} a brand.
+SHAPES = [
+    "{n} | {b} | Official Video", "Watched {n} (Lyric Video)", "{n} Trailer", "{n} #shorts #dance", "{n} EP 3 the end eng sub", "{n} 東京 - 歌", "{b} - {n} ft. Someone", "{n} Song: {n} of {b}",
+    '{n} (From "The Film")', "Top 10 {n} @someone", "{n} full song 4K", "{n}’s own [Audio] it's {n}", "http://deleted.example/{n}", "THE {n} \U0001f3b5 LIVE AT {b}", "{n} workout podcast", "hd {n}",
+]
+CHANNELS = ["{b} - Topic", "T-Series", "games daily", "東 music", "{b}", "Think Music India", "someone of {n}"]
+
+
 def clip01(x: Column) -> Column:
     return F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0))
 
@@ -82,6 +90,24 @@ class Tables:
     def titles_raw(self) -> DataFrame:
         return self.raw("pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("artist"), "url")
 
+    @property
+    def videos(self) -> DataFrame:
+        filled = lambda forms, k: F.replace(F.replace(F.get(F.array(*map(F.lit, forms)), F.pmod(F.col("p_partkey"), F.lit(k)).cast("int")), F.lit("{n}"), F.col("p_name")), F.lit("{b}"), F.col("p_brand"))
+        return self.raw("part").select(
+            F.col("p_partkey").alias("id"), filled(SHAPES, len(SHAPES)).alias("title"), filled(CHANNELS, len(CHANNELS)).alias("channel"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"),
+            F.concat(F.when(F.col("p_partkey") % 13 == 0, "https://v.example/shorts/").otherwise("https://v.example/watch?v="), "p_partkey").alias("url"),
+            F.when(F.col("p_partkey") % 9 != 0, F.col("p_size") * 5).alias("seconds"), (F.col("p_partkey") % 20).alias("category"),
+        )
+
+    @property
+    def songs(self) -> DataFrame:
+        """Every part twice, under two titles: what duplicate resolution is for."""
+        p = self.raw("part")
+        one = lambda i, title: p.select((F.col("p_partkey") * 2 + i).alias("id"), title.alias("title"), F.col("p_brand").alias("artist"), ((F.col("p_partkey") + i * 3) % 7).alias("plays"))
+        name = F.concat("p_name", F.lit(" k"), "p_partkey")
+        rows = one(0, name).unionByName(one(1, F.concat(name, F.lit(" (Official Video)"))))
+        return rows.withColumns({"duration_ms": F.lit(None).cast("bigint"), "external": F.lit(None).cast("string"), "enriched": F.when(F.col("id") % 5 == 0, 1).otherwise(0), "preview": F.when(F.col("id") % 3 == 0, "x")})
+
     @property
     def top_items(self) -> DataFrame:
         w = Window.partitionBy("c_mktsegment").orderBy(F.col("c_acctbal").desc(), "c_custkey")
@@ -92,6 +118,8 @@ class Tables:
         return self.plays.groupBy("track_id").agg(F.count("*").alias("plays"))
 
 
+_LIST = lambda words: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+_FILL = lambda forms: f"replace(replace({_LIST(forms)}[p_partkey % {len(forms)} + 1], '{{n}}', p_name), '{{b}}', p_brand)"
 _E = lambda i: f"embedding[{i + 1}]::DOUBLE"
 _CLIP = lambda x: f"greatest(least({x}, 1.0::DOUBLE), 0.0::DOUBLE)"
 CTE = {
@@ -109,6 +137,8 @@ CTE = {
     "axis_labels": "axis_labels AS (SELECT doc_id AS track_id, 'quality' AS axis, quality AS value FROM labels UNION ALL SELECT doc_id, 'toxic', toxic FROM labels)",
     "titles_raw": "titles_raw AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS artist, url FROM pages)",
     "top_items": "top_items AS (SELECT c_mktsegment AS source, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS rank, c_name AS name, c_custkey AS item_id FROM customer)",
+    "videos": f"videos AS (SELECT p_partkey AS id, {_FILL(SHAPES)} AS title, {_FILL(CHANNELS)} AS channel, p_name AS name, p_brand AS brand, CASE WHEN p_partkey % 13 = 0 THEN 'https://v.example/shorts/' ELSE 'https://v.example/watch?v=' END || p_partkey AS url, CASE WHEN p_partkey % 9 <> 0 THEN p_size * 5 END AS seconds, p_partkey % 20 AS category FROM part)",
+    "songs": "songs AS (SELECT p_partkey * 2 + i AS id, p_name || ' k' || p_partkey || CASE WHEN i = 1 THEN ' (Official Video)' ELSE '' END AS title, p_brand AS artist, (p_partkey + i * 3) % 7 AS plays FROM part, (SELECT unnest([0, 1]) AS i))",
     "play_counts": "play_counts AS (SELECT track_id, count(*) AS plays FROM plays GROUP BY track_id)",
 }
 

@@ -91,7 +91,7 @@ def discovery(t):
     return m.discovery_series(t.plays, t.tracks)
 
 
-@query("discovery_ratio", sql("plays", "SELECT tracks, plays, round(r, 6) AS ratio, CASE WHEN r > .8 THEN 'explorer' WHEN r > .5 THEN 'balanced' WHEN r > .3 THEN 'comfort' ELSE 'loyalist' END AS kind FROM (SELECT count(DISTINCT track_id) AS tracks, count(*) AS plays, count(DISTINCT track_id) / count(*)::DOUBLE AS r FROM plays)"))
+@query("discovery_ratio", sql("plays", "SELECT tracks, plays, round(r, 6) AS ratio, CASE WHEN r > .8 THEN 'Explorer — you rarely repeat, always seeking new' WHEN r > .5 THEN 'Balanced — mix of new and familiar' WHEN r > .3 THEN 'Comfort listener — you replay favourites a lot' ELSE 'Loyalist — you loop a tight set of songs' END AS kind FROM (SELECT count(DISTINCT track_id) AS tracks, count(*) AS plays, count(DISTINCT track_id) / count(*)::DOUBLE AS r FROM plays)"))
 def ratio(t):
     return m.discovery_ratio(t.plays).withColumn("ratio", F.round("ratio", 6))
 
@@ -99,7 +99,7 @@ def ratio(t):
 _C = "c AS (SELECT artist, count(*) AS c FROM plays JOIN tracks ON id = track_id GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY c, artist) AS i, row_number() OVER (ORDER BY c DESC, artist) AS j FROM c)"
 
 
-@query("concentration", sql("tracks plays", """SELECT keys, round(g, 6) AS gini, hhi, top1, top5, top10, CASE WHEN g > .6 THEN 'devoted' WHEN g > .45 THEN 'focused' WHEN g > .3 THEN 'mixed' ELSE 'diverse' END AS kind FROM
+@query("concentration", sql("tracks plays", """SELECT keys, round(g, 6) AS gini, hhi, top1, top5, top10, CASE WHEN g > .6 THEN 'Very concentrated — a few artists dominate' WHEN g > .45 THEN 'Concentrated' WHEN g > .3 THEN 'Fairly even' ELSE 'Very diverse spread' END AS kind FROM
  (SELECT count(*) AS keys, CASE WHEN count(*) = 1 THEN 0.0 ELSE 2 * sum(i * c)::DOUBLE / (count(*) * sum(c)) - (count(*) + 1) / count(*)::DOUBLE END AS g, round(sum(c * c)::DOUBLE / (sum(c) * sum(c)), 6) AS hhi,
  round(sum(c) FILTER (j <= 1) / sum(c)::DOUBLE, 6) AS top1, round(sum(c) FILTER (j <= 5) / sum(c)::DOUBLE, 6) AS top5, round(sum(c) FILTER (j <= 10) / sum(c)::DOUBLE, 6) AS top10 FROM r)""", _C))
 def concentration(t):

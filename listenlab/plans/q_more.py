@@ -15,6 +15,7 @@ from listenlab.operators import stats as st
 from listenlab.streaming import plays as sp
 
 from .bind import UNIT, sql
+from .q_text import _MUSIC
 from .registry import query
 
 R = lambda n: F.round(n, 6).alias(n)
@@ -42,45 +43,6 @@ def summary(t):  # AG46
     return t.plays_ev.agg(F.count("*").alias("seen"), F.count_if(F.col("played_ms") < 30_000).alias("too_short"), F.count_if("skipped").alias("skipped"), F.countDistinct("track_id").alias("tracks"))
 
 
-@query("liked_items", "SELECT doc_id AS id FROM documents WHERE n_chars BETWEEN 75 AND 900 AND doc_id % 20 = 10")
-def liked(t):  # ETL10
-    rows = t.raw("documents").select(F.col("doc_id").alias("id"), F.lit("plain title").alias("title"), F.lit("someone").alias("channel"), F.col("n_chars").alias("seconds"), (F.col("doc_id") % 20).alias("category"))
-    return etl.liked(rows).select("id")
-
-
-@query("session_kinds", "SELECT kind, count(*) AS n FROM (SELECT CASE WHEN event_id % 11 = 0 THEN 'podcast' WHEN event_id % 3 = 0 THEN 'music' WHEN user_id * 20 > 1200 AND event_id % 2 = 0 THEN 'non-music' ELSE 'music' END AS kind FROM events) GROUP BY 1")
-def kinds(t):  # ETL9
-    e = F.col("event_id")
-    rows = t.raw("events").select(F.when(e % 11 == 0, "ep").alias("episode"), F.when(e % 3 == 0, "ATV").otherwise("UGC").alias("video_type"), (F.col("user_id") * 20).alias("seconds"), F.when(e % 2 != 0, "someone").alias("artist"))
-    return rows.groupBy(etl.session_kind(rows).alias("kind")).agg(F.count("*").alias("n"))
-
-
-@query("rescue_matches", sql("tracks", "SELECT id FROM tracks WHERE len(list_filter(string_split_regex(lower(title), '[^a-z0-9]+'), lambda x: length(x) >= 3)) > 0"))
-def rescue(t):  # ETL13
-    named = t.tracks.select("id", F.concat("title", F.lit(" by brand")).alias("title"))
-    return etl.rescue(named, t.tracks.select("id", F.col("title").alias("hit_title"), F.lit("brand").alias("hit_artist"))).select("id")
-
-
-@query("search_variants", sql("tracks", "SELECT id, title || ' ' || artist || '~' || title AS forms FROM tracks"))
-def variants(t):  # SF8, SF12
-    return t.tracks.select("id", F.array_join(tx.variants(F.col("title"), F.col("artist")), "~").alias("forms"))
-
-
-@query("prompts", sql("tracks", "SELECT id, 'This is a song that sounds ' || genre AS prompt FROM tracks"))
-def prompts(t):  # SF13
-    return t.tracks.select("id", tx.prompt(F.col("genre")).alias("prompt"))
-
-
-@query("scrubbed_titles", sql("tracks", "SELECT id, title FROM tracks"))
-def scrubbed(t):  # SF9
-    return t.tracks.select("id", tx.scrub(F.concat("title", F.lit(" \U0001f3b5 #tag @me shorts"))).alias("title"))
-
-
-@query("title_cases", sql("tracks", "SELECT id, artist FROM tracks"))
-def cases(t):  # SF17
-    return t.tracks.select("id", tx.title_case(F.upper("artist")).alias("artist"))
-
-
 @query("display_names", sql("tracks", "SELECT id, CASE WHEN id % 3 = 0 THEN 'Unknown' ELSE artist END || ' — ' || CASE WHEN id % 2 = 0 THEN 'stem' ELSE title END AS name FROM tracks"))
 def display(t):  # AX13
     return t.tracks.select("id", tx.display(F.when(F.col("id") % 2 != 0, F.col("title")), F.when(F.col("id") % 3 != 0, F.col("artist")), F.lit("stem")).alias("name"))
@@ -93,11 +55,6 @@ def artists(t):  # AX14, AR10
     return lists.select("playlist_id", F.array_join(F.transform("x", lambda s: s["artist"]), ", ").alias("artists"))
 
 
-@query("heuristic_scores", sql("features", "SELECT track_id, round(greatest(least(.6 * energy + .4 * (loudness_db + 35) / 30, 1), 0), 6) AS drive, round(greatest(least(.5 * danceability + .5 * (1 - abs(bpm - 120) / 120), 1), 0), 6) AS groove, round(greatest(least(.5 * acousticness + .5 * (1 - brightness), 1), 0), 6) AS warmth, round(greatest(least((1.6 - dynamic_range / 10) / 1.6, 1), 0), 6) AS flatness FROM features"))
-def heuristics(t):  # MT15
-    return au.heuristics(t.features).select("track_id", *map(R, ["drive", "groove", "warmth", "flatness"]))
-
-
 @query("key_estimates")
 def keys(t):  # SG2
     chroma = F.transform(F.slice("vec", 1, 12), lambda x: x + 1)
@@ -105,21 +62,19 @@ def keys(t):  # SG2
 
 
 def _sections(t):
-    spans = [(0, 30, 0), (30, 35, 1), (35, 90, 0), (90, 120, 2)]
-    secs = F.array(*[F.struct(F.lit(float(a)).alias("start"), F.lit(float(b)).alias("stop"), F.lit(c).alias("label"), F.get("vec", F.lit(i)).alias("energy")) for i, (a, b, c) in enumerate(spans)])
+    spans = [(0, 30, 0), (30, 35, 1), (35, 90, 0), (90, 120, 2), (120, 150, 1)]
+    # the length of the second section, and with it what merges, changes from track to track
+    cut = (F.col("track_id") % 20).cast("double")
+    at = lambda x: F.lit(30.0) + cut if x == 35 else F.lit(float(x))
+    secs = F.array(*[F.struct(at(a).alias("start"), at(b).alias("stop"), F.lit(c).alias("label"), F.abs(F.get("vec", F.lit(i))).alias("energy")) for i, (a, b, c) in enumerate(spans)])
     return t.vectors.select("track_id", secs.alias("s"))
 
 
-@query("merged_sections", sql("vectors", "SELECT track_id, 3 AS n, round((vec[1] * 30 + vec[2] * 5) / 35, 6) AS first_energy FROM vectors"))
+@query("merged_sections", sql("vectors", "SELECT track_id, CASE WHEN c < 8 THEN 4 ELSE 5 END AS n, round(CASE WHEN c < 8 THEN (abs(vec[1]) * 30 + abs(vec[2]) * c) / (30 + c) ELSE abs(vec[1]) END, 6) AS first_energy FROM (SELECT *, (track_id % 20)::DOUBLE AS c FROM vectors)"))
 def sections(t):  # AR12
     return _sections(t).select("track_id", au.merge_short(F.col("s")).alias("s")).select("track_id", F.size("s").alias("n"), F.round(F.get("s", F.lit(0))["energy"], 6).alias("first_energy"))
 
 
-@query("excerpt_windows")
-def excerpts(t):  # AR11
-    return _sections(t).select("track_id", au.excerpts("s", F.lit(2), F.lit(20.0)).alias("starts"))
-
-
 @query("dossier", sql("features", "SELECT " + ", ".join(f"round(100.0 * (SELECT count(*) FROM f x WHERE x.{n} < f.{n}) / (SELECT count(*) FROM f), 6)::DOUBLE AS {n}" for n in UNIT) + " FROM f WHERE track_id = 42", "f AS (SELECT * FROM features WHERE error IS NULL)"))
 def dossier(t):  # RP2: one pass, each feature's count of smaller values beside the row looked at
     ok = t.features.where("error IS NULL")
@@ -167,3 +122,38 @@ def streamed(t):  # SM4, SM5: the log as a stream, all that is there, into a tab
     counts = sp.running_counts(sp.read(t.spark, f"{root}/in", "track_id long, source string"))
     sp.available(counts, f"{root}/ck", lambda df, _: df.write.mode("overwrite").parquet(f"{root}/out"), "complete")
     return t.spark.read.parquet(f"{root}/out")
+
+
+# ranks of sections by label count, energy and length, the excerpt in the middle of each, then the greedy choice for two excerpts spelt out
+@query("excerpt_windows")
+def excerpts(t):  # AR11
+    x = _sections(t).select("track_id", au.excerpts("s", F.lit(150.0), F.lit(2), F.lit(20.0)).alias("e"))
+    return x.select("track_id", F.inline("e"))
+
+
+_SC = ["onset_mean", "rolloff", "zcr", "flatness", "harmonic_ratio", "beat_regularity"]
+_SCV = ["energy * 3", "brightness * 8000", "speechiness * .2", "liveness * .1", "acousticness", "danceability"]
+_C = lambda x: f"greatest(least({x}, 1), 0)"
+
+
+@query("heuristic_scores", sql("features", f"SELECT track_id, round({_C(f'.45 * {_C("onset_mean / 3")} + .30 * exp(0 - (bpm - 120) ^ 2 / 2450) + .15 * energy + .10 * beat_regularity')}, 6) AS danceability, round({_C(f'.35 * energy + .25 * brightness + .20 * {_C("bpm / 160")} + CASE WHEN mode = $$major$$ THEN .20 ELSE 0 END')}, 6) AS valence, round({_C(f'1 - .6 * {_C("rolloff / 6000")} - .4 * {_C("zcr / .15")}')}, 6) AS acousticness, round({_C(f'.6 * harmonic_ratio + .4 * (1 - {_C("flatness / .1")})')}, 6) AS instrumentalness, round({_C(f'.5 * {_C("zcr / .12")} + .3 * {_C("flatness / .05")} + .2 * (1 - beat_regularity)')}, 6) AS speechiness, round({_C(f'.5 * {_C("flatness / .06")} + .5 * {_C("dynamic_range / 25")}')}, 6) AS liveness FROM x",
+ "x AS (SELECT track_id, bpm, energy, brightness, mode, dynamic_range, " + ", ".join(f"{v} AS {n}" for n, v in zip(_SC, _SCV)) + " FROM features)"))
+def heuristics(t):  # MT15
+    rows = t.features.select("track_id", "bpm", "energy", "brightness", "mode", "dynamic_range", *[F.expr(v).alias(n) for n, v in zip(_SC, _SCV)])
+    return au.heuristics(rows).select("track_id", *map(R, ["danceability", "valence", "acousticness", "instrumentalness", "speechiness", "liveness"]))
+
+
+@query("liked_items", sql("videos", "SELECT id FROM mv WHERE seconds BETWEEN 75 AND 900 AND length(regexp_replace(title, '[^\\p{L}\\p{N}]', '', 'g')) >= 2 AND (category = 10 OR music)", _MUSIC))
+def liked(t):  # ETL10
+    return etl.liked(t.videos).select("id")
+
+
+_KIND = "CASE WHEN event_id % 11 = 0 THEN 'nonmusic' WHEN event_id % 5 = 0 THEN 'nonmusic' WHEN event_id % 3 = 0 THEN 'music_video' WHEN event_id % 7 = 0 THEN 'song' WHEN event_id % 2 = 0 AND (user_id * 20 > 1200 OR user_id % 4 = 0) THEN 'nonmusic' ELSE 'song' END"
+
+
+@query("session_kinds", f"SELECT event_id, {_KIND} AS kind FROM events")
+def kinds(t):  # ETL9
+    e = F.col("event_id")
+    kind = F.when(e % 5 == 0, "music_video_type_podcast_episode").when(e % 3 == 0, "MUSIC_VIDEO_TYPE_OMV").when(e % 7 == 0, "MUSIC_VIDEO_TYPE_UGC")
+    rows = t.raw("events").select("event_id", F.when(e % 11 == 0, "ep").alias("episode"), kind.alias("video_type"), (F.col("user_id") * 20).alias("seconds"), F.when(e % 2 != 0, "someone").alias("artist"), F.when(F.col("user_id") % 4 != 0, "album").alias("album"))
+    return rows.select("event_id", etl.session_kind(rows).alias("kind"))

@@ -71,9 +71,15 @@ def use(t):
     return t.features.select("track_id", mu.best_use().alias("b")).select("track_id", "b.use", F.round("b.score", 6).alias("score"))
 
 
-@query("slop_prior", sql("features", "SELECT track_id, round(p, 6) AS score, round(c, 6) AS confidence, CASE WHEN c < .35 THEN 'uncertain' WHEN p >= .65 THEN 'likely synthetic' WHEN p <= .3 THEN 'likely human' ELSE 'ambiguous' END AS verdict FROM (SELECT track_id, 1 / (1 + exp(-(-2.4 + 1.9 * energy + 1.7 * danceability + 1.5 * valence))) AS p, (1.9 + 1.7 + 1.5) / 9.5 AS c FROM features)"))
+_SIG = list(mu.SLOP)[:6]
+_SLP = "s AS (SELECT track_id, " + ", ".join(f"{'CASE WHEN track_id % 3 <> 0 THEN ' + u + ' END' if i == 5 else u} AS {n}" for i, (n, u) in enumerate(zip(_SIG, UNIT))) + ", dynamic_range * 4 AS seconds FROM features)"
+
+
+@query("slop_prior", sql("features", "SELECT track_id, round(p, 6) AS score, round(c, 6) AS confidence, CASE WHEN c < .35 THEN 'unclear' WHEN p >= .65 THEN 'likely generated' WHEN p <= .3 THEN 'likely human-performed' ELSE 'machine-produced, origin unclear' END AS verdict FROM (SELECT track_id, 1 / (1 + exp(-(-2.4 + "
+ + " + ".join(f"{mu.SLOP[n]} * coalesce({n}, 0)" for n in _SIG) + "))) AS p, (" + " + ".join(f"({n} IS NOT NULL)::INTEGER" for n in _SIG) + ") / 9.0::DOUBLE * (.6 + .4 * least(seconds / 60, 1)) AS c FROM s)", _SLP))
 def slop(t):  # MT13, MT14
-    p, c = mu.slop_prior({"phase": F.col("energy"), "checkerboard": F.col("danceability"), "hf_cliff": F.col("valence")})
+    sig = {n: F.when(F.col("track_id") % 3 != 0, F.col(u)) if i == 5 else F.col(u) for i, (n, u) in enumerate(zip(_SIG, UNIT))}
+    p, c = mu.slop_prior(sig, F.col("dynamic_range") * 4)
     return t.features.select("track_id", F.round(p, 6).alias("score"), F.round(c, 6).alias("confidence"), mu.verdict(p, c).alias("verdict"))
 
 
@@ -104,7 +110,7 @@ def flow(t):
 _RAW = "1 - (" + " + ".join(f"stddev_pop({n})" for n in UNIT) + ") / 8"
 
 
-@query("playlist_dna", sql("playlist_tracks features", f"SELECT playlist_id, n, {', '.join(f'round({x}, 6) AS {x}' for x in UNIT)}, round(greatest(least(c, 1), 0), 6) AS cohesion, CASE WHEN c > .85 THEN 'laser-focused' WHEN c > .7 THEN 'cohesive' WHEN c > .5 THEN 'varied' ELSE 'eclectic' END AS kind FROM g",
+@query("playlist_dna", sql("playlist_tracks features", f"SELECT playlist_id, n, {', '.join(f'round({x}, 6) AS {x}' for x in UNIT)}, round(greatest(least(c, 1), 0), 6) AS cohesion, CASE WHEN c > .85 THEN 'Very tight / single vibe' WHEN c > .7 THEN 'Cohesive' WHEN c > .5 THEN 'Varied' ELSE 'All over the place' END AS kind FROM g",
  f"{_FC}, {_PT}, g AS (SELECT playlist_id, count(*) AS n, {', '.join(f'avg({x}) AS {x}' for x in UNIT)}, {_RAW} AS c FROM pt GROUP BY 1 HAVING count(*) >= 2)"))
 def dna(t):
     return pl.dna(_items(t), UNIT).select("playlist_id", "n", *map(R, UNIT), R("cohesion"), "kind")

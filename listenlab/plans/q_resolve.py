@@ -4,25 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from listenlab.functions import text as tx
 from listenlab.operators import macro as m
 from listenlab.operators import recommend as rc
 from listenlab.operators import resolve as rs
 
+from . import bind
 from .bind import sql
 from .registry import query
 
 R = lambda n: F.round(n, 6).alias(n)
-_NOISE = ", ".join(f"'{w}'" for w in __import__("listenlab.functions.text", fromlist=["x"]).TOKEN_NOISE)
-_TOK = "list_distinct(list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda x: length(x) >= 2 AND x NOT IN (" + _NOISE + ")))"
-# bound to documents' first words: enough near-copies to match
-_DOCS = "dt AS (SELECT doc_id AS id, regexp_replace(substr(text, 1, 40), '[^A-Za-z0-9 ]', ' ', 'g') AS title, source AS artist FROM documents)"
+_NOISE = ", ".join(f"'{w}'" for w in tx.TOKEN_NOISE)
+_TOK = "list_distinct(list_filter(string_split_regex(regexp_replace(replace(replace(lower({}), chr(39), ''), '’', ''), '[(\\[][^)\\]]*[)\\]]', ' ', 'g'), '[^a-z0-9]+'), lambda x: length(x) >= 2 AND x NOT IN (" + _NOISE + ")))"
+_DOCS = bind.CTE["songs"] + ", dt AS (SELECT *, id % 5 = 0 AS enriched, id % 3 = 0 AS preview FROM songs)"
 _SIG = f"{_DOCS}, sg AS (SELECT id, {_TOK.format('title')} AS tt, {_TOK.format('artist')} AS att FROM dt), po AS (SELECT id, unnest(tt) AS token FROM sg), fr AS (SELECT token, count(*) AS df FROM po GROUP BY 1), bl AS (SELECT DISTINCT x.id AS a, y.id AS b FROM po x JOIN po y ON x.token = y.token AND x.id < y.id WHERE x.token IN (SELECT token FROM fr WHERE df BETWEEN 2 AND 300))"
 _MT = "tk AS (SELECT id, tt, list_distinct(list_concat(tt, att)) AS toks FROM sg), mt AS (SELECT a, b FROM (SELECT a, b, list_intersect(x.toks, y.toks) AS bo, x.tt AS ta, y.tt AS tb, x.toks AS ka, y.toks AS kb, CASE WHEN len(x.tt) <= len(y.tt) THEN x.tt ELSE y.tt END AS sm FROM bl JOIN tk x ON x.id = a JOIN tk y ON y.id = b) WHERE len(bo) >= 2 AND (len(ta) > 0 AND len(list_filter(ta, lambda z: NOT list_contains(kb, z))) = 0 OR len(tb) > 0 AND len(list_filter(tb, lambda z: NOT list_contains(ka, z))) = 0) AND len(list_filter(bo, lambda z: NOT list_contains(sm, z))) >= 1 AND (len(sm) > 1 OR length(sm[1]) >= 4) AND EXISTS (SELECT 1 FROM (SELECT unnest(bo) AS z) JOIN fr ON token = z WHERE df <= 6))"
 _CC = "es AS (SELECT a AS x, b AS y FROM mt UNION ALL SELECT b, a FROM mt), rc(x, y) AS (SELECT x, y FROM es UNION SELECT rc.x, es.y FROM rc JOIN es ON rc.y = es.x), cc AS (SELECT x AS id, least(x, min(y)) AS root FROM rc GROUP BY x)"
 
 
 def _docs(t):
-    return t.raw("documents").select(F.col("doc_id").alias("id"), F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z0-9 ]", " ").alias("title"), F.col("source").alias("artist"), F.lit(None).cast("bigint").alias("duration_ms"), F.lit(None).cast("string").alias("external"), (F.col("doc_id") % 7).alias("plays"))
+    return t.songs
 
 
 def _signed(t):
@@ -68,7 +69,7 @@ def eligible(t):
     return rs.eligible(rs.components(rs.matched(s, rs.blocked(s), df)), s, df)
 
 
-@query("canonical_pick", f"WITH RECURSIVE {_SIG}, {_MT}, {_CC} SELECT root, id AS canonical, n FROM (SELECT root, cc.id, count(*) OVER (PARTITION BY root) AS n, row_number() OVER (PARTITION BY root ORDER BY cc.id % 7 DESC, length(title), cc.id) AS k FROM cc JOIN dt ON dt.id = cc.id) WHERE k = 1")
+@query("canonical_pick", f"WITH RECURSIVE {_SIG}, {_MT}, {_CC} SELECT root, id AS canonical, n FROM (SELECT root, cc.id, count(*) OVER (PARTITION BY root) AS n, row_number() OVER (PARTITION BY root ORDER BY enriched DESC, preview DESC, plays DESC, length(title), cc.id) AS k FROM cc JOIN dt ON dt.id = cc.id) WHERE k = 1")
 def canonical(t):
     s = rs.kept(_signed(t))
     return rs.canonical(rs.components(rs.matched(s, rs.blocked(s), rs.frequency(s))), _docs(t))

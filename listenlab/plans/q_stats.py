@@ -41,7 +41,7 @@ def mood_time(t):
     return s.mood_over_time(t.plays, t.features, FIVE).select("month", *map(R, FIVE), "plays")
 
 
-@query("mood_quadrant", sql("features", "SELECT CASE WHEN energy >= .5 AND valence >= .5 THEN 'hype' WHEN energy >= .5 THEN 'intense' WHEN valence >= .5 THEN 'chill' ELSE 'melancholic' END AS mood, count(*) AS n FROM features WHERE error IS NULL GROUP BY 1"))
+@query("mood_quadrant", sql("features", "SELECT CASE WHEN energy >= .5 AND valence >= .5 THEN 'Energetic & Happy (hype)' WHEN energy >= .5 THEN 'Energetic & Tense (intense)' WHEN valence >= .5 THEN 'Calm & Happy (chill)' ELSE 'Calm & Sad (melancholic)' END AS mood, count(*) AS n FROM features WHERE error IS NULL GROUP BY 1"))
 def quadrant(t):
     return t.features.where("error IS NULL").groupBy(s.mood(F.col("energy"), F.col("valence")).alias("mood")).agg(F.count("*").alias("n"))
 

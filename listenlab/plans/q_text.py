@@ -25,12 +25,6 @@ def plain(t):
     return t.tracks.select("id", tx.plain(F.col("title")).alias("k"))
 
 
-@query("artist_split", sql("lyrics", "SELECT track_id, CASE WHEN strpos(s, ' | ') > 1 THEN trim(split_part(s, ' | ', 1)) WHEN strpos(s, ': ') > 1 THEN trim(split_part(s, ': ', 1)) ELSE 'channel' END AS artist FROM (SELECT track_id, replace(replace(split_part(text, chr(10), 1), ' - ', ' '), ' – ', ' ') AS s FROM lyrics)"))
-def artist_split(t):
-    line = F.replace(F.replace(F.substring_index("text", "\n", 1), F.lit(" - "), F.lit(" ")), F.lit(" – "), F.lit(" "))
-    return t.lyrics.select("track_id", tx.split_artist(line, F.lit("channel - Topic"))[0].alias("artist"))
-
-
 @query("video_id", sql("titles_raw", "SELECT page_id, nullif(regexp_extract(url || '?v=abc_' || page_id || 'xyz', '[?&]v=([\\w-]{6,})', 1), '') AS video FROM titles_raw"))
 def video(t):
     return t.titles_raw.select("page_id", tx.video_id(F.concat("url", F.lit("?v=abc_"), "page_id", F.lit("xyz"))).alias("video"))
@@ -82,41 +76,8 @@ def normal_stats(t):
     return etl.normal_stats(etl.normalised(t.titles_raw.select("page_id", "title", "artist")))
 
 
-_MUS = "v AS (SELECT doc_id AS id, source AS channel, text AS title, contains(lower(source), 'src1') OR contains(lower(text), 'song') OR contains(lower(text), 'ost ') AS music FROM documents)"
-
-
-def _videos(t):
-    low = F.lower("text")
-    return t.raw("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("channel"), F.col("text").alias("title"), (F.contains(F.lower("source"), F.lit("src1")) | F.contains(low, F.lit("song")) | F.contains(low, F.lit("ost "))).alias("music"))
-
-
-@query("channel_share", f"WITH {_MUS} SELECT lower(channel) AS channel, count(*) AS n, count(*) FILTER (music) AS music FROM v GROUP BY 1 HAVING count(*) >= 2 AND count(*) FILTER (music) / count(*)::DOUBLE >= .5")
-def share(t):
-    return etl.channel_share(_videos(t))
-
-
-@query("propagate_music", f"""WITH {_MUS}, g AS (SELECT lower(channel) AS ch FROM v GROUP BY 1 HAVING count(*) >= 2 AND count(*) FILTER (music) / count(*)::DOUBLE >= .5)
- SELECT id, CASE WHEN music THEN 'direct' WHEN ch IS NOT NULL AND NOT regexp_matches(title, '(?i)\\b(trailer|interview|making of|behind the scenes|press meet|speech)\\b') THEN 'channel' END AS reason FROM v LEFT JOIN g ON ch = lower(channel)""")
-def propagate(t):
-    return etl.propagate(_videos(t)).select("id", "reason")
 
 
-_HINT = " OR ".join([f"contains(lower(source), '{w}')" for w in etl.MUSIC_CHANNELS] + [f"contains(lower(text), '{w}')" for w in etl.MUSIC_TITLES])
-
-
-@query("music_flag", f"SELECT doc_id AS id, {_HINT} AS music FROM documents")
-def flag(t):
-    return t.raw("documents").select(F.col("doc_id").alias("id"), etl.music_hint(F.col("text"), F.col("source")).alias("music"))
-
-
-@query("non_music_gate", "SELECT doc_id AS id, regexp_matches(text, '(?i)\\b(trailer|teaser|interview|podcast|reaction|review|vlog|news|gameplay|tutorial|highlights|episode)\\b') AS gated FROM documents")
-def gate(t):
-    return t.raw("documents").select(F.col("doc_id").alias("id"), etl.not_music(F.col("text")).alias("gated"))
-
-
-@query("short_gate", sql("titles_raw", "SELECT page_id, regexp_matches(title || ' ' || url, '(?i)#shorts?\\b|\\bytshorts\\b|/shorts/') OR len(regexp_extract_all(title, '#\\w+')) >= 2 AS short FROM titles_raw"))
-def shorts(t):
-    return t.titles_raw.select("page_id", etl.is_short(F.col("title"), F.col("url")).alias("short"))
 
 
 _CNT = "c AS (SELECT track_id, w, len(w) AS n FROM (SELECT track_id, regexp_extract_all(lower(text), '([a-z'']+)', 1) AS w FROM lyrics) WHERE len(w) >= 5)"
@@ -160,3 +121,151 @@ def mismatch(t):
     j = t.features.select("track_id", "valence").join(t.lyrics.select("track_id", ly.sentiment(F.col("text")).alias("mood")), "track_id")
     kind, gap = ly.mismatch(F.col("valence"), F.col("mood"))
     return j.select("track_id", kind.alias("kind"), gap.alias("gap")).where("kind IS NOT NULL").orderBy(F.col("gap").desc(), "track_id").limit(10).select("track_id", "kind", R("gap"))
+
+
+# patterns and words are the rules' fixed values; the SQL says on its own how they decide
+_Q = lambda text: "'" + text.replace("'", "''") + "'"
+_ANY = lambda column, words: "len(list_filter([" + ", ".join(map(_Q, words)) + f"], lambda w: contains(lower({column}), w))) > 0"
+_CJK = "regexp_matches({}, '[\\x{{3040}}-\\x{{30FF}}\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}\\x{{AC00}}-\\x{{D7AF}}]')"
+_PART = "len(list_filter([" + ", ".join(map(_Q, etl.CJK_MARKS)) + "], lambda w: contains(title, w))) > 0"
+_HINT = f"({_ANY('channel', etl.MUSIC_CHANNELS)} OR {_ANY('title', etl.MUSIC_TITLES)} OR {_CJK.format('title')} AND ({_CJK.format('channel')} OR contains(lower(channel), 'music') OR {_PART}))"
+_MUSIC = f"mv AS (SELECT *, {_HINT} AS music FROM videos)"
+
+
+def _hinted(t):
+    return t.videos.withColumn("music", etl.music_hint(F.col("title"), F.col("channel")))
+
+
+_SEPS = lambda part, last: " ".join(f"WHEN contains(title, '{x}') THEN {part.format(x=x, n=len(x))}" for x in tx.SEPARATORS) + f" ELSE {last}"
+
+
+@query("artist_split", sql("videos", "SELECT id, CASE WHEN m THEN who " + _SEPS("trim(split_part(title, '{x}', 1))", "who") + " END AS artist, CASE WHEN m THEN trim(n, ' -–|:') " + _SEPS("trim(substr(title, strpos(title, '{x}') + {n}))", "title") + f" END AS song FROM (SELECT *, n <> '' AND NOT contains(n, ' - ') AS m FROM (SELECT *, regexp_extract(title, {_Q(tx.SONG_LABEL)}, 1) AS n, trim(regexp_replace(channel, ' - Topic$', '')) AS who FROM videos))"))
+def artist_split(t):  # SF2
+    artist, song = tx.split_artist(F.col("title"), F.col("channel"))
+    return t.videos.select("id", artist.alias("artist"), song.alias("song"))
+
+
+@query("music_flag", sql("videos", "SELECT id, music FROM mv", _MUSIC))
+def flag(t):  # ETL5
+    return _hinted(t).select("id", "music")
+
+
+@query("direct_music", sql("videos", "SELECT id, music OR category = 10 AS music FROM mv", _MUSIC))
+def direct(t):  # ETL6
+    return t.videos.select("id", etl.direct(F.col("title"), F.col("channel"), F.col("category")).alias("music"))
+
+
+@query("metadata_music", sql("videos", f"SELECT id, {_ANY('channel', etl.MUSIC_CHANNELS)} OR {_ANY('title', etl.MUSIC_TITLES)} AS music FROM videos"))
+def metadata(t):  # AX15
+    return t.videos.select("id", etl.metadata_music(F.col("title"), F.col("channel")).alias("music"))
+
+
+@query("channel_share", sql("videos", "SELECT lower(channel) AS channel, count(*) AS n, count(*) FILTER (music) AS music FROM mv GROUP BY 1 HAVING count(*) >= 2 AND count(*) FILTER (music) / count(*)::DOUBLE >= .5", _MUSIC))
+def share(t):
+    return etl.channel_share(_hinted(t))
+
+
+@query("propagate_music", sql("videos", "SELECT id, CASE WHEN music THEN 'direct' WHEN ch IS NOT NULL AND NOT regexp_matches(title, '(?i)\\b(trailer|interview|making of|behind the scenes|press meet|speech)\\b') THEN 'channel' END AS reason FROM mv LEFT JOIN g ON ch = lower(channel)",
+ f"{_MUSIC}, g AS (SELECT lower(channel) AS ch FROM mv GROUP BY 1 HAVING count(*) >= 2 AND count(*) FILTER (music) / count(*)::DOUBLE >= .5)"))
+def propagate(t):
+    return etl.propagate(_hinted(t)).select("id", "reason")
+
+
+@query("non_music_gate", sql("videos", f"SELECT id, regexp_matches(title, {_Q(etl.NOT_MUSIC)}) OR regexp_matches(title, {_Q(etl.DRAMA)}) OR regexp_matches(title, {_Q(etl.PROMO)}) AS gated FROM videos"))
+def gate(t):  # ETL1
+    return t.videos.select("id", etl.not_music(F.col("title")).alias("gated"))
+
+
+@query("short_gate", sql("videos", f"SELECT id, (regexp_matches(title || ' ' || channel, {_Q(etl.SHORTS)}) OR len(regexp_extract_all(title, '#[^\\s#]+')) >= 2) AND NOT regexp_matches(title || ' ' || channel, {_Q(etl.DRAMA)}) AS short FROM videos"))
+def shorts(t):  # ETL2
+    return t.videos.select("id", etl.is_short(F.col("title"), F.col("channel")).alias("short"))
+
+
+@query("short_clips", sql("videos", "SELECT id FROM mv WHERE regexp_matches(title, '(?i)#\\s*shorts?\\b') OR contains(url, '/shorts/') OR seconds > 0 AND seconds < 45 AND NOT music", _MUSIC))
+def clips(t):  # ETL8
+    v = _hinted(t)
+    return v.where(etl.short_clip(F.col("title"), F.col("url"), F.col("seconds"), F.col("music"))).select("id")
+
+
+_EXC = "ex AS (SELECT *, CASE WHEN id % 6 = 0 THEN 'deleted/private' ELSE 'Music' END AS cat, CASE WHEN id % 4 <> 0 THEN 'non-music' ELSE 'short' END AS reason FROM videos)"
+
+
+@query("residual_candidates", sql("videos", "SELECT id FROM ex WHERE reason = 'non-music' AND cat <> 'deleted/private' AND NOT starts_with(title, 'http') AND NOT coalesce(seconds > 0 AND seconds < 60, false)", _EXC))
+def residual(t):  # ETL12
+    i = F.col("id")
+    rows = t.videos.drop("category").withColumns({"category": F.when(i % 6 == 0, "deleted/private").otherwise("Music"), "reason": F.when(i % 4 != 0, "non-music").otherwise("short")})
+    return etl.candidates(rows).select("id")
+
+
+_WORDS = lambda c: f"list_distinct(list_filter(string_split_regex(lower({c}), '[^a-z0-9\\x{{AC00}}-\\x{{D7A3}}]+'), lambda w: length(w) >= 3))"
+_TOLD = lambda artist, said: f"(contains(lower({said}), lower({artist})) OR len(list_intersect(list_filter({_WORDS(artist)}, lambda w: length(w) >= 4), {_WORDS(said)})) > 0)"
+
+
+@query("rescue_matches", sql("videos", f"SELECT id FROM (SELECT *, {_WORDS('hit')} AS h, {_WORDS('title')} AS w FROM hv) WHERE len(h) > 0 AND len(list_intersect(h, w)) / len(h)::DOUBLE >= .45 AND {_TOLD('who', chr(39) + chr(39) + ' || title || ' + chr(39) + ' ' + chr(39) + ' || channel')} AND NOT regexp_matches(title, {_Q(etl.RESCUE_VETO)})",
+ "hv AS (SELECT *, name || CASE WHEN id % 3 = 0 THEN ' night long song' ELSE ' one' END AS hit, CASE WHEN id % 2 = 0 THEN brand ELSE 'nobody known' END AS who FROM videos)"))
+def rescue(t):  # ETL13
+    v = t.videos
+    i = F.col("id")
+    hits = v.select("id", F.concat("name", F.when(i % 3 == 0, " night long song").otherwise(" one (From the Film)")).alias("hit_title"), F.when(i % 2 == 0, F.col("brand")).otherwise("nobody known").alias("hit_artist"))
+    return etl.rescue(v.select("id", "title", "channel"), hits).select("id")
+
+
+@query("false_rescues", sql("videos", f"SELECT id FROM (SELECT *, CASE WHEN id % 2 = 0 THEN brand ELSE name || ' quartet' END AS who FROM videos) WHERE NOT {_TOLD('who', chr(39) + chr(39) + ' || title || ' + chr(39) + ' ' + chr(39) + ' || channel')}"))
+def purged(t):  # ETL14
+    rows = t.videos.select("id", F.when(F.col("id") % 2 == 0, F.col("brand")).otherwise(F.concat("name", F.lit(" quartet"))).alias("artist"), F.col("title").alias("original_video"), "channel")
+    return etl.false_rescues(rows).select("id")
+
+
+@query("category_added", sql("videos", "SELECT id AS video, seconds FROM mv WHERE NOT music AND category = 10 AND id % 7 <> 0", _MUSIC))
+def added(t):  # ETL15, SRC15
+    v = t.videos.withColumnRenamed("id", "video")
+    return etl.by_category(v.select("video", "title", "channel"), v.where("video % 7 = 0").select("video"), v.select("video", "category", "seconds")).select("video", "seconds")
+
+
+_RC = f"trim(regexp_replace(regexp_replace(regexp_replace({{}}, {_Q(tx.RESCUE_BRACKETS)}, '', 'g'), {_Q(tx.RESCUE_NOISE)}, '', 'g'), '[#@]\\w+', '', 'g'), ' -–—|·•\"' || chr(39))"
+
+
+@query("rescue_titles", sql("videos", f"SELECT id, {_RC.format('title')} AS title FROM videos"))
+def rescue_titles(t):  # AX16
+    return t.videos.select("id", tx.rescue_clean(F.col("title")).alias("title"))
+
+
+@query("search_variants", sql("videos", "SELECT id, array_to_string(list_filter(f, lambda x, i: list_position(list_transform(f, lambda y: lower(y)), lower(x)) = i), '~') AS forms FROM (SELECT id, list_filter([CASE WHEN length(regexp_replace(lower(h), '[^a-z0-9]', '', 'g')) >= 3 THEN h END, l, trim(substr(b, 1, 60))], lambda x: x IS NOT NULL AND length(regexp_replace(lower(x), '[^a-z0-9\\x{AC00}-\\x{D7A3}]', '', 'g')) >= 3) AS f FROM (SELECT id, b, trim(split_part(b, '|', 1)) AS h, CASE WHEN contains(b, ' - ') THEN "
+ + _RC.format("list_extract(string_split(b, ' - '), -1)") + " END AS l FROM (SELECT id, " + _RC.format("title") + " AS b FROM videos)))"))
+def variants(t):  # SF12
+    return t.videos.select("id", F.array_join(tx.variants(F.col("title")), "~").alias("forms"))
+
+
+_END = "[" + ", ".join(map(_Q, tx.END_NOISE)) + "]"
+
+
+@query("song_cores", sql("videos", f"SELECT id, CASE WHEN length(c) >= 3 THEN c ELSE '' END AS core FROM (SELECT id, array_to_string(CASE WHEN len(g) > 0 THEN w[list_min(g):list_max(g)] ELSE [] END, ' ') AS c FROM (SELECT id, w, list_filter(range(1, len(w) + 1), lambda i: NOT list_contains({_END}, lower(w[i]))) AS g FROM (SELECT id, list_filter(string_split(trim(regexp_replace(string_split_regex(regexp_replace(title, '[(\\[{{][^)\\]}}]*[)\\]}}]', ' ', 'g'), {_Q(tx.CUT)})[1], '\\s+', ' ', 'g'), ' -–—|:\"'), ' '), lambda x: x <> '') AS w FROM videos)))"))
+def cores(t):  # SF8
+    return t.videos.select("id", tx.core(F.col("title")).alias("core"))
+
+
+@query("long_words", sql("videos", f"SELECT id, array_to_string(list_sort({_WORDS('title')}), ' ') AS words FROM videos"))
+def long_words(t):  # SF7
+    return t.videos.select("id", F.array_join(F.sort_array(tx.long_words(F.col("title"))), " ").alias("words"))
+
+
+@query("prompts", sql("videos", "SELECT id, CASE WHEN starts_with(l, 'this is') OR starts_with(l, 'a ') OR starts_with(l, 'an ') OR starts_with(l, 'the sound of') THEN b ELSE 'This is a recording of ' || b || '.' END AS prompt FROM (SELECT id, b, lower(b) AS l FROM (SELECT id, rtrim(trim(x), '.') AS b FROM (SELECT id, CASE id % 5 WHEN 0 THEN 'A ' || name || '.' WHEN 1 THEN ' this is ' || name WHEN 2 THEN 'The sound of ' || name || '..' ELSE name || '.' END AS x FROM videos)))"))
+def prompts(t):  # SF13
+    i = F.col("id") % 5
+    x = F.when(i == 0, F.concat(F.lit("A "), "name", F.lit("."))).when(i == 1, F.concat(F.lit(" this is "), "name")).when(i == 2, F.concat(F.lit("The sound of "), "name", F.lit(".."))).otherwise(F.concat("name", F.lit(".")))
+    return t.videos.select("id", tx.prompt(x).alias("prompt"))
+
+
+@query("scrubbed_titles", sql("videos", "SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(title, '[\\x{1F000}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{FE0F}]', '', 'g'), '[#@][\\w.]+', '', 'g'), '(?i)\\bshorts?\\b', '', 'g'), '\\s+', ' ', 'g')) AS title FROM videos"))
+def scrubbed(t):  # SF9
+    return t.videos.select("id", tx.scrub(F.col("title")).alias("title"))
+
+
+@query("title_cases", sql("videos", "SELECT id, CASE WHEN upper(x) = x AND lower(x) <> x THEN array_to_string(list_transform(string_split(lower(x), ' '), lambda w: upper(w[1]) || w[2:]), ' ') ELSE x END AS title FROM (SELECT id, CASE WHEN id % 2 = 0 THEN upper(name) ELSE name END AS x FROM videos)"))
+def cases(t):  # SF17
+    return t.videos.select("id", tx.title_case(F.when(F.col("id") % 2 == 0, F.upper("name")).otherwise(F.col("name"))).alias("title"))
+
+
+@query("normalize_preview")
+def previewed(t):  # ETL11
+    return etl.preview(etl.normalised(t.videos.select("id", "title", F.col("channel").alias("artist"))))

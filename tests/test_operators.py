@@ -175,8 +175,8 @@ def test_components_of_chains(spark):
 
 
 def test_merge_converges(spark):
-    s = "id long, title string, artist string, duration_ms long, external string, plays long"
-    rows = [(1, "Blue Sky Song", "Ann Lee", 1, None, 5), (2, "Blue Sky", "Ann Lee", None, None, 2), (3, "Jukebox Blue Sky", "Ann Lee", None, None, 1), (4, "Other Thing", "Bob", None, "e", 1), (5, "Unlike", "Cy", None, "e", 9)]
+    s = "id long, title string, artist string, enriched int, preview string, external string, plays long"
+    rows = [(1, "Blue Sky Song", "Ann Lee", 1, None, None, 5), (2, "Blue Sky", "Ann Lee", None, "p", None, 2), (3, "Jukebox Blue Sky", "Ann Lee", None, None, None, 1), (4, "Other Thing", "Bob", None, None, "e", 1), (5, "Unlike", "Cy", None, None, "e", 9)]
     plays = spark.createDataFrame([(1, "t1", "a"), (2, "t1", "a"), (2, "t2", "a"), (4, "t1", "b")], "track_id long, played_at string, source string")
     tracks, moved, n = resolve.merged(spark.createDataFrame(rows, s), plays)
     assert 1 in {r.id for r in tracks.collect()} and 2 not in {r.id for r in tracks.collect()} and n >= 1
@@ -208,8 +208,14 @@ def test_sections(spark):
     s = spark.createDataFrame([(rows,)], f"s {audio.SECTIONS}")
     merged = s.select(audio.merge_short(F.col("s")).alias("m")).first().m
     assert [(x.start, x.stop) for x in merged] == [(0, 35), (35, 60), (60, 95)] and merged[0].energy == pytest.approx((0.2 * 30 + 0.9 * 5) / 35)
-    starts = s.select(audio.excerpts("s", F.lit(3), F.lit(10.0)).alias("e")).first().e
-    assert starts == sorted(starts) and all(b - a >= 10 for a, b in zip(starts, starts[1:])) and max(starts) <= 85
+    # five spans: one of the two strongest labels each, within the usable span, apart, in order
+    spans = [(0.0, 30.0, 0, 0.2), (30.0, 60.0, 1, 0.9), (60.0, 90.0, 0, 0.25), (90.0, 120.0, 1, 0.95), (120.0, 150.0, 2, 0.5)]
+    five = spark.createDataFrame([(spans,), ([],)], f"s {audio.SECTIONS}")
+    got, none = (r.e for r in five.select(audio.excerpts("s", F.lit(150.0), F.lit(2), F.lit(20.0)).alias("e")).collect())
+    assert [(x.start, x.source) for x in got] == [(65.0, "section:0"), (95.0, "section:1")]
+    assert [(x.start, x.source) for x in none] == [(27.5, "fallback:0.25"), (65.0, "fallback:0.50")]
+    one = five.limit(1).select(audio.excerpts("s", F.lit(150.0), F.lit(3), F.lit(20.0)).alias("e")).first().e
+    assert [x.source for x in one] == ["section:0", "section:1", "section:2"]
 
 
 def test_report_and_playlist(spark, tmp_path):
