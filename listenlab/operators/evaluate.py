@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import kept, previous
 from .vectors import neighbours
 
 
 def session_pairs(plays: DataFrame, gap_s: int = 1800, by: list[str] | None = None) -> DataFrame:
     """JN17, WN7: successive different tracks at most ``gap_s`` seconds apart, the bound included.
 
-    For one listener's log as in the original, or by user, which is the form that scales: the window is then one user's plays.
+    Of the whole log in one order, as of one listener, by range partitions; or by user, in windows.
     """
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))).orderBy("played_at", "event_id")
-    t = plays.withColumns({"a": F.lag("track_id").over(w), "before": F.lag("played_at").over(w)})
+    order = [F.col("played_at"), F.col("event_id")]
+    if by:
+        w = Window.partitionBy(*by).orderBy(*order)
+        t = plays.withColumns({"a": F.lag("track_id").over(w), "before": F.lag("played_at").over(w)})
+    else:
+        t = previous(plays, order, a=F.col("track_id"), before=F.col("played_at"))
     near = F.unix_seconds(F.col("played_at").cast("timestamp")) - F.unix_seconds(F.col("before").cast("timestamp")) <= gap_s
     return t.where(near & (F.col("a") != F.col("track_id"))).select("event_id", "a", F.col("track_id").alias("b"))
 

@@ -6,9 +6,11 @@ and task, and every top-k has an id as its last sort key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import running
+
 #: Stand-in length of a track of unknown length, in milliseconds.
 DEFAULT_MS = 210_000
 
@@ -138,26 +140,23 @@ def shares(plays: DataFrame, tracks: DataFrame) -> DataFrame:
 
 
 def concentration(groups: DataFrame) -> DataFrame:
-    """AG17-AG19: Gini, HHI, and top-1/5/10 shares of rows (key, c).
-
-    Ranks are taken over one row for each key, the only place where they must be in one order.
-    """
+    """AG17-AG19: Gini, HHI, and top-1/5/10 shares of rows (key, c)."""
     key = groups.columns[0]
-    up, down = Window.orderBy("c", key), Window.orderBy(F.col("c").desc(), key)
-    t = groups.withColumns({"i": F.row_number().over(up), "j": F.row_number().over(down)})
+    t = running(groups, [F.col("c"), F.col(key)])  # ranks by range partitions
     s, n = F.sum("c"), F.count("*")
-    top = lambda k: (F.sum(F.when(F.col("j") <= k, F.col("c"))) / s).alias(f"top{k}")
-    gini = 2 * F.sum(F.col("i") * F.col("c")) / (n * s) - (n + 1) / n
-    out = t.agg(n.alias("keys"), F.when(n == 1, 0.0).otherwise(gini).alias("gini"), (F.sum(F.col("c") * F.col("c")) / (s * s)).alias("hhi"), top(1), top(5), top(10))
-    return out.withColumn("kind", ladder(F.col("gini"), CONCENTRATED, DIVERSE))
+    most = groups.orderBy(F.col("c").desc(), key).limit(10).agg(F.sort_array(F.collect_list("c"), False).alias("most"))
+    gini = 2 * F.sum(F.col("pos") * F.col("c")) / (n * s) - (n + 1) / n
+    one = t.agg(n.alias("keys"), F.when(n == 1, 0.0).otherwise(gini).alias("gini"), (F.sum(F.col("c") * F.col("c")) / (s * s)).alias("hhi"), s.alias("s")).crossJoin(most)
+    top = lambda k: (F.aggregate(F.slice("most", 1, k), F.lit(0).cast("long"), lambda a, x: a + x) / F.col("s")).alias(f"top{k}")
+    return one.select("keys", "gini", "hhi", top(1), top(5), top(10)).withColumn("kind", ladder(F.col("gini"), CONCENTRATED, DIVERSE))
 
 
 def running_share(groups: DataFrame) -> DataFrame:
     """WN3: cumulative share of the keys, largest first."""
     key = groups.columns[0]
-    w = Window.orderBy(F.col("c").desc(), key)
-    run = F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return groups.select(key, "c", F.row_number().over(w).alias("pos"), run.alias("share"))
+    t = running(groups, [F.col("c").desc(), F.col(key)], run=F.col("c"))
+    total = groups.agg(F.sum("c").alias("s"))
+    return t.crossJoin(F.broadcast(total)).select(key, "c", "pos", (F.col("run") / F.col("s")).alias("share"))
 
 
 def entropy(plays: DataFrame) -> DataFrame:

@@ -65,8 +65,8 @@ def _fit(a: str | None, b: str | None) -> float | None:
     return {1: 0.85, 2: 0.5}.get(d, 0.15) if x[1] == y[1] else 0.15
 
 
-#: Groups into which playlists are packed for the greedy orders, so that no task handles one tiny group at a time.
-PACKS = 64
+#: Rows, about, of the playlists that are packed together for the greedy orders, so that a task doesn't handle one tiny group at a time.
+PACK_ROWS = 50_000
 
 
 def _by_playlist(rows: DataFrame, run, schema: str) -> DataFrame:
@@ -75,7 +75,8 @@ def _by_playlist(rows: DataFrame, run, schema: str) -> DataFrame:
     def pack(p: pd.DataFrame) -> pd.DataFrame:
         return pd.concat([run(q) for _, q in p.groupby("playlist_id", sort=False)])
 
-    return rows.withColumn("_pack", F.pmod(F.xxhash64("playlist_id"), F.lit(PACKS))).groupBy("_pack").applyInPandas(pack, schema)
+    packs = max(1, rows.count() // PACK_ROWS)
+    return rows.withColumn("_pack", F.pmod(F.xxhash64("playlist_id"), F.lit(packs))).groupBy("_pack").applyInPandas(pack, schema)
 
 
 def reorder(items: DataFrame) -> DataFrame:

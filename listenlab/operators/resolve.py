@@ -2,35 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from listenlab.functions import text as tx
 
+from .order import kept
+
 #: What tells a compilation.
 COMPILATION = r"\b(jukebox|mashup|medley|non ?stop|mega ?mix|all songs|full album|audio songs|video songs|hits|playlist|\bmix\b|dance cover|reaction)\b"
 #: A token in at most RARE titles is rare; a bucket of more rows isn't blocked on; a larger cluster isn't merged.
 RARE, POSTING, CLUSTER, PASSES = 6, 300, 4, 6
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Written to the shared folder, or to Spark's checkpoint of a local session, and read again."""
-    spark = df.sparkSession
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="listenlab-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    to = f"{path}/resolve-{uuid.uuid4().hex}"
-    df.write.parquet(to)
-    return spark.read.schema(df.schema).parquet(to)
-
-
 def signed(tracks: DataFrame) -> DataFrame:
     """DD1: all, title and artist tokens, and whether the title names a compilation."""
     title, artist = tx.tokens(F.col("title")), tx.tokens(F.col("artist"))
@@ -71,17 +55,27 @@ def same_external(tracks: DataFrame, column: str) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """DD6: (id, root) by passing the smallest label on, and then the label's label, until nothing changes."""
-    both = kept(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = kept(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("root")))
-    while True:
-        near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("m"))
-        step = label.join(near, "id").select("id", "root", F.least("root", "m").alias("new"))
-        jump = label.select(F.col("id").alias("new"), F.col("root").alias("up"))
-        new = kept(step.join(jump, "new", "left").select("id", F.coalesce("up", "new").alias("new"), "root"))
-        if new.where("new <> root").isEmpty():
-            return new.select("id", "root")
-        label = new.select("id", F.col("new").alias("root"))
+    """DD6: (id, root): the smallest id that edges lead to.
+
+    In each round every id hooks onto its smallest smaller neighbour, chains of hooks are halved until they
+    end at roots, and only edges between different roots are left for the next round.
+    """
+    left = kept(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    ids = kept(left.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    found = ids.select("id", F.col("id").alias("root"))
+    while not left.isEmpty():
+        hooks = kept(left.groupBy("b").agg(F.min("a").alias("p")))
+        while True:
+            up = hooks.select(F.col("b").alias("p"), F.col("p").alias("pp"))
+            halved = kept(hooks.join(up, "p", "left").select("b", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")))
+            hooks = halved.select("b", "p")
+            if halved.where("moved").isEmpty():
+                break
+        to = lambda name: hooks.select(F.col("b").alias(name), F.col("p").alias(f"{name}_"))
+        found = kept(found.join(to("root"), "root", "left").select("id", F.coalesce("root_", "root").alias("root")))
+        ends = left.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_", "a").alias("x"), F.coalesce("b_", "b").alias("y"))
+        left = kept(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    return found
 
 
 def eligible(clusters: DataFrame, signed: DataFrame, df: DataFrame) -> DataFrame:

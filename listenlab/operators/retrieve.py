@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from listenlab.functions import music
 from listenlab.functions.arrays import cosine, dot
 
+from .vectors import neighbours
+
 
 @dataclass(frozen=True)
 class Constraints:
@@ -55,17 +57,32 @@ def passing(rows: DataFrame, c: Constraints, heard: DataFrame | None = None) ->
 
 
 def recall(vectors: DataFrame, queries: DataFrame, k: int | None) -> DataFrame:
-    """JN19, VC3: the k most similar rows of each of a few queries (query_id, q), or all, without a rank; the query itself excluded."""
+    """JN19, VC3: the k most similar rows of each of a few queries (query_id, q), or all, without a rank; the query itself excluded.
+
+    For queries of a bounded number, such as one request's; ``neighbours`` takes any number.
+    """
     w = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "track_id")
     sims = vectors.join(F.broadcast(queries)).where(F.col("track_id") != F.col("query_id")).select("query_id", "track_id", cosine(F.col("vec"), F.col("q")).alias("sim"))
     return sims if k is None else sims.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def searched(vectors: DataFrame, queries: DataFrame, k: int, radius: DataFrame | None = None) -> DataFrame:
+    """(query_id, track_id, score, rank): the k best of all rows for each row of ``queries``, by blocks; by CSLS if there are radii."""
+    if radius is not None:
+        vectors = vectors.join(radius, "track_id")
+    near = neighbours(vectors, k, of=queries, less="radius" if radius is not None else None)
+    out = near.select(F.col("a").alias("query_id"), F.col("b").alias("track_id"), F.col("s").alias("score"), "rank")
+    if radius is None:
+        return out
+    own = radius.select(F.col("track_id").alias("query_id"), F.col("radius").alias("rq"))
+    return out.join(own, "query_id").withColumn("score", F.col("score") - F.col("rq")).drop("rq")
+
+
 def blended(spaces: list[tuple[DataFrame, DataFrame, float]], k: int) -> DataFrame:
-    """VC15, SE6: recall by space (vectors, queries, weight), put together; a space without the track adds nothing."""
+    """VC15, SE6: search by space (vectors, queries, weight), put together; a space without the track adds nothing."""
     out = None
     for i, (vectors, queries, _) in enumerate(spaces):
-        r = recall(vectors, queries, 3 * k).select("query_id", "track_id", F.col("sim").alias(f"s{i}"))
+        r = searched(vectors, queries, 3 * k).select("query_id", "track_id", F.col("score").alias(f"s{i}"))
         out = r if out is None else out.join(r, ["query_id", "track_id"], "full_outer")
     score = sum((w * F.coalesce(F.col(f"s{i}"), F.lit(0.0)) for i, (_, _, w) in enumerate(spaces)), F.lit(0.0))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "track_id")
@@ -120,9 +137,9 @@ def explored(rows: DataFrame, k: int, share: float, seed: int = 0) -> DataFrame:
 
 def csls(sims: DataFrame, radius: DataFrame, query_radius: float | None = None) -> DataFrame:
     """VC11: 2 s - r(candidate) - r(query); the query's term is its own radius, or a constant."""
-    out = sims.join(F.broadcast(radius.select("track_id", F.col("radius").alias("rc"))), "track_id")
+    out = sims.join(radius.select("track_id", F.col("radius").alias("rc")), "track_id")
     if query_radius is None:
-        out = out.join(F.broadcast(radius.select(F.col("track_id").alias("query_id"), F.col("radius").alias("rq"))), "query_id")
+        out = out.join(radius.select(F.col("track_id").alias("query_id"), F.col("radius").alias("rq")), "query_id")
     else:
         out = out.withColumn("rq", F.lit(query_radius))
     return out.select("query_id", "track_id", (2 * F.col("sim") - F.col("rc") - F.col("rq")).alias("score"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import running
+
 from .macro import counts
 
 
@@ -109,27 +111,27 @@ def extremes(features: DataFrame, name: str) -> DataFrame:
 
 
 def percentiles(rows: DataFrame, name: str) -> DataFrame:
-    """WN1, WN2: percent of known values that are strictly less, from counts of each value rather than one window over all rows."""
+    """WN1, WN2: percent of known values that are strictly less, from running counts of each value."""
     known = rows.where(F.col(name).isNotNull())
-    values = known.groupBy(name).agg(F.count("*").alias("k"))
-    w = Window.orderBy(name)
-    below = values.select(F.col(name).alias("v"), (F.sum("k").over(w) - F.col("k")).alias("below"), F.sum("k").over(Window.partitionBy()).alias("n"))
-    return known.join(below, F.col(name) == F.col("v")).select("track_id", name, (100.0 * F.col("below") / F.col("n")).alias("percentile"))
+    values = running(known.groupBy(name).agg(F.count("*").alias("k")), [F.col(name)], upto=F.col("k"))
+    below = values.select(F.col(name).alias("v"), (F.col("upto") - F.col("k")).alias("below"))
+    n = known.agg(F.count("*").alias("n"))
+    return known.join(below, F.col(name) == F.col("v")).crossJoin(F.broadcast(n)).select("track_id", name, (100.0 * F.col("below") / F.col("n")).alias("percentile"))
 
 
 def thirds(rows: DataFrame) -> DataFrame:
     """WN5, T15: top and bottom thirds by plays, then id, as labels 1 and 0."""
-    up, all_ = Window.orderBy("plays", "track_id"), Window.partitionBy()
-    r = rows.withColumns({"i": F.row_number().over(up), "n": F.count("*").over(all_)}).withColumn("third", F.floor(F.col("n") / 3))
-    return r.where((F.col("i") <= F.col("third")) | (F.col("i") > F.col("n") - F.col("third"))).select("track_id", "plays", (F.col("i") > F.col("n") - F.col("third")).cast("int").alias("label"))
+    r = running(rows, [F.col("plays"), F.col("track_id")]).withColumn("third", F.floor(F.col("total") / 3))
+    top = F.col("pos") > F.col("total") - F.col("third")
+    return r.where((F.col("pos") <= F.col("third")) | top).select("track_id", "plays", top.cast("int").alias("label"))
 
 
 def auc(rows: DataFrame) -> DataFrame:
     """ML4: area under the curve of (label, score), ties by their average rank."""
-    per = rows.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-    below = F.sum("neg").over(Window.orderBy("score")) - F.col("neg")
-    t = per.withColumn("won", F.col("pos") * (below + F.col("neg") / 2.0))
-    return t.agg((F.sum("won") / F.nullif(F.sum("pos").cast("double") * F.sum("neg"), F.lit(0.0))).alias("auc"))
+    per = rows.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("pos_n"), F.count_if(F.col("label") == 0).alias("neg_n"))
+    t = running(per, [F.col("score")], upto=F.col("neg_n"))
+    t = t.withColumn("won", F.col("pos_n") * (F.col("upto") - F.col("neg_n") / 2.0))
+    return t.agg((F.sum("won") / F.nullif(F.sum("pos_n").cast("double") * F.sum("neg_n"), F.lit(0.0))).alias("auc"))
 
 
 def contrast(rows: DataFrame, inside: Column, names: list[str]) -> DataFrame:

@@ -1,93 +1,100 @@
 """Vector spaces: exact search, neighbours, and corrections for popularity, anisotropy and hubs.
 
-All-pairs work is done on blocks: vectors are packed into rows of up to BLOCK, blocks meet blocks, and
-only the k best of each row leave a block pair.
+All-pairs work is dealt out as a grid: rows fall into groups of about GROUP by a hash, and each pair of
+groups is one task's work, which returns the k best or a sum for each row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listenlab.functions.arrays import dot, norm, project_out, unit
 
-BLOCK = 1024
+#: Rows of a group; rows of one side that are compared at a time.
+GROUP, BLOCK = 8192, 512
 
 
-def _packed(vectors: DataFrame) -> DataFrame:
-    """(block, ids, data): about BLOCK vectors in a row, doubles one behind the other."""
-    n = vectors.count()
-    blocks = max(1, -(-n // BLOCK))
-
-    def run(t: pa.Table) -> pa.Table:
-        order = np.argsort(t.column("track_id").to_numpy())
-        x = np.array(t.column("vec").to_pylist(), float)[order]
-        return pa.table({"block": t.column("block")[:1], "ids": pa.array([t.column("track_id").to_numpy()[order].astype(np.int64).tobytes()], pa.binary()), "data": pa.array([x.tobytes()], pa.binary())})
-
-    dealt = vectors.select(F.pmod(F.xxhash64("track_id"), F.lit(blocks)).cast("int").alias("block"), "track_id", "vec")
-    return dealt.groupBy("block").applyInArrow(run, "block int, ids binary, data binary")
+def _grid(left: DataFrame, right: DataFrame, less: Column, of: Callable, schema: str) -> DataFrame:
+    """``of(ids, x, ids, y, less)`` for every pair of groups of left and right rows (track_id, vec); yields arrays by the schema."""
 
+    def parts(df: DataFrame) -> int:
+        return max(1, -(-df.count() // GROUP))
 
-def neighbours(vectors: DataFrame, k: int, cosine: bool = True, of: DataFrame | None = None) -> DataFrame:
-    """JN13, VC3: (a, b, s) the k most similar (or nearest) other rows of every row, or of the rows ``of``, ties to the smaller id.
+    m, n = parts(left), parts(right)
+    group = lambda k: F.pmod(F.xxhash64("track_id"), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    a = left.select(group(m).alias("i"), every(n).alias("j"), F.lit(True).alias("asks"), "track_id", "vec", F.lit(0.0).alias("less"))
+    b = right.select(every(m).alias("i"), group(n).alias("j"), F.lit(False).alias("asks"), "track_id", "vec", less.alias("less"))
+    names = [x.split()[0] for x in schema.split(", ")]
 
-    Every block meets every other as one row each, so nothing of quadratic size is made; each pair of
-    blocks returns k rows for each of its first block's rows.
+    def run(t: pa.Table) -> pa.Table:
+        asks, ids = t.column("asks").to_numpy(zero_copy_only=False), t.column("track_id").to_numpy()
+        vec = t.column("vec").combine_chunks()
+        x = vec.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
+        p, q = np.flatnonzero(asks), np.flatnonzero(~asks)
+        p, q = p[np.argsort(ids[p], kind="stable")], q[np.argsort(ids[q], kind="stable")]
+        out = [[] for _ in names]
+        if len(p) and len(q):
+            for s in range(0, len(p), BLOCK):
+                part = p[s : s + BLOCK]
+                for held, values in zip(out, of(ids[part], x[part], ids[q], x[q], t.column("less").to_numpy()[q]), strict=True):
+                    held.append(values)
+        kinds = [pa.int64() if k.endswith("long") else pa.float64() for k in schema.split(", ")]
+        return pa.table({n: pa.array(np.concatenate(h) if h else [], k) for n, h, k in zip(names, out, kinds, strict=True)})
+
+    return a.unionByName(b).groupBy("i", "j").applyInArrow(run, schema)
+
+
+def neighbours(vectors: DataFrame, k: int, cosine: bool = True, of: DataFrame | None = None, less: str | None = None) -> DataFrame:
+    """JN13, VC3: (a, b, s, rank) the k most similar (or nearest) other rows of every row, or of the rows ``of``, ties to the smaller id.
+
+    With a column ``less`` of the rows, s is twice the similarity less that. Each pair of groups returns at
+    most k rows for each row that asks.
     """
-    spark = vectors.sparkSession
-    packed = _packed(vectors).persist()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                a, b = np.frombuffer(r["a_ids"], np.int64), np.frombuffer(r["b_ids"], np.int64)
-                x, y = np.frombuffer(r["a_data"]).reshape(len(a), -1), np.frombuffer(r["b_data"]).reshape(len(b), -1)
-                if cosine:
-                    s = (x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9)) @ (y / (np.linalg.norm(y, axis=1, keepdims=True) + 1e-9)).T
-                else:
-                    s = -np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
-                s[a[:, None] == b[None]] = -np.inf
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                value = np.take_along_axis(s, top, 1)
-                ok = np.isfinite(value)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, top.shape[1])[ok.ravel()]), pa.array(b[top][ok]), pa.array(value[ok])], ["a", "b", "s"])
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
-    left = (packed if of is None else _packed(of).persist()).select(F.col("ids").alias("a_ids"), F.col("data").alias("a_data"))
-    right = packed.select(F.col("ids").alias("b_ids"), F.col("data").alias("b_data"))
-    found = left.join(right, F.lit(True)).mapInArrow(run, "a long, b long, s double")
+    def best(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray, minus: np.ndarray) -> tuple:
+        if cosine:
+            s = (x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9)) @ (y / (np.linalg.norm(y, axis=1, keepdims=True) + 1e-9)).T
+        else:
+            s = -np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
+        if less:
+            s = 2 * s - minus
+        s[a[:, None] == b[None]] = -np.inf
+        floor = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(s), -np.inf)
+        r, c = np.nonzero((s >= floor[:, None]) & np.isfinite(s))
+        order = np.lexsort((b[c], -s[r, c], r))
+        r, c = r[order], c[order]
+        near = np.arange(len(r)) - np.searchsorted(r, r) < k
+        r, c = r[near], c[near]
+        return a[r], b[c], s[r, c]
+
+    side = vectors.select("track_id", "vec", *([less] if less else []))
+    found = _grid(vectors if of is None else of, side, F.col(less) if less else F.lit(0.0), best, "a long, b long, s double")
     w = Window.partitionBy("a").orderBy(F.col("s").desc(), "b")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def mean_distances(vectors: DataFrame) -> DataFrame:
-    """VC6: (a, m) the mean distance of every row to all others; each pair of blocks returns one sum for each of its first block's rows."""
-    packed = _packed(vectors).persist()
+    """VC6: (a, m) the mean distance of every row to all others; each pair of groups returns one sum for each of its rows."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                a, b = np.frombuffer(r["a_ids"], np.int64), np.frombuffer(r["b_ids"], np.int64)
-                x, y = np.frombuffer(r["a_data"]).reshape(len(a), -1), np.frombuffer(r["b_data"]).reshape(len(b), -1)
-                d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
-                other = a[:, None] != b[None]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array((d * other).sum(1)), pa.array(other.sum(1), pa.int64())], ["a", "d", "n"])
-
-    vectors.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
-    left = packed.select(F.col("ids").alias("a_ids"), F.col("data").alias("a_data"))
-    right = packed.select(F.col("ids").alias("b_ids"), F.col("data").alias("b_data"))
-    sums = left.join(right, F.lit(True)).mapInArrow(run, "a long, d double, n long").groupBy("a").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
-    return sums.where("n > 0").select("a", (F.col("d") / F.col("n")).alias("m"))
-
-
-def knn_graph(vectors: DataFrame, k: int = 2) -> DataFrame:
-    """VC6: edges a < b of the k-nearest graph with their distance."""
-    e = neighbours(vectors, k, cosine=False)
-    return e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (-F.col("s")).alias("d")).groupBy("a", "b").agg(F.min("d").alias("d"))
+    def sums(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray, _: np.ndarray) -> tuple:
+        d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
+        other = a[:, None] != b[None]
+        return a, (d * other).sum(1), other.sum(1)
+
+    rows = _grid(vectors, vectors, F.lit(0.0), sums, "a long, d double, n long").groupBy("a").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+    return rows.where("n > 0").select("a", (F.col("d") / F.col("n")).alias("m"))
+
+
+def knn_graph(vectors: DataFrame, k: int = 2, most: int | None = None) -> DataFrame:
+    """VC6: edges of the k-nearest graph that go from a smaller id to a larger, with their distance; the ``most`` lightest of them."""
+    e = neighbours(vectors, k, cosine=False).where("a < b").select("a", "b", (-F.col("s")).alias("d"))
+    return e if most is None else e.orderBy("d", "a", "b").limit(most)
 
 
 def radius(vectors: DataFrame, k: int = 10) -> DataFrame:

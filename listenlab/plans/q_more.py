@@ -100,9 +100,9 @@ def copy(t):  # SRC21: files named by a number join the rows of that number
     return files.select(stem.alias("id"), "library_id").join(t.tracks.select("id"), "id")
 
 
-@query("landed_playlists", sql("playlist_tracks", "SELECT playlist_id, position, track_id FROM playlist_tracks WHERE playlist_id <= 200"))
+@query("landed_playlists", sql("playlist_tracks", "SELECT playlist_id, position, track_id FROM playlist_tracks"))
 def landed(t):  # SRC17: nested items of landed JSON, exploded with their places
-    j = t.playlist_tracks.where("playlist_id <= 200").groupBy("playlist_id").agg(F.array_sort(F.collect_list(F.struct("position", "track_id"))).alias("items"))
+    j = t.playlist_tracks.groupBy("playlist_id").agg(F.array_sort(F.collect_list(F.struct("position", "track_id"))).alias("items"))
     doc = j.select(F.to_json(F.struct("playlist_id", F.transform("items", lambda x: F.struct(x["track_id"].alias("id"))).alias("items"))).alias("j"))
     rows = doc.select(F.from_json("j", "playlist_id bigint, items array<struct<id:bigint>>").alias("p")).select("p.playlist_id", F.posexplode("p.items").alias("i", "x"))
     return rows.select("playlist_id", (F.col("i") + 1).alias("position"), F.col("x.id").alias("track_id"))

@@ -22,10 +22,13 @@ def _u(t):
     return t.vectors.select("track_id", ar.unit(F.col("vec")).alias("vec"), "artist", "album")
 
 
-@query("cosine_topk", sql("vectors", "SELECT a AS query_id, b AS track_id, rank, round(s, 6) AS sim FROM nn WHERE a IN (17, 42) AND rank <= 10", f"{_U}, {_S}, {_NN}"))
+def _asked(vectors):
+    return vectors.where("track_id % 50 = 0")
+
+
+@query("cosine_topk", sql("vectors", "SELECT a AS query_id, b AS track_id, rank, round(s, 6) AS sim FROM nn WHERE a % 50 = 0 AND rank <= 10", f"{_U}, {_S}, {_NN}"))
 def topk(t):
-    q = t.vectors.where("track_id IN (17, 42)").select(F.col("track_id").alias("query_id"), F.col("vec").alias("q"))
-    return rt.recall(t.vectors, q, 10).select("query_id", "track_id", "rank", R("sim"))
+    return rt.searched(t.vectors, _asked(t.vectors), 10).select("query_id", "track_id", "rank", F.round("score", 6).alias("sim"))
 
 
 @query("neighbour_lists", sql("vectors", "SELECT a, b, rank FROM nn WHERE rank <= 5", f"{_U}, {_S}, {_NN}"))
@@ -36,9 +39,9 @@ def lists(t):
 _ED = "dd AS (SELECT a.track_id AS a, b.track_id AS b, list_distance(a.vec, b.vec) AS d FROM vectors a JOIN vectors b ON a.track_id <> b.track_id), kn AS (SELECT a, b, d FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS k FROM dd) WHERE k <= 2)"
 
 
-@query("knn_graph", sql("vectors", "SELECT least(a, b) AS a, greatest(a, b) AS b, round(min(d), 6) AS d FROM kn GROUP BY 1, 2", _ED))
+@query("knn_graph", sql("vectors", "SELECT a, b, round(d, 6) AS d FROM kn WHERE a < b ORDER BY kn.d, a, b LIMIT 80", _ED))
 def knn(t):
-    return vc.knn_graph(t.vectors).select("a", "b", R("d"))
+    return vc.knn_graph(t.vectors, most=80).select("a", "b", R("d"))
 
 
 @query("medoid_outlier", sql("vectors", "SELECT min_by(a, m) AS medoid, max_by(a, m) AS outlier FROM (SELECT a, avg(d) AS m FROM dd GROUP BY 1)", _ED))
@@ -60,16 +63,10 @@ def radius(t):
     return vc.radius(t.vectors).select("track_id", R("radius"))
 
 
-@query("csls_topk", sql("vectors", "SELECT query_id, track_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, track_id) AS k FROM (SELECT a AS query_id, b AS track_id, 2 * s - rb.r - ra.r AS score FROM ps JOIN rd ra ON ra.id = a JOIN rd rb ON rb.id = b WHERE a IN (17, 42))) WHERE k <= 10",
+@query("csls_topk", sql("vectors", "SELECT query_id, track_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, track_id) AS k FROM (SELECT a AS query_id, b AS track_id, 2 * s - rb.r - ra.r AS score FROM ps JOIN rd ra ON ra.id = a JOIN rd rb ON rb.id = b WHERE a % 50 = 0)) WHERE k <= 10",
  f"{_U}, {_S}, {_NN}, rd AS (SELECT a AS id, avg(s) AS r FROM nn WHERE rank <= 10 GROUP BY 1)"))
 def csls(t):
-    from pyspark.sql import Window
-
-    q = t.vectors.where("track_id IN (17, 42)").select(F.col("track_id").alias("query_id"), F.col("vec").alias("q"))
-    sims = rt.recall(t.vectors, q, None).select("query_id", "track_id", "sim")
-    s = rt.csls(sims, vc.radius(t.vectors))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "track_id")
-    return s.withColumn("k", F.row_number().over(w)).where("k <= 10").select("query_id", "track_id", R("score"))
+    return rt.searched(t.vectors, _asked(t.vectors), 10, vc.radius(t.vectors)).select("query_id", "track_id", R("score"))
 
 
 _P = "pc AS (SELECT v.track_id, vec, ln(1 + coalesce(plays, 0)) AS p FROM vectors v LEFT JOIN play_counts USING (track_id)), pz AS (SELECT track_id, vec, (p - avg(p) OVER ()) / (stddev_pop(p) OVER () + 1e-9) AS z FROM pc), ex AS (SELECT z, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM pz), dc AS (SELECT i, avg(x * z) - avg(x) * avg(z) AS c FROM ex GROUP BY 1), dr AS (SELECT list(c / ((SELECT sqrt(sum(c * c)) FROM dc) + 1e-9) ORDER BY i) AS dir FROM dc)"
@@ -87,12 +84,11 @@ def correction(t):
     return v.select("track_id", F.round(F.get("vec", F.lit(0)), 6).alias("x1"), F.round(F.get("vec", F.lit(63)), 6).alias("x64"))
 
 
-@query("blended_recall", sql("vectors", "SELECT query_id, track_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, track_id) AS k FROM (SELECT coalesce(x.a, y.a) AS query_id, coalesce(x.b, y.b) AS track_id, .6 * coalesce(x.s, 0) + .4 * coalesce(y.s, 0) AS score FROM (SELECT * FROM nn WHERE a = 17 AND rank <= 75) x FULL JOIN (SELECT * FROM n2 WHERE a = 17 AND rank <= 75) y ON x.a = y.a AND x.b = y.b)) WHERE k <= 25",
+@query("blended_recall", sql("vectors", "SELECT query_id, track_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, track_id) AS k FROM (SELECT coalesce(x.a, y.a) AS query_id, coalesce(x.b, y.b) AS track_id, .6 * coalesce(x.s, 0) + .4 * coalesce(y.s, 0) AS score FROM (SELECT * FROM nn WHERE a % 50 = 0 AND rank <= 75) x FULL JOIN (SELECT * FROM n2 WHERE a % 50 = 0 AND rank <= 75) y ON x.a = y.a AND x.b = y.b)) WHERE k <= 25",
  f"{_U}, {_S}, {_NN}, u2 AS (SELECT track_id, list_transform(vec[33:64], lambda x: x / (sqrt(list_inner_product(vec[33:64], vec[33:64])) + 1e-9)) AS v FROM vectors), n2 AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rank FROM (SELECT a.track_id AS a, b.track_id AS b, list_inner_product(a.v, b.v) AS s FROM u2 a JOIN u2 b ON a.track_id <> b.track_id))"))
 def blended(t):
     one, two = t.vectors, t.vectors.withColumn("vec", F.slice("vec", 33, 32))
-    q = lambda v: v.where("track_id = 17").select(F.col("track_id").alias("query_id"), F.col("vec").alias("q"))
-    return rt.blended([(one, q(one), 0.6), (two, q(two), 0.4)], 25).select("query_id", "track_id", R("score"))
+    return rt.blended([(one, _asked(one), 0.6), (two, _asked(two), 0.4)], 25).select("query_id", "track_id", R("score"))
 
 
 @query("tag_topk", sql("vectors", "SELECT track_id, tag, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY sim DESC, tag) AS k FROM (SELECT u.track_id, 'tag ' || b.track_id AS tag, list_inner_product(u.v, b.v) AS sim FROM u, u b WHERE b.track_id < 40) WHERE sim > .05) WHERE k <= 8", _U))
@@ -133,20 +129,14 @@ def explain(t):  # MT12, VC24
     return t.features.where("track_id <> 42").crossJoin(a).select("track_id", diff("bpm"), diff("loudness_db"), F.round(F.col("brightness") / F.nullif("a_brightness", F.lit(0.0)), 6).alias("brightness"), diff("energy"))
 
 
-@query("artist_capped", sql("vectors", "SELECT query_id, track_id FROM (SELECT a AS query_id, b AS track_id, row_number() OVER (PARTITION BY a, artist ORDER BY s DESC, b) AS k FROM nn JOIN u ON u.track_id = b WHERE a IN (17, 42) AND rank <= 50) WHERE k <= 2", f"{_U}, {_S}, {_NN}"))
+@query("artist_capped", sql("vectors", "SELECT query_id, track_id FROM (SELECT a AS query_id, b AS track_id, row_number() OVER (PARTITION BY a, artist ORDER BY s DESC, b) AS k FROM nn JOIN u ON u.track_id = b WHERE a % 50 = 0 AND rank <= 50) WHERE k <= 2", f"{_U}, {_S}, {_NN}"))
 def capped(t):
-    return rt.capped(_pool(t, 50), 2).select("query_id", "track_id")
-
-
-def _pool(t, k):
-    q = t.vectors.where("track_id IN (17, 42)").select(F.col("track_id").alias("query_id"), F.col("vec").alias("q"))
-    return rt.recall(t.vectors, q, k).withColumnRenamed("sim", "score").join(t.vectors, "track_id")
+    return rt.capped(_searched(t, 50), 2).select("query_id", "track_id")
 
 
 def _searched(t, k):
     """The k nearest of every row whose id is divisible by 50, by blocks."""
-    near = vc.neighbours(t.vectors, k, of=t.vectors.where("track_id % 50 = 0"))
-    return near.select(F.col("a").alias("query_id"), F.col("b").alias("track_id"), F.col("s").alias("score"), "rank").join(t.vectors, "track_id")
+    return rt.searched(t.vectors, _asked(t.vectors), k).join(t.vectors, "track_id")
 
 
 @query("mmr_rerank")
@@ -156,10 +146,9 @@ def mmr(t):
 
 @query("similar_tracks")
 def similar(t):  # VC14: pool of 8 k by CSLS, the seed's artist left out
-    pool = _searched(t, 96).select("query_id", "track_id", F.col("score").alias("sim"))
+    pool = rt.searched(t.vectors, _asked(t.vectors), 96, vc.radius(t.vectors))
     seeds = t.vectors.select(F.col("track_id").alias("query_id"), F.col("artist").alias("seed_artist"))
-    scored = rt.csls(pool, vc.radius(t.vectors)).join(seeds, "query_id").join(t.vectors, "track_id")
-    return rt.diversified(scored, 12, 0.6, 2, library_mode=False, seed_artist=True)
+    return rt.diversified(pool.join(seeds, "query_id").join(t.vectors, "track_id"), 12, 0.6, 2, library_mode=False, seed_artist=True)
 
 
 @query("explore_tail")
