@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listenlab.functions.arrays import dot, norm, project_out, unit
+from listenlab.functions.music import distance
 
 #: Rows of a group; rows of one side that are compared at a time.
 GROUP, BLOCK = 8192, 512
@@ -201,3 +202,15 @@ def nearest_artist(vectors: DataFrame) -> DataFrame:
     per = vectors.groupBy("artist").agg(F.count("*").alias("n"))
     chance = per.agg((F.sum(F.col("n") * F.col("n")) / F.pow(F.sum("n"), F.lit(2))).alias("chance"))
     return rate.crossJoin(chance).withColumn("lift", F.col("rate") / F.col("chance"))
+
+
+def explained(rows: DataFrame, seed: int) -> DataFrame:
+    """VC24, MT12: every row (track_id, vec, bpm, code, lufs, centroid, microtiming, harmonic, tags) beside one seed: similarity, differences, and tags that both have."""
+    names = ["vec", "bpm", "code", "lufs", "centroid", "microtiming", "harmonic", "tags"]
+    one = F.broadcast(rows.where(F.col("track_id") == seed).select(*[F.col(n).alias(f"a_{n}") for n in names]))
+    diff = lambda n, places: F.round(F.col(n) - F.col(f"a_{n}"), places)
+    cosine = dot(unit(F.col("vec")), unit(F.col("a_vec")))
+    return rows.where(F.col("track_id") != seed).crossJoin(one).select(
+        "track_id", F.round(cosine, 6).alias("similarity"), diff("bpm", 1).alias("bpm_delta"), distance(F.col("a_code"), F.col("code")).cast("int").alias("camelot_distance"), diff("lufs", 1).alias("lufs_delta"),
+        F.round(F.col("centroid") / F.greatest("a_centroid", F.lit(1e-6)), 2).alias("centroid_ratio"), diff("microtiming", 1).alias("microtiming_delta"), diff("harmonic", 2).alias("harmonic_delta"), F.array_intersect("a_tags", "tags").alias("shared"),
+    )

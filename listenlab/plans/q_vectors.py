@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from listenlab.functions import arrays as ar
+from listenlab.functions import music as mu
 from listenlab.operators import evaluate as ev
 from listenlab.operators import retrieve as rt
+from listenlab.operators import space as sx
 from listenlab.operators import vectors as vc
 
 from .bind import UNIT, sql
@@ -49,9 +51,12 @@ def medoid(t):  # VC6: mean distances by row, from blocks
     return vc.mean_distances(t.vectors).agg(F.min_by("a", "m").alias("medoid"), F.max_by("a", "m").alias("outlier"))
 
 
-@query("siblings", sql("features", "SELECT b AS track_id, round(1 - d / m, 6) AS sim FROM (SELECT b, d, max(d) OVER () AS m FROM (SELECT b.track_id AS b, sqrt(" + " + ".join(f"(({'a'}.{n} - b.{n}) / ((SELECT stddev_pop({n}) FROM f) + 1e-6)) ^ 2" for n in UNIT) + ") AS d FROM f a, f b WHERE a.track_id = 42 AND b.track_id <> 42)) ORDER BY d, track_id LIMIT 5", "f AS (SELECT * FROM features WHERE error IS NULL)"))
+_SIB = "f AS (SELECT * FROM features WHERE error IS NULL), z AS (SELECT track_id, [" + ", ".join(f"({n} - avg({n}) OVER ()) / (stddev_pop({n}) OVER () + 1e-6)" for n in UNIT) + ", " + ", ".join(f".5 * (mfcc[{i}] - avg(mfcc[{i}]) OVER ()) / (stddev_pop(mfcc[{i}]) OVER () + 1e-6)" for i in range(1, 14)) + "] AS z FROM f)"
+
+
+@query("siblings", sql("features", "SELECT b AS track_id, round(1 - d / m, 6) AS sim FROM (SELECT b, d, max(d) OVER () AS m FROM (SELECT y.track_id AS b, list_distance(x.z, y.z) AS d FROM z x, z y WHERE x.track_id = 42 AND y.track_id <> 42)) ORDER BY d, track_id LIMIT 5", _SIB))
 def siblings(t):  # VC4, VC5
-    z = vc.standardised(t.features, UNIT)
+    z = sx.sonic(t.features, UNIT, F.col("mfcc"))
     one = F.broadcast(z.where("track_id = 42").select(F.col("vec").alias("q")))
     d = z.where("track_id <> 42").crossJoin(one).select("track_id", ar.norm(F.zip_with("vec", "q", lambda x, y: x - y)).alias("d"))
     top = d.crossJoin(F.broadcast(d.agg(F.max("d").alias("m"))))
@@ -192,14 +197,77 @@ def user_pairs(t):
     return ev.session_pairs(t.plays_ev, by=["user_id"])
 
 
-@query("next_item_metrics", sql("vectors plays_ev", "SELECT count(*) AS queries, round(avg((rank <= 10)::INTEGER), 6) AS hit_k, round(avg((rank IS NOT NULL)::INTEGER), 6) AS hit_deep, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM (SELECT p.event_id, min(CASE WHEN nn.rank <= 50 THEN nn.rank END) AS r, coalesce(min(CASE WHEN nn.rank <= 50 THEN nn.rank END), NULL) AS rank FROM pu p LEFT JOIN nn ON nn.a = p.a AND nn.b = p.b WHERE p.a IN (SELECT track_id FROM vectors) GROUP BY 1)".replace("avg((rank <= 10)::INTEGER)", "avg(coalesce((rank <= 10)::INTEGER, 0))"),
- f"{_U}, {_S}, {_NN}, pu AS (SELECT event_id, a, track_id AS b FROM (SELECT *, lag(track_id) OVER w AS a, lag(played_at) OVER w AS before FROM plays_ev WINDOW w AS (PARTITION BY user_id ORDER BY played_at, event_id)) WHERE floor(epoch(played_at)) - floor(epoch(before)) <= 1800 AND a <> track_id)"))
-def next_item(t):
+_PU = "pu AS (SELECT event_id, a, track_id AS b FROM (SELECT *, lag(track_id) OVER w AS a, lag(played_at) OVER w AS before FROM plays_ev WINDOW w AS (PARTITION BY user_id ORDER BY played_at, event_id)) WHERE floor(epoch(played_at)) - floor(epoch(before)) <= 1800 AND a <> track_id)"
+_PC = "pl AS (SELECT v.track_id, coalesce(n, 0) AS plays FROM vectors v LEFT JOIN (SELECT track_id, count(*) AS n FROM plays_ev GROUP BY 1) USING (track_id)), kn AS (SELECT track_id, plays, -log2((plays + 1) / ((SELECT count(*) FROM plays_ev) + (SELECT count(*) FROM vectors))::DOUBLE) AS nov, (rank() OVER (ORDER BY plays) - 1) / (count(*) OVER ())::DOUBLE AS pop FROM pl)"
+_LI = "li AS (SELECT * FROM nn WHERE rank <= 50), aq AS (SELECT * FROM pu WHERE a IN (SELECT track_id FROM vectors)), ht AS (SELECT q.event_id, li.rank, kn.plays FROM aq q LEFT JOIN li ON li.a = q.a AND li.b = q.b LEFT JOIN kn ON kn.track_id = li.b), ev AS (SELECT count(*) AS queries, avg(coalesce((rank <= 10)::INTEGER, 0)) AS hit_k, avg((rank IS NOT NULL)::INTEGER) AS hit_deep, avg(coalesce(1.0 / rank, 0)) AS mrr, avg(coalesce((plays <= 1)::INTEGER, 0)) AS serendipity FROM ht), sh AS (SELECT avg(nov) AS novelty, avg(pop) AS popularity_percentile, count(DISTINCT li.b) / (SELECT count(*) FROM vectors)::DOUBLE AS coverage FROM aq JOIN li ON li.a = aq.a JOIN kn ON kn.track_id = li.b), dv AS (SELECT x.a, 1 - avg(ps.s) AS d FROM li x JOIN li y ON y.a = x.a AND x.b < y.b JOIN ps ON ps.a = x.b AND ps.b = y.b WHERE x.a IN (SELECT a FROM aq) GROUP BY 1), dd AS (SELECT avg(d) AS diversity FROM aq JOIN dv USING (a))"
+
+
+@query("next_item_metrics", sql("vectors plays_ev", "SELECT queries, " + ", ".join(f"round({n}, 6)::DOUBLE AS {n}" for n in ("hit_k", "hit_deep", "mrr", "serendipity", "novelty", "popularity_percentile", "coverage", "diversity")) + " FROM ev, sh, dd", f"{_U}, {_S}, {_NN}, {_PU}, {_PC}, {_LI}"))
+def next_item(t):  # EV1
     r = ev.next_item(ev.session_pairs(t.plays_ev, by=["user_id"]), t.vectors, t.plays_ev.groupBy("track_id").agg(F.count("*").alias("plays")))
-    return r.select("queries", R("hit_k"), R("hit_deep"), R("mrr"))
+    return r.select("queries", *map(R, ["hit_k", "hit_deep", "mrr", "serendipity", "novelty", "popularity_percentile", "coverage", "diversity"]))
+
+
+@query("track_novelty", sql("vectors plays_ev", "SELECT track_id, round(nov, 6) AS novelty FROM kn", _PC))
+def novelty(t):  # MT11
+    return ev.novelty(t.plays_ev.groupBy("track_id").agg(F.count("*").alias("plays")), t.vectors).select("track_id", R("novelty"))
 
 
 @query("ablation")
-def ablate(t):
+def ablate(t):  # EV2
     two = t.vectors.withColumn("vec", F.slice("vec", 33, 32))
-    return ev.ablation(ev.session_pairs(t.plays_ev, by=["user_id"]), {"whole": t.vectors, "half": two}, t.plays_ev.groupBy("track_id").agg(F.count("*").alias("plays")))
+    one = t.vectors.withColumn("vec", F.slice("vec", 1, 32))
+    return ev.ablation(ev.session_pairs(t.plays_ev, by=["user_id"]), (one, two), t.plays_ev.groupBy("track_id").agg(F.count("*").alias("plays")))
+
+
+@query("album_cohesion", sql("vectors", "SELECT round(avg(w), 6) AS within, round(avg(b), 6) AS between_, round(avg(w) - avg(b), 6) AS cohesion FROM (SELECT album, avg(CASE WHEN same AND x <> y THEN s END) AS w, avg(s) AS b, count(DISTINCT x) AS n FROM (SELECT a.album, a.track_id AS x, c.track_id AS y, a.album = c.album AS same, list_inner_product(a.v, c.v) AS s FROM u a, u c) GROUP BY 1) WHERE n >= 3", _U))
+def cohesion(t):  # EV3
+    return ev.album_cohesion(t.vectors).select(R("within"), F.round("between", 6).alias("between_"), R("cohesion"))
+
+
+@query("prompt_search", sql("vectors", "SELECT a AS query_id, b AS track_id, rank, round(s, 6) AS score FROM (SELECT -a.track_id - 1 AS a, b.track_id AS b, row_number() OVER (PARTITION BY a.track_id ORDER BY list_inner_product(a.v, b.v) DESC, b.track_id) AS rank, list_inner_product(a.v, b.v) AS s FROM u a, u b WHERE a.track_id % 100 = 3) WHERE rank <= 10", _U))
+def prompt_search(t):  # VC21: landed vectors of prompts, under ids of their own
+    q = t.vectors.where("track_id % 100 = 3").select((-F.col("track_id") - 1).alias("track_id"), "vec")
+    return rt.searched(t.vectors.select("track_id", "vec"), q, 10).select("query_id", "track_id", "rank", R("score"))
+
+
+@query("best_space", sql("vectors", "SELECT track_id, len(vec) AS dim, 'embedding' AS source FROM vectors"))
+def best_space(t):  # VC2
+    v, source = sx.best_space(t.vectors, sx.assembled(t.features, UNIT))
+    return v.select("track_id", F.size("vec").cast("long").alias("dim"), F.lit(source).alias("source"))
+
+
+@query("space_diagnostics")
+def diagnostics(t):  # VC13
+    d = sx.diagnostics(t.vectors, t.play_counts)
+    return t.spark.createDataFrame([(d["before"], d["after"], d["verdict"])], "before double, after double, verdict string")
+
+
+@query("pca_axes")
+def pca_axes(t):  # ML2
+    return t.spark.createDataFrame(sx.axes(t.features, UNIT), "axis int, name string, percent double")
+
+
+_JS = "js AS (SELECT *, CASE WHEN track_id % 5 = 0 THEN list_transform(range(13), lambda i: 0.0::DOUBLE) ELSE mfcc END AS m FROM features)"
+
+
+@query("feature_vectors", sql("features", "SELECT track_id, " + ", ".join(f"round({e}, 6) AS {n}" for n, e in (("energy", "energy"), ("tempo", "coalesce(nullif(CASE WHEN track_id % 4 = 0 THEN 0 ELSE bpm END, 0), 120) / 200"), ("loudness", "(CASE WHEN track_id % 6 = 0 THEN -12 ELSE loudness_db END + 35) / 35"), ("dynamics", "dynamic_range / 30"), ("timbre", "list_sum(m)"))) + " FROM js", _JS))
+def feature_vectors(t):  # PRJ3, AR1
+    i = F.col("track_id")
+    rows = t.features.withColumns({"bpm": F.when(i % 4 == 0, 0.0).otherwise(F.col("bpm")), "loudness_db": F.when(i % 6 != 0, F.col("loudness_db"))})
+    landed = F.to_json(F.when(i % 5 == 0, F.slice("mfcc", 1, 12)).otherwise(F.col("mfcc")))
+    v = sx.assembled(rows.withColumn("json", landed), UNIT, sx.timbre(F.col("json")))
+    at = lambda k, n: F.round(F.get("vec", F.lit(k)), 6).alias(n)
+    return v.select("track_id", at(0, "energy"), at(8, "tempo"), at(9, "loudness"), at(10, "dynamics"), F.round(F.aggregate(F.slice("vec", 12, 13), F.lit(0.0), lambda a, x: a + x), 6).alias("timbre"))
+
+
+_EXPL = ["bpm_delta", "camelot_distance", "lufs_delta", "centroid_ratio", "microtiming_delta", "harmonic_delta"]
+_CODE = "MAP {" + ", ".join(f"'{k} {m}': [{n}, {i}]" for i, (d, m) in enumerate(((mu.MAJOR, "major"), (mu.MINOR, "minor"))) for k, n in d.items()) + "}[key || ' ' || mode]"
+
+
+@query("pair_explanation", sql("features vectors", "SELECT b.track_id, round(list_inner_product(x.v, y.v), 6) AS similarity, round(b.bpm - a.bpm, 1) AS bpm_delta, (least((a.c[1] - b.c[1] + 12) % 12, (b.c[1] - a.c[1] + 12) % 12) + (a.c[2] <> b.c[2])::INTEGER)::INTEGER AS camelot_distance, round(b.loudness_db - a.loudness_db, 1) AS lufs_delta, round(b.brightness * 4000 / greatest(a.brightness * 4000, 1e-6), 2) AS centroid_ratio, round(b.speechiness * 20 - a.speechiness * 20, 1) AS microtiming_delta, round(b.acousticness - a.acousticness, 2) AS harmonic_delta, array_to_string(list_filter(['loud', 'fast', 'bright'], lambda w: list_contains(a.tags, w) AND list_contains(b.tags, w)), ',') AS shared FROM g a, g b JOIN u x ON x.track_id = 42 JOIN u y ON y.track_id = b.track_id WHERE a.track_id = 42 AND b.track_id <> 42",
+ f"{_U}, g AS (SELECT *, {_CODE} AS c, list_filter([CASE WHEN loudness_db > -20 THEN 'loud' END, CASE WHEN bpm > 110 THEN 'fast' END, CASE WHEN brightness > .5 THEN 'bright' END], lambda w: w IS NOT NULL) AS tags FROM features)"))
+def explanation(t):  # MT12, VC24, SE2
+    tags = F.filter(F.array(F.when(F.col("loudness_db") > -20, "loud"), F.when(F.col("bpm") > 110, "fast"), F.when(F.col("brightness") > 0.5, "bright")), lambda w: w.isNotNull())
+    rows = t.features.select("track_id", "bpm", mu.wheel(F.col("key"), F.col("mode")).alias("code"), F.col("loudness_db").alias("lufs"), (F.col("brightness") * 4000).alias("centroid"), (F.col("speechiness") * 20).alias("microtiming"), F.col("acousticness").alias("harmonic"), tags.alias("tags"))
+    return vc.explained(rows.join(t.vectors.select("track_id", "vec"), "track_id"), 42).withColumn("shared", F.array_join("shared", ","))
