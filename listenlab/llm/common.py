@@ -38,9 +38,14 @@ def written(df: DataFrame, what: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_arrow_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Keep Python's batches small, as texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Rows of a batch that Python gets, as texts can be long; one number for the whole session, so that plans built earlier don't change.
+BATCH = 256
+
+
+def small_arrow_batches(spark: SparkSession) -> None:
+    """Keep Python's batches small; what was set smaller stays. Spark bounds their bytes as well."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
 
 
 def word_count(text: Column) -> Column:

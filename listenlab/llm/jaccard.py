@@ -206,7 +206,7 @@ def _members(docs: DataFrame, rule: Rule) -> DataFrame:
             sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(class_counts(sizes, lists.flatten().to_numpy()), pa.binary())], ["doc_id", "n", "node", "th", "counts"])
 
-    small_arrow_batches(docs.sparkSession, 256)
+    small_arrow_batches(docs.sparkSession)
     t = sets(docs.withColumn("th", F.xxhash64("text")), rule, "th").select(F.col("doc_id").cast("long").alias("doc_id"), "n", "node", "th", "tokens")
     return t.mapInArrow(run, "doc_id long, n long, node long, th long, counts binary")
 
@@ -232,7 +232,7 @@ def _buckets(docs: DataFrame, rule: Rule) -> DataFrame:
                 e = s + 200_000
                 yield pa.RecordBatch.from_arrays([pa.array(sig[s:e]), pa.array(node[s:e]), pa.array(tag[s:e])], ["sig", "node", "tag"])
 
-    small_arrow_batches(docs.sparkSession, 256)
+    small_arrow_batches(docs.sparkSession)
     rows = written(sets(docs, rule).select("node", "tokens").mapInArrow(run, "sig long, node long, tag long"), "signatures")
     # a bucket of very many rows is never sorted in one task: cells of a sketch tell which buckets can be that large
     cell = F.pmod("sig", F.lit(CELLS)).cast("int")
@@ -277,7 +277,7 @@ def _tied(cool: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
         yield from edges(rest)
 
     spark = cool.sparkSession
-    small_arrow_batches(spark, 20_000)
+    small_arrow_batches(spark)
     side = nodes.select(F.col("node").alias("of"), "n", "counts")
     j = cool.select("sig", "node").join(_hint(side), F.col("node") == F.col("of")).select("sig", "node", "n", "counts")
     return j.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "a long, b long")

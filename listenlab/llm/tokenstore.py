@@ -104,13 +104,20 @@ def tokenized(docs: DataFrame, path: str, pattern: str, end: int = END) -> DataF
             yield pa.RecordBatch.from_pylist([{"part": part, "seq": -1, "start": 0, "doc_ids": [], "lens": [], "n": 0, "ids": None, "counts": np.stack([at, counts[at]]).astype("<i8").tobytes()}], schema)
 
     spark = docs.sparkSession
-    small_arrow_batches(spark, 256)
+    small_arrow_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # rows of one id lie in one range; a hash of the text orders them
     rows = docs.select(docs["doc_id"].cast("long"), "text", F.xxhash64("text").alias("th")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "th")
     return rows.select("doc_id", "text").mapInArrow(run, IDS)
 
 
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 16) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, as each is a whole block."""
+    for b in batches:
+        for s in range(0, b.num_rows, rows):
+            yield b.slice(s, rows)
+
+
 def _narrow(ids: np.ndarray) -> bytes:
     """Two bytes an id if that is enough; the first byte tells the width."""
     wide = 2 if not len(ids) or ids.max() < 65_536 else 4
@@ -239,7 +246,7 @@ def write(docs: DataFrame, path: str, pattern: str, to: str, end: int = END) ->
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, schema = canonical(lengths), _schema(BLOCKS)
-        for b in batches:
+        for b in _few(batches):
             bits, offsets = [], []
             for data in b.column("ids").to_pylist():
                 x, y = pack_bits(_wide(data), lengths, codes)
@@ -247,7 +254,7 @@ def write(docs: DataFrame, path: str, pattern: str, to: str, end: int = END) ->
                 offsets.append(y)
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("part", "seq", "start", "doc_ids", "lens", "n")), pa.array(bits, pa.binary()), pa.array(offsets, pa.list_(pa.int64()))], schema=schema)
 
-    small_arrow_batches(spark, 16)
+    small_arrow_batches(spark)
     rows.where("seq >= 0").drop("counts").mapInArrow(coded, BLOCKS).write.option("compression", "none").parquet(f"{to}/blocks")
 
 
@@ -262,7 +269,7 @@ def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(lengths)
-        for b in batches:
+        for b in _few(batches):
             for r in b.to_pylist():
                 all_ = memoryview(decoder.read(r["bits"], np.array(r["offsets"], np.int64), r["n"]).astype("<u4")).cast("B")
                 ends = np.cumsum(r["lens"])
@@ -281,6 +288,6 @@ def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
         base.append((part, sum_))
         sum_ += n
     before = spark.createDataFrame(base, "part int, before long")
-    small_arrow_batches(spark, 16)
+    small_arrow_batches(spark)
     docs = blocks.mapInArrow(run, schema).join(F.broadcast(before), "part")
     return docs.withColumn("start", F.col("start") + F.col("before")).select(*names[1:])
