@@ -196,6 +196,13 @@ def human_time(t: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(bare, F.lit("MMM d, yyyy, h:mm:ss a")), F.try_to_timestamp(bare, F.lit("d MMM yyyy, HH:mm:ss")))
 
 
+def epoch(t: Column, fallback: Column) -> Column:
+    """DT6: seconds since 1970 of an ISO time, of one without a zone as of UTC, or of its first 19 characters; the fallback for what isn't one."""
+    whole = F.try_to_timestamp(F.replace(F.trim(t), F.lit("Z"), F.lit("+00:00")))
+    first = F.try_to_timestamp(F.substring(F.trim(t), 1, 19))
+    return F.coalesce(F.unix_micros(F.coalesce(whole, first)) / 1e6, fallback)
+
+
 def leading_int(t: Column) -> Column:
     """AX12: the number before a slash."""
     return F.get(F.split(t, "/"), 0).try_cast("int")

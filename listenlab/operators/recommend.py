@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,25 @@ def ranked(cands: DataFrame, features: DataFrame, taste: DataFrame, names: list[
     return j.withColumn("score", score).orderBy(F.col("score").desc(), "id").limit(k)
 
 
+def seeds(played: DataFrame, ranked_items: DataFrame, k: int = 6) -> DataFrame:
+    """RC1: (artist, seed): the most played artists (artist, plays), or, if nothing was played, ranked items (name, rank)."""
+    some = played.orderBy(F.col("plays").desc(), "artist").limit(k)
+    first = some.agg(F.sort_array(F.collect_list(F.struct((-F.col("plays")).alias("n"), "artist"))).alias("x"))  # at most k rows
+    items = ranked_items.orderBy("rank").limit(k).agg(F.sort_array(F.collect_list(F.struct(F.col("rank").cast("long").alias("n"), F.col("name").alias("artist")))).alias("y"))
+    both = first.crossJoin(items).select(F.posexplode(F.when(F.size("x") > 0, F.col("x")).otherwise(F.col("y"))).alias("i", "s"))
+    return both.select(F.col("s.artist").alias("artist"), (F.col("i") + 1).cast("long").alias("seed"))
+
+
+def save_snapshot(rows: DataFrame, path: str, k: int = 30) -> None:
+    """SNK15: the best recommendations take the place of the last snapshot."""
+    rows.orderBy(F.col("score").desc(), "id").limit(k).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """RC4."""
+    return spark.read.parquet(path).orderBy(F.col("score").desc(), "id")
+
+
 def matched(tracks: DataFrame, catalogue: DataFrame) -> DataFrame:
     """EN1: for each track the first catalogue row of the same artist whose title begins with the track's."""
     c = catalogue.select(F.col("id").alias("found"), F.col("artist").alias("by"), F.lower("title").alias("name"))
@@ -46,3 +65,30 @@ def enriched(tracks: DataFrame, found: DataFrame) -> DataFrame:
     """EN2, EN3: missing fields filled from what was found, and the state: 1 found, -1 not."""
     j = tracks.join(found.withColumn("hit", F.lit(1)), "id", "left")
     return j.withColumns({"state": F.coalesce("hit", F.lit(-1)), "duration_ms": F.coalesce("duration_ms", "new_ms")}).drop("hit", "new_ms")
+
+
+def plausible(title: Column, artist: Column, hit_title: Column, hit_artist: Column) -> Column:
+    """EN1: whether a loose hit may be meant: one title leads the other (the hit's, of four characters at least), or the artists share a word."""
+    song, hit = F.lower(F.trim(title)), F.lower(F.trim(F.coalesce(hit_title, F.lit(""))))
+    leads = (song != "") & (F.startswith(hit, song) | ((F.length(hit) >= 4) & F.startswith(song, hit)))
+    words = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda w: F.length(w) >= 3)
+    return F.coalesce(leads, F.lit(False)) | F.arrays_overlap(words(artist), words(hit_artist))
+
+
+def catalogue_search(tracks: DataFrame, hits: DataFrame) -> DataFrame:
+    """EN1: (id, found): of landed search hits (id, attempt, hit_title, hit_artist, found) the first in order of the attempts; attempt 0 asked for both fields and is taken as it is, others must be plausible."""
+    j = tracks.join(hits, "id").where((F.col("attempt") == 0) | plausible(F.col("title"), F.col("artist"), F.col("hit_title"), F.col("hit_artist")))
+    return j.groupBy("id").agg(F.min(F.struct("attempt", "found")).alias("best")).select("id", F.col("best.found").alias("found"))
+
+
+def retry_pool(tracks: DataFrame) -> DataFrame:
+    """EN3, FLT9: tracks not found so far whose normalised title is long enough and that are neither shorts nor non-music; an unknown flag is none."""
+    no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
+    return tracks.where((F.col("enriched") == -1) & (F.length("clean_title") >= 3) & no("is_short") & no("is_non_music"))
+
+
+def retried(tracks: DataFrame, found: DataFrame, albums: DataFrame) -> DataFrame:
+    """EN3, EN4: tracks with new states, 1 for those of the pool that are found (id, album_id), -2 for the rest of it, and genres by a dimension (album_id, album_genre)."""
+    hits = found.join(albums, "album_id", "left").select("id", F.lit(True).alias("hit"), "album_genre")
+    pool = retry_pool(tracks).select("id").join(hits, "id", "left").select("id", F.when(F.col("hit"), 1).otherwise(-2).alias("state"), F.col("album_genre").alias("genre"))
+    return tracks.join(pool, "id", "left").withColumn("enriched", F.coalesce("state", "enriched")).drop("state")

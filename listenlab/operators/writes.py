@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -46,3 +46,29 @@ def repoint(rows: DataFrame, ids: DataFrame, column: str, key: list[str]) -> Dat
 def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """SNK6: what has not been completed."""
     return rows.join(done.select(key), key, "left_anti")
+
+
+#: The tables of a store.
+TABLES = ["plays", "audio_features", "lyrics", "playlist_tracks", "playlists", "top_items", "recommendations", "tracks"]
+
+
+def append(rows: DataFrame, path: str) -> None:
+    """SNK5: events behind those that are there."""
+    rows.write.mode("append").parquet(path)
+
+
+def flush(good: DataFrame, bad: DataFrame, path: str) -> None:
+    """SNK8: measured rows and rows with errors in one write; each lacks the other's columns."""
+    good.unionByName(bad, allowMissingColumns=True).write.mode("append").parquet(path)
+
+
+def upserted(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """SNK9: rows of known keys are overwritten, others added."""
+    return replaced(old, new, key)
+
+
+def clear(spark: SparkSession, folder: str, names: list[str] | None = None) -> None:
+    """SNK12: empties the tables of a folder, with their columns kept."""
+    for name in TABLES if names is None else names:
+        schema = spark.read.parquet(f"{folder}/{name}").schema
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/{name}")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listenlab.functions import text as tx
+from listenlab.operators import etl
 
 #: Shorter streams don't count as plays; most plays that one day's row may stand for.
 LEAST_MS, MOST_A_DAY = 30_000, 500
@@ -50,15 +51,24 @@ def watch_html(pages: DataFrame) -> DataFrame:
 
 def is_html(value):
     """SRC6: whether a whole file is HTML rather than JSON."""
-    return F.substring(F.ltrim(value), 1, 1) == "<"
+    return F.regexp_like(value, F.lit(r"^[\s\x{FEFF}]*<"))
 
 
 def per_video(rows: DataFrame, categories: DataFrame) -> DataFrame:
-    """SRC7, SRC15: one row for each video with its watches, joined to the category dimension (video, category, seconds)."""
+    """SRC15: one row for each video with its watches, joined to the landed category dimension (video, category, seconds)."""
     per = rows.groupBy("video").agg(F.min_by("title", "played_at").alias("title"), F.min_by("channel", "played_at").alias("channel"), F.count("*").alias("watches"), F.min("played_at").alias("first"))
     return per.join(categories, "video", "left")
 
 
+def authoritative(rows: DataFrame, categories: DataFrame, short_s: int = 45, propagation: bool = True) -> DataFrame:
+    """SRC7: every watched video (watch_history) with what becomes of it, nothing written: music by words or category, music by its channel, short, or non-music."""
+    v = per_video(rows, categories)
+    v = v.withColumn("hint", etl.music_hint(F.col("title"), F.col("channel"))).withColumn("music", F.col("hint") | F.coalesce(F.col("category") == 10, F.lit(False)))
+    v = etl.propagate(v) if propagation else v.withColumn("reason", F.when(F.col("music"), "direct"))
+    short = etl.short_clip(F.col("title"), F.lit(None).cast("string"), F.col("seconds"), F.col("hint"), short_s)
+    return v.select("video", "title", "channel", "watches", "first", F.when(short & ~F.col("hint"), "short").otherwise(F.coalesce("reason", F.lit("non-music"))).alias("verdict"))
+
+
 def csv_kind(columns: list[str]) -> str:
     """SRC8: which importer a header asks for."""
     have = {c.strip().lstrip("﻿").lower() for c in columns}
@@ -86,14 +96,9 @@ def generic_plays(rows: DataFrame) -> DataFrame:
     return out.where("title IS NOT NULL")
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """SRC8, SRC9: plays of a CSV file, or of all CSV files of one kind below a folder."""
-    rows = spark.read.csv(path, header=True, recursiveFileLookup=True, pathGlobFilter="*.csv")
-    rows = rows.toDF(*[c.strip().lstrip("﻿") for c in rows.columns])
-    kind = csv_kind(rows.columns)
-    if kind == "daily":
-        return daily_plays(rows)
-    return generic_plays(rows) if kind == "generic" else rows.select(F.col("Song Name").alias("title"), F.col("Album Name").alias("album"))
+def activity_albums(rows: DataFrame) -> DataFrame:
+    """(title, album) of activity rows."""
+    return rows.select(F.col("Song Name").alias("title"), F.col("Album Name").alias("album"))
 
 
 def album_backfill(tracks: DataFrame, activity: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,23 @@ def report(track: dict, features: dict[str, float]) -> str:
 def save_arrays(df: DataFrame, path: str) -> None:
     """SNK21: model state as one row of arrays."""
     df.coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_arrays(spark: SparkSession, path: str) -> dict:
+    """SNK21: the one row of a saved model's arrays."""
+    return spark.read.parquet(path).first().asDict()
+
+
+def escaped(text: Column) -> Column:
+    """SF15: a text for HTML."""
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(mark), F.lit(name))
+    return text
+
+
+def report_column(title: Column, artist: Column, values: Column) -> Column:
+    """SNK18, AX18: a track's page with a cell and a bar for each value of a map, as an expression."""
+    t, cut = escaped(F.coalesce(title, F.lit(""))), lambda x: F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0))
+    cell = lambda e: F.concat(F.lit("<tr><th>"), escaped(e["key"]), F.lit("</th><td>"), F.format_number(e["value"], 2), F.lit("</td><td><div style='width:"), F.round(100 * cut(e["value"])).cast("int"), F.lit("%'></div></td></tr>"))
+    cells = F.array_join(F.transform(F.filter(F.map_entries(values), lambda e: e["value"].isNotNull()), cell), "")
+    return F.concat(F.lit("<!DOCTYPE html><title>"), t, F.lit("</title><h1>"), t, F.lit("</h1><p>"), escaped(F.coalesce(artist, F.lit(""))), F.lit("</p><table>"), cells, F.lit("</table>"))

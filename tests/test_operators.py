@@ -6,10 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from listenlab import config
 from listenlab.functions import music, text
-from listenlab.operators import audio, etl, models, playlist, resolve, retrieve, stats, writes
+from listenlab.operators import audio, etl, models, order, playlist, resolve, retrieve, signal, space, stats, writes
 from listenlab.operators import vectors as vc
-from listenlab.sources import importers, sinks
+from listenlab.sources import demo, importers, landed, sinks
 from listenlab.streaming import plays as sp
 
 
@@ -152,7 +153,10 @@ def test_imports(spark, tmp_path):
     assert [(r.title, r.artist, r.played_ms) for r in got] == [("Song", "Ann", 40000), ("Tune", "Bob", 30000)] and all(r.played_at for r in got)
     (tmp_path / "c").mkdir()
     (tmp_path / "c" / "d.csv").write_text("﻿Track Description,Play Count,Date Played\nAnn - Song,3,20240105\nno artist,0,20240106\nx - y,2,bad\n")
-    daily = importers.read_csv(spark, str(tmp_path / "c")).collect()
+    (tmp_path / "c" / "e.csv").write_text("Song Name,Album Name\nTune,First\n")
+    plays, albums = landed.read_csv_folder(spark, str(tmp_path / "c"))
+    daily = plays.collect()
+    assert [(r.title, r.album) for r in albums.collect()] == [("Tune", "First")]
     assert sorted((r.artist or "", r.title) for r in daily) == [("", "no artist")] + [("Ann", "Song")] * 3
     assert importers.csv_kind(["Song Name", "Album Name"]) == "activity" and importers.csv_kind(["Title"]) == "generic"
     page = '<div class="content-cell a">Watched <a href="https://x/watch?v=abcdef1&amp;t=1">A &amp; B</a><br><a href="https://x/c">Chan</a><br>Jan 5, 2024, 3:04:05 PM CET</div>'
@@ -289,3 +293,82 @@ def test_all_rows_count_without_a_rank(spark, monkeypatch):
     q = v.where("track_id = 3").select(F.col("track_id").alias("query_id"), F.col("vec").alias("q"))
     every = retrieve.recall(v, q, None)
     assert every.count() == 49 and "rank" not in every.columns
+
+
+def test_signals(spark):
+    beats = [0.5 * i for i in range(20)]
+    tight, loose = [0.5 * i for i in range(16)], [0.5 * i + 0.04 * (-1) ** i for i in range(16)]
+    g = spark.createDataFrame([(tight, beats), (loose, beats), ([0.0], beats), (None, None)], "o array<double>, b array<double>").select(signal.groove("o", "b").alias("g"))
+    assert [round(r.g.microtiming_ms, 3) for r in g.collect()] == [0.0, 40.0, 0.0, 0.0]
+    x = np.sin(np.arange(400) * 0.1)
+    up = signal._resampled(x, 3, 2)
+    assert len(up) == 600 and np.abs(up[60:540] - np.sin(np.arange(600) * 0.2 / 3)[60:540]).max() < 0.01
+    assert np.array_equal(signal._resampled(x, 5, 5), x)
+    assert signal.runs(np.array([1, 1, 2, 2, 2, 1])) == [(0, 2), (2, 5), (5, 6)]
+    one = spark.createDataFrame([([0.5] * 30,)], "x array<double>").select(signal.resampled("x", F.lit(4), F.lit(2)).alias("y"), signal.true_peak("x").alias("p")).first()
+    assert len(one.y) == 15 and 0.49 < one.p < 0.7
+    # a steady tone with soft ends, a click at each end, and silence
+    t = np.arange(20_000) / 8000
+    tone = np.sin(2 * np.pi * 440 * t) * np.minimum(1, np.minimum(t, t[::-1]) * 5)
+    click = tone.copy()
+    click[0] = click[-1] = 1.0
+    s = spark.createDataFrame([(tone.tolist(),), (click.tolist(),), ([0.0] * 20_000,), (None,)], "x array<double>").select(signal.sample_signals("x", F.lit(8000)).alias("s")).collect()
+    assert [r.s.edge_truncation for r in s] == [0.0, 1.0, 0.0, 0.0] and all(0 <= v <= 1 for r in s for v in r.s)
+
+
+def test_segments_follow_the_music(spark):
+    rng = np.random.default_rng(3)
+    kind = np.repeat([0, 1, 0, 1], 20)
+    chroma = np.where(np.arange(12)[None] % 2 == kind[:, None], 1.0, 0.1) + rng.normal(0, 0.02, (80, 12))
+    timbre = kind[:, None] * 2.0 + rng.normal(0, 0.05, (80, 5))
+    row = (chroma.tolist(), timbre.tolist(), [0.5 * i for i in range(80)], (0.2 + 0.5 * kind).tolist())
+    s = spark.createDataFrame([row, ([], [], [], [])], "c array<array<double>>, m array<array<double>>, t array<double>, l array<double>").select(signal.segmented("c", "m", "t", "l").alias("s")).collect()
+    assert [(x.start, x.stop) for x in s[0].s] == [(0.0, 10.0), (10.0, 20.0), (20.0, 30.0), (30.0, 39.5)] and s[1].s == []
+    assert s[0].s[0].label == s[0].s[2].label != s[0].s[1].label == s[0].s[3].label
+    assert signal.repetition([x.asDict() for x in s[0].s]) == 1.0
+
+
+def test_settings(tmp_path):
+    assert config.load(None, {}) == config.Config(root=config.os.path.expanduser("~/.listenlab"))
+    (tmp_path / "a.toml").write_text("root = '/x'\nepsilon = 'many'\nunknown = 1\n[retrieval]\nmmr_lambda = 0.5\ndebias_popularity = false\n")
+    got = config.load(str(tmp_path / "a.toml"), {"LISTENLAB_EPSILON": "0.2", "LISTENLAB_SESSION_GAP_S": "x"})
+    assert (got.root, got.epsilon, got.mmr_lambda, got.debias_popularity, got.session_gap_s) == ("/x", 0.2, 0.5, False, 1800)
+    (tmp_path / "b.toml").write_text("not toml at all")
+    assert config.load(str(tmp_path / "b.toml"), {"LISTENLAB_ROOT": "/y"}).root == "/y"
+
+
+def test_demo_plays(spark):
+    one = sorted(map(tuple, demo.plays(spark, spark.range(36)).collect()))
+    assert one == sorted(map(tuple, demo.plays(spark, spark.range(36).repartition(5)).collect()))
+    assert 1000 < len(one) < 2600 and {r[2] for r in one} == set(demo.SOURCES) and len({r[0] for r in one}) > 30
+    evening = sum(17 <= r[1].hour <= 21 for r in one)
+    assert evening > 2 * sum(r[1].hour < 6 for r in one)
+
+
+def test_ordered_runs(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, int(x), None if i % 9 == 0 else float(i % 4)) for i, x in enumerate(rng.integers(0, 40, 500))]
+    df = spark.createDataFrame(rows, "id long, v long, w double").repartition(5)
+    got = sorted((r.id, r.pos, r.total, r.s) for r in order.running(df, [F.col("v"), F.col("id")], s=F.col("w")).collect())
+    want, total = [], 0.0
+    for pos, (i, _, w) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])), 1):
+        total += w or 0.0
+        want.append((i, pos, 500, total))
+    assert [(a, b, c) for a, b, c, _ in got] == [(a, b, c) for a, b, c, _ in sorted(want)]
+    assert all((x[3] if x[3] is not None else 0.0) == pytest.approx(y[3]) for x, y in zip(got, sorted(want), strict=True))
+    before = {r.id: r.p for r in order.previous(df, [F.col("v"), F.col("id")], p=F.col("id")).collect()}
+    ids = [r[0] for r in sorted(rows, key=lambda r: (r[1], r[0]))]
+    assert before == dict(zip(ids, [None, *ids[:-1]], strict=True))
+    assert order.running(df.where("false"), [F.col("v")]).count() == 0
+
+
+def test_axes_and_diagnostics(spark, library):
+    rows = spark.createDataFrame([(i, None, float(i), float(2 * i + i % 2), float(i % 3)) for i in range(40)], "track_id long, error string, a double, b double, c double")
+    (_, first, share), (_, second, _) = space.axes(rows, ["a", "b", "c"])
+    x = np.array([[r.a, r.b, r.c] for r in rows.collect()])
+    z = (x - x.mean(0)) / x.std(0)
+    assert set(first.replace(" / ", "").replace("−", "+").split("+")[1:]) == {"a", "b"} and "c" in second
+    assert share == pytest.approx(100 * np.linalg.eigvalsh(z.T @ z)[-1] / 3 / 40, abs=0.1)
+    plays = library.select("track_id", (F.col("track_id") % 50).alias("plays"))
+    d = space.diagnostics(library.select("track_id", "vec"), plays)
+    assert 0 <= d["after"] <= 1 and d["verdict"].endswith("%.")
