@@ -65,6 +65,6 @@ def segments(t):  # SG5: two alternating kinds of beats
     timbre = F.transform(beats, lambda i: F.transform(F.sequence(F.lit(0), F.lit(4)), lambda j: kind(i) * 2.0 + 0.05 * F.get("vec", (i * 3 + j) % 64)))
     times = F.transform(beats, lambda i: i * 0.5)
     loud = F.transform(beats, lambda i: 0.2 + 0.5 * kind(i))
-    # written first: a generator takes no Python function as its input
-    found = kept(t.vectors.select("track_id", sg.segmented(chroma, timbre, times, loud).alias("s")))
+    landed = kept(t.vectors.select("track_id", chroma.alias("chroma"), timbre.alias("timbre"), times.alias("times"), loud.alias("loud")))
+    found = landed.select("track_id", sg.segmented("chroma", "timbre", "times", "loud").alias("s"))
     return found.select("track_id", F.inline("s")).select("track_id", "start", "stop", "label", R("energy"))
