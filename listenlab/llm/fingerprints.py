@@ -17,7 +17,7 @@ from .common import let, shingle_hashes
 K = 128
 SHINGLE = 5
 #: Most id ranges in which neighbours are looked up; their bounds are the only thing sent to the driver.
-RANGES = 8192
+RANGES = 32_768
 #: Documents in a range if there are few.
 RANGE_ROWS = 64
 

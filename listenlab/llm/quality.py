@@ -176,12 +176,16 @@ def train(texts: list[str | None], good: list[int], seed: int = 3) -> Field:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Field | None:
-    """Learns from the texts and quality labels of at most ``most`` rows outside the held-out fold; None if there are none."""
+    """Learns from the texts and quality labels of at most ``most`` rows outside the held-out fold; None if there are none.
+
+    A document of clashing labels counts as bad. The rows are those of smallest hashes, the same on every run.
+    """
     known = labels.select("doc_id", "quality").where(F.col("quality").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
     # few rows of the labels are needed: those of smallest id hash, so few that they can be broadcast
     n = known.count()
     scale = 1 << 20
-    few = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < min(scale, int(scale * 1.5 * most / max(n, 1)) + 1)).dropDuplicates(["doc_id"]).limit(2 * most)
+    few = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < min(scale, int(scale * 1.5 * most / max(n, 1)) + 1))
+    few = few.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * most)
     rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
     got = sample(rows, most)
     return train([r["text"] for r in got], [int(r["quality"]) for r in got]) if got else None
