@@ -24,24 +24,38 @@ def _columns(docs: DataFrame) -> list[str]:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language the network tells with some certainty; those without a letter go."""
+    """Keeps documents whose language the network tells with some certainty; those without a letter go.
+
+    So do null and empty texts. Each row is judged by its own text, whatever its id, lang or source; repeated
+    rows stay repeated. Without a row to learn from, or without rows, nothing is kept.
+    """
     rows = langid.identify(docs, langid.fit(docs), _columns(docs))
     return rows.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_CERTAIN)).select(*_columns(docs))
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that the line-labelling field predicts to be good."""
+    """Keeps documents that the line-labelling field predicts to be good.
+
+    A null text counts as empty, and an empty one as one empty line. Rows of null or repeated ids are judged
+    by their own texts; only labelled ids are learned from. Without labels every score is 0.5, and all stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.score(docs, quality.fit(docs, labels), _columns(docs)).where("predicted = 1").select(*_columns(docs))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest doc_id, of each group of near-duplicates."""
+    """Keeps one document, that of the smallest doc_id, of each group of near-duplicates.
+
+    Documents without words all stay; of repeated rows one stays; those of null id stay if nothing with an id is like them.
+    """
     return jaccard.representatives(docs, NEAR).select(*_columns(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the mix doesn't take, and repeats those that it takes several times."""
+    """Drops documents that the mix doesn't take, and repeats those that it takes several times.
+
+    Null sources are a source of their own, null texts have no words. Rows of one id are taken alike. An empty table stays empty.
+    """
     size = word_count(F.col("text"))
     sizes = written(docs.select("doc_id", "source", size.alias("size")), "sizes")
     plan = mixing.plan(sizes.select("source", "size", mixing.doc_hash(F.col("doc_id")).alias("h")))
@@ -50,7 +64,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes every document that is left, decodes it again, and returns the digests of both."""
+    """Encodes every document that is left, decodes it again, and returns the digests of both.
+
+    A null or empty text has no ids; rows are kept as they are, null and repeated ids too.
+    """
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
