@@ -6,12 +6,14 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from listenlab.functions.arrays import dot
+from listenlab.functions.arrays import dot, unit
+
+from .stats import auc
 
 
 def clusters(rows: DataFrame, k: int = 4, seed: int = 0) -> DataFrame:
@@ -61,6 +63,52 @@ def taste(vectors: DataFrame, labelled: DataFrame, least: int = 40) -> DataFrame
     return scored.join(rows.select("track_id", "label", "held"), "track_id", "left")
 
 
+def drivers(names: list[str], weights: list[float], k: int = 10) -> list[tuple[str, float, str]]:
+    """ML5: the named features of most weight, and which way they pull. The texts are fixed values."""
+    strongest = sorted(zip(names, weights, strict=True), key=lambda nw: (-abs(nw[1]), nw[0]))[:k]
+    return [(n, float(w), "you like more" if w > 0 else "you like less") for n, w in strongest]
+
+
+def picks(scored: DataFrame, plays: DataFrame, top: int = 25, gems: int = 15, rarely: int = 2) -> DataFrame:
+    """ML5: (kind, place, track_id, score, plays): the tracks of highest score, and of those hardly ever played."""
+    j = scored.join(plays, "track_id", "left").select("track_id", "score", F.coalesce("plays", F.lit(0)).alias("plays"))
+    best = lambda rows, k, kind: rows.orderBy(F.col("score").desc(), "track_id").limit(k).select(F.lit(kind).alias("kind"), "track_id", "score", "plays")
+    both = best(j, top, "top").unionByName(best(j.where(F.col("plays") <= rarely), gems, "gem"))
+    return both.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.col("score").desc(), "track_id")))
+
+
+def cross_validated(rows: DataFrame, c: float, folds: int = 5) -> float | None:
+    """ML9, ML10: mean AUC over folds by hash of the id, each scored by a head that never saw it; None if a label has fewer rows than two folds."""
+    rows = rows.withColumn("_fold", F.pmod(F.xxhash64("track_id"), F.lit(folds)))
+    few = rows.groupBy("value").agg(F.count("*").alias("n")).agg(F.min("n").alias("n"), F.count("*").alias("kinds")).first()
+    if few["kinds"] < 2 or few["n"] < 2 * folds:
+        return None
+    found = []
+    for k in range(folds):
+        m = head(rows.where(F.col("_fold") != k), True, c)
+        held = rows.where(F.col("_fold") == k)
+        scored = apply_probe(held, list(m.coefficients), m.intercept).join(held.select("track_id", F.col("value").cast("int").alias("label")), "track_id")
+        found.append(auc(scored.select("label", "score")).first()["auc"])
+    known = [x for x in found if x is not None]
+    return sum(known) / len(known) if known else None
+
+
+#: Bands of layers, first and behind the last.
+BANDS = {"production": (0, 5), "performance": (5, 10), "structure": (10, 25)}
+
+
+def layer_profile(rows: DataFrame, layers: int, bands: dict[str, tuple[int, int]] | None = None, c: float = 0.4) -> list[tuple[str, float | None]]:
+    """ML9: cross-validated AUC of a label (track_id, vec, value, w) by the layers of each band of stacked vectors; bands behind the last layer are left out."""
+    size = F.floor(F.size("vec") / layers).cast("int")
+    out = []
+    for name, (lo, hi) in (bands or BANDS).items():
+        hi = min(hi, layers)
+        if lo < hi:
+            part = F.slice("vec", (lo * size + 1).cast("int"), ((hi - lo) * size).cast("int"))
+            out.append((name, cross_validated(rows.withColumn("vec", unit(part)), c)))
+    return out
+
+
 def implicit(plays: DataFrame, done: float = 0.8, skip_ms: int = 30_000) -> DataFrame:
     """AG37: (track_id, value, weight) from plays (played_ms, skipped, duration_ms): early skips 0, plays nearly to the end 1, others say nothing."""
     outcome = F.when(F.col("skipped") & (F.col("played_ms") < skip_ms), 0.0).when(F.col("played_ms") >= done * F.col("duration_ms"), 1.0)
@@ -108,6 +156,3 @@ def contributions(rows: DataFrame, names: list[str], weights: list[float], offse
     parts = F.create_map(*[x for n, w in zip(names, weights, strict=True) for x in (F.lit(n), F.col(n) * float(w))])
     z = sum((F.col(n) * float(w) for n, w in zip(names, weights, strict=True)), F.lit(float(offset)))
     return rows.select("track_id", (1 / (1 + F.exp(-z))).alias("score"), parts.alias("contributions"))
-
-
-__all__ = ["apply_probe", "calibrated", "clusters", "contributions", "head", "implicit", "probe", "suggested", "taste", "vector_to_array"]

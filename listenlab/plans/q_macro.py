@@ -116,9 +116,9 @@ def entropy(t):
     return m.entropy(t.plays).select(*R6("entropy"))
 
 
-@query("token_search", sql("tracks", "SELECT id, title, artist FROM tracks WHERE (title ILIKE '%green%' OR artist ILIKE '%green%') AND (title ILIKE '%brand#1%' OR artist ILIKE '%brand#1%')"))
+@query("token_search", sql("tracks", "SELECT id, title, artist FROM tracks WHERE (title ILIKE '%red%' OR artist ILIKE '%red%') AND (title ILIKE '%brand#1%' OR artist ILIKE '%brand#1%')"))
 def token_search(t):
-    return m.search(t.tracks, "green brand#1").select("id", "title", "artist")
+    return m.search(t.tracks, "red brand#1").select("id", "title", "artist")
 
 
 @query("three_column_search", sql("tracks", "SELECT id, title, artist, genre FROM tracks WHERE title ILIKE '%eco%' OR artist ILIKE '%eco%' OR genre ILIKE '%eco%'"))
@@ -163,14 +163,21 @@ def pending(t):  # JN7, ST4: most played first among what has no features
     return m.with_counts(todo, t.plays, 0).select("id", "plays").orderBy(F.col("plays").desc(), "id").limit(100)
 
 
-@query("orphan_tracks", sql("tracks plays", "SELECT id, title FROM tracks WHERE id NOT IN (SELECT track_id FROM plays)"))
-def orphans(t):  # JN7, SNK13
-    return t.tracks.join(t.plays.select(F.col("track_id").alias("id")), "id", "left_anti").select("id", "title")
+_ONE = "py AS (SELECT track_id FROM plays WHERE source = 'A' AND played_at >= TIMESTAMP '1995-01-01' AND played_at < TIMESTAMP '1996-01-01')"
 
 
-@query("semi_dependents", sql("tracks plays features", "SELECT track_id FROM features WHERE track_id IN (SELECT id FROM tracks WHERE id NOT IN (SELECT track_id FROM plays))"))
+def _one_year(t):
+    return m.of_year(t.plays.where("source = 'A'"), 1995).select(F.col("track_id").alias("id"))
+
+
+@query("orphan_tracks", sql("tracks plays", "SELECT id, title FROM tracks WHERE id NOT IN (SELECT track_id FROM py)", _ONE))
+def orphans(t):  # JN7, SNK13: nothing of one source in one year refers to them
+    return t.tracks.join(_one_year(t), "id", "left_anti").select("id", "title")
+
+
+@query("semi_dependents", sql("tracks plays features", "SELECT track_id FROM features WHERE track_id IN (SELECT id FROM tracks WHERE id NOT IN (SELECT track_id FROM py))", _ONE))
 def dependents(t):  # JN8
-    gone = t.tracks.join(t.plays.select(F.col("track_id").alias("id")), "id", "left_anti").select(F.col("id").alias("track_id"))
+    gone = t.tracks.join(_one_year(t), "id", "left_anti").select(F.col("id").alias("track_id"))
     return t.features.join(gone, "track_id", "left_semi").select("track_id")
 
 

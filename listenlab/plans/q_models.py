@@ -78,3 +78,30 @@ def slop_fit(t):
 def contributions(t):
     c = md.contributions(t.features, ["energy", "valence"], [0.5, -0.7], 0.1)
     return c.select("track_id", R("score"), F.round(F.element_at("contributions", "energy"), 6).alias("energy_part"))
+
+
+@query("taste_picks", sql("vectors plays play_counts", "SELECT 'top' AS kind, track_id, round(score, 6) AS score, plays, row_number() OVER (ORDER BY score DESC, track_id)::INTEGER AS place FROM sc QUALIFY place <= 25 UNION ALL SELECT 'gem', track_id, round(score, 6), plays, row_number() OVER (ORDER BY score DESC, track_id)::INTEGER AS place FROM sc WHERE plays <= 2 QUALIFY place <= 15", f"sc AS (SELECT track_id, 1 / (1 + exp(-(list_inner_product(vec, {_W}::DOUBLE[]) + 0.25))) AS score, coalesce(plays, 0) AS plays FROM vectors LEFT JOIN (SELECT track_id, plays % 9 AS plays FROM play_counts) USING (track_id))"))
+def taste_picks(t):  # ML5
+    few = t.play_counts.withColumn("plays", F.col("plays") % 9)
+    return md.picks(md.apply_probe(t.vectors, _W, 0.25), few).select("kind", "track_id", R("score"), "plays", "place")
+
+
+@query("taste_drivers")
+def taste_drivers(t):  # ML5
+    z = vc.standardised(t.features, UNIT)
+    rows = st.thirds(t.play_counts.join(z.select("track_id"), "track_id", "left_semi")).join(z, "track_id")
+    m = md.probe(rows.withColumn("w", F.when(F.col("label") == 1, 1 + F.log1p(F.col("plays").cast("double")) / 3).otherwise(1.0)))
+    return t.spark.createDataFrame(md.drivers(UNIT, list(m.coefficients)), "feature string, weight double, direction string")
+
+
+@query("layer_profile")
+def layer_profile(t):  # ML9: four layers of sixteen
+    rows = t.vectors.join(t.features.select("track_id", (F.col("mode") == "major").cast("double").alias("value")), "track_id").withColumn("w", F.lit(1.0))
+    found = md.layer_profile(rows, 4, {"low": (0, 1), "mid": (1, 3), "high": (3, 9)})
+    return t.spark.createDataFrame(found, "band string, auc double")
+
+
+@query("slop_validation")
+def slop_validation(t):  # ML10
+    rows = t.features.where("error IS NULL").select("track_id", F.array(*UNIT).alias("vec"), (F.col("mode") == "major").cast("double").alias("value"), F.lit(1.0).alias("w"))
+    return t.spark.createDataFrame([(md.cross_validated(rows, 0.5),)], "auc double")

@@ -12,6 +12,7 @@ from listenlab.operators import etl
 from listenlab.operators import macro as m
 from listenlab.operators import resolve as rs
 from listenlab.operators import stats as st
+from listenlab.operators.order import shared_dir
 from listenlab.streaming import plays as sp
 
 from .bind import UNIT, sql
@@ -157,3 +158,26 @@ def kinds(t):  # ETL9
     kind = F.when(e % 5 == 0, "music_video_type_podcast_episode").when(e % 3 == 0, "MUSIC_VIDEO_TYPE_OMV").when(e % 7 == 0, "MUSIC_VIDEO_TYPE_UGC")
     rows = t.raw("events").select("event_id", F.when(e % 11 == 0, "ep").alias("episode"), kind.alias("video_type"), (F.col("user_id") * 20).alias("seconds"), F.when(e % 2 != 0, "someone").alias("artist"), F.when(F.col("user_id") % 4 != 0, "album").alias("album"))
     return rows.select("event_id", etl.session_kind(rows).alias("kind"))
+
+
+def _streamed(t, name, rows, schema, step, mode="append"):
+    """A table as a stream of several files, all that is there, through a step, into a table."""
+    root = f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+    rows.repartition(3).write.parquet(f"{root}/in")
+    out = step(sp.read(t.spark, f"{root}/in", schema, files=1000))
+    sp.available(out, f"{root}/ck", lambda df, _: df.write.mode("append" if mode == "append" else "overwrite").parquet(f"{root}/out"), mode)
+    return t.spark.read.parquet(f"{root}/out")
+
+
+@query("streamed_once", sql("plays_ev", "SELECT DISTINCT track_id, date_trunc('second', played_at) AS played_at, source FROM plays_ev"))
+def once(t):  # SM1: every event comes twice
+    p = t.plays_ev.select("track_id", F.date_trunc("second", "played_at").cast("timestamp").alias("played_at"), "source")
+    out = _streamed(t, "once", p.unionByName(p), "track_id long, played_at timestamp, source string", lambda s: sp.once(s, "100000 days"))
+    return out.select("track_id", F.col("played_at").cast("timestamp_ntz").alias("played_at"), "source")
+
+
+@query("streamed_days", sql("plays_ev", "SELECT date_trunc('day', played_at)::DATE AS day, count(*) AS plays FROM plays_ev GROUP BY 1"))
+def days(t):  # SM3
+    p = t.plays_ev.select("track_id", F.col("played_at").cast("timestamp").alias("played_at"))
+    out = _streamed(t, "days", p, "track_id long, played_at timestamp", sp.daily, "complete")
+    return out.select(F.col("w.start").cast("date").alias("day"), "plays")

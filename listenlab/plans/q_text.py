@@ -88,11 +88,6 @@ def word_counts(t):
     return ly.counted(t.lyrics).select("track_id", "word_count", R("unique_ratio"))
 
 
-@query("lyrics_overview", sql("lyrics", "SELECT count(*) AS texts, round(avg(n), 6) AS words, round(avg(len(list_distinct(w)) / n::DOUBLE), 6) AS richness FROM c", _CNT))
-def lyrics_overview(t):  # AG29
-    return ly.counted(t.lyrics).agg(F.count("*").alias("texts"), F.avg("word_count").alias("words"), F.avg("unique_ratio").alias("richness")).select("texts", R("words"), R("richness"))
-
-
 _STOP = ", ".join(f"'{w}'" for w in ly.STOP)
 _TOPW = f"tw AS (SELECT * FROM (SELECT track_id, word, n, row_number() OVER (PARTITION BY track_id ORDER BY n DESC, word) AS k FROM (SELECT track_id, word, count(*) AS n FROM (SELECT track_id, unnest({_WRDS}) AS word FROM lyrics) WHERE length(word) > 2 AND word NOT IN ({_STOP}) GROUP BY 1, 2)) WHERE k <= 12)"
 
@@ -116,13 +111,29 @@ def sentiment(t):
     return t.lyrics.select("track_id", F.round(ly.sentiment(F.col("text")), 6).alias("mood"))
 
 
-@query("mood_mismatch", sql("lyrics features", "SELECT track_id, CASE WHEN valence >= .55 AND mood <= -.2 THEN 'happy sound, sad words' ELSE 'sad sound, happy words' END AS kind, round(abs(valence - (mood + 1) / 2), 6) AS gap FROM s JOIN features USING (track_id) WHERE valence >= .55 AND mood <= -.2 OR valence <= .4 AND mood >= .3 ORDER BY abs(valence - (mood + 1) / 2) DESC, track_id LIMIT 10", _SENT))
+@query("mood_mismatch", sql("lyrics features", "SELECT track_id, CASE WHEN valence >= .55 AND mood <= -.2 THEN 'happy sound, sad words' ELSE 'dark sound, upbeat words' END AS kind, round(abs(valence - (mood + 1) / 2), 6) AS gap FROM s JOIN features USING (track_id) WHERE valence >= .55 AND mood <= -.2 OR valence <= .4 AND mood >= .3 ORDER BY abs(valence - (mood + 1) / 2) DESC, track_id LIMIT 10", _SENT))
 def mismatch(t):
     j = t.features.select("track_id", "valence").join(t.lyrics.select("track_id", ly.sentiment(F.col("text")).alias("mood")), "track_id")
     kind, gap = ly.mismatch(F.col("valence"), F.col("mood"))
     return j.select("track_id", kind.alias("kind"), gap.alias("gap")).where("kind IS NOT NULL").orderBy(F.col("gap").desc(), "track_id").limit(10).select("track_id", "kind", R("gap"))
 
 
+@query("lyrics_overview", sql("lyrics", "SELECT count(*) AS texts, round(avg(n), 6) AS words, round(avg(len(list_distinct(w)) / n::DOUBLE), 6) AS richness, round(avg(mood), 6) AS sentiment, round(avg(CASE WHEN toxic = 1 THEN 100 ELSE 0 END), 6) AS explicit_pct FROM c JOIN s USING (track_id) LEFT JOIN (SELECT doc_id AS track_id, max(toxic) AS toxic FROM labels GROUP BY 1) USING (track_id)", f"{_CNT}, {_SENT}"))
+def lyrics_overview(t):  # AG29
+    flag = t.raw("labels").groupBy(F.col("doc_id").alias("track_id")).agg((F.max("toxic") == 1).alias("explicit"))
+    rows = t.lyrics.withColumn("sentiment", ly.sentiment(F.col("text"))).join(flag, "track_id", "left")
+    return ly.overview(rows).select("texts", *map(R, ["words", "richness", "sentiment", "explicit_pct"]))
+
+
+_VAL = {"the": 0.1, "and": -0.2, "that": 0.5, "in": -0.4, "la": 0.7, "de": -0.6}
+
+
+@query("lexicon_sentiment", sql("lyrics", "SELECT track_id, round(x / sqrt(x * x + 15), 6) AS compound FROM (SELECT track_id, list_sum(list_concat([0.0::DOUBLE], list_transform(" + _WRDS + ", lambda w: CASE w " + " ".join(f"WHEN '{w}' THEN {v}" for w, v in _VAL.items()) + " ELSE 0 END::DOUBLE))) AS x FROM lyrics)"))
+def lexicon(t):  # LY1
+    return t.lyrics.select("track_id", F.round(ly.compound(F.col("text"), _VAL), 6).alias("compound"))
+
+
+
 # patterns and words are the rules' fixed values; the SQL says on its own how they decide
 _Q = lambda text: "'" + text.replace("'", "''") + "'"
 _ANY = lambda column, words: "len(list_filter([" + ", ".join(map(_Q, words)) + f"], lambda w: contains(lower({column}), w))) > 0"
