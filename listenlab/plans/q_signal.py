@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from listenlab.operators import ingest as ig
 from listenlab.operators import signal as sg
 from listenlab.operators.order import kept
 
@@ -68,3 +69,41 @@ def segments(t):  # SG5: two alternating kinds of beats
     landed = kept(t.vectors.select("track_id", chroma.alias("chroma"), timbre.alias("timbre"), times.alias("times"), loud.alias("loud")))
     found = landed.select("track_id", sg.segmented("chroma", "timbre", "times", "loud").alias("s"))
     return found.select("track_id", F.inline("s")).select("track_id", "start", "stop", "label", R("energy"))
+
+
+_FILES = "fi AS (SELECT '/m/' || lpad(id::VARCHAR, 8, '0') AS path, 'd' || id // 3 AS digest, title, CASE WHEN id % 11 = 0 THEN 'unreadable' END AS error FROM tracks), gd AS (SELECT digest, min(path) AS path, arg_min(title, path) AS title FROM fi WHERE error IS NULL GROUP BY 1), lb AS (SELECT 'd' || id AS digest, '/old/' || id AS path, 'old' AS title FROM tracks WHERE id < 100)"
+
+
+def _files(t):
+    i = F.col("id")
+    files = t.tracks.select(F.concat(F.lit("/m/"), F.lpad(i.cast("string"), 8, "0")).alias("path"), F.concat(F.lit("d"), F.floor(i / 3)).alias("digest"), "title", "artist", F.lit(1.0).alias("duration_s"), F.when(i % 11 == 0, "unreadable").alias("error"))
+    old = t.tracks.where("id < 100").select(F.concat(F.lit("d"), i).alias("digest"), F.concat(F.lit("/old/"), i).alias("path"), F.lit("old").alias("title"), "artist", F.lit(1.0).alias("duration_s"))
+    return ig.ingest(files, old)
+
+
+@query("ingest_summary", sql("tracks", "SELECT (SELECT count(*) FROM fi) AS scanned, (SELECT count(*) FROM gd) AS ingested, (SELECT count(*) FROM fi WHERE error IS NOT NULL) AS failed, (SELECT count(*) FROM gd WHERE digest NOT IN (SELECT digest FROM lb)) AS added", _FILES))
+def ingest_summary(t):  # AX1
+    return _files(t)[1]
+
+
+@query("ingested_library", sql("tracks", "SELECT digest, path, title FROM gd UNION ALL SELECT digest, path, title FROM lb WHERE digest NOT IN (SELECT digest FROM gd)", _FILES))
+def ingested(t):  # AX1: every third row of files has the same content as the two before it
+    return _files(t)[0].select("digest", "path", "title")
+
+
+@query("fallback_windows", sql("tracks", "SELECT id, " + ", ".join(f"greatest(least(d * {p} - 10, greatest(d - 20, 0)), 0)::DOUBLE AS w{i}" for i, p in enumerate((0.25, 0.5, 0.7))) + " FROM (SELECT id, coalesce(nullif(duration_ms / 1000.0 / (1 + id % 9), 0), 180)::DOUBLE AS d FROM tracks)"))
+def fallback(t):  # AX3
+    w = ig.fallback_starts(F.col("duration_ms") / 1000 / (1 + F.col("id") % 9), 20.0)
+    return t.tracks.select("id", *[F.get(w, F.lit(i)).alias(f"w{i}") for i in range(3)])
+
+
+@query("analysed_tracks")
+def analysed(t):  # AX2
+    kind = lambda i: F.floor(i / 16) % 2
+    beats = F.sequence(F.lit(0), F.lit(63))
+    chroma = F.transform(beats, lambda i: F.transform(F.sequence(F.lit(0), F.lit(11)), lambda j: F.when(j % 2 == kind(i), 1.0).otherwise(0.1) + 0.02 * F.abs(F.get("vec", (i + j) % 64))))
+    timbre = F.transform(beats, lambda i: F.transform(F.sequence(F.lit(0), F.lit(4)), lambda j: kind(i) * 2.0 + 0.05 * F.get("vec", (i * 3 + j) % 64)))
+    onsets = F.transform(F.slice("vec", 1, 32), lambda x, i: (i + x / 10) * 0.5)
+    rows = kept(t.vectors.select("track_id", chroma.alias("chroma"), timbre.alias("timbre"), F.transform(beats, lambda i: i * 0.5).alias("times"), F.transform(beats, lambda i: 0.2 + 0.5 * kind(i)).alias("loudness"), onsets.alias("onsets"), F.lit(32.0).alias("duration_s")))
+    a = ig.analysed(rows, t.features.where("error IS NOT NULL"))
+    return a.select("track_id", R("microtiming_ms"), R("swing"), R("key_stability"), F.size("sections").alias("n_sections"), F.array_join(F.transform("excerpts", lambda e: e["source"]), ",").alias("excerpts"))
