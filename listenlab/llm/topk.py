@@ -83,7 +83,7 @@ def search(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, rep
         return spark.createDataFrame([], schema)
     h = F.xxhash64("vec_id", "v")
     picked = table.where(F.pmod(h, F.lit(1 << 20)) < min(1 << 20, int((1 << 20) * 1.5 * SAMPLE / n) + 1)).orderBy(h).limit(SAMPLE).select("v").collect()
-    pivots = _choose(_matrix([r[0] for r in picked] or [table.first()["v"]], width), min(PIVOTS, max(1, int(math.sqrt(n) / 8))))
+    pivots = _choose(_matrix([r[0] for r in picked] or [table.first()["v"]], width), min(PIVOTS, max(1, int(math.sqrt(n) / 2))))
     # sums of products below 2 ** 52 are exact as floats
     kind, packed = np.float64 if longest < 2**52 else np.int64, _narrow(int(most))
 
