@@ -26,7 +26,7 @@ from .common import written
 #: Vectors from which pivots are chosen; pivots at most, and annuli of a pivot at most.
 SAMPLE, PIVOTS, RINGS = 2000, 256, 256
 #: Vectors of an annulus, about, until all pivots have RINGS; of a block, into which larger ones are cut; queries of a pack.
-ANNULUS, BLOCK, PACK = 256, 4096, 256
+ANNULUS, BLOCK, PACK = 128, 4096, 256
 #: After so many annuli of each query a round ends; the last round has no end.
 ROUNDS = (4, 16, 64)
 
