@@ -38,6 +38,15 @@ def written(df: DataFrame, what: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table that may be broadcast.
+FEW = 10_000
+
+
+def few(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has no more than FEW rows; beyond that Spark chooses the join."""
+    return F.broadcast(table) if table.limit(FEW + 1).count() <= FEW else table
+
+
 #: Rows of a batch that Python gets, as texts can be long; one number for the whole session, so that plans built earlier don't change.
 BATCH = 256
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from listenlab.session import table
 
-from . import bpe, fingerprints, html, jaccard, langid, licenses, mixing, quality, tokenstore, topk
+from . import bpe, fingerprints, html, jaccard, langid, licenses, merkle, mixing, oracles, pairtree, quality, tokenstore, topk, trie
 from .common import shared_dir
 
 
@@ -56,6 +56,18 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
+def op13_pair_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairtree.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -68,8 +80,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_top_k": op8_top_k,
         "op9_mixing": op9_mixing,
         "op10_licenses": op10_licenses,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_merkle": op12_merkle,
+        "op13_pair_tree": op13_pair_tree,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_top_k": topk.ORACLE, "op9_mixing": mixing.ORACLE, "op10_licenses": licenses.ORACLE}
+    return {"op8_top_k": topk.ORACLE, "op9_mixing": mixing.ORACLE, "op10_licenses": licenses.ORACLE, "op11_prefix_trie": oracles.TRIE, "op12_merkle": oracles.MERKLE}
