@@ -34,9 +34,9 @@ def analysed(tracks: DataFrame, done: DataFrame, count: int = 2, seconds: float
     Sections are written before excerpts are taken from them, so each function reads plain columns.
     """
     todo = tracks.join(done.select("track_id"), "track_id", "left_anti")
-    first = kept(todo.select("track_id", "duration_s", sg.groove("onsets", "times").alias("g"), sg.key_stability("chroma", F.lit(16)).alias("key_stability"), sg.segmented("chroma", "timbre", "times", "loudness").alias("sections")))
+    first = kept(todo.select("track_id", "duration_s", sg.groove("onsets", "times").alias("g"), sg.key_stability("chroma", F.lit(16)).alias("key_stability"), sg.segmented(*map(F.col, ("chroma", "timbre", "times", "loudness"))).alias("sections")))
     length = F.coalesce("duration_s", F.lit(DEFAULT_S))
-    return first.select("track_id", "g.microtiming_ms", "g.swing", "key_stability", "sections", excerpts("sections", length, F.lit(count), F.lit(seconds)).alias("excerpts"))
+    return first.select("track_id", "g.microtiming_ms", "g.swing", "key_stability", "sections", excerpts(F.col("sections"), length, F.lit(count), F.lit(seconds)).alias("excerpts"))
 
 
 def fallback_starts(duration_s: Column, seconds: float, count: int = len(FALLBACK)) -> Column:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from listenlab.operators.order import kept
 from listenlab.session import table
+from listenlab.sources import demo
 
 #: Pitch names in order, and the twelve unit features in order.
 KEYS = ["C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B"]
@@ -113,6 +115,14 @@ class Tables:
         w = Window.partitionBy("c_mktsegment").orderBy(F.col("c_acctbal").desc(), "c_custkey")
         return self.raw("customer").select(F.col("c_mktsegment").alias("source"), F.row_number().over(w).alias("rank"), F.col("c_name").alias("name"), F.col("c_custkey").alias("item_id"))
 
+    @property
+    def recordings(self) -> DataFrame:
+        """A sound of four seconds for each supplier; every eleventh has none."""
+        k = F.col("s_suppkey")
+        rows = self.raw("supplier").select(k.alias("track_id"), F.when(k % 11 != 0, 80 + k % 9 * 10).alias("bpm"), (k % 12).alias("tonic"), F.when(k % 2 == 0, "major").otherwise("minor").alias("mode"), (0.001 + F.abs("s_acctbal") / 1e6).alias("noise"))
+        # batches of few rows, as each row is long; so that all cores have some
+        return kept(demo.recordings(rows.repartition(F.col("track_id"))))
+
     @property
     def play_counts(self) -> DataFrame:
         return self.plays.groupBy("track_id").agg(F.count("*").alias("plays"))

@@ -128,7 +128,7 @@ def streamed(t):  # SM4, SM5: the log as a stream, all that is there, into a tab
 # ranks of sections by label count, energy and length, the excerpt in the middle of each, then the greedy choice for two excerpts spelt out
 @query("excerpt_windows")
 def excerpts(t):  # AR11
-    x = _sections(t).select("track_id", au.excerpts("s", F.lit(150.0), F.lit(2), F.lit(20.0)).alias("e"))
+    x = _sections(t).select("track_id", au.excerpts(F.col("s"), F.lit(150.0), F.lit(2), F.lit(20.0)).alias("e"))
     return x.select("track_id", F.inline("e"))
 
 

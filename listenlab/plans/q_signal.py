@@ -67,7 +67,7 @@ def segments(t):  # SG5: two alternating kinds of beats
     times = F.transform(beats, lambda i: i * 0.5)
     loud = F.transform(beats, lambda i: 0.2 + 0.5 * kind(i))
     landed = kept(t.vectors.select("track_id", chroma.alias("chroma"), timbre.alias("timbre"), times.alias("times"), loud.alias("loud")))
-    found = landed.select("track_id", sg.segmented("chroma", "timbre", "times", "loud").alias("s"))
+    found = landed.select("track_id", sg.segmented(*map(F.col, ("chroma", "timbre", "times", "loud"))).alias("s"))
     return found.select("track_id", F.inline("s")).select("track_id", "start", "stop", "label", R("energy"))
 
 

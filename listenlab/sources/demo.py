@@ -1,7 +1,11 @@
-"""Invented plays for demonstrations: the same for the same seed, of any number."""
+"""Invented plays and sounds for demonstrations: the same for the same seed, of any number."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +43,34 @@ def plays(spark: SparkSession, tracks: DataFrame, total: int = PLAYS, seed: int
     hour = _weighted(u(3), list(range(24)), HOURS)
     at = F.col("day").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), hour, F.floor(60 * u(4)).cast("int"), F.floor(60 * u(5)).cast("decimal(18,6)"))
     return rows.select("track_id", at.alias("played_at"), _weighted(u(6), list(SOURCES), list(SOURCES.values())).alias("source"))
+
+
+def recordings(tracks: DataFrame, seconds: float = 4.0, rate: int = 8000) -> DataFrame:
+    """(track_id, samples, rate, left, right): invented sounds of tracks (track_id, bpm, tonic, mode, noise): a chord, a click on each beat, and noise.
+
+    Notes and clicks are as the row says, and noise is the same for the same id; a null tempo leaves the samples null. The
+    right channel is the left one, weaker by the id's remainder by 4.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = np.arange(int(seconds * rate)) / rate
+        kind = pa.list_(pa.float32())
+        for b in batches:
+            ids, sounds, lefts, rights = [], [], [], []
+            for r in b.to_pylist():
+                ids.append(r["track_id"])
+                if r["bpm"] is None:
+                    sounds.append(None), lefts.append(None), rights.append(None)
+                    continue
+                third = 4 if r["mode"] == "major" else 3
+                x = sum(0.12 * np.sin(2 * np.pi * 261.6256 * 2 ** ((r["tonic"] + s) / 12) * t) for s in (0, third, 7))
+                since = t % (60 / r["bpm"])
+                x += 0.6 * np.exp(-since * 60) * np.sin(2 * np.pi * 1800 * since)
+                x += np.random.default_rng(r["track_id"]).normal(0, r["noise"], len(t))
+                sounds.append(x.astype(np.float32))
+                lefts.append(sounds[-1][: rate // 2])
+                rights.append(lefts[-1] * (1 - r["track_id"] % 4 / 4))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sounds, kind), pa.array([rate] * len(ids), pa.int32()), pa.array(lefts, kind), pa.array(rights, kind)], ["track_id", "samples", "rate", "left", "right"])
+
+    rows = tracks.select(F.col("track_id").cast("long"), F.col("bpm").cast("double"), F.col("tonic").cast("int"), "mode", F.col("noise").cast("double"))
+    return rows.mapInArrow(run, "track_id long, samples array<float>, rate int, left array<float>, right array<float>")
