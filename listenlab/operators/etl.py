@@ -1,14 +1,9 @@
-"""Text classification of watch histories and normalisation of titles."""
+"""Text classification of watch histories."""
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from listenlab.functions import text as tx
 
@@ -47,8 +42,6 @@ VETO = "(?iu)\\b(trailer|interview|making of|behind the scenes|press meet|speech
 #: Types of session items that are songs, and music videos.
 SONGS = ["MUSIC_VIDEO_TYPE_ATV", "MUSIC_VIDEO_TYPE_UGC"]
 MUSIC_VIDEOS = ["MUSIC_VIDEO_TYPE_OMV", "MUSIC_VIDEO_TYPE_OFFICIAL_SOURCE_MUSIC"]
-FILM = re.compile(r"(?iu)\bfrom\s+[\"“']?([^\"”'()|]+)[\"”']?|\(([^()]*)\bmovie\)")
-LABEL = re.compile(r"(?iu)\b(records|music|series|entertainment|films|productions|studios?)\b")
 
 
 def _like(t: Column, pattern: str) -> Column:
@@ -124,66 +117,6 @@ def session_kind(rows: DataFrame) -> Column:
     )
 
 
-def _normalise(title: str | None, artist: str | None) -> tuple:
-    """One title: (clean_title, artist, movie_album, is_short, is_non_music), gates first, then film, song and artist rules in order."""
-    t = unicodedata.normalize("NFKC", title or "")
-    t = re.sub("[\U0001f000-\U0001faff☀-➿️]", "", t)
-    blob = f"{t} {unicodedata.normalize('NFKC', artist or '')}"
-    drama = bool(re.search(DRAMA, blob))
-    short = not drama and (bool(re.search(SHORTS, blob)) or len(re.findall(r"#[^\s#]+", t)) >= 2)
-    other = drama or bool(re.search(NOT_MUSIC, blob) or re.search(PROMO, blob))
-    t = " ".join(re.sub(r"[#@][\w.]+", "", t).split())
-    film = None
-    if m := FILM.search(t):
-        film = (m[1] or m[2] or "").strip() or None
-        t = re.sub(r"[(\[]\s*[)\]]", " ", t[: m.start()] + " " + t[m.end() :]).strip()
-    t = re.sub(r"(?iu)[(\[][^)\]]*(?:" + tx.NOISE + r"|feat|ft)\b[^)\]]*[)\]]", " ", t)
-    t = re.sub(r"(?iu)\b(?:feat|ft)\.?\s.*$", "", t)
-    parts = [p.strip() for p in re.split(r"\s*[|]\s*", t) if p.strip()]
-    song = parts[0] if parts else ""
-    if film is None and len(parts) >= 2 and not LABEL.search(parts[1]):
-        film = parts[1]
-    if m := re.match(r"[\"“](.+?)[\"”]", song):
-        song = m[1]
-    elif ": " in song:
-        song = song.split(": ", 1)[1]
-    elif " - " in song:
-        left, right = song.rsplit(" - ", 1)
-        lead = left.strip()
-        if artist and artist.casefold() in lead.casefold() or len(right.split()) <= 6:
-            song, artist = right, artist if artist and not LABEL.search(artist) else lead
-    if artist and LABEL.search(artist):
-        artist = None
-    song = " ".join(song.strip(" -–|\"'").split())
-    if len(re.sub(r"[\W\d_]", "", song)) >= 3 and song.upper() == song:
-        song = song.title()
-    return song or None, artist, film, short, other
-
-
-NORMAL = StructType(
-    [StructField(n, StringType()) for n in ("clean_title", "artist", "movie_album")] + [StructField(n, BooleanType()) for n in ("is_short", "is_non_music")]
-)
-
-
-@F.pandas_udf(NORMAL)
-def normalise(title: pd.Series, artist: pd.Series) -> pd.DataFrame:
-    """ETL3, ETL4: order-dependent rules over Unicode, so one vectorised function; the artist is returned, not stored."""
-    rows = [_normalise(t, a) for t, a in zip(title.where(title.notna(), None), artist.where(artist.notna(), None), strict=True)]
-    return pd.DataFrame(rows, columns=["clean_title", "artist", "movie_album", "is_short", "is_non_music"])
-
-
-def normalised(rows: DataFrame) -> DataFrame:
-    """ETL11: (id, title, artist) with their normal forms beside them."""
-    return rows.withColumn("n", normalise("title", "artist")).select("*", "n.clean_title", F.col("n.artist").alias("performer"), "n.movie_album", "n.is_short", "n.is_non_music").drop("n")
-
-
-def normal_stats(rows: DataFrame) -> DataFrame:
-    """AG44."""
-    return rows.agg(
-        F.count("*").alias("seen"), F.count_if(F.col("clean_title") != F.col("title")).alias("renamed"), F.count("movie_album").alias("movies"), F.count_if("is_short").alias("shorts"), F.count_if("is_non_music").alias("non_music")
-    )
-
-
 def preview(rows: DataFrame) -> DataFrame:
     """ETL11: what normalisation would change: (id, before, after, and what was told) of rows whose title or gates change."""
     changed = ~F.col("title").eqNullSafe(F.col("clean_title")) | F.col("is_short") | F.col("is_non_music")

@@ -22,6 +22,49 @@ SHAPES = [
 CHANNELS = ["{b} - Topic", "T-Series", "games daily", "東 music", "{b}", "Think Music India", "someone of {n}"]
 
 
+#: Titles, artists' fields and albums that each title rule is for, and what is to be told: song, performer, film, their rules, and gates.
+TITLE_CASES = [
+    ("{n} (From \"{b} Film\")", "Ann {b}", None, "{n}", "Ann {b}", "{b} Film", "whole title", "artist's field", "from", ""),
+    ("{n} - a from here", "Ann", None, "{n}", "Ann", None, "before a subtitle", "artist's field", None, ""),
+    ("far from {n}", "{b}", None, "far from {n}", "{b}", None, "whole title", "artist's field", None, ""),
+    ("{n} [From {b}]", "Ann", "{n} (Original Score)", "{n}", "Ann", "{b}", "whole title", "artist's field", "from", ""),
+    ("{n} Video Song | Someone, Other", "{b}", None, "{n}", "{b}", None, "part of the title", "artist's field", None, ""),
+    ("{b} (1999) | Vidyasagar", "{n} Song", None, "{n}", None, "{b}", "field song words", None, "leads the title", ""),
+    ("One, Two | Three", "{n} Video Song Ft {b}", None, "{n}", "{b}", None, "field song words", "beside the song", None, ""),
+    ("{b} | one", "Full Video: {n}", None, "{n}", None, "{b}", "field noise: song", None, "leads the title", ""),
+    ("something", "{n}: {b} Ft Nora", None, "{n}", "{b}", None, "field song: performers", "beside the song", None, ""),
+    ("one two three four five | x", "{n} Video", None, "{n}", None, None, "field ends in video words", None, None, ""),
+    ("{b} | x", "SOME LOUD NAME", None, "Some Loud Name", None, "{b}", "field in capitals or a song's script", None, "leads the title", ""),
+    ("SOME NAME - {n}", "SOME NAME", None, "{n}", None, None, "behind its artist", None, None, ""),
+    ("{n} - x", "itzy", None, "{n}", "itzy", None, "before a subtitle", "artist's field", None, ""),
+    ("ITZY \"{n}\" M/V @ITZY", "JYP Entertainment", None, "{n}", "ITZY", None, "quoted", "before the quotes", None, ""),
+    ("Zee Music '{n}' MV", "T-Series", None, "{n}", None, None, "quoted", None, None, ""),
+    ("{n} - Remix", "Ann {b}", None, "{n} (Remix)", "Ann {b}", None, "version", "artist's field", None, ""),
+    ("Ann {b} - {n}", "Ann {b}", None, "{n}", "Ann {b}", None, "behind its artist", "artist's field", None, ""),
+    ("{n} - a poetic line", "Ann {b}", None, "{n}", "Ann {b}", None, "before a subtitle", "artist's field", None, ""),
+    ("{b}: {n} | Official", "Ann", None, "{n}", "Ann", None, "part of the title", "artist's field", None, ""),
+    ("Official Video // {n} // {b}", "Ann", None, "{n}", "Ann", None, "part of the title", "artist's field", None, ""),
+    ("{n} (feat. {b}) [Tamil] (2019)", "Ann", None, "{n}", "Ann", None, "whole title", "artist's field", None, ""),
+    ("here with {n} ft. {b}", "Ann", None, "here with {n}", "Ann", None, "whole title", "artist's field", None, ""),
+    ("{n} \U0001f3b5 @someone", "@arrahman", None, "{n}", "A.R. Rahman", None, "whole title", "composer's handle", None, ""),
+    ("{n}", "@nobody", None, "{n}", None, None, "whole title", None, None, ""),
+    ("{n}", "{b} Records", "{b} (Original Motion Picture Soundtrack)", "{n}", None, "{b}", "whole title", None, "album of a film", ""),
+    ("{n}", "Ann", "Music from the Motion Picture {b}", "{n}", "Ann", "{b}", "whole title", "artist's field", "film's album", ""),
+    ("{n}", "Ann", "Nine {b}", "{n}", "Ann", None, "whole title", "artist's field", None, ""),
+    ("BLUE SKY Lyrical", "Ann", None, "Blue Sky", "Ann", None, "whole title", "artist's field", None, ""),
+    ("{n} #one #two", "Ann", None, "{n}", "Ann", None, "whole title", "artist's field", None, "short"),
+    ("{n} trailer", "Ann", None, None, "Ann", None, "whole title", "artist's field", None, "other"),
+    ("{n} ep 3 of it eng sub #shorts", "Ann", None, None, "Ann", None, "whole title", "artist's field", None, "other"),
+    (None, None, None, None, None, None, "empty", None, None, ""),
+    ("", "Ann", "", None, "Ann", None, "empty", "artist's field", None, ""),
+]
+
+
+def case_list(k: int) -> str:
+    """One column of the title cases as a DuckDB list."""
+    return "[" + ", ".join("NULL" if c[k] is None else "'" + c[k].replace("'", "''") + "'" for c in TITLE_CASES) + "]"
+
+
 def clip01(x: Column) -> Column:
     return F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0))
 

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from listenlab.functions import text as tx
 from listenlab.operators import etl
+from listenlab.operators import titles as ti
 from listenlab.operators import lyrics as ly
 
-from .bind import sql
+from .bind import TITLE_CASES, case_list, sql
 from .registry import query
 
 R = lambda n: F.round(n, 6).alias(n)
@@ -67,17 +68,34 @@ def unescaped(t):
 
 
 @query("normalize_titles")
-def normalized(t):
-    return etl.normalised(t.titles_raw.select("page_id", tx.unescape("title").alias("title"), "artist"))
+def normalized(t):  # ETL3, ETL4
+    return ti.normalised(t.titles_raw.select("page_id", tx.unescape("title").alias("title"), "artist", F.lit(None).cast("string").alias("album")))
 
 
 @query("normalize_stats")
 def normal_stats(t):
-    return etl.normal_stats(etl.normalised(t.titles_raw.select("page_id", "title", "artist")))
+    return ti.stats(ti.normalised(t.titles_raw.select("page_id", "title", "artist", F.lit(None).cast("string").alias("album"))))
 
 
+def _cases(t):
+    """Each part under one of the written title cases, by its key."""
+    form = lambda k: F.replace(F.replace(F.get(F.array(*[F.lit(c[k]) for c in TITLE_CASES]), F.pmod("p_partkey", F.lit(len(TITLE_CASES))).cast("int")), F.lit("{n}"), F.col("p_name")), F.lit("{b}"), F.translate("p_brand", "#", ""))
+    return t.raw("part").select(F.col("p_partkey").alias("id"), *[form(k).alias(n) for k, n in enumerate(("title", "artist", "album"))])
 
 
+_ANSWERS = ["clean_title", "performer", "movie_album", "song_rule", "performer_rule", "film_rule"]
+_ANSWER = "SELECT p_partkey AS id, " + ", ".join(f"replace(replace({case_list(3 + k)}[p_partkey % {len(TITLE_CASES)} + 1], '{{n}}', p_name), '{{b}}', replace(p_brand, '#', '')) AS {n}" for k, n in enumerate(_ANSWERS))
+_ANSWER += f", [{', '.join(str('short' in c[9]).upper() for c in TITLE_CASES)}][p_partkey % {len(TITLE_CASES)} + 1] AS is_short, [{', '.join(str('other' in c[9]).upper() for c in TITLE_CASES)}][p_partkey % {len(TITLE_CASES)} + 1] AS is_non_music FROM part"
+
+
+@query("title_rules", _ANSWER)
+def title_rules(t):  # ETL3, ETL4: every rule, with the answers written beside the cases
+    return ti.normalised(_cases(t)).select("id", *_ANSWERS, "is_short", "is_non_music")
+
+
+@query("title_rule_counts", f"SELECT answer, rule, count(*) AS n FROM (SELECT unnest(['song', 'performer', 'film']) AS answer, unnest([song_rule, performer_rule, film_rule]) AS rule FROM ({_ANSWER})) GROUP BY ALL")
+def title_rule_counts(t):
+    return ti.rule_counts(ti.normalised(_cases(t)))
 
 
 _CNT = "c AS (SELECT track_id, w, len(w) AS n FROM (SELECT track_id, regexp_extract_all(lower(text), '([a-z'']+)', 1) AS w FROM lyrics) WHERE len(w) >= 5)"
@@ -279,4 +297,4 @@ def cases(t):  # SF17
 
 @query("normalize_preview")
 def previewed(t):  # ETL11
-    return etl.preview(etl.normalised(t.videos.select("id", "title", F.col("channel").alias("artist"))))
+    return etl.preview(ti.normalised(t.videos.select("id", "title", F.col("channel").alias("artist"), F.lit(None).cast("string").alias("album"))))

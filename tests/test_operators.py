@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from listenlab import config
 from listenlab.functions import music, text
-from listenlab.operators import audio, etl, models, order, playlist, resolve, retrieve, signal, space, stats, writes
+from listenlab.operators import audio, etl, models, order, playlist, resolve, retrieve, signal, space, stats, titles, writes
 from listenlab.operators import vectors as vc
+from listenlab.plans.bind import TITLE_CASES
 from listenlab.sources import demo, importers, landed, sinks
 from listenlab.streaming import plays as sp
 
@@ -107,20 +108,24 @@ def test_clean_titles(spark, raw, clean):
     assert spark.range(1).select(text.clean_title(F.lit(raw))).first()[0] == clean
 
 
-@pytest.mark.parametrize(
-    ("raw", "artist", "song", "film"),
-    [
-        ("Blue Sky (From \"Big Film\") | Some Records", "Ann Lee", "Blue Sky", "Big Film"),
-        ("BLUE SKY | Big Film | Ann Lee", "Ann Lee", "Blue Sky", "Big Film"),
-        ("Ann Lee - Blue Sky (Official Video)", "Ann Lee", "Blue Sky", None),
-        ("“Blue Sky” live session", None, "Blue Sky", None),
-        ("New Song: Blue Sky ft. Bob", "Ann", "Blue Sky", None),
-        (None, None, None, None),
-    ],
-)
-def test_normal_titles(raw, artist, song, film):
-    got = etl._normalise(raw, artist)
-    assert (got[0], got[2]) == (song, film)
+def test_normal_titles(spark):
+    """The cases of the rules as they are written, and titles that used to go wrong."""
+    filled = lambda x: x.replace("{n}", "small ring").replace("{b}", "Brand7") if isinstance(x, str) else x
+    cases = [tuple(map(filled, c)) for c in TITLE_CASES] + [
+        ("Far From Home", "Ann", None, "Far From Home", "Ann", None, "whole title", "artist's field", None, ""),
+        ("Singari (From \"Dude\")", "Sai Abhyankkar", None, "Singari", "Sai Abhyankkar", "Dude", "whole title", "artist's field", "from", ""),
+        ("Ethirum Puthirum (1999) | Vidyasagar | Tamil Hit Song", "Thottu Thottu Pesum Sulthana Song", None, "Thottu Thottu Pesum Sulthana", None, "Ethirum Puthirum", "field song words", None, "leads the title", ""),
+        ("\U0001d401\U0001d425\U0001d42e\U0001d41e TRAILER", "\U0001d413\U0001d428\U0001d429 10", None, None, "\U0001d413\U0001d428\U0001d429 10", None, "whole title", "artist's field", None, "other"),
+        ("x" * 50_000, "y" * 50_000, "z" * 50_000, "x" * 50_000, "y" * 50_000, None, "whole title", "artist's field", None, ""),
+    ]
+    df = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "i int, title string, artist string, album string")
+    got = {r.i: (r.clean_title, r.performer, r.movie_album, r.song_rule, r.performer_rule, r.film_rule, r.is_short, r.is_non_music) for r in titles.normalised(df).collect()}
+    for i, c in enumerate(cases):
+        assert got[i] == (*c[3:9], "short" in c[9], "other" in c[9]), c[0]
+    met = {x for g in got.values() for x in g[3:6]}
+    assert met >= {"field noise: song", "field song: performers", "field song words", "field ends in video words", "field in capitals or a song's script", "quoted", "part of the title", "version", "behind its artist", "before a subtitle", "whole title", "empty"}
+    assert met >= {"beside the song", "composer's handle", "before the quotes", "from", "leads the title", "album of a film", "film's album"}
+    assert titles.normalised(df).columns[:4] == df.columns
 
 
 def test_durations_and_times(spark):
