@@ -92,6 +92,11 @@ def finished(song: Column) -> Column:
     return _told(F.when((F.upper(song) == song) & (F.lower(song) != song), F.initcap(F.lower(song))).otherwise(song))
 
 
+def _settled(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns as one generated row, so that what reads them, filters too, doesn't repeat the expressions behind them."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def _first(rules: list[tuple[str, Column, Column]]) -> tuple[Column, Column]:
     """The answer and the name of the first rule that holds."""
     answer = name = None
@@ -127,17 +132,17 @@ def normalised(rows: DataFrame) -> DataFrame:
     """
     c = F.col
     text = lambda n: F.coalesce(c(n), F.lit(""))
-    rows = rows.withColumns({"_t": text("title"), "_a": _trim(text("artist")), "_blob": tx.nfkc(F.concat(text("title"), F.lit(" "), text("artist")))})
-    rows = rows.withColumns({"_p": scrubbed(c("_t")), "_drama": _has(c("_blob"), DRAMA), "_label": _has(c("_a"), LABEL), "_handle": F.startswith("_a", F.lit("@")), "_end": _has(c("_a"), SONG_END), **_field(c("_a"))})
+    rows = _settled(rows, {"_t": text("title"), "_a": _trim(text("artist")), "_blob": tx.nfkc(F.concat(text("title"), F.lit(" "), text("artist")))})
+    rows = _settled(rows, {"_p": scrubbed(c("_t")), "_drama": _has(c("_blob"), DRAMA), "_label": _has(c("_a"), LABEL), "_handle": F.startswith("_a", F.lit("@")), "_end": _has(c("_a"), SONG_END), **_field(c("_a"))})
     letters = F.regexp_replace("_a", "[^A-Za-z]", "")
     capitals = (F.length(letters) >= 3) & (F.upper(letters) == letters) & ~F.lower("_a").isin(BANDS)
     lead = F.when(F.contains("_p", F.lit(" - ")), F.lower(_trim(F.substring_index("_p", " - ", 1)))).otherwise("")
     leads = (c("_a") != "") & (lead != "") & ((lead == F.lower("_a")) | ((F.length(lead) >= 4) & F.contains(F.lower("_a"), lead)))
     bare = ~(F.contains("_p", F.lit("|")) | F.contains("_p", F.lit(" - ")) | _has(c("_p"), _NOISE))
-    rows = rows.withColumns({"_odd": capitals | F.regexp_like("_a", F.lit(SCRIPTS)), "_from": _has(c("_t"), FROM)})
+    rows = _settled(rows, {"_odd": capitals | F.regexp_like("_a", F.lit(SCRIPTS)), "_from": _has(c("_t"), FROM)})
     strong = c("_inner").isNotNull() | (c("_end") & ~c("_label"))
     swapped = strong | (c("_odd") & ~c("_end") & ~c("_label") & ~leads & ~bare)
-    rows = rows.withColumns({"_swapped": swapped, "_w": F.when(c("_from"), _trim(_cut(c("_p"), FROM))).otherwise(c("_p"))})
+    rows = _settled(rows, {"_swapped": swapped, "_w": F.when(c("_from"), _trim(_cut(c("_p"), FROM))).otherwise(c("_p"))})
 
     # the film: behind a mark, leading a title whose song is in the other field, or the album's
     head = _trim(F.substring_index("_w", "|", 1))
@@ -158,7 +163,7 @@ def normalised(rows: DataFrame) -> DataFrame:
     # the song: in the artist's field, or a part of the title
     after_guests = _trim(_cut(c("_w"), GUESTS))
     prefixed = (F.instr(after_guests, ":") > 0) & (F.instr(after_guests, "|") > F.instr(after_guests, ":"))
-    rows = rows.withColumns({"_held": held, "_film": film, "film_rule": film_rule, "_s": F.when(prefixed, F.regexp_replace(after_guests, r"(?s)^[^:]*:", "")).otherwise(after_guests)})
+    rows = _settled(rows, {"_held": held, "_film": film, "film_rule": film_rule, "_s": F.when(prefixed, F.regexp_replace(after_guests, r"(?s)^[^:]*:", "")).otherwise(after_guests)})
     core = lambda s: _trim(_cut(s, _NOISE, ""), " -–—_:")
     parts = F.filter(F.transform(F.split("_s", r"\||//"), lambda s: _trim(s)), lambda s: s != "")
     good = F.filter(F.transform(parts, lambda s: core(s)), lambda s: (s != "") & ~_has(s, "^" + HANDLE) & (F.length(F.regexp_replace(s, r"[^A-Za-z\x{AC00}-\x{D7A3}]", "")) >= 2))
@@ -196,14 +201,15 @@ def normalised(rows: DataFrame) -> DataFrame:
         ]
     )
     tags = F.size(F.regexp_extract_all("_t", F.lit("(?U)" + TAG), 0))
-    rows = rows.withColumns(
+    rows = _settled(
+        rows,
         {
             "_song": song, "song_rule": F.when(song_rule == "artist's field", F.coalesce("_inner_rule", F.when(c("_end"), F.lit("field ends in video words")).otherwise("field in capitals or a song's script"))).otherwise(song_rule),
             "performer": performer, "performer_rule": performer_rule, "movie_album": c("_film"),
             "is_non_music": _has(c("_blob"), NOT_MUSIC) | c("_drama") | _has(c("_blob"), PROMO), "is_short": (_has(c("_blob"), SHORTS) | (tags >= 2)) & ~c("_drama"),
-        }
+        },
     )
-    rows = rows.withColumn("clean_title", F.when(~c("is_non_music"), finished(c("_song"))))
+    rows = _settled(rows, {"clean_title": F.when(~c("is_non_music"), finished(c("_song")))})
     return rows.drop(*[n for n in rows.columns if n.startswith("_") and n in _WORK])
 
 
