@@ -4,8 +4,8 @@ Pages of a host with the same kinds of elements are a layout; one of them, the s
 stands for it. Every page's tree is aligned with its layout's by simple tree matching, where nodes of
 the same text match better, so each text of a page gets a slot: the place of its element in the tree
 that stands for the layout. Over all distinct pages of the host it is counted how many have a slot and
-how many say the same there: what more than half of them say, and two at least, is template; slots that
-vary are content. Names of elements and classes tell furniture that varies too, such as adverts.
+how many say the same there: what most of them are bound to say, judged from those that there are, is
+template; slots that vary, and those too few pages speak of, are content. Names of elements and classes tell furniture that varies too, such as adverts.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from .common import small_arrow_batches, written
 BROADCAST_BYTES = 16 << 20
 #: Pairs of siblings up to which all are tried; beyond, equal ones are anchors and those between them match in order.
 PAIRS = 1024
+#: Deviates of the bound below which the share of a host's pages that say the same can hardly lie; of four pages all must agree, of ten nine.
+SURE = 1.96
 #: What tells names that change from page to page.
 VOLATILE = re.compile(r"\d")
 
@@ -416,6 +418,12 @@ def layout(page: Column) -> Column:
     return F.xxhash64(F.array_sort(F.array_distinct(F.transform(tags, lambda t: F.lower(t)))), F.array_sort(F.array_distinct(names)))
 
 
+def least_share(n: Column, total: Column, z: float = SURE) -> Column:
+    """The lower end of the Wilson interval of a share n / total: what it may be, given how few have been seen."""
+    p = n / total
+    return (p + z * z / (2 * total) - z * F.sqrt(p * (1 - p) / total + z * z / (4 * total * total))) / (1 + z * z / total)
+
+
 def _small(df: DataFrame, text: str) -> DataFrame:
     size = df.agg(F.sum(F.octet_length(text) + 64)).first()[0] or 0
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
@@ -456,7 +464,7 @@ def wrappers(read_pages: DataFrame) -> DataFrame:
     pages = once.select("host", F.explode(F.array_distinct("seen.slot")).alias("slot")).groupBy("host", "slot").agg(F.count("*").alias("total"))
     total = pages.where("total > 1")
     often = said.groupBy("host", "slot", "key").agg(F.sum("n").alias("n")).where("n > 1")
-    fixed = written(often.join(total, ["host", "slot"]).where("2 * n > total").select(F.col("host").alias("host_"), F.col("key").alias("key_")), "fixed")
+    fixed = written(often.join(total, ["host", "slot"]).where(least_share(F.col("n"), F.col("total")) > 0.5).select(F.col("host").alias("host_"), F.col("key").alias("key_")), "fixed")
     keys = said.join(fixed, (F.col("host") == F.col("host_")) & (F.col("key") == F.col("key_")), "left_semi").groupBy("host", "layout").agg(F.collect_set("key").alias("keys"))
     return keys.select("host", "layout", F.array_join(F.sort_array("keys").cast("array<string>"), ",").alias("wrapper"))
 

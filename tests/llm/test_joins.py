@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from listenlab.llm import html, jaccard, topk
 
@@ -160,12 +161,38 @@ def _texts(spark, rows):
 
 
 def test_template_text_of_every_host_and_layout(spark):
-    # few pages; a notice on most pages; a rare layout on a host with many pages of another
-    few = [(i, "http://few.example/", f"<body><div><a>Start</a></div><p>Read more at home</p><p>own text of page {'x' * i} is long enough</p></body>") for i in (1, 2)]
-    most = [(i, "http://most.example/", f"<body><p>{'Shop closes early' if i < 19 else 'open'}</p><div id='post-{i}'><p>text {'y' * i} of a page</p></div></body>") for i in range(10, 22)]
-    rare = [(i, "http://most.example/", f"<body><section><h2>Archive of old</h2><pre>old number {'z' * i} and so on</pre></section></body>") for i in (31, 32, 33)]
+    # four pages that agree; a notice on nearly all pages; a rare layout on a host with many pages of another
+    few = [(i, "http://few.example/", f"<body><div><a>Start</a></div><p>Read more at home</p><p>own text of page {'x' * i} is long enough</p></body>") for i in (1, 2, 3, 4)]
+    most = [(i, "http://most.example/", f"<body><p>{'Shop closes early' if i < 21 else 'open'}</p><div id='post-{i}'><p>text {'y' * i} of a page</p></div></body>") for i in range(10, 22)]
+    rare = [(i, "http://most.example/", f"<body><section><h2>Archive of old</h2><pre>old number {'z' * i} and so on</pre></section></body>") for i in range(31, 36)]
     got = _texts(spark, few + most + rare)
-    assert got == {i: f"own text of page {'x' * i} is long enough" for i in (1, 2)} | {i: f"{'' if i < 19 else 'open' + chr(10)}text {'y' * i} of a page" for i in range(10, 22)} | {i: f"old number {'z' * i} and so on" for i in (31, 32, 33)}
+    assert got == {i: f"own text of page {'x' * i} is long enough" for i in (1, 2, 3, 4)} | {i: f"{'' if i < 21 else 'open' + chr(10)}text {'y' * i} of a page" for i in range(10, 22)} | {i: f"old number {'z' * i} and so on" for i in range(31, 36)}
+
+
+def test_what_few_pages_say_is_content(spark):
+    """Two of three pages of a host share a headline and a first paragraph, and class names say nothing."""
+    page = "<body><div><div><h1>{h}</h1><p>{h} begins here and goes on for a while</p><p>The rest of page {i} is its own</p></div></div></body>"
+    heads = ["Rain over the hills", "Rain over the hills", "Sun again"]
+    rows = [(i, "http://small.example/", page.format(h=h, i=i)) for i, h in enumerate(heads)]
+    want = {i: f"{h}\n{h} begins here and goes on for a while\nThe rest of page {i} is its own" for i, h in enumerate(heads)}
+    assert _texts(spark, rows) == want
+    # on a large host too, a headline of less than nearly all pages stays
+    many = [(i, "http://large.example/", page.format(h=heads[i % 3], i=i)) for i in range(30)]
+    assert _texts(spark, many)[1] == want[1] and len(_texts(spark, many)[3].split("\n")) == 3
+
+
+def test_least_share(spark):
+    cases = [(1, 1), (2, 2), (2, 3), (3, 3), (4, 4), (5, 6), (9, 10), (60, 100), (1, 100)]
+    df = spark.createDataFrame(cases, "n long, total long")
+    got = [r[0] for r in df.select(html.least_share(F.col("n"), F.col("total"))).collect()]
+    assert [g > 0.5 for g in got] == [False, False, False, False, True, False, True, True, False]
+    assert got == pytest.approx([_wilson(n, t) for n, t in cases])
+
+
+def _wilson(n, total, z=1.96):
+    """The smaller p at which n of total is z deviates away: a root of (n / total - p)^2 = z^2 p (1 - p) / total."""
+    a, b, c = 1 + z * z / total, -(2 * n / total + z * z / total), (n / total) ** 2
+    return (-b - (b * b - 4 * a * c) ** 0.5) / (2 * a)
 
 
 def test_short_parts_and_slots_stay(spark):
@@ -193,18 +220,18 @@ def test_alignment_decides_without_lists(spark, monkeypatch):
 
 
 def _keys(rows):
-    """Template keys by brute force: what more than half of the pages that have a slot say there."""
+    """Template keys by brute force: what pages that have a slot say there, so many that hardly less than half of all would."""
     slots, said = {}, {}
     for _, _, page in rows:
         runs, _ = html.read(page, rows[0][2])
         for slot, key in {(r[1], r[2]) for r in runs if r[2]}:
             slots.setdefault(slot, set()).add(page)
             said.setdefault((slot, key), set()).add(page)
-    return frozenset(k for (s, k), p in said.items() if len(p) > 1 and 2 * len(p) > len(slots[s]))
+    return frozenset(k for (s, k), p in said.items() if _wilson(len(p), len(slots[s])) > 0.5)
 
 
 def test_template_against_brute_force(spark):
-    rows = [(i, "http://same.example/", SAME.format(cls="side", n=f"n{i}", more="<p>all pages say this</p>" * (i % 3 > 0) + f"<p>but this is of n{i}</p>")) for i in range(20)]
+    rows = [(i, "http://same.example/", SAME.format(cls="side", n=f"n{i}", more="<p>all pages say this</p>" * (i % 10 > 0) + f"<p>but this is of n{i}</p>")) for i in range(20)]
     want = {i: html.extract(page, rows[0][2], _keys(rows)) for i, _, page in rows}
     model = min(rows, key=lambda r: r[0])
     assert "all pages say this" not in want[4] and model[0] == 0
