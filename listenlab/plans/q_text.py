@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from listenlab.functions import text as tx
 from listenlab.operators import etl
+from listenlab.operators import sentiment as se
 from listenlab.operators import titles as ti
 from listenlab.operators import lyrics as ly
 
@@ -298,3 +299,26 @@ def cases(t):  # SF17
 @query("normalize_preview")
 def previewed(t):  # ETL11
     return etl.preview(ti.normalised(t.videos.select("id", "title", F.col("channel").alias("artist"), F.lit(None).cast("string").alias("album"))))
+
+
+# words of the benchmark with invented valences, and texts with negations, boosters, capitals and a "but" put in at fixed places
+_LX = "lx AS (SELECT DISTINCT w AS word, ((ascii(w) * 7 + length(w) * 3) % 9 - 4)::DOUBLE AS valence FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM benchmark) WHERE w NOT IN ('not', 'very', 'but', 'least', 'kind', 'doubt', 'no', 'nor'))"
+_TX = "tx AS (SELECT track_id, list_transform(list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\r\\x0B\\f]+'), lambda t: t <> ''), lambda t, i: CASE WHEN i % 7 = 3 THEN 'not' WHEN i % 11 = 5 THEN 'very' WHEN i = 30 THEN 'but' WHEN i % 13 = 6 THEN upper(regexp_replace(t, '[^a-zA-Z]', '', 'g')) || 'X' ELSE regexp_replace(t, '[^a-zA-Z]', '', 'g') || 'x' END) AS w FROM lyrics)"
+_TK = (
+    "tk AS (SELECT track_id, len(list_filter(w, lambda t: regexp_matches(t, '^[A-Z]+$'))) AS c, len(w) AS n, unnest(w) AS t, unnest(range(len(w))) AS i FROM tx), "
+    "tv AS (SELECT tk.*, lower(t) AS l, c > 0 AND c < n AND regexp_matches(t, '^[A-Z]+$') AS caps, valence AS v FROM tk LEFT JOIN (SELECT word || 'x' AS word, valence FROM lx) ON word = lower(t)), "
+    "tw AS (SELECT *, " + ", ".join(f"lag(l, {k}) OVER s AS l{k}, lag(caps, {k}) OVER s AS c{k}, lag(v IS NOT NULL, {k}) OVER s AS k{k}" for k in (1, 2, 3)) + ", min(CASE WHEN l = 'but' THEN i END) OVER (PARTITION BY track_id) AS b FROM tv WINDOW s AS (PARTITION BY track_id ORDER BY i)), "
+    "t0 AS (SELECT *, v + CASE WHEN NOT caps THEN 0 WHEN v > 0 THEN 0.733 ELSE -0.733 END AS x0 FROM tw WHERE v IS NOT NULL), "
+    + ", ".join(f"t{k} AS (SELECT *, CASE WHEN k{k} THEN x{k - 1} WHEN k{k} IS NULL THEN x{k - 1} WHEN l{k} = 'very' THEN x{k - 1} + {d} * CASE WHEN x{k - 1} < 0 THEN -0.293 ELSE 0.293 END + {d} * CASE WHEN NOT c{k} THEN 0 WHEN x{k - 1} > 0 THEN 0.733 ELSE -0.733 END WHEN l{k} = 'not' THEN -0.74 * x{k - 1} ELSE x{k - 1} END AS x{k} FROM t{k - 1})" for k, d in ((1, 1.0), (2, 0.95), (3, 0.9)))
+)
+
+
+@query("rule_sentiment", sql("lyrics", "SELECT track_id, round(coalesce(s, 0) / sqrt(coalesce(s, 0) ^ 2 + 15), 5)::DOUBLE AS compound FROM lyrics LEFT JOIN (SELECT track_id, sum(x3 * CASE WHEN i < b THEN .5 WHEN i > b THEN 1.5 ELSE 1 END)::DOUBLE AS s FROM t3 GROUP BY 1) USING (track_id)", f"{_LX}, {_TX}, {_TK}"))
+def rule_sentiment(t):  # LY1
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0)).alias("w")
+    lexicon = t.raw("benchmark").select(words).distinct().where("w NOT IN ('not', 'very', 'but', 'least', 'kind', 'doubt', 'no', 'nor')")
+    lexicon = lexicon.select(F.concat("w", F.lit("x")).alias("word"), ((F.ascii("w") * 7 + F.length("w") * 3) % 9 - 4).cast("double").alias("valence"))
+    letters = lambda x: F.regexp_replace(x, "[^a-zA-Z]", "")
+    form = lambda x, i: F.when(i % 7 == 2, "not").when(i % 11 == 4, "very").when(i == 29, "but").when(i % 13 == 5, F.concat(F.upper(letters(x)), F.lit("X"))).otherwise(F.concat(letters(x), F.lit("x")))
+    parts = F.filter(F.split(F.coalesce("text", F.lit("")), "[ \t\n\r\x0B\f]+"), lambda x: x != "")
+    return se.compound(t.lyrics.select("track_id", F.array_join(F.transform(parts, form), " ").alias("text")), lexicon).select("track_id", F.round("compound", 5).alias("compound"))
