@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from listenlab.functions import text as tx
+from listenlab.operators import asof as ao
 from listenlab.operators import audio as au
 from listenlab.operators import etl
 from listenlab.operators import macro as m
@@ -14,6 +15,7 @@ from listenlab.operators import resolve as rs
 from listenlab.operators import stats as st
 from listenlab.operators.order import shared_dir
 from listenlab.streaming import plays as sp
+from listenlab.streaming import successors as su
 
 from .bind import UNIT, sql
 from .q_text import _MUSIC
@@ -181,3 +183,27 @@ def days(t):  # SM3
     p = t.plays_ev.select("track_id", F.col("played_at").cast("timestamp").alias("played_at"))
     out = _streamed(t, "days", p, "track_id long, played_at timestamp", sp.daily, "complete")
     return out.select(F.col("w.start").cast("date").alias("day"), "plays")
+
+
+@query("streamed_successors", sql("plays_ev", "SELECT user_id, event_id, a, track_id AS b FROM (SELECT *, lag(track_id) OVER w AS a, lag(played_at) OVER w AS before FROM plays_ev WINDOW w AS (PARTITION BY user_id ORDER BY played_at, event_id)) WHERE floor(epoch(played_at)) - floor(epoch(before)) <= 1800 AND a <> track_id"))
+def streamed_successors(t):  # SM2, SM5: every event comes twice, and one of nobody long after lets all others pass
+    p = t.plays_ev.select("event_id", "user_id", "track_id", F.col("played_at").cast("timestamp").alias("played_at"))
+    last = p.agg(F.max("played_at").alias("last")).select(F.lit(-1).cast("long"), F.lit(-1).cast("long"), F.lit(None).cast("long"), F.col("last") + F.expr("INTERVAL 400 DAYS"))
+    return _streamed(t, "successors", p.unionByName(p).union(last), "event_id long, user_id long, track_id long, played_at timestamp", lambda s: su.successors(s, late="60 days"))
+
+
+_CL = "asked AS (SELECT event_id, user_id AS key, played_at AS asked_at FROM plays_ev WHERE source <> 'purchase'), found AS (SELECT user_id AS key, played_at AS fetched_at, max(track_id) AS value FROM plays_ev WHERE source = 'purchase' GROUP BY ALL)"
+
+
+@query("cached_lookups", sql("plays_ev", "SELECT event_id, CASE WHEN fetched_at IS NULL THEN 'missing' WHEN floor(epoch(asked_at)) - floor(epoch(fetched_at)) > 86400 THEN 'expired' ELSE 'fresh' END AS state, CASE WHEN floor(epoch(asked_at)) - floor(epoch(fetched_at)) <= 86400 THEN value END AS value FROM asked ASOF LEFT JOIN found ON asked.key = found.key AND asked_at >= fetched_at", _CL))
+def cached(t):  # EN4: a listener's events look up their last purchase, if it's of the last day
+    asked = t.plays_ev.where("source <> 'purchase'").select("event_id", F.col("user_id").alias("key"), F.col("played_at").alias("asked_at"))
+    found = t.plays_ev.where("source = 'purchase'").select(F.col("user_id").alias("key"), F.col("played_at").alias("fetched_at"), F.col("track_id").alias("value"))
+    return ao.cached_lookups(asked, found, 86_400).select("event_id", "state", "value")
+
+
+@query("replayed_plays", sql("plays", "SELECT DISTINCT track_id * 10 AS track_id, played_at, source AS context FROM plays WHERE track_id % 2 = 0 AND track_id % 4 <> 0"))
+def replayed(t):  # SRC21: plays of copied tracks, of which every second one is known
+    copied = t.tracks.where("id % 2 = 0").select("id", (F.col("id") * 10).alias("library_id"))
+    known = t.plays.where("track_id % 4 = 0").select((F.col("track_id") * 10).alias("track_id"), "played_at", F.col("source").alias("context"))
+    return ao.replayed(t.plays, copied, known)
