@@ -158,13 +158,20 @@ class Tables:
         w = Window.partitionBy("c_mktsegment").orderBy(F.col("c_acctbal").desc(), "c_custkey")
         return self.raw("customer").select(F.col("c_mktsegment").alias("source"), F.row_number().over(w).alias("rank"), F.col("c_name").alias("name"), F.col("c_custkey").alias("item_id"))
 
-    @property
-    def recordings(self) -> DataFrame:
-        """A sound of four seconds for each supplier; every eleventh has none."""
+    def sounds(self, seconds: float) -> DataFrame:
+        """A sound for each supplier; every eleventh has none."""
         k = F.col("s_suppkey")
         rows = self.raw("supplier").select(k.alias("track_id"), F.when(k % 11 != 0, 80 + k % 9 * 10).alias("bpm"), (k % 12).alias("tonic"), F.when(k % 2 == 0, "major").otherwise("minor").alias("mode"), (0.001 + F.abs("s_acctbal") / 1e6).alias("noise"))
-        # batches of few rows, as each row is long; so that all cores have some
-        return kept(demo.recordings(rows.repartition(F.col("track_id"))))
+        # few rows a partition, as each of them becomes long
+        return kept(demo.recordings(rows.repartition(rows.count() // 25 + 1, "track_id"), seconds))
+
+    @property
+    def recordings(self) -> DataFrame:
+        return self.sounds(4.0)
+
+    @property
+    def clips(self) -> DataFrame:
+        return self.sounds(1.5)
 
     @property
     def play_counts(self) -> DataFrame:
