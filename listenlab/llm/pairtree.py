@@ -21,10 +21,11 @@ from pyspark.sql import DataFrame
 from .chunks import ChunkEncoder
 from .common import small_arrow_batches
 
-#: No pair: above any rank and position.
-NONE = (1 << 63) - 1
 #: Bits of a position; ranks stand above them.
 PLACE = 36
+PLACE_MASK = (1 << PLACE) - 1
+#: No pair: above any rank.
+NONE = 1 << 62
 
 
 def byte_letters() -> dict[int, str]:
@@ -38,7 +39,7 @@ def byte_letters() -> dict[int, str]:
 
 
 class Merges:
-    """Ids of the single bytes, and for each pair of ids its rank and the id it becomes."""
+    """Ids of the single bytes, for each pair of ids its rank above a position's bits, and for each rank the id that its pair becomes."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -52,77 +53,85 @@ class Merges:
         back = {c: b for b, c in letters.items()}
         vocabulary = model["vocab"]
         self.bytes = [vocabulary[letters[b]] for b in range(256)]
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[int, dict[int, int]] = {}
+        self.into: list[int] = []
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.pairs[vocabulary[a], vocabulary[b]] = (rank, vocabulary[a + b])
+            # of a pair that is listed twice the later rank holds
+            self.ranks.setdefault(vocabulary[a], {})[vocabulary[b]] = rank << PLACE
+            self.into.append(vocabulary[a + b])
         self.added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         if any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in spec.get("added_tokens", [])):
             raise ValueError("an added token that takes in what is beside it")
-        self.tokens = {i: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t, i in vocabulary.items()}
-        self.tokens |= {i: t.encode() for t, i in self.added.items()}
+        tokens = {i: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t, i in vocabulary.items()}
+        tokens |= {i: t.encode() for t, i in self.added.items()}
+        # ids that there aren't stand for nothing
+        self.tokens = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        self.decimals = list(map(str, range(max(tokens) + 1)))
 
 
 class PairTree:
-    """The pairs of a chain of tokens, and the tree of their ranks."""
+    """The pairs of a chain of tokens, and the tree of their ranks.
+
+    Node i's children are 2 i and 2 i + 1; leaves begin at the number of pairs. Behind the last token stands a mark that
+    no pair has.
+    """
 
     def __init__(self, merges: Merges, tokens: list[int]):
-        self.pairs, self.token = merges.pairs, tokens
+        self.merges, self.token = merges, [*tokens, -1]
         n = len(tokens)
-        self.next, self.before = list(range(1, n + 1)), list(range(-1, n - 1))
-        self.width = 1 << max(n - 2, 0).bit_length()
-        self.tree = tree = array("q", [NONE]) * (2 * self.width)
-        get, w = self.pairs.get, self.width
-        for i in range(n - 1):
-            if (found := get((tokens[i], tokens[i + 1]))) is not None:
-                tree[w + i] = found[0] << PLACE | i
-        for i in range(w - 1, 0, -1):
+        self.next, self.before = list(range(1, n + 2)), list(range(-1, n))
+        ranks, none = merges.ranks, _NO_RANKS
+        leaves = [ranks.get(a, none).get(b, NONE) | i for i, (a, b) in enumerate(zip(tokens, tokens[1:]))] or [NONE]
+        self.tree = tree = [NONE] * len(leaves) + leaves
+        for i in range(len(leaves) - 1, 0, -1):
             a, b = tree[2 * i], tree[2 * i + 1]
             tree[i] = a if a < b else b
 
     def best(self) -> int:
         """The position of the leftmost pair of the lowest rank, or -1."""
         top = self.tree[1]
-        return -1 if top == NONE else top & ((1 << PLACE) - 1)
-
-    def put(self, at: int, value: int) -> None:
-        """Sets a leaf, and the nodes above it as far as they change."""
-        tree, i = self.tree, at + self.width
-        tree[i] = value
-        while i > 1:
-            other = tree[i ^ 1]
-            low = value if value < other else other
-            i >>= 1
-            if tree[i] == low:
-                return
-            tree[i] = value = low
-
-    def _rank(self, at: int) -> int:
-        to = self.next[at]
-        found = self.pairs.get((self.token[at], self.token[to])) if to < len(self.token) else None
-        return NONE if found is None else found[0] << PLACE | at
-
-    def merge(self, at: int) -> None:
-        """Merges the pair at a position; the token behind it goes."""
-        gone = self.next[at]
-        self.token[at] = self.pairs[self.token[at], self.token[gone]][1]
-        to = self.next[at] = self.next[gone]
-        if to < len(self.token):
-            self.before[to] = at
-        self.token[gone] = -1
-        if gone < self.width:
-            self.put(gone, NONE)
-        self.put(at, self._rank(at))
-        if (left := self.before[at]) >= 0:
-            self.put(left, self._rank(left))
+        return -1 if top >= NONE else top & PLACE_MASK
+
+    def merge(self) -> None:
+        """Merges the pair at the root; the token behind it goes."""
+        tree, token, after, before, ranks = self.tree, self.token, self.next, self.before, self.merges.ranks
+        top, leaf = tree[1], len(tree) >> 1
+        at = top & PLACE_MASK
+        gone = after[at]
+        token[gone] = -1
+        token[at] = new = self.merges.into[top >> PLACE]
+        to = after[at] = after[gone]
+        before[to] = at
+        left = before[at]
+        # past the end and before the start there is nothing to change
+        changed = [(at, ranks.get(new, _NO_RANKS).get(token[to], NONE) | at)]
+        if gone < leaf:
+            changed.append((gone, NONE))
+        if left >= 0:
+            changed.append((left, ranks.get(token[left], _NO_RANKS).get(new, NONE) | left))
+        for i, value in changed:
+            i += leaf
+            tree[i] = value
+            while i > 1:
+                other = tree[i ^ 1]
+                if other < value:
+                    value = other
+                i >>= 1
+                if tree[i] == value:
+                    break
+                tree[i] = value
 
     def ids(self) -> list[int]:
         """Merges until the root holds no pair, and gives the tokens that are left."""
-        while (at := self.best()) >= 0:
-            self.merge(at)
+        while self.tree[1] < NONE:
+            self.merge()
         return [t for t in self.token if t >= 0]
 
 
+_NO_RANKS: dict[int, int] = {}
+
+
 @cache
 def codec(path: str, pattern: str) -> Codec:
     """One codec for each vocabulary and worker."""
@@ -145,7 +154,7 @@ class Codec:
         tokens = [self.merges.bytes[b] for b in piece.encode()]
         return PairTree(self.merges, tokens).ids() if len(tokens) > 1 else tokens
 
-    def encode(self, text: str) -> array:
+    def encode(self, text: str) -> list[int]:
         """Added tokens' strings are their ids; what stands between them is split and merged."""
         out = array("I")
         for k, part in enumerate(self._split(text) if self._split else [text]):
@@ -153,12 +162,14 @@ class Codec:
                 out.append(self.merges.added[part])
             elif part:
                 out.frombytes(self._chunks(part))
-        return out
+        return out.tolist()
 
-    def decode(self, ids: array) -> str:
+    def decode(self, ids: list[int]) -> str:
         """The text of all tokens' bytes; ids that there aren't are passed over, bytes that aren't UTF-8 become U+FFFD."""
-        get = self.merges.tokens.get
-        return b"".join(get(i, b"") for i in ids).decode("utf-8", "replace")
+        tokens = self.merges.tokens
+        if max(ids, default=0) >= len(tokens):
+            ids = [i for i in ids if i < len(tokens)]
+        return b"".join(map(tokens.__getitem__, ids)).decode("utf-8", "replace")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -170,13 +181,14 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
+        decimals = c.merges.decimals.__getitem__
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
         for b in batches:
             n, ids, decoded = [], [], []
             for t in b.column(1).to_pylist():
                 got = c.encode(t or "")
                 n.append(len(got))
-                ids.append(sha(",".join(map(str, got))))
+                ids.append(sha(",".join(map(decimals, got))))
                 decoded.append(sha(c.decode(got)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -190,7 +202,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.encode(t or "").tolist() for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.encode(t or "") for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     small_arrow_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -202,7 +214,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.decode(array("I", i or [])) for i in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.decode(i or []) for i in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
     small_arrow_batches(encoded.sparkSession)
     return encoded.select(encoded["doc_id"].cast("long"), "ids").mapInArrow(run, "doc_id long, text string")
