@@ -43,7 +43,8 @@ def test_oracle(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+    rows = QUERIES[name](spark, SF).collect()
+    assert rows and len(set(map(str, rows))) > len(rows) // 2
 
 
 def test_oracles_belong_to_queries():
