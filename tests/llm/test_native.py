@@ -164,7 +164,7 @@ limitations under the License.
 def test_wrapped_licences(spark):
     want = {
         MIT: ("MITtitle,MITgrant,MITnotice", "MIT"), GPL: ("GPL3plus,GPLwarranty,GPLsee", "GPL-3.0-or-later"),
-        BSD: ("AllRights,BSDgrant,BSDsource,BSDbinary,BSDendorse", "BSD-3-Clause,LicenseRef-proprietary"),
+        BSD: ("AllRights,BSDgrant,BSDsource,BSDbinary,BSDendorse", "BSD-3-Clause"),
         APACHE: ("Apache2ref,Apache2use,Apache2copy,Apache2warranty,Apache2see", "Apache-2.0"),
     }
     marks = ("", " * ", "# ", "// ")
@@ -212,6 +212,60 @@ SOFTWARE.
     assert got == ["ISC", "LGPL-2.1-or-later", "MPL-2.0", "MIT", "Apache-2.0", "GPL-2.0-only", "Unlicense"]
 
 
+BSD_REST = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT OWNER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+BSD2 = BSD[: BSD.index("3. Neither")]
+
+
+def _holder(name):
+    return BSD.replace("the copyright holder nor the names of its\n   contributors may be used to", f"{name} nor the names of its\n   contributors may be used to")
+
+
+def test_slots_free_wordings_and_expressions(spark):
+    cases = {
+        _holder("Google Inc.") + BSD_REST: "BSD-3-Clause",
+        _holder("the University of California, Berkeley") + BSD_REST.replace("THE COPYRIGHT HOLDERS", "THE REGENTS"): "BSD-3-Clause",
+        BSD2 + BSD_REST: "BSD-2-Clause",
+        _holder("one two three four five six seven eight nine"): "BSD-2-Clause",
+        "Copyright 2020 Some One. All rights reserved.": "LicenseRef-proprietary",
+        "All rights reserved.\n\n" + MIT + "\nAll rights reserved.": "MIT",
+        "SPDX-License-Identifier: MIT OR Apache-2.0": "Apache-2.0,MIT",
+        "/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) AND BSD-3-Clause */": "BSD-3-Clause,GPL-2.0-only",
+        "// SPDX-License-Identifier: GPL-2.0+\nint x;": "GPL-2.0-or-later",
+        "# SPDX-License-Identifier: LGPL-2.1": "LGPL-2.1-only",
+        "# SPDX-License-Identifier: MIT-0": "",
+        "It is free. It is licensed under the terms of the MIT license. ": "",
+        "The parser library is licensed under the terms of the MIT licence.": "MIT",
+        "Released under the MIT licence.": "MIT",
+        "This package is\ndistributed under the Boost Software License,\nVersion 1.0.": "BSL-1.0",
+        "Licensed under either of Apache License, Version 2.0 or MIT license at your option.": "Apache-2.0,MIT",
+        "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+        "This work is licensed under a Creative Commons Attribution-Non Commercial-No Derivatives 3.0 Unported License.": "CC-BY-NC-ND-3.0",
+        "Licensed under CC BY-SA 3.0.": "CC-BY-SA-3.0",
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "ISC",
+        "Licensed under the Apache License v2.0.": "Apache-2.0",
+        "nothing of the kind, in software version 2": "",
+    }
+    for mark in ("", "# ", " * "):
+        rows = [(i, "x = 1\n\n" + "".join(mark + line + "\n" for line in text.splitlines())) for i, text in enumerate(cases)]
+        got = [r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+        assert got == list(cases.values())
+
+
+def test_no_known_sentence_is_without_an_anchor():
+    assert all(re.search(licenses.ANCHOR, s) for s in licenses.KNOWN)
+
+
 def _longest(ids):
     found, i = set(), 0
     while i < len(ids):
