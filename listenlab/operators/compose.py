@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from listenlab.functions import music
 
 from . import playlist as pl
+from . import space as sx
 from . import stats as st
 from . import vectors as vc
 
@@ -40,22 +41,58 @@ def playlist_analysis(items: DataFrame, names: list[str]) -> DataFrame:
     return out.withColumns({"use_case": F.when(enough, use), "mood_label": F.when(enough, mood)} | {n: F.coalesce(n, F.lit(0)) for n in ("n_analyzed", "n_outliers", "n_duplicates")})
 
 
-def dossier(features: DataFrame, sonic: DataFrame, track: int, names: list[str], k: int = 5) -> DataFrame:
-    """RP2: (part, name, value): percentiles of one track's features in the library, and its nearest siblings by the combined distance."""
+def dossier(features: DataFrame, sonic: DataFrame, asked: DataFrame, names: list[str], k: int = 5, structure: DataFrame | None = None) -> DataFrame:
+    """RP2: (track_id, part, name, value) of the tracks asked for (track_id): percentiles of their features in the library, their
+    nearest siblings by the combined distance, and, with rows of ``signal.structured``, how much repeats and where the chorus is.
+
+    A track that isn't analysed has no rows of the first two parts; a feature that isn't known has no percentile.
+    """
     ok = features.where("error IS NULL")
-    one = F.broadcast(ok.where(F.col("track_id") == track).select(*[F.col(n).alias(f"q_{n}") for n in names]))
-    p = ok.crossJoin(one).agg(*[F.round(100.0 * F.count_if(F.col(n) < F.col(f"q_{n}")) / F.count(n)).alias(n) for n in names])
-    p = p.select(F.stack(F.lit(len(names)), *[x for n in names for x in (F.lit(n), F.col(n))]).alias("name", "value"))
-    q = F.broadcast(sonic.where(F.col("track_id") == track).select(F.col("vec").alias("q")))
-    d = sonic.where(F.col("track_id") != track).crossJoin(q).select("track_id", F.sqrt(F.aggregate(F.zip_with("vec", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)).alias("d"))
-    near = d.crossJoin(F.broadcast(d.agg(F.max("d").alias("m")))).orderBy("d", "track_id").limit(k)
-    s = near.select(F.lit("similar").alias("part"), F.col("track_id").cast("string").alias("name"), F.round(1 - F.col("d") / F.col("m"), 3).alias("value"))
-    return p.select(F.lit("percentile").alias("part"), "name", "value").unionByName(s)
-
-
-def findings(features: DataFrame, sonic: DataFrame, tracks: DataFrame, names: list[str]) -> DataFrame:
-    """RP3, SF19: (topic, text): sentences on centre, outlier, correlations, eras, dynamics and tempo. The wording is fixed values."""
+    out = vc.siblings(sonic, sonic.join(asked, "track_id", "left_semi"), k).select(F.col("a").alias("track_id"), F.lit("similar").alias("part"), F.col("b").cast("string").alias("name"), F.round("sim", 3).alias("value"))
+    for n in names:
+        p = st.percentiles(ok, n).join(asked, "track_id", "left_semi")
+        out = out.unionByName(p.select("track_id", F.lit("percentile").alias("part"), F.lit(n).alias("name"), F.round("percentile").alias("value")))
+    if structure is not None:
+        parts = {"repetition": "repetition_score", "chorus start": "chorus.start", "chorus end": "chorus.end"}
+        rows = structure.join(asked, "track_id", "left_semi").select("track_id", F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("value")) for n, c in parts.items()])))
+        out = out.unionByName(rows.where("value IS NOT NULL").select("track_id", F.lit("structure").alias("part"), "name", "value"))
+    return out
+
+
+def axis_findings(features: DataFrame, names: list[str], least: int = 5) -> DataFrame:
+    """RP3: (topic, text): how much of the variance the two main axes of the standardised features tell, and the first one's name; nothing below ``least`` analysed tracks."""
+    found = sx.axes(features, names) if features.where("error IS NULL").count() >= least else []
+    said = [("axes", f"Two latent dimensions explain {round(sum(p for _, _, p in found))}% of the sonic variance in your library. Axis 1 ({found[0][1]}) separates your music most strongly — it's the main fault line in your taste.")] if found else []
+    return features.sparkSession.createDataFrame(said, "topic string, text string")
+
+
+def signature_findings(named: DataFrame, plays: DataFrame, names: list[str], least: float = 1.2, k: int = 3) -> DataFrame:
+    """RP3: (topic, text): of artists whose tracks stray by more than ``least`` deviations from the library's mean, the k most played (track_id, plays)."""
+    heard = named.join(plays, "track_id", "left").groupBy("artist").agg(F.coalesce(F.sum("plays"), F.lit(0)).alias("plays"))
+    z = F.round("z", 2)
+    top = st.signatures(named, "artist", names).join(heard, "artist").where(F.abs(z) > least).orderBy(F.col("plays").desc(), "artist").limit(k)
+    side = F.when(F.col("z") > 0, "higher ").otherwise("lower ")
+    return top.select(F.lit("signature").alias("topic"), F.concat("artist", F.lit("'s sonic signature: markedly "), side, "feature", F.lit(" than your library baseline (z = "), F.format_number(z, 2), F.lit(").")).alias("text"))
+
+
+def era_findings(named: DataFrame, louder: float = 2.0) -> DataFrame:
+    """RP3: (topic, text): that the last era's tracks are louder than the first one's by more than ``louder`` dB; nothing below two eras of two tracks each."""
+    rows = named.withColumn("era", F.when(F.substring("release_date", 1, 4).rlike("^[0-9]{4}$"), F.concat(F.substring("release_date", 1, 3), F.lit("0s")))).where("era IS NOT NULL")
+    per = st.drift(rows, ["loudness_db"]).where("loudness_db IS NOT NULL").withColumn("db", F.round("loudness_db", 1))
+    ends = per.agg(F.min("era").alias("a"), F.max("era").alias("b"), F.min_by("db", "era").alias("x"), F.max_by("db", "era").alias("y"))
+    db = lambda c: F.format_number(c, 1)
+    more = F.col("y") - F.col("x")
+    text = F.concat(F.lit("The loudness war is visible in your library: your "), "b", F.lit(" tracks average "), db("y"), F.lit(" dB vs "), db("x"), F.lit(" dB in the "), "a", F.lit(" — "), db(more), F.lit(" dB louder, typically at the cost of dynamics."))
+    return ends.where(more > louder).select(F.lit("era").alias("topic"), text.alias("text"))
+
+
+def findings(features: DataFrame, sonic: DataFrame, tracks: DataFrame, names: list[str], plays: DataFrame | None = None, least: int = 5) -> DataFrame:
+    """RP3, SF19: (topic, text): sentences on centre, outlier, correlations, signatures, eras, dynamics and tempo. The wording is fixed values.
+
+    Signatures need plays (track_id, plays). With fewer than ``least`` analysed tracks there are no findings. ``axis_findings`` goes beside it.
+    """
     ok = features.where("error IS NULL")
+    enough = F.broadcast(ok.agg(F.count("*").alias("analysed")).where(F.col("analysed") >= least))
     named = ok.join(tracks.select(F.col("id").alias("track_id"), "title", "artist", "release_date"), "track_id")
     what = lambda t: F.concat(F.lit("“"), F.col(f"{t}.title"), F.lit("”"))
     row = F.struct("title", "artist", "dynamic_range")
@@ -75,9 +112,10 @@ def findings(features: DataFrame, sonic: DataFrame, tracks: DataFrame, names: li
     edge = lambda i: F.floor(F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("bin") + i) / 8).cast("string")
     tempo = peak.select(F.lit("tempo").alias("topic"), F.concat(F.lit("Your tempo sweet spot is "), edge(0), F.lit("–"), edge(1), F.lit(" BPM ("), F.col("c"), F.lit(" of "), F.col("n"), F.lit(" analyzed tracks live there).")).alias("text"))
     out = centre
-    for part in (outlier, related, dynamics, tempo):
+    signs = [signature_findings(named, plays, names)] if plays is not None else []
+    for part in (outlier, related, *signs, era_findings(named), dynamics, tempo):
         out = out.unionByName(part)
-    return out
+    return out.where("text IS NOT NULL").crossJoin(enough).select("topic", "text")
 
 
 def dedupe_preview(clusters: DataFrame, eligible: DataFrame, tracks: DataFrame) -> DataFrame:

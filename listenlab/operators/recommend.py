@@ -55,10 +55,21 @@ def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
 
 
 def matched(tracks: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """EN1: for each track the first catalogue row of the same artist whose title begins with the track's."""
-    c = catalogue.select(F.col("id").alias("found"), F.col("artist").alias("by"), F.lower("title").alias("name"))
-    j = tracks.join(c, (F.col("artist") == F.col("by")) & (F.col("id") != F.col("found"))).where(F.startswith("name", F.lower("title")))
-    return j.groupBy(F.col("id").alias("wanted")).agg(F.min("found").alias("found"))
+    """EN1: (wanted, found): for each track the smallest id of another catalogue row of the same artist whose title begins with the track's.
+
+    Every beginning of a catalogue title is a key beside its artist, so rows meet by equality and grow with the titles'
+    length, not with the square of an artist's titles. A key's two smallest ids are enough: one of them isn't the track's own.
+    Null ids, titles and artists find nothing.
+    """
+    c = catalogue.where("id IS NOT NULL AND title IS NOT NULL AND artist IS NOT NULL").select("artist", "id", F.lower("title").alias("name"))
+    c = c.select("artist", "id", F.explode(F.transform(F.sequence(F.lit(0), F.length("name")), lambda n: F.substring("name", F.lit(1), n))).alias("lead"))
+    asked = tracks.where("id IS NOT NULL").select(F.col("id").alias("wanted"), "artist", F.lower("title").alias("lead"))
+    first = c.groupBy("artist", "lead").agg(F.min("id").alias("found"))
+    own = asked.join(first, ["artist", "lead"])
+    met = own.where("wanted = found").select("artist", "lead", F.col("found").alias("taken")).distinct()
+    second = c.join(met, ["artist", "lead"]).where("id <> taken").groupBy("artist", "lead").agg(F.min("id").alias("next"))
+    j = own.join(second, ["artist", "lead"], "left").withColumn("found", F.when(F.col("wanted") == F.col("found"), F.col("next")).otherwise(F.col("found")))
+    return j.where("found IS NOT NULL").groupBy("wanted").agg(F.min("found").alias("found"))
 
 
 def enriched(tracks: DataFrame, found: DataFrame) -> DataFrame:

@@ -92,6 +92,17 @@ def mean_distances(vectors: DataFrame) -> DataFrame:
     return rows.where("n > 0").select("a", (F.col("d") / F.col("n")).alias("m"))
 
 
+def siblings(vectors: DataFrame, of: DataFrame, k: int) -> DataFrame:
+    """VC5: (a, b, rank, sim) the k nearest other rows of the rows ``of``; sim is 1 less the distance as a share of the row's farthest."""
+
+    def farthest(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray, _: np.ndarray) -> tuple:
+        return a, np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0)).max(1)
+
+    far = _grid(of, vectors, F.lit(0.0), farthest, "a long, m double").groupBy("a").agg(F.max("m").alias("m"))
+    near = neighbours(vectors, k, cosine=False, of=of).join(far, "a")
+    return near.select("a", "b", "rank", (1 + F.col("s") / F.when(F.col("m") > 0, F.col("m")).otherwise(1.0)).alias("sim"))
+
+
 def knn_graph(vectors: DataFrame, k: int = 2, most: int | None = None) -> DataFrame:
     """VC6: edges of the k-nearest graph that go from a smaller id to a larger, with their distance; the ``most`` lightest of them."""
     e = neighbours(vectors, k, cosine=False).where("a < b").select("a", "b", (-F.col("s")).alias("d"))
@@ -204,13 +215,18 @@ def nearest_artist(vectors: DataFrame) -> DataFrame:
     return rate.crossJoin(chance).withColumn("lift", F.col("rate") / F.col("chance"))
 
 
-def explained(rows: DataFrame, seed: int) -> DataFrame:
-    """VC24, MT12: every row (track_id, vec, bpm, code, lufs, centroid, microtiming, harmonic, tags) beside one seed: similarity, differences, and tags that both have."""
-    names = ["vec", "bpm", "code", "lufs", "centroid", "microtiming", "harmonic", "tags"]
-    one = F.broadcast(rows.where(F.col("track_id") == seed).select(*[F.col(n).alias(f"a_{n}") for n in names]))
+def beside(rows: DataFrame, pairs: DataFrame, names: list[str]) -> DataFrame:
+    """Both rows of pairs (query_id, track_id): the track's columns, and the query's with a_ before their names."""
+    one = rows.select(F.col("track_id").alias("query_id"), *[F.col(n).alias(f"a_{n}") for n in names])
+    return pairs.join(one, "query_id").join(rows.select("track_id", *names), "track_id")
+
+
+def explained(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """VC24, MT12: for pairs (query_id, track_id) of rows (track_id, vec, bpm, code, lufs, centroid, microtiming, harmonic, tags): similarity, differences, and tags that both have."""
+    both = beside(rows, pairs, ["vec", "bpm", "code", "lufs", "centroid", "microtiming", "harmonic", "tags"])
     diff = lambda n, places: F.round(F.col(n) - F.col(f"a_{n}"), places)
     cosine = dot(unit(F.col("vec")), unit(F.col("a_vec")))
-    return rows.where(F.col("track_id") != seed).crossJoin(one).select(
-        "track_id", F.round(cosine, 6).alias("similarity"), diff("bpm", 1).alias("bpm_delta"), distance(F.col("a_code"), F.col("code")).cast("int").alias("camelot_distance"), diff("lufs", 1).alias("lufs_delta"),
+    return both.select(
+        "query_id", "track_id", F.round(cosine, 6).alias("similarity"), diff("bpm", 1).alias("bpm_delta"), distance(F.col("a_code"), F.col("code")).cast("int").alias("camelot_distance"), diff("lufs", 1).alias("lufs_delta"),
         F.round(F.col("centroid") / F.greatest("a_centroid", F.lit(1e-6)), 2).alias("centroid_ratio"), diff("microtiming", 1).alias("microtiming_delta"), diff("harmonic", 2).alias("harmonic_delta"), F.array_intersect("a_tags", "tags").alias("shared"),
     )

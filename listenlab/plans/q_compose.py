@@ -14,13 +14,13 @@ from listenlab.operators import recommend as rc
 from listenlab.operators import resolve as rs
 from listenlab.operators import space as sx
 from listenlab.operators import writes as w
-from listenlab.operators.order import shared_dir
+from listenlab.operators.order import kept, shared_dir
 from listenlab.sources import sinks
 
 from .bind import UNIT, sql
 from .q_music import _FC, _TRANS, _USE, _fc
 from .q_resolve import _CC, _DOCS, _MT, _SIG, _docs, _signed
-from .q_vectors import _SIB
+from .q_vectors import _SIB, _SIBLINGS
 from .registry import query
 
 R = lambda n: F.round(n, 6).alias(n)
@@ -54,18 +54,35 @@ def analysis(t):  # PL2
 _TEN = [*UNIT, "bpm", "loudness_db", "dynamic_range"]
 
 
-@query("track_dossier", sql("features", " UNION ALL ".join(f"SELECT 'percentile' AS part, '{n}' AS name, round(100.0 * count(*) FILTER (x.{n} < q.{n}) / count(*))::DOUBLE AS value FROM f x, (SELECT * FROM f WHERE track_id = 42) q" for n in _TEN)
- + " UNION ALL SELECT * FROM (SELECT 'similar' AS part, b::VARCHAR AS name, round(1 - d / m, 3) AS value FROM (SELECT b, d, max(d) OVER () AS m FROM (SELECT y.track_id AS b, list_distance(x.z, y.z) AS d FROM z x, z y WHERE x.track_id = 42 AND y.track_id <> 42)) ORDER BY d, b LIMIT 5)", _SIB))
+@query("track_dossier", sql("features", " UNION ALL ".join(f"SELECT track_id, 'percentile' AS part, '{n}' AS name, round(100.0 * k / n)::DOUBLE AS value FROM (SELECT track_id, rank() OVER (ORDER BY {n}) - 1 AS k, count(*) OVER () AS n FROM f) WHERE track_id % 50 = 0" for n in _TEN)
+ + f" UNION ALL SELECT a AS track_id, 'similar' AS part, b::VARCHAR AS name, round(sim, 3) AS value FROM ({_SIBLINGS})", _SIB))
 def dossier(t):  # RP2
-    return co.dossier(t.features, sx.sonic(t.features, UNIT, F.col("mfcc")), 42, _TEN)
+    f = t.features
+    return co.dossier(f, kept(sx.sonic(f, UNIT, F.col("mfcc"))), f.where("track_id % 50 = 0").select("track_id"), _TEN)
 
 
 _NAMED = "nf AS (SELECT f.*, title, artist FROM f JOIN tracks ON id = f.track_id), md AS (SELECT x.track_id, avg(list_distance(x.z, y.z)) AS m FROM z x JOIN z y ON x.track_id <> y.track_id GROUP BY 1), sp AS (SELECT min(bpm) AS lo, max(bpm) AS hi, count(*) AS n FROM f), pk AS (SELECT bin, lo, hi, n, count(*) AS c FROM (SELECT least(floor((bpm - lo) / (hi - lo) * 8), 7) AS bin, lo, hi, n FROM f, sp) GROUP BY ALL ORDER BY c DESC, bin LIMIT 1)"
 
 
-@query("deep_findings", sql("features tracks", "SELECT 'centre' AS topic, (SELECT '“' || title || '” by ' || artist FROM md JOIN nf USING (track_id) ORDER BY m, track_id LIMIT 1) || ' is the sonic centre of your library — the single track most representative of everything you play.' AS text UNION ALL SELECT 'outlier', 'Your biggest outlier is ' || (SELECT '“' || title || '” by ' || artist FROM md JOIN nf USING (track_id) ORDER BY m DESC, track_id LIMIT 1) || ' — nothing else you listen to sounds like it.' UNION ALL SELECT 'dynamics', 'Most compressed master you play: “' || (SELECT title || '” (' || printf('%.1f', dynamic_range) FROM nf ORDER BY dynamic_range, title, artist LIMIT 1) || ' dB of dynamic range). Most dynamic: “' || (SELECT title || '” (' || printf('%.1f', dynamic_range) FROM nf ORDER BY dynamic_range DESC, title DESC, artist DESC LIMIT 1) || ' dB).' UNION ALL SELECT 'tempo', 'Your tempo sweet spot is ' || floor(lo + (hi - lo) * bin / 8)::INTEGER || '–' || floor(lo + (hi - lo) * (bin + 1) / 8)::INTEGER || ' BPM (' || c || ' of ' || n || ' analyzed tracks live there).' FROM pk", f"{_SIB}, {_NAMED}"))
+_SIGNS = (
+    "ga AS (SELECT artist, sum(coalesce(plays, 0)) AS plays, " + ", ".join(f"(avg({n}) - (SELECT avg({n}) FROM nf)) / ((SELECT stddev_pop({n}) FROM nf) + 1e-6) AS z_{n}" for n in UNIT) + " FROM nf LEFT JOIN play_counts USING (track_id) GROUP BY 1), "
+    "sl AS (" + " UNION ALL ".join(f"SELECT artist, plays, '{n}' AS feature, z_{n} AS z FROM ga" for n in UNIT) + "), "
+    "sg AS (SELECT artist || '''s sonic signature: markedly ' || CASE WHEN z > 0 THEN 'higher ' ELSE 'lower ' END || feature || ' than your library baseline (z = ' || printf('%.2f', round(z, 2)) || ').' AS text FROM (SELECT *, row_number() OVER (PARTITION BY artist ORDER BY abs(z) DESC, feature DESC) AS k FROM sl) WHERE k = 1 AND abs(round(z, 2)) > 1.2 ORDER BY plays DESC, artist LIMIT 3)"
+)
+_ERAS = (
+    "ee AS (SELECT release_date[1:3] || '0s' AS era, round(avg(loudness_db), 1) AS db FROM f JOIN tracks ON id = f.track_id GROUP BY 1 HAVING count(*) >= 2), "
+    "er AS (SELECT 'The loudness war is visible in your library: your ' || b || ' tracks average ' || printf('%.1f', y) || ' dB vs ' || printf('%.1f', x) || ' dB in the ' || a || ' — ' || printf('%.1f', y - x) || ' dB louder, typically at the cost of dynamics.' AS text FROM (SELECT min(era) AS a, max(era) AS b, min_by(db, era) AS x, max_by(db, era) AS y FROM ee) WHERE y - x > 2)"
+)
+
+
+@query("deep_findings", sql("features tracks plays play_counts", "SELECT 'centre' AS topic, (SELECT '“' || title || '” by ' || artist FROM md JOIN nf USING (track_id) ORDER BY m, track_id LIMIT 1) || ' is the sonic centre of your library — the single track most representative of everything you play.' AS text UNION ALL SELECT 'outlier', 'Your biggest outlier is ' || (SELECT '“' || title || '” by ' || artist FROM md JOIN nf USING (track_id) ORDER BY m DESC, track_id LIMIT 1) || ' — nothing else you listen to sounds like it.' UNION ALL SELECT 'dynamics', 'Most compressed master you play: “' || (SELECT title || '” (' || printf('%.1f', dynamic_range) FROM nf ORDER BY dynamic_range, title, artist LIMIT 1) || ' dB of dynamic range). Most dynamic: “' || (SELECT title || '” (' || printf('%.1f', dynamic_range) FROM nf ORDER BY dynamic_range DESC, title DESC, artist DESC LIMIT 1) || ' dB).' UNION ALL SELECT 'tempo', 'Your tempo sweet spot is ' || floor(lo + (hi - lo) * bin / 8)::INTEGER || '–' || floor(lo + (hi - lo) * (bin + 1) / 8)::INTEGER || ' BPM (' || c || ' of ' || n || ' analyzed tracks live there).' FROM pk UNION ALL SELECT 'signature', text FROM sg UNION ALL SELECT 'era', text FROM er", f"{_SIB}, {_NAMED}, {_SIGNS}, {_ERAS}"))
 def findings(t):  # RP3; no pair of these features is correlated by 0.6, so that part is empty here
-    return co.findings(t.features, sx.sonic(t.features, UNIT, F.col("mfcc")), t.tracks, UNIT)
+    return co.findings(t.features, kept(sx.sonic(t.features, UNIT, F.col("mfcc"))), t.tracks, UNIT, t.play_counts)
+
+
+@query("axis_findings")
+def axis_findings(t):  # RP3, ML2
+    return co.axis_findings(t.features, UNIT)
 
 
 @query("dedupe_preview", f"WITH RECURSIVE {_SIG}, {_MT}, {_CC}, nn AS (SELECT root, count(*) AS n, sum(plays) AS plays FROM cc JOIN songs USING (id) GROUP BY 1 HAVING count(*) > 1), el AS (SELECT DISTINCT root FROM (SELECT root, token, n, count(DISTINCT id) AS have FROM (SELECT cc.root, cc.id, n, unnest(toks) AS token FROM cc JOIN nn USING (root) JOIN tk ON tk.id = cc.id WHERE n <= 4) JOIN fr USING (token) WHERE df <= 6 GROUP BY 1, 2, 3) WHERE have = n) SELECT count(el.root) AS clusters, coalesce(sum(n - 1) FILTER (el.root IS NOT NULL), 0)::BIGINT AS rows_removed, coalesce(sum(plays) FILTER (el.root IS NOT NULL), 0)::BIGINT AS plays_affected, count(*) FILTER (el.root IS NULL) AS skipped FROM nn LEFT JOIN el USING (root)")
@@ -165,7 +182,7 @@ def clear_all(t):  # SNK12
     to = _folder(t, "store")
     tables = {"plays": t.plays, "audio_features": t.features, "lyrics": t.lyrics, "playlist_tracks": t.playlist_tracks, "playlists": t.playlists, "top_items": t.top_items, "recommendations": t.tracks.limit(5), "tracks": t.tracks}
     for name, df in tables.items():
-        df.limit(10).write.parquet(f"{to}/{name}")
+        df.write.parquet(f"{to}/{name}")
     w.clear(t.spark, to)
     out = None
     for name in tables:

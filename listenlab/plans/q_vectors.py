@@ -10,6 +10,7 @@ from listenlab.operators import evaluate as ev
 from listenlab.operators import retrieve as rt
 from listenlab.operators import space as sx
 from listenlab.operators import vectors as vc
+from listenlab.operators.order import kept
 
 from .bind import UNIT, sql
 from .registry import query
@@ -54,13 +55,13 @@ def medoid(t):  # VC6: mean distances by row, from blocks
 _SIB = "f AS (SELECT * FROM features WHERE error IS NULL), z AS (SELECT track_id, [" + ", ".join(f"({n} - avg({n}) OVER ()) / (stddev_pop({n}) OVER () + 1e-6)" for n in UNIT) + ", " + ", ".join(f".5 * (mfcc[{i}] - avg(mfcc[{i}]) OVER ()) / (stddev_pop(mfcc[{i}]) OVER () + 1e-6)" for i in range(1, 14)) + "] AS z FROM f)"
 
 
-@query("siblings", sql("features", "SELECT b AS track_id, round(1 - d / m, 6) AS sim FROM (SELECT b, d, max(d) OVER () AS m FROM (SELECT y.track_id AS b, list_distance(x.z, y.z) AS d FROM z x, z y WHERE x.track_id = 42 AND y.track_id <> 42)) ORDER BY d, track_id LIMIT 5", _SIB))
+_SIBLINGS = "SELECT a, b, rank, 1 - d / m AS sim FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rank, max(d) OVER (PARTITION BY a) AS m FROM (SELECT x.track_id AS a, y.track_id AS b, list_distance(x.z, y.z) AS d FROM z x JOIN z y ON x.track_id <> y.track_id WHERE x.track_id % 50 = 0)) WHERE rank <= 5"
+
+
+@query("siblings", sql("features", f"SELECT a AS query_id, b AS track_id, rank, round(sim, 6) AS sim FROM ({_SIBLINGS})", _SIB))
 def siblings(t):  # VC4, VC5
-    z = sx.sonic(t.features, UNIT, F.col("mfcc"))
-    one = F.broadcast(z.where("track_id = 42").select(F.col("vec").alias("q")))
-    d = z.where("track_id <> 42").crossJoin(one).select("track_id", ar.norm(F.zip_with("vec", "q", lambda x, y: x - y)).alias("d"))
-    top = d.crossJoin(F.broadcast(d.agg(F.max("d").alias("m"))))
-    return top.orderBy("d", "track_id").limit(5).select("track_id", F.round(1 - F.col("d") / F.col("m"), 6).alias("sim"))
+    z = kept(sx.sonic(t.features, UNIT, F.col("mfcc")))
+    return vc.siblings(z, _asked(z), 5).select(F.col("a").alias("query_id"), F.col("b").alias("track_id"), "rank", R("sim"))
 
 
 @query("csls_radius", sql("vectors", "SELECT a AS track_id, round(avg(s), 6) AS radius FROM nn WHERE rank <= 10 GROUP BY 1", f"{_U}, {_S}, {_NN}"))
@@ -120,18 +121,27 @@ def pooled(t):  # AR3
     return p.select("track_id", *[F.round(F.get("p", F.lit(i)), 6).alias(n) for i, n in ((0, "mean1"), (4, "max1"), (8, "rms1"))])
 
 
-@query("band_similarity", sql("vectors", "SELECT b.track_id, " + ", ".join(f"round(list_inner_product(a.vec[{16 * i + 1}:{16 * i + 16}], b.vec[{16 * i + 1}:{16 * i + 16}]) / (sqrt(list_inner_product(a.vec[{16 * i + 1}:{16 * i + 16}], a.vec[{16 * i + 1}:{16 * i + 16}])) * sqrt(list_inner_product(b.vec[{16 * i + 1}:{16 * i + 16}], b.vec[{16 * i + 1}:{16 * i + 16}])) + 1e-9), 6) AS band{i}" for i in range(4)) + " FROM vectors a, vectors b WHERE a.track_id = 17"))
+_PAIRS = f"{_U}, {_S}, {_NN}, pr AS (SELECT a AS query_id, b AS track_id FROM nn WHERE a % 50 = 0 AND rank <= 10)"
+_BESIDE = "FROM pr JOIN {0} a ON a.track_id = pr.query_id JOIN {0} b ON b.track_id = pr.track_id"
+
+
+def _pairs(t):
+    """The ten nearest of every row whose id is divisible by 50: what a search shows, to be explained."""
+    return rt.searched(t.vectors, _asked(t.vectors), 10).select("query_id", "track_id")
+
+
+@query("band_similarity", sql("vectors", "SELECT pr.query_id, pr.track_id, " + ", ".join(f"round(list_inner_product(a.vec[{16 * i + 1}:{16 * i + 16}], b.vec[{16 * i + 1}:{16 * i + 16}]) / (sqrt(list_inner_product(a.vec[{16 * i + 1}:{16 * i + 16}], a.vec[{16 * i + 1}:{16 * i + 16}])) * sqrt(list_inner_product(b.vec[{16 * i + 1}:{16 * i + 16}], b.vec[{16 * i + 1}:{16 * i + 16}])) + 1e-9), 6) AS band{i}" for i in range(4)) + " " + _BESIDE.format("vectors"), _PAIRS))
 def band_similarity(t):  # AR8, VC24
-    one = F.broadcast(t.vectors.where("track_id = 17").select(F.col("vec").alias("q")))
-    b = t.vectors.crossJoin(one).select("track_id", ar.bands(F.col("q"), F.col("vec"), 4, 16).alias("b"))
-    return b.select("track_id", *[F.round(F.get("b", F.lit(i)), 6).alias(f"band{i}") for i in range(4)])
+    both = vc.beside(t.vectors, _pairs(t), ["vec"])
+    b = both.select("query_id", "track_id", ar.bands(F.col("a_vec"), F.col("vec"), 4, 16).alias("b"))
+    return b.select("query_id", "track_id", *[F.round(F.get("b", F.lit(i)), 6).alias(f"band{i}") for i in range(4)])
 
 
-@query("pair_explain", sql("features", "SELECT b.track_id, round(b.bpm - a.bpm, 6) AS bpm, round(b.loudness_db - a.loudness_db, 6) AS loudness_db, round(b.brightness / nullif(a.brightness, 0), 6) AS brightness, round(b.energy - a.energy, 6) AS energy FROM features a, features b WHERE a.track_id = 42 AND b.track_id <> 42"))
+@query("pair_explain", sql("features vectors", "SELECT pr.query_id, pr.track_id, round(b.bpm - a.bpm, 6) AS bpm, round(b.loudness_db - a.loudness_db, 6) AS loudness_db, round(b.brightness / nullif(a.brightness, 0), 6) AS brightness, round(b.energy - a.energy, 6) AS energy " + _BESIDE.format("features"), _PAIRS))
 def explain(t):  # MT12, VC24
-    a = F.broadcast(t.features.where("track_id = 42").select(*[F.col(n).alias(f"a_{n}") for n in ("bpm", "loudness_db", "brightness", "energy")]))
+    both = vc.beside(t.features, _pairs(t), ["bpm", "loudness_db", "brightness", "energy"])
     diff = lambda n: F.round(F.col(n) - F.col(f"a_{n}"), 6).alias(n)
-    return t.features.where("track_id <> 42").crossJoin(a).select("track_id", diff("bpm"), diff("loudness_db"), F.round(F.col("brightness") / F.nullif("a_brightness", F.lit(0.0)), 6).alias("brightness"), diff("energy"))
+    return both.select("query_id", "track_id", diff("bpm"), diff("loudness_db"), F.round(F.col("brightness") / F.nullif("a_brightness", F.lit(0.0)), 6).alias("brightness"), diff("energy"))
 
 
 @query("artist_capped", sql("vectors", "SELECT query_id, track_id FROM (SELECT a AS query_id, b AS track_id, row_number() OVER (PARTITION BY a, artist ORDER BY s DESC, b) AS k FROM nn JOIN u ON u.track_id = b WHERE a % 50 = 0 AND rank <= 50) WHERE k <= 2", f"{_U}, {_S}, {_NN}"))
@@ -225,9 +235,9 @@ def cohesion(t):  # EV3
     return ev.album_cohesion(t.vectors).select(R("within"), F.round("between", 6).alias("between_"), R("cohesion"))
 
 
-@query("prompt_search", sql("vectors", "SELECT a AS query_id, b AS track_id, rank, round(s, 6) AS score FROM (SELECT -a.track_id - 1 AS a, b.track_id AS b, row_number() OVER (PARTITION BY a.track_id ORDER BY list_inner_product(a.v, b.v) DESC, b.track_id) AS rank, list_inner_product(a.v, b.v) AS s FROM u a, u b WHERE a.track_id % 100 = 3) WHERE rank <= 10", _U))
+@query("prompt_search", sql("vectors", "SELECT a AS query_id, b AS track_id, rank, round(s, 6) AS score FROM (SELECT -a.track_id - 1 AS a, b.track_id AS b, row_number() OVER (PARTITION BY a.track_id ORDER BY list_inner_product(a.v, b.v) DESC, b.track_id) AS rank, list_inner_product(a.v, b.v) AS s FROM u a, u b WHERE a.track_id % 50 = 0) WHERE rank <= 10", _U))
 def prompt_search(t):  # VC21: landed vectors of prompts, under ids of their own
-    q = t.vectors.where("track_id % 100 = 3").select((-F.col("track_id") - 1).alias("track_id"), "vec")
+    q = t.vectors.where("track_id % 50 = 0").select((-F.col("track_id") - 1).alias("track_id"), "vec")
     return rt.searched(t.vectors.select("track_id", "vec"), q, 10).select("query_id", "track_id", "rank", R("score"))
 
 
@@ -265,9 +275,9 @@ _EXPL = ["bpm_delta", "camelot_distance", "lufs_delta", "centroid_ratio", "micro
 _CODE = "MAP {" + ", ".join(f"'{k} {m}': [{n}, {i}]" for i, (d, m) in enumerate(((mu.MAJOR, "major"), (mu.MINOR, "minor"))) for k, n in d.items()) + "}[key || ' ' || mode]"
 
 
-@query("pair_explanation", sql("features vectors", "SELECT b.track_id, round(list_inner_product(x.v, y.v), 6) AS similarity, round(b.bpm - a.bpm, 1) AS bpm_delta, (least((a.c[1] - b.c[1] + 12) % 12, (b.c[1] - a.c[1] + 12) % 12) + (a.c[2] <> b.c[2])::INTEGER)::INTEGER AS camelot_distance, round(b.loudness_db - a.loudness_db, 1) AS lufs_delta, round(b.brightness * 4000 / greatest(a.brightness * 4000, 1e-6), 2) AS centroid_ratio, round(b.speechiness * 20 - a.speechiness * 20, 1) AS microtiming_delta, round(b.acousticness - a.acousticness, 2) AS harmonic_delta, array_to_string(list_filter(['loud', 'fast', 'bright'], lambda w: list_contains(a.tags, w) AND list_contains(b.tags, w)), ',') AS shared FROM g a, g b JOIN u x ON x.track_id = 42 JOIN u y ON y.track_id = b.track_id WHERE a.track_id = 42 AND b.track_id <> 42",
- f"{_U}, g AS (SELECT *, {_CODE} AS c, list_filter([CASE WHEN loudness_db > -20 THEN 'loud' END, CASE WHEN bpm > 110 THEN 'fast' END, CASE WHEN brightness > .5 THEN 'bright' END], lambda w: w IS NOT NULL) AS tags FROM features)"))
+@query("pair_explanation", sql("features vectors", "SELECT pr.query_id, pr.track_id, round(list_inner_product(x.v, y.v), 6) AS similarity, round(b.bpm - a.bpm, 1) AS bpm_delta, (least((a.c[1] - b.c[1] + 12) % 12, (b.c[1] - a.c[1] + 12) % 12) + (a.c[2] <> b.c[2])::INTEGER)::INTEGER AS camelot_distance, round(b.loudness_db - a.loudness_db, 1) AS lufs_delta, round(b.brightness * 4000 / greatest(a.brightness * 4000, 1e-6), 2) AS centroid_ratio, round(b.speechiness * 20 - a.speechiness * 20, 1) AS microtiming_delta, round(b.acousticness - a.acousticness, 2) AS harmonic_delta, array_to_string(list_filter(['loud', 'fast', 'bright'], lambda w: list_contains(a.tags, w) AND list_contains(b.tags, w)), ',') AS shared " + _BESIDE.format("g") + " JOIN u x ON x.track_id = pr.query_id JOIN u y ON y.track_id = pr.track_id",
+ f"{_PAIRS}, g AS (SELECT *, {_CODE} AS c, list_filter([CASE WHEN loudness_db > -20 THEN 'loud' END, CASE WHEN bpm > 110 THEN 'fast' END, CASE WHEN brightness > .5 THEN 'bright' END], lambda w: w IS NOT NULL) AS tags FROM features)"))
 def explanation(t):  # MT12, VC24, SE2
     tags = F.filter(F.array(F.when(F.col("loudness_db") > -20, "loud"), F.when(F.col("bpm") > 110, "fast"), F.when(F.col("brightness") > 0.5, "bright")), lambda w: w.isNotNull())
     rows = t.features.select("track_id", "bpm", mu.wheel(F.col("key"), F.col("mode")).alias("code"), F.col("loudness_db").alias("lufs"), (F.col("brightness") * 4000).alias("centroid"), (F.col("speechiness") * 20).alias("microtiming"), F.col("acousticness").alias("harmonic"), tags.alias("tags"))
-    return vc.explained(rows.join(t.vectors.select("track_id", "vec"), "track_id"), 42).withColumn("shared", F.array_join("shared", ","))
+    return vc.explained(rows.join(t.vectors.select("track_id", "vec"), "track_id"), _pairs(t)).withColumn("shared", F.array_join("shared", ","))
