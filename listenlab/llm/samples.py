@@ -18,8 +18,10 @@ def fold(doc_id: Column, folds: int) -> Column:
 def sample(rows: DataFrame, most: int) -> list:
     """At most ``most`` rows with at most MOST_BYTES of text, the same on every run: those of smallest hash of id and text.
 
+    A text that alone is longer than MOST_BYTES is passed over, so it never leaves the sample empty.
     A threshold on the hash keeps what is sorted near that number, however large the input.
     """
+    rows = rows.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MOST_BYTES)
     n = rows.count()
     h = F.xxhash64("doc_id", "text")
     kept = rows.where(F.pmod(h, F.lit(_SCALE)) < F.lit(min(_SCALE, int(_SCALE * 1.5 * most / max(n, 1)) + 1)))

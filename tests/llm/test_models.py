@@ -130,6 +130,8 @@ def test_samples_are_bounded_and_the_same(spark, monkeypatch):
     one = [r.doc_id for r in samples.sample(rows, 500)]
     assert len(one) == 500 and one == [r.doc_id for r in samples.sample(rows.repartition(7), 500)]
     monkeypatch.setattr(samples, "MOST_BYTES", 1000)
+    long = rows.where("length(text) > 0").select("doc_id", F.when(F.col("doc_id") % 3 > 0, F.repeat("text", F.lit(1001))).otherwise(F.col("text")).alias("text"))
+    assert {r.doc_id % 3 for r in samples.sample(long, 500)} == {0}
     few = samples.sample(rows, 500)
     assert 10 < len(few) < 60 and sum(len(r.text or "") for r in few) <= 1000
 
