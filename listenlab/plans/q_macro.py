@@ -154,7 +154,7 @@ def years(t):
 @query("recent_by_artist", sql("tracks plays", "SELECT track_id, played_at, source FROM plays JOIN tracks ON id = track_id WHERE artist = 'Brand#11' ORDER BY played_at DESC, track_id, source LIMIT 50"))
 def recent(t):  # ST3
     mine = t.tracks.where("artist = 'Brand#11'").select("id")
-    return t.plays.join(F.broadcast(mine), F.col("track_id") == F.col("id"), "left_semi").orderBy(F.col("played_at").desc(), "track_id", "source").limit(50)
+    return t.plays.join(mine, F.col("track_id") == F.col("id"), "left_semi").orderBy(F.col("played_at").desc(), "track_id", "source").limit(50)
 
 
 @query("pending_work", sql("tracks plays features", "SELECT id, plays FROM (SELECT t.id, coalesce(n, 0) AS plays FROM tracks t LEFT JOIN (SELECT track_id, count(*) AS n FROM plays GROUP BY 1) p ON p.track_id = t.id WHERE NOT EXISTS (SELECT 1 FROM features f WHERE f.track_id = t.id)) ORDER BY plays DESC, id LIMIT 100"))
