@@ -129,6 +129,30 @@ def test_top_k_leaves_annuli_out(spark):
     assert report["annuli"] >= 15 and report["visited"] < 0.5
 
 
+def test_top_k_gathers_looks(spark, monkeypatch):
+    """Where bounds part little, queries of all pivots meet annuli of all pivots in a few products, not in one for each two pivots."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(0, 0.2, 32))]) for i in range(3000)]
+    trips, written = [], topk.written
+
+    def spied(df, what):
+        out = written(df, what)
+        if what == "trips":
+            trips.append(out.count())
+        return out
+
+    monkeypatch.setattr(topk, "written", spied)
+    report = {}
+    assert _found(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), report=report) == _brute_top(rows, 5)
+    assert report["visited"] > 0.5 and sum(trips) <= 4
+
+
+def test_top_k_of_opposite_copies(spark):
+    """Bounds of large negative scores are not rounded below the scores: the smallest ids stand in annuli of all rounds."""
+    rows = [(0, [-4096.0, 0.0])] + [(i, [4096.0, float(i % 8)]) for i in range(1, 400)]
+    assert _found(spark.createDataFrame(rows, "vec_id long, embedding array<float>")) == _brute_top(rows, 5)
+
+
 PAGE = """<html><head><title>t {n}</title><style>x</style></head><body><header>Site</header><div class="menu"><a>Home</a></div>
 <div id="wrap"><div class="cookie-notice">We use cookies</div><main><h1>Title {n}</h1><p>First &amp; {n}
   words.</p><p>Shared line</p><ul><li>one {n}<li>two</ul><div class="share">Share this</div></main><aside>Other {n}</aside></div>
