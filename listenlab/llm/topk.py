@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -96,6 +96,11 @@ def _filled(counts: list[int], most: int) -> list[tuple[int, int]]:
     return out
 
 
+def _ints(spark: SparkSession, names: str, rows: list[tuple]) -> DataFrame:
+    """A small table of whole numbers; through Arrow, as rows would start Python workers."""
+    return spark.createDataFrame(pa.table([pa.array(c, pa.int32()) for c in zip(*rows)], names.split()))
+
+
 def _narrow(most: int) -> str:
     """The smallest integers that hold all components."""
     return "<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<i8"
@@ -153,8 +158,9 @@ def search(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, rep
                 ring[mine] = np.searchsorted(cuts[int(p)], dist[mine], "left")
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pivot * RINGS + ring)], [*b.schema.names, "cell"])
 
-    placed = written(keys.mapInArrow(placed_in, "vec_id long, row long, pivot int, dist double, norm double, data binary, cell int"), "placed")
-    cells = placed.groupBy("cell").agg(F.count("*"), F.min("dist"), F.max("dist"), F.max("norm")).collect()
+    # annuli are told again where they are asked for, as a copy of all vectors costs more
+    placed = lambda *names: (t := keys.select("pivot", "dist", *names)).mapInArrow(placed_in, f"{', '.join(f'{c} {d}' for c, d in t.dtypes)}, cell int")
+    cells = placed("norm").groupBy("cell").agg(F.count("*"), F.min("dist"), F.max("dist"), F.max("norm")).collect()
     cells.sort(key=lambda c: (place[c[0] // RINGS], c[0]))
     count, low, high, square = (np.array([c[i] for c in cells], float) for i in (1, 2, 3, 4))
     home = np.array([c[0] for c in cells]) // RINGS
@@ -162,7 +168,7 @@ def search(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, rep
     laid = _filled([c[1] for c in cells], BLOCK)
     edges = np.searchsorted([b for b, _ in laid], np.arange(laid[-1][0] + 2))
     slots = [(int(c[0]), int(b), int(i - edges[b]), int(edges[b + 1] - edges[b]), m) for i, (c, (b, m)) in enumerate(zip(cells, laid))]
-    parts = spark.createDataFrame(slots, "cell int, block int, slot int, slots int, parts int")
+    parts = _ints(spark, "cell block slot slots parts", slots)
 
     def blocked(t: pa.Table) -> pa.Table:
         """A block's vectors by annulus and vec_id, with the ends of its annuli."""
@@ -173,15 +179,17 @@ def search(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, rep
         data = b"".join(t.column("data").take(pa.array(order)).to_pylist())
         return pa.table({"block": t.column("block")[:1], "ids": binary(ids[order]), "rows": binary(rows[order]), "ends": binary(ends), "data": binary(data)})
 
-    split = placed.select("cell", "vec_id", "row", "data").join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts"))).drop("parts")
+    split = placed("vec_id", "row", "data").drop("pivot", "dist").join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts"))).drop("parts")
     blocks = written(split.groupBy("block", "part").applyInArrow(blocked, "block int, ids binary, rows binary, ends binary, data binary"), "blocks")
-    asked = placed.where(queries).select("pivot", "row", F.col("vec_id").alias("query_id"), "data")
+    asked = keys.where(queries).select("pivot", "row", F.col("vec_id").alias("query_id"), "data")
     # queries of pivots that follow each other go together, PACK of them
     sizes = sorted(((r["pivot"], r["n"]) for r in asked.groupBy("pivot").agg(F.count("*").alias("n")).collect()), key=lambda r: place[r[0]])
     if not sizes:
         return spark.createDataFrame([], schema)
-    many = spark.createDataFrame([(p, *x) for (p, _), x in zip(sizes, _filled([n for _, n in sizes], PACK))], "pivot int, pack int, many int")
+    many = _ints(spark, "pivot pack many", [(p, *x) for (p, _), x in zip(sizes, _filled([n for _, n in sizes], PACK))])
     asked = written(asked.join(F.broadcast(many), "pivot").withColumn("no", F.pmod(F.xxhash64("row"), F.col("many"))).drop("many", "pivot"), "queries")
+    # packs are few bytes but much work, so they are dealt out by number
+    tasks = min(-(-sum(m for _, m in sizes) // PACK), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     # what floats may lose of distances whose squares aren't whole numbers below 2 ** 53
     rough = 0.0 if longest < 2**51 else 1e-6 * math.sqrt(longest)
@@ -279,7 +287,7 @@ def search(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, rep
             break
         known = asked if best is None else asked.join(best.where(F.col("rank") == k).select(F.col("q_row").alias("row"), F.col("score").alias("bound")), "row", "left")
         bound = known.withColumn("bound", F.lit(NONE) if best is None else F.coalesce("bound", F.lit(NONE)))
-        trips = written(bound.groupBy("pack", "no").applyInArrow(goes(first, last), "block int, pack int, no int, size long, visits long, q_at binary, q_rows binary, q_ids binary, q_data binary, taus binary, went binary"), "trips")
+        trips = written(bound.repartition(tasks, "pack", "no").groupBy("pack", "no").applyInArrow(goes(first, last), "block int, pack int, no int, size long, visits long, q_at binary, q_rows binary, q_ids binary, q_data binary, taus binary, went binary"), "trips")
         visits += trips.agg(F.sum("visits")).first()[0] or 0
         # a row of blocks and queries is small, so Arrow's bound on the bytes of a batch holds
         found = trips.drop("visits").join(blocks, "block").mapInArrow(looked, "q_row long, query_id long, vec_id long, row long, score long")
