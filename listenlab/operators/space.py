@@ -18,14 +18,15 @@ def timbre(text: Column) -> Column:
     return F.when(F.size(x) == TIMBRE, x).otherwise(F.array_repeat(F.lit(0.0), TIMBRE))
 
 
-def assembled(features: DataFrame, names: list[str], mfcc: Column | None = None) -> DataFrame:
+def assembled(features: DataFrame, names: list[str], mfcc: Column | None = None, no_range: float = 8.0) -> DataFrame:
     """PRJ3, AX10: (track_id, vec): unit features, tempo / 200, (loudness + 35) / 35, dynamics / 30, and timbre; rows that lack a unit feature are left out.
 
-    A tempo or a range that is missing or 0 is taken as 120 or 8, a missing loudness as -12.
+    A tempo or a range that is missing or 0 is taken as 120 or 8, a missing loudness as -12. ``no_range`` is for a range of 0 alone.
     """
     ok = features.where(" AND ".join(f"{n} IS NOT NULL" for n in names))
     value = lambda n, default: F.coalesce(F.nullif(F.col(n), F.lit(0.0)), F.lit(default))
-    more = F.array(value("bpm", 120.0) / 200, (F.coalesce("loudness_db", F.lit(-12.0)) + 35) / 35, value("dynamic_range", 8.0) / 30)
+    dynamics = F.when(F.col("dynamic_range") == 0, no_range).otherwise(F.coalesce("dynamic_range", F.lit(8.0)))
+    more = F.array(value("bpm", 120.0) / 200, (F.coalesce("loudness_db", F.lit(-12.0)) + 35) / 35, dynamics / 30)
     vec = F.concat(F.array(*names), more)
     return ok.select("track_id", (vec if mfcc is None else F.concat(vec, mfcc)).alias("vec"))
 

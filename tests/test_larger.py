@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_oracles import SF, _rows
 
+from listenlab.operators import space
 from listenlab.plans.catalogue import ORACLE, QUERIES
 
 
@@ -34,3 +35,12 @@ def test_session_items_of_more_than_a_day(spark, parts):
 @pytest.mark.parametrize("name", ["authoritative_import", "watch_json"])
 def test_videos_of_seven_digits(spark, parts, name):
     same(spark, parts, "part", name)
+
+
+def test_ranges_of_nothing(spark, tmp_path):
+    """Tempo, loudness and range at the ends of what they are cut to."""
+    rows = [(i, [0.01 * i] * 8 + [x, y, z] + [0.1] * 53, i % 12) for i, (x, y, z) in enumerate((x, y, z) for x in (-0.7, 0.0, 0.9) for y in (-0.7, 0.1) for z in (-0.7, -0.5, 0.2, 0.9))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    same(spark, tmp_path, "embeddings", "feature_vectors")
+    ranges = spark.createDataFrame([(0, 1.0, 0.0, -1.0, 0.0), (1, 1.0, None, None, None)], "track_id long, x double, bpm double, loudness_db double, dynamic_range double")
+    assert [r.vec[3] for r in space.assembled(ranges, ["x"]).orderBy("track_id").collect()] == [8 / 30, 8 / 30]
