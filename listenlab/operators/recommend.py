@@ -59,16 +59,20 @@ def matched(tracks: DataFrame, catalogue: DataFrame) -> DataFrame:
 
     Every beginning of a catalogue title is a key beside its artist, so rows meet by equality and grow with the titles'
     length, not with the square of an artist's titles. A key's two smallest ids are enough: one of them isn't the track's own.
-    Null ids, titles and artists find nothing.
+    They are told for equal titles first, so only different titles are taken apart. No side is broadcast, as a small file
+    may hold many rows. Null ids, titles and artists find nothing.
     """
-    c = catalogue.where("id IS NOT NULL AND title IS NOT NULL AND artist IS NOT NULL").select("artist", "id", F.lower("title").alias("name"))
+
+    def two_least(rows: DataFrame, *by: str) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy("id")
+        return rows.withColumn("_k", F.dense_rank().over(w)).where("_k <= 2").groupBy(*by).agg(F.min("id").alias("found"), F.max("id").alias("next"))
+
+    c = catalogue.where("id IS NOT NULL AND title IS NOT NULL AND artist IS NOT NULL").select("artist", F.lower("title").alias("name"), "id")
+    c = two_least(c, "artist", "name").select("artist", "name", F.explode(F.array_distinct(F.array("found", "next"))).alias("id"))
     c = c.select("artist", "id", F.explode(F.transform(F.sequence(F.lit(0), F.length("name")), lambda n: F.substring("name", F.lit(1), n))).alias("lead"))
     asked = tracks.where("id IS NOT NULL").select(F.col("id").alias("wanted"), "artist", F.lower("title").alias("lead"))
-    first = c.groupBy("artist", "lead").agg(F.min("id").alias("found"))
-    own = asked.join(first, ["artist", "lead"])
-    met = own.where("wanted = found").select("artist", "lead", F.col("found").alias("taken")).distinct()
-    second = c.join(met, ["artist", "lead"]).where("id <> taken").groupBy("artist", "lead").agg(F.min("id").alias("next"))
-    j = own.join(second, ["artist", "lead"], "left").withColumn("found", F.when(F.col("wanted") == F.col("found"), F.col("next")).otherwise(F.col("found")))
+    j = asked.join(two_least(c, "artist", "lead").hint("merge"), ["artist", "lead"])
+    j = j.withColumn("found", F.when(F.col("wanted") != F.col("found"), F.col("found")).when(F.col("wanted") != F.col("next"), F.col("next")))
     return j.where("found IS NOT NULL").groupBy("wanted").agg(F.min("found").alias("found"))
 
 
