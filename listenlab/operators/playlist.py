@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,18 +69,58 @@ def _fit(a: str | None, b: str | None) -> float | None:
     return {1: 0.85, 2: 0.5}.get(d, 0.15) if x[1] == y[1] else 0.15
 
 
-#: Rows, about, of the playlists that are packed together for the greedy orders, so that a task doesn't handle one tiny group at a time.
+#: Rows, about, of the playlists that are put in order together, so that a task doesn't handle one tiny group at a time.
 PACK_ROWS = 50_000
 
 
-def _by_playlist(rows: DataFrame, run, schema: str) -> DataFrame:
-    """``run`` on each playlist's rows; many playlists share a call."""
+def _ordered(rows: DataFrame, choose: Callable[[np.ndarray, dict], np.ndarray]) -> DataFrame:
+    """(playlist_id, place, track_id) of rows (playlist_id, position, track_id, energy, code, ...), as ``choose`` orders them.
 
-    def pack(p: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([run(q) for _, q in p.groupby("playlist_id", sort=False)])
+    Playlists of one length are chosen from together: ``choose`` gets a line of row numbers in order of their positions for each
+    of them, and the columns; code is a place in ``codes``. A playlist must fit a task.
+    """
 
-    packs = max(1, rows.count() // PACK_ROWS)
-    return rows.withColumn("_pack", F.pmod(F.xxhash64("playlist_id"), F.lit(packs))).groupBy("_pack").applyInPandas(pack, schema)
+    def put(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        columns = {n: t.column(n).to_numpy() for n in t.column_names if n != "code"}
+        code = t.column("code").combine_chunks().dictionary_encode()
+        columns["codes"] = [*code.dictionary.to_pylist(), None]
+        columns["code"] = code.indices.fill_null(len(code.dictionary)).to_numpy()
+        starts = np.flatnonzero(np.r_[True, columns["playlist_id"][1:] != columns["playlist_id"][:-1]])
+        sizes = np.diff(np.r_[starts, t.num_rows])
+        order = np.empty(t.num_rows, int)
+        for n in np.unique(sizes):
+            lines = starts[sizes == n][:, None] + np.arange(n)[None]
+            order[lines] = lines if n == 1 else choose(lines, columns)
+        place = np.arange(t.num_rows) - np.repeat(starts, sizes) + 1
+        return pa.RecordBatch.from_arrays([t.column("playlist_id").combine_chunks(), pa.array(place, pa.int32()), pa.array(columns["track_id"][order])], ["playlist_id", "place", "track_id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        count, last = 0, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = b.column(0).to_numpy()
+            if count >= PACK_ROWS:
+                # the last playlist may go on
+                ends = int(np.searchsorted(ids, last, "right"))
+                if ends < b.num_rows:
+                    yield put([*held, b.slice(0, ends)])
+                    held, count, b = [], 0, b.slice(ends)
+            held.append(b)
+            count, last = count + b.num_rows, ids[-1]
+        if held:
+            yield put(held)
+
+    kinds = "playlist_id long, place int, track_id long"
+    rows = rows.where("playlist_id IS NOT NULL").withColumns({"playlist_id": F.col("playlist_id").cast("long"), "track_id": F.col("track_id").cast("long")})
+    return rows.repartition("playlist_id").sortWithinPartitions("playlist_id", "position").mapInArrow(run, kinds)
+
+
+def _between(codes: list[str | None], value: Callable) -> np.ndarray:
+    """``value`` of every pair of a few codes."""
+    return np.array([[value(a, b) for b in codes] for a in codes])
 
 
 def reorder(items: DataFrame) -> DataFrame:
@@ -85,48 +129,49 @@ def reorder(items: DataFrame) -> DataFrame:
     Greedy, so one playlist is one task's work; a playlist is of bounded length.
     """
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        left = p.sort_values(["energy", "position"]).to_dict("records")
-        out = [left.pop(0)]
-        while left:
-            last = out[-1]
-
-            def score(r: dict, last: dict = last) -> tuple[float, int]:
-                fit = _fit(last["code"], r["code"])
-                return 0.6 * (0.3 if fit is None else fit) + 0.4 * (1 - abs(last["energy"] - r["energy"])), -r["position"]
-
-            out.append(left.pop(max(range(len(left)), key=lambda i: score(left[i]))))
-        return pd.DataFrame({"playlist_id": p["playlist_id"].iloc[0], "place": range(1, len(out) + 1), "track_id": [r["track_id"] for r in out]})
+    def fit(a: str | None, b: str | None) -> float:
+        f = _fit(a, b)
+        return 0.6 * (0.3 if f is None else f)
+
+    def choose(lines: np.ndarray, columns: dict) -> np.ndarray:
+        energy, code, every = columns["energy"][lines], columns["code"][lines], np.arange(len(lines))
+        fits, left, out = _between(columns["codes"], fit), np.ones(lines.shape, bool), []
+        at = energy.argmin(1)
+        for _ in range(lines.shape[1]):
+            out.append(lines[every, at])
+            left[every, at] = False
+            score = fits[code[every, at][:, None], code] + 0.4 * (1 - np.abs(energy[every, at][:, None] - energy))
+            at = np.where(left, score, -np.inf).argmax(1)
+        return np.stack(out, 1)
 
     rows = items.where("energy IS NOT NULL").select("playlist_id", "position", "track_id", "energy", "code")
-    return _by_playlist(rows, run, "playlist_id long, place int, track_id long")
+    return _ordered(rows, choose)
 
 
 def sequence(items: DataFrame, kind: str = "rise") -> DataFrame:
     """VC18: a set's order by tempo step / 12, wheel distance / 2 and distance from the arc, twice; fewer than three stay as they are."""
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        import math
-
-        rows = p.sort_values("position").to_dict("records")
-        n = len(rows)
-        target = {"rise": lambda x: 0.35 + 0.5 * x, "fall": lambda x: 0.85 - 0.5 * x, "peak": lambda x: 0.35 + 0.55 * math.sin(math.pi * x), "flat": lambda x: 0.6}[kind]
-        if n >= 3:
-            left, out = rows, []
-            while left:
-                want = target(len(out) / max(1, n - 1))
-
-                def cost(r: dict, want: float = want) -> tuple[float, int]:
-                    c = 2 * abs(r["energy"] - want)
-                    if out:
-                        x, y = _wheel(out[-1]["code"]), _wheel(r["code"])
-                        gap = 99 if x is None or y is None else min((x[0] - y[0]) % 12, (y[0] - x[0]) % 12) + (x[1] != y[1])
-                        c += abs(out[-1]["bpm"] - r["bpm"]) / 12 + min(gap, 7) / 2
-                    return c, r["position"]
-
-                out.append(left.pop(min(range(len(left)), key=lambda i: cost(left[i]))))
-            rows = out
-        return pd.DataFrame({"playlist_id": p["playlist_id"].iloc[0], "place": range(1, n + 1), "track_id": [r["track_id"] for r in rows]})
+    target = {"rise": lambda x: 0.35 + 0.5 * x, "fall": lambda x: 0.85 - 0.5 * x, "peak": lambda x: 0.35 + 0.55 * math.sin(math.pi * x), "flat": lambda x: 0.6}[kind]
+
+    def apart(a: str | None, b: str | None) -> float:
+        x, y = _wheel(a), _wheel(b)
+        gap = 99 if x is None or y is None else min((x[0] - y[0]) % 12, (y[0] - x[0]) % 12) + (x[1] != y[1])
+        return min(gap, 7) / 2
+
+    def choose(lines: np.ndarray, columns: dict) -> np.ndarray:
+        n = lines.shape[1]
+        if n < 3:
+            return lines
+        energy, bpm, code, every = columns["energy"][lines], columns["bpm"][lines], columns["code"][lines], np.arange(len(lines))
+        gaps, left, out, at = _between(columns["codes"], apart), np.ones(lines.shape, bool), [], None
+        for k in range(n):
+            cost = 2 * np.abs(energy - target(k / max(1, n - 1)))
+            if at is not None:
+                cost = cost + (np.abs(bpm[every, at][:, None] - bpm) / 12 + gaps[code[every, at][:, None], code])
+            # a missing tempo comes last
+            at = np.where(left, np.nan_to_num(cost, nan=np.finfo(float).max), np.inf).argmin(1)
+            out.append(lines[every, at])
+            left[every, at] = False
+        return np.stack(out, 1)
 
     rows = items.where("energy IS NOT NULL").select("playlist_id", "position", "track_id", "energy", "bpm", "code")
-    return _by_playlist(rows, run, "playlist_id long, place int, track_id long")
+    return _ordered(rows, choose)

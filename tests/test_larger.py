@@ -51,3 +51,46 @@ def test_catalogue_matches_broadcast_nothing(spark, parts):
     same(spark, parts, "part", "catalogue_match")
     plan = QUERIES["catalogue_match"](spark, str(parts))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan and "WindowGroupLimit" in plan
+
+
+def test_orders_of_playlists_by_plain_forms(spark, monkeypatch):
+    """Playlists of 1 to 40 tracks, over the ends of packs and batches, and one call of Python for many of them."""
+    import math
+    import random
+
+    from listenlab.operators import playlist as pl
+
+    monkeypatch.setattr(pl, "PACK_ROWS", 30)
+    rng, wheel = random.Random(3), [f"{n}{c}" for n in range(1, 13) for c in "AB"] + [None]
+    rows = [(p, i, rng.randrange(500), rng.choice([0.1, 0.3, rng.random()]), rng.choice([100.0, 128.0, 90 + 50 * rng.random()]), rng.choice(wheel)) for p in range(60) for i in range(1, 1 + rng.choice([1, 1, 2, 3, 5, 40]))]
+    items = spark.createDataFrame(rows, "playlist_id long, position int, track_id long, energy double, bpm double, code string")
+    want: dict[str, dict] = {"reorder": {}, "sequence": {}}
+    for p in range(60):
+        mine = [r for r in rows if r[0] == p]
+        left, out = sorted(mine, key=lambda r: (r[3], r[1])), []
+        while left:
+            f = lambda r: 0.3 if (fit := pl._fit(out[-1][5], r[5])) is None else fit
+            out.append(left.pop(0) if not out else left.pop(max(range(len(left)), key=lambda i: (0.6 * f(left[i]) + 0.4 * (1 - abs(out[-1][3] - left[i][3])), -left[i][1]))))
+        want["reorder"][p] = [r[2] for r in out]
+        left, out = list(mine), []
+        while left and len(mine) > 2:
+            goal = 0.35 + 0.55 * math.sin(math.pi * len(out) / (len(mine) - 1))
+
+            def cost(r, goal=goal, out=out):
+                c = 2 * abs(r[3] - goal)
+                if out:
+                    x, y = pl._wheel(out[-1][5]), pl._wheel(r[5])
+                    gap = 99 if x is None or y is None else min((x[0] - y[0]) % 12, (y[0] - x[0]) % 12) + (x[1] != y[1])
+                    c += abs(out[-1][4] - r[4]) / 12 + min(gap, 7) / 2
+                return c, r[1]
+
+            out.append(left.pop(min(range(len(left)), key=lambda i: cost(left[i]))))
+        want["sequence"][p] = [r[2] for r in out or mine]
+    for name, df in (("reorder", pl.reorder(items)), ("sequence", pl.sequence(items, "peak"))):
+        got: dict[int, list] = {}
+        for r in df.orderBy("playlist_id", "place").collect():
+            got.setdefault(r.playlist_id, []).append(r.track_id)
+            assert r.place == len(got[r.playlist_id])
+        assert got == want[name]
+    plan = pl.reorder(items)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan and pl.reorder(items.where("false")).count() == 0
