@@ -154,4 +154,4 @@ def reorder(t):
 
 @query("sequence_set")
 def sequence(t):
-    return pl.sequence(_items(t), "peak")
+    return pl.sequence(_in_order(t), "peak")
