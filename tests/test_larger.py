@@ -94,3 +94,60 @@ def test_orders_of_playlists_by_plain_forms(spark, monkeypatch):
         assert got == want[name]
     plan = pl.reorder(items)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "FlatMapGroups" not in plan and pl.reorder(items.where("false")).count() == 0
+
+
+def test_running_median_sorts_runs_once(monkeypatch):
+    import numpy as np
+
+    from listenlab.operators import sound
+
+    rng = np.random.default_rng(4)
+    cases = [(x, a) for shape in ((40, 50), (1, 70), (3, 4), (93, 200)) for x in (rng.normal(size=shape).astype(np.float32), rng.integers(0, 4, shape).astype(np.float32)) for a in (0, 1)]
+    want = [np.median(np.lib.stride_tricks.sliding_window_view(np.pad(x, [(15, 15) if i == a else (0, 0) for i in (0, 1)], mode="symmetric"), 31, axis=a), axis=-1) for x, a in cases]
+    # a selection for each window by itself took three quarters of a track's time
+    monkeypatch.setattr(np, "partition", None)
+    assert all(np.array_equal(sound.running_median(x, a), w) for (x, a), w in zip(cases, want, strict=True))
+
+
+def test_blocks_weighted_together_and_phases_apart(monkeypatch):
+    import numpy as np
+
+    from listenlab.operators import signal, sound
+
+    x = np.random.default_rng(6).normal(size=(3, 24_000))
+    assert np.allclose(sound.weighted(x, 8000), [np.convolve(y, sound.weighting(8000))[:24_000] for y in x], atol=1e-9)
+    for up, down in ((4, 1), (3, 2), (1, 4), (2, 7)):
+        for n in (1, 2, 5, 1000):
+            got = signal._resampled(x[0, :n], up, down)
+            monkeypatch.setattr(signal, "FEW_PHASES", 0)
+            assert np.array_equal(got, signal._resampled(x[0, :n], up, down))
+            monkeypatch.undo()
+
+
+def test_isolated_rows_keep_arrays(spark):
+    """Samples reach the work as they lie, without a Python object for each, and spectra need no more than two fields."""
+    import numpy as np
+    from pyspark.sql.types import BooleanType, StringType, StructField, StructType
+
+    from listenlab.operators import sound
+    from listenlab.operators.isolate import isolated
+
+    rows = spark.createDataFrame([(1, [0.5, None], ["a"], None), (2, [], None, [1.0])], "k long, x array<float>, w array<string>, y array<double>")
+    kind = StructType([StructField("array", BooleanType()), StructField("kinds", StringType())])
+    got = {r.k: (r.array, r.kinds) for r in isolated(rows, ["k"], lambda r: {"array": isinstance(r["x"], np.ndarray) and len(r["x"]) == 4 - 2 * r["k"], "kinds": f"{type(r['w']).__name__} {type(r['y']).__name__}"}, kind).collect()}
+    assert got == {1: (True, "list NoneType"), 2: (True, "NoneType ndarray")}
+    x = np.random.default_rng(7).normal(size=20_000)
+    whole, part = sound.measured(x, 8000), sound.shape(x, 8000)
+    assert sorted(part) == ["centroid", "flatness"] and all(np.array_equal(whole[n], part[n]) for n in part)
+
+
+@pytest.mark.parametrize("name", ["track_loudness", "isolated_spectra", "track_features"])
+def test_sounds_are_not_written(spark, name, tmp_path, monkeypatch):
+    """Sounds are far longer than the rows that they are made from."""
+    from pathlib import Path
+
+    from listenlab.operators import order
+
+    monkeypatch.setattr(order, "shared_dir", lambda _: str(tmp_path))
+    df = QUERIES[name](spark, SF)
+    assert not list(Path(tmp_path).rglob("*.parquet")) and df.where("track_id < 0").count() == 0
